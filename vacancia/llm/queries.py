@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm import packing, storage, token_files
+from vacancia.llm import licenses, packing, quality, secrets, storage, token_files, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents"), storage.shared_dir(spark, "secret-ledger")))
+
+
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.shared_dir(spark, "token-blocks")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path)
@@ -21,6 +25,20 @@ def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(urls.judge(_table(spark, sf_dir, "pages")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
 
@@ -31,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scan": secrets.digest_sql(), "op8_license_scan": licenses.digest_sql(), "op9_url_filter": urls.digest_sql()}

@@ -18,7 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept by one Python worker; about 200 bytes each. When full, new words are encoded but not kept.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
+#: Bytes of text that are cut into pieces at once; a longer text goes alone.
+CHUNK_BYTES = 12 << 20
 _SPACE_RUN = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}] ([\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]|$)"
 _MARKS = ",.;:!?#*$%&|<>()\"-=+/"
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -56,8 +58,15 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has. Null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if not len(texts):
+        ends = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64)) // CHUNK_BYTES
+        starts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        done = [self._encode(texts.slice(a, b - a)) for a, b in zip(starts, starts[1:]) if b > a]
+        pa.default_memory_pool().release_unused()
+        if not done:
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        return np.concatenate([x for x, _ in done]), np.concatenate([n for _, n in done])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = np.asarray(pc.match_substring_regex(texts, _SPACE_RUN))
         ids, counts = self._pieces(texts.filter(pa.array(~whole)))
         if not whole.any():
