@@ -66,7 +66,7 @@ def digest_sql() -> str:
     ordered = [n for n in dict.fromkeys(name for _, name in RULES)]
     any_of = ", ".join(f"case when list_contains(f, '{n}') then '{n}' end" for n in ordered)
     return (
-        rf"with s as (select doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '{BREAK}')) as x, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '{BREAK}'), 1) as i from documents), "
+        rf"with s as (select doc_id, unnest(xs) as x, generate_subscripts(xs, 1) as i from (select doc_id, regexp_split_to_array(coalesce(text, ''), '{BREAK}') as xs from documents)), "
         f"k as (select doc_id, i, case trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) {lookup} end as id from s where regexp_matches(x, '(?i)licen[sc]e|copyright|permission')), "
         "q as (select doc_id, coalesce(string_agg(id, '' order by i), '') as sequence from documents left join k using (doc_id) group by doc_id), "
         f"f as (select doc_id, sequence, [{', '.join(found)}] as f from q) "

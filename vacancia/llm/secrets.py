@@ -29,12 +29,13 @@ class Rule:
     least: int = 0
 
 
-#: The kinds in the order in which they are listed. The first three are the base kinds.
+#: The kinds in the order in which they are listed. The first three are the base kinds. Where a match always
+#: ends with its run of characters, the least length stands in the pattern: a run that fails has no other match in it.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 60),
     Rule("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
@@ -100,7 +101,7 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The contract's columns from the findings."""
     spans = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("findings", lambda x: x["rank"] < BASE)
-    counts = [F.size(F.filter("findings", lambda x, k=k: x["rank"] == k)).cast("long").alias(f"n_{rules[k].kind}") for k in range(BASE)]
+    counts = [F.size(F.filter("findings", _of_rank(k))).cast("long").alias(f"n_{rules[k].kind}") for k in range(BASE)]
     return found.select("doc_id", *counts, F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans"))
 
 
@@ -108,9 +109,10 @@ def digest_sql(rules: tuple[Rule, ...] = RULES) -> str:
     """The same in DuckDB's SQL, without a ledger."""
     quoted = [r.pattern.replace("'", "''") for r in rules]
     kinds = " union all ".join(
-        f"select doc_id, {k} as rank, '{r.kind}' as kind, i, length(regexp_split_to_array(t, '{q}')[i]) as gap, length(h) as hit, "
+        f"select doc_id, {k} as rank, '{r.kind}' as kind, i, length(g) as gap, length(h) as hit, "
         f"length({f"regexp_extract(h, '{q}', {r.group})" if r.group else 'h'}) >= {r.least} as keep from "
-        f"(select doc_id, t, unnest(hs) as h, generate_subscripts(hs, 1) as i from (select doc_id, t, regexp_extract_all(t, '{q}') as hs from d where regexp_matches(t, '{q}')))"
+        f"(select doc_id, unnest(hs) as h, unnest(gs[1:len(hs)]) as g, generate_subscripts(hs, 1) as i from "
+        f"(select doc_id, regexp_extract_all(t, '{q}') as hs, regexp_split_to_array(t, '{q}') as gs from d where regexp_matches(t, '{q}')))"
         for k, (r, q) in enumerate(zip(rules, quoted, strict=True))
     )
     counts = ", ".join(f"count(*) filter (where rank = {k}) as n_{rules[k].kind}" for k in range(BASE))
@@ -122,3 +124,7 @@ def digest_sql(rules: tuple[Rule, ...] = RULES) -> str:
         f"select doc_id, {', '.join(f'coalesce(n_{rules[k].kind}, 0) as n_{rules[k].kind}' for k in range(BASE))}, "
         "sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from documents left join g using (doc_id)"
     )
+
+
+def _of_rank(k: int):
+    return lambda x: x["rank"] == k
