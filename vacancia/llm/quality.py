@@ -53,9 +53,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         "_grams": F.when(F.size("_words") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))),
     })
     df = df.withColumn("_repeats", F.size(F.array_distinct("_grams")) < F.size("_grams"))
-    df = df.withColumn("_sorted", F.when(F.col("_repeats"), F.array_sort(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn("_sorted", F.when(F.col("_repeats"), F.sort_array(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda x, j: (F.get("_sorted", j - 1)["h"] == x["h"]) | (F.get("_sorted", j + 1)["h"] == x["h"])
-    df = df.withColumn("_starts", F.when(F.col("_repeats"), F.array_sort(F.transform(F.filter("_sorted", same), lambda x: x["i"]))))
+    df = df.withColumn("_starts", F.when(F.col("_repeats"), F.sort_array(F.transform(F.filter("_sorted", same), lambda x: x["i"]))))
     covered = F.aggregate(
         F.transform("_starts", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get("_starts", j + 1) - x, F.lit(WINDOW)))),
         F.lit(0), lambda a, b: a + b,
@@ -67,6 +67,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         "f_dup_lines": share("n_dup_lines", "n_lines"), "f_repeat": share("n_repeat_words", "n_words"), "f_capitals": share("_capitals", "_chars"), "f_distinct": share("_distinct", "n_words"),
     }
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    # Always true, but not deterministic: else a filter on the outcome would be pushed down with all of this inlined.
+    failed = failed & (F.monotonically_increasing_id() >= 0)
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return df.select(*[c for c in own if c not in {*stats, *features, "base_failed"}], *stats, *[v.alias(k) for k, v in features.items()], failed.alias("base_failed"))
 
