@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm import licenses, packing, quality, secrets, storage, token_files, urls
+from vacancia.llm import decontaminate, licenses, line_dedup, packing, quality, secrets, storage, token_files, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents"), storage.shared_dir(spark, "secret-ledger")))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.shared_dir(spark, "token-blocks")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path)
@@ -49,4 +57,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.digest_sql(), "op8_license_scan": licenses.digest_sql(), "op9_url_filter": urls.digest_sql()}
+    return {
+        "op1_secret_scan": secrets.digest_sql(), "op2_decontamination": decontaminate.digest_sql(), "op3_line_dedup": line_dedup.digest_sql(), "op8_license_scan": licenses.digest_sql(), "op9_url_filter": urls.digest_sql(),
+    }
