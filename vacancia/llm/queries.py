@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm import decontaminate, licenses, line_dedup, packing, quality, secrets, storage, token_files, urls
+from vacancia.llm import decontaminate, licenses, line_dedup, near_dups, packing, quality, secrets, storage, token_files, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.groups(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.shared_dir(spark, "token-blocks")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path)
@@ -58,5 +62,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_secret_scan": secrets.digest_sql(), "op2_decontamination": decontaminate.digest_sql(), "op3_line_dedup": line_dedup.digest_sql(), "op8_license_scan": licenses.digest_sql(), "op9_url_filter": urls.digest_sql(),
+        "op1_secret_scan": secrets.digest_sql(), "op2_decontamination": decontaminate.digest_sql(), "op3_line_dedup": line_dedup.digest_sql(), "op5_near_duplicates": near_dups.digest_sql(), "op8_license_scan": licenses.digest_sql(), "op9_url_filter": urls.digest_sql(),
     }
