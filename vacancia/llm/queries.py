@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm import decontaminate, licenses, line_dedup, near_dups, packing, quality, secrets, storage, token_files, urls
+from vacancia.llm import decontaminate, licenses, line_dedup, near_dups, packing, pii, quality, secrets, storage, token_files, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.groups(_table(spark, sf_dir, "documents"))
 
