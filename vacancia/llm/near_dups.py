@@ -9,12 +9,12 @@ skipped.
 
 A list may hold a large group, so pairs within it aren't written out. Each list has a leader (the class that collides most,
 so the middle of its group), and only (leader, member) pairs are counted, merged over all lists and confirmed exactly.
-What this can miss is found exactly as well. Let x and y be linked members of one group with leader L. If they share no
-shingle outside L, then both are linked with L, or both have at least 85 % of their shingles in L and one is smaller than
-L. So, for groups with members that aren't linked with L, the shingles outside L are posted again (by prefix: as many as a
-link needs at least one of), together with one token for members lying mostly inside L. Lists without such members or with
-one member are dropped; the others get a leader, the smallest set (with which the second case can't happen), and so on
-until no list is left. Every round settles a leader for good, lists shrink to those that share one more shingle.
+What this can miss is found exactly as well. A group of at most SMALL members, some not linked with the leader, is settled
+by comparing sets in one task. In a larger one, let x and y be linked members of the group of leader L. If they share no
+shingle outside L, then both are linked with L, or both have at least 85 % of their shingles in L. So the shingles outside L
+are posted again (by prefix: as many as a link needs at least one of), together with one token for members lying mostly
+inside L. Lists without members that L isn't linked with, and lists with one member, are dropped; the others get leaders, and so
+on until no list is left. Every round settles a leader for good, and lists shrink to those that share one more shingle.
 
 Components of the links come from alternating large-star and small-star steps, written to the shared folder each round.
 
@@ -39,6 +39,8 @@ SHINGLE = 5
 #: Links need NEED / 100 of the union in common.
 NEED = 85
 COORDINATES, ROWS, MATCHES = 24, 3, 3
+#: Members of a group that are compared in one task.
+SMALL = 128
 _SIGNED = "doc_id bigint, n_shingles bigint, node binary, coordinates array<bigint>"
 
 
@@ -98,27 +100,42 @@ def linked(a: int, b: int, both: int) -> bool:
     return 100 * both >= NEED * (a + b - both)
 
 
-def compare(member: np.ndarray, leader: np.ndarray, smallest: bool) -> tuple[bool, np.ndarray]:
+def compare(member: np.ndarray, leader: np.ndarray) -> tuple[bool, np.ndarray]:
     """Whether they are linked, and what to post of the member: hashes outside the leader, 0 for lying mostly inside it."""
     at = np.minimum(np.searchsorted(leader, member), len(leader) - 1)
     inside = leader[at] == member
     both, outside = int(inside.sum()), member[~inside]
     needed = -(-NEED * len(member) // 100) - both  # of the shingles outside, by any link that needs some of them
     post = outside[: len(outside) - max(1, needed) + 1]
-    if needed <= 0 and not smallest:
+    if needed <= 0:
         post = np.append(post, np.uint64(0))
     return linked(len(member), len(leader), both), post.view(np.int64)
 
 
-def _compare_with(smallest: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(*compare(np.frombuffer(m, np.uint64), np.frombuffer(le, np.uint64), smallest), len(m) // 8) for m, le in zip(batch.column("m_hashes").to_pylist(), batch.column("l_hashes").to_pylist(), strict=True)]
-            yes, post, n = zip(*rows, strict=True) if rows else ((), (), ())
-            columns = [batch.column("leader"), batch.column("node"), pa.array(yes, pa.bool_()), pa.array(n, pa.int64()), pa.array([p.tolist() for p in post], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["leader", "node", "linked", "n", "post"])
-
-    return run
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [compare(np.frombuffer(m, np.uint64), np.frombuffer(le, np.uint64)) for m, le in zip(batch.column("m_hashes").to_pylist(), batch.column("l_hashes").to_pylist(), strict=True)]
+        yes, post = zip(*rows, strict=True) if rows else ((), ())
+        columns = [batch.column("leader"), batch.column("node"), pa.array(yes, pa.bool_()), pa.array([p.tolist() for p in post], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["leader", "node", "linked", "post"])
+
+
+def _settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect the members (SMALL at most) of one group as far as their sets do; those linked with the leader are one part already."""
+    rows = [r for b in batches for r in zip(b.column("node").to_pylist(), b.column("linked").to_pylist(), b.column("hashes").to_pylist(), strict=True)]
+    sets = [np.frombuffer(h, np.uint64) for _, _, h in rows]
+    part = [-1 if yes else i for i, (_, yes, _) in enumerate(rows)]
+    out = []
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if part[i] != part[j] and 100 * min(len(a), len(b)) >= NEED * max(len(a), len(b)):
+                if linked(len(a), len(b), int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())):
+                    out.append((rows[i][0], rows[j][0]))
+                    old = part[j]
+                    part = [part[i] if p == old else p for p in part]
+    columns = list(zip(*out, strict=True)) or [(), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary())], names=["node", "leader"])
 
 
 def links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -128,30 +145,36 @@ def links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     posted = classes.select("node", F.explode(F.slice("coordinates", 1, COORDINATES - MATCHES + 1)).alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = storage.written(posted.join(lists, "key"), "postings")
-    weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
-    leaders = shared.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
-    pairs = shared.join(leaders, "key").where("node <> leader").groupBy("leader", "node").agg(F.count("*").alias("collisions"))
-    pairs = storage.written(pairs.select("leader", "node"), "pairs")
+    pairs = storage.written(_with_leaders(shared, ["key"]), "pairs")
     classes = known.groupBy("node").agg(F.min("doc_id").alias("rep"))
     wanted = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
     ids = wanted.join(classes, "node").select(F.col("rep").alias("doc_id")).distinct()
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node binary, hashes binary")
     sets = storage.written(sets.dropDuplicates(["node"]), "shingle-sets", codec="none")
-    found, smallest = None, False
+    found = None
     while not pairs.isEmpty():
         both = pairs.join(sets.withColumnRenamed("hashes", "m_hashes"), "node").join(sets.select(F.col("node").alias("leader"), F.col("hashes").alias("l_hashes")), "leader")
-        checked = storage.written(both.mapInArrow(_compare_with(smallest), "leader binary, node binary, linked boolean, n bigint, post array<bigint>"), "checked")
+        checked = storage.written(both.mapInArrow(_compare, "leader binary, node binary, linked boolean, post array<bigint>"), "checked")
         new = checked.where("linked").select("node", "leader")
         found = new if found is None else found.union(new)
-        open_ = checked.where("not linked").select("leader").distinct()
-        posts = checked.join(open_, "leader", "left_semi").select("leader", "node", "linked", "n", F.explode("post").alias("hash"))
-        lists = posts.groupBy("leader", "hash").agg(F.count("*").alias("members"), F.bool_and("linked").alias("settled"), F.min(F.struct("n", "node")).alias("least"))
-        lists = lists.where("members > 1 and not settled").select(F.col("leader").alias("before"), "hash", F.col("least.node").alias("leader"))
-        pairs = posts.withColumnRenamed("leader", "before").join(lists, ["before", "hash"]).where("node <> leader").select("leader", "node").distinct()
-        pairs, smallest = storage.written(pairs, "pairs"), True
+        open_ = checked.groupBy("leader").agg(F.count("*").alias("size"), F.bool_and("linked").alias("settled")).where("not settled")
+        few = checked.join(open_.where(F.col("size") <= SMALL).select("leader"), "leader", "left_semi").select("leader", "node", "linked")
+        settled = few.join(sets, "node").groupBy("leader").applyInArrow(_settle, "node binary, leader binary")
+        found = found.union(storage.written(settled, "links"))
+        posts = checked.join(open_.where(F.col("size") > SMALL).select("leader"), "leader", "left_semi").select(F.col("leader").alias("before"), "node", "linked", F.explode("post").alias("hash"))
+        lists = posts.groupBy("before", "hash").agg(F.count("*").alias("members"), F.bool_and("linked").alias("settled")).where("members > 1 and not settled")
+        shared = storage.written(posts.select("before", "hash", "node").join(lists.select("before", "hash", "members"), ["before", "hash"]), "postings")
+        pairs = storage.written(_with_leaders(shared, ["before", "hash"]), "pairs")
     return classes, found if found is not None else pairs.select("node", "leader")
 
 
+def _with_leaders(shared: DataFrame, key: list[str]) -> DataFrame:
+    """leader, node: each member of a list with the member of it that collides most over all lists."""
+    weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+    leaders = shared.join(weight, "node").groupBy(*key).agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    return shared.join(leaders, key).where("node <> leader").select("leader", "node").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, root (the smallest id reachable) for every id with an edge. edges: a, b (longs)."""
     edges = storage.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
