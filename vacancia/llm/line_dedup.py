@@ -115,6 +115,7 @@ def repeats(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
     found = storage.written(docs.mapInArrow(suspects, "doc_id bigint, key binary, lines array<int>"), "line-suspects")
     confirmed = found.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs)
+    confirmed = storage.written(confirmed, "line-repeats")  # joined by an exchange of its own, so that a hot key can be split
     gone = found.join(confirmed.select("key", "keeper"), "key").where(F.col("doc_id") < F.col("keeper"))
     return gone.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("drop"))
 
@@ -123,7 +124,7 @@ def dedup(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """The given columns, text without the lines that go, and n_lines (before), n_dropped."""
     drop = repeats(docs, least_docs)
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*own).join(drop.select(F.col("doc_id").alias("_doc"), F.col("drop").alias("_drop")), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    joined = docs.select(*own).join(drop.select(F.col("doc_id").alias("_doc"), F.col("drop").alias("_drop")).hint("merge"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
     columns = [c for c in joined.columns if c != "_drop"]
     schema = joined.select(*columns, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
     at = columns.index("text")
