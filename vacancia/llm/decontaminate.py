@@ -78,8 +78,11 @@ def automaton(items: list[tuple], window: int, key: str):
     return _BUILT[key]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, hits (spans of the original text, code points), n_hit (words hit), items (ids as strings, sorted)."""
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, hits (spans of the original text, code points), n_hit (words hit), items (ids as strings, sorted).
+
+    ``carry`` names further columns of docs that come along, so that a filter needs no join.
+    """
     spark = docs.sparkSession
     storage.ship(spark)
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -91,9 +94,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield matches(batch.column(0), batch.column(1).to_pylist(), shared.value, window)
+            found = matches(batch.column(0), batch.column(1).to_pylist(), shared.value, window)
+            yield pa.RecordBatch.from_arrays([*found.columns, *batch.columns[2:]], names=[*found.schema.names, *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(scan_batches, _SCHEMA)
+    wanted = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in carry])
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return wanted.mapInArrow(scan_batches, _SCHEMA + more)
 
 
 def matches(doc_ids: pa.Array, texts: list[str | None], blocks: list[tuple[str, list[tuple]]], window: int) -> pa.RecordBatch:
