@@ -140,16 +140,17 @@ def _settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
 
 def links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes: node, rep; links: node, leader). Links connect every pair of similar classes, not each pair directly."""
+    posted_keys = COORDINATES - MATCHES + 1
     known = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("coordinates").alias("coordinates"))
-    posted = classes.select("node", F.explode(F.slice("coordinates", 1, COORDINATES - MATCHES + 1)).alias("key"))
+    posted = classes.select("node", F.explode(F.slice("coordinates", 1, posted_keys)).alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = storage.written(posted.join(lists, "key"), "postings")
+    shared = storage.written(posted.join(storage.written(lists, "lists"), "key"), "postings")
     pairs = storage.written(_with_leaders(shared, ["key"]), "pairs")
     classes = known.groupBy("node").agg(F.min("doc_id").alias("rep"))
     wanted = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
     ids = wanted.join(classes, "node").select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node binary, hashes binary")
+    sets = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_sets, "node binary, hashes binary")
     sets = storage.written(sets.dropDuplicates(["node"]), "shingle-sets", codec="none")
     found = None
     while not pairs.isEmpty():
@@ -172,6 +173,7 @@ def _with_leaders(shared: DataFrame, key: list[str]) -> DataFrame:
     """leader, node: each member of a list with the member of it that collides most over all lists."""
     weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
     leaders = shared.join(weight, "node").groupBy(*key).agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    leaders = storage.written(leaders, "leaders")  # joined by an exchange of its own, so that a hot list can be split
     return shared.join(leaders, key).where("node <> leader").select("leader", "node").distinct()
 
 
