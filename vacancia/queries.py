@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.operators import market as dashboard
-from vacancia.operators import search, skills, snapshots
+from vacancia.functions import text as T
+from vacancia.functions import urls
+from vacancia.operators import dedupe, evaluate, fulltext, ingest, matching, mentions, places, resume, review, search, skills, snapshots
+from vacancia.operators import text as text_ops
+from vacancia.operators import titles as titles_ops
 from vacancia.plans.predicate import Scope, matching_jobs, matching_sql
 from vacancia.sources.bindings import SOURCES, SQL, Market
 
@@ -190,6 +194,367 @@ def search_page(m: Market) -> DataFrame:
     return search.page(matching_jobs(m, SCOPES[:1]), "salary", 50, (300000, 5000)).select("job_id", F.col("sort_key").cast("double"))
 
 
+# Duplicates, ingestion, review -----------------------------------------------------------------------------------------
+
+
+def _postings(m: Market) -> DataFrame:
+    """Jobs as postings of several sources: URLs with tracking parameters, titles with odd case, one place at most."""
+    j = F.col("job_id")
+    url = F.concat(F.lit("HTTPS://Boards.Example.com/job/"), (j / 4).cast("long").cast("string"), F.lit("/?utm_source=x&b=2&a="), (j % 2).cast("string"), F.lit("#top"))
+    title = F.concat(F.coalesce("experience_level", F.lit("Any")), F.lit("  Engineer "), F.coalesce(F.col("title_id").cast("string"), F.lit("x")))
+    place = m.job_locations.groupBy("job_id").agg(F.min("city").alias("city"))
+    rows = m.jobs.join(place, "job_id", "left").join(F.broadcast(_sources(m).select("source_id", "kind")), "source_id")
+    return rows.select(
+        "job_id", "company_id", "source_id", "kind", title.alias("title"), urls.canonical(F.when(j % 5 != 0, url)).alias("url_key"),
+        F.when((j % 9 == 0) | F.col("city").isNull(), F.array().cast("array<string>")).otherwise(F.array("city")).alias("places"), "status", F.col("posted_at").alias("first_seen_at"),
+    )
+
+
+_POSTINGS = f"""{SQL}, places as (select job_id, min(city) as city from job_locations group by 1),
+postings as (select job_id, company_id, source_id, case source_id when 0 then 0 when 1 then 1 else 2 end as rank, lower(coalesce(experience_level, 'Any') || ' engineer ' || coalesce(title_id::varchar, 'x')) as title,
+  case when job_id % 5 <> 0 then 'https://boards.example.com/job/' || (job_id // 4) || '?a=' || (job_id % 2) || '&b=2' end as url_key, case when job_id % 9 = 0 or city is null then '' else city end as place, status, posted_at as first_seen_at
+  from jobs left join places using (job_id)),
+cl as (select c_custkey as company_id, min(c_custkey) over (partition by c_nationkey, c_custkey % 40) as class from customer),
+star as (select p.job_id as a, k.least as b from postings p join (select url_key, min(job_id) as least from postings where url_key is not null group by 1 having min(source_id) < max(source_id)) k using (url_key)
+  union select p.job_id, k.least from postings p join cl using (company_id) join (select class, title, place, min(job_id) as least from postings join cl using (company_id) group by all having min(source_id) < max(source_id)) k on cl.class = k.class and p.title = k.title and p.place = k.place),
+edge as (select a, b from star where a <> b union select b, a from star where a <> b),
+reach as (select distinct a as id, a as root from edge union select e.b, r.root from reach r join edge e on e.a = r.id),
+comp as (select id, min(root) as root from reach group by 1),
+best as (select root, arg_min(job_id, (case when status = 'active' then 0 else 1 end, rank, first_seen_at, job_id)) as g from comp join postings on id = job_id group by 1)"""
+
+
+def _classes(m: Market) -> DataFrame:
+    """Companies of one nation and number share a domain."""
+    c = m.table("customer")
+    return dedupe.company_classes(c.select(F.col("c_custkey").alias("company_id"), F.col("c_name").alias("name"), F.concat_ws(".", F.col("c_custkey") % 40, F.concat(F.lit("N"), F.col("c_nationkey"))).alias("domain")))
+
+
+@query(f"{_POSTINGS} select id as job_id, g as \"group\" from comp join best using (root)")
+def duplicate_groups(m: Market) -> DataFrame:
+    return dedupe.groups(_postings(m), _classes(m))
+
+
+@query(f"{_POSTINGS} select count(distinct g) as groups, count(g) as grouped_jobs, count(*) filter (where g is distinct from dedupe_group_id) as changed from (select job_id, dedupe_group_id from jobs where dedupe_group_id is not null) o full join (select id as job_id, g from comp join best using (root)) n using (job_id)")
+def duplicate_statistics(m: Market) -> DataFrame:
+    old = m.jobs.where("dedupe_group_id is not null").select("job_id", F.col("dedupe_group_id").alias("group"))
+    return dedupe.statistics(dedupe.groups(_postings(m), _classes(m)), old)
+
+
+@query("select c_custkey as company_id, min(c_custkey) over (partition by c_nationkey, c_custkey % 40) as class from customer")
+def company_classes(m: Market) -> DataFrame:
+    return _classes(m)
+
+
+_DAY = "2024-01-20"
+_EVENTS = f"""with recursive e as (select event_type as source_id, user_id::varchar as external_id, sha256(props) as content_hash, props as payload, ts from events),
+stored as (select source_id, external_id, arg_max(content_hash, (ts, content_hash)) as content_hash, arg_max(payload, (ts, content_hash)) as payload, 'active' as status, 1 as extractor_version, min(ts) as first_seen_at, max(ts) as last_seen_at from e where ts < '{_DAY}' group by all),
+last as (select source_id, external_id, arg_max(content_hash, (ts, content_hash)) as h, arg_max(payload, (ts, content_hash)) as p, min(ts) as f, max(ts) as l from e where ts >= '{_DAY}' group by all),
+merged as (select source_id, external_id, coalesce(h, content_hash) as content_hash, coalesce(l, last_seen_at) as last_seen_at, coalesce(first_seen_at, f) as first_seen_at, case when h is null or h = content_hash then extractor_version end as extractor_version,
+  case when h is null then null when content_hash is null then 'new' when h = content_hash then 'unchanged' else 'updated' end as outcome from stored full join last using (source_id, external_id))"""
+
+
+def _sightings(m: Market) -> DataFrame:
+    return m.table("events").select(F.col("event_type").alias("source_id"), F.col("user_id").cast("string").alias("external_id"), F.sha2("props", 256).alias("content_hash"), F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("seen_at"))
+
+
+def _merged(m: Market) -> DataFrame:
+    seen, day = _sightings(m), F.lit(_DAY).cast("timestamp")
+    empty = m.spark.createDataFrame([], "source_id string, external_id string, content_hash string, payload string, status string, extractor_version int, first_seen_at timestamp, last_seen_at timestamp")
+    stored = ingest.merge(empty, seen.where(F.col("seen_at") < day)).drop("outcome").withColumn("extractor_version", F.lit(1))
+    return ingest.merge(stored, seen.where(F.col("seen_at") >= day))
+
+
+@query(f"{_EVENTS} select source_id, external_id, content_hash, extractor_version, outcome from merged")
+def change_detection(m: Market) -> DataFrame:
+    return _merged(m).select("source_id", "external_id", "content_hash", "extractor_version", "outcome")
+
+
+@query(f"{_EVENTS} select source_id, count(*) as fetched, count(*) filter (where outcome = 'new') as new, count(*) filter (where outcome = 'updated') as updated, count(*) filter (where outcome = 'unchanged') as unchanged from merged where outcome is not null group by 1")
+def ingestion_counters(m: Market) -> DataFrame:
+    return ingest.counters(_merged(m))
+
+
+@query(f"{_EVENTS} select source_id, external_id, case when last_seen_at < timestamp '2024-01-31' - interval 3 day and source_id in ('view', 'click', 'signup') then 'expired' else 'active' end as status from merged")
+def expiry_sweep(m: Market) -> DataFrame:
+    """Sources with odd letters' runs failed: only three were healthy within the grace period."""
+    names = [("view", "succeeded", "2024-01-30"), ("click", "succeeded", "2024-01-29"), ("signup", "succeeded", "2024-01-28"), ("error", "failed", "2024-01-30"), ("purchase", "succeeded", "2024-01-20")]
+    runs = m.spark.createDataFrame(names, "source_id string, status string, finished_at string").withColumn("finished_at", F.col("finished_at").cast("timestamp"))
+    now = F.lit("2024-01-31").cast("timestamp")
+    return ingest.expire(_merged(m), runs, now).select("source_id", "external_id", "status")
+
+
+def _queue(m: Market) -> DataFrame:
+    """A queue from the words before the 20th, with every third resolved and every third dismissed."""
+    e = m.table("events").where(F.col("ts") < F.lit(_DAY).cast("timestamp_ntz"))
+    kind = F.when(F.col("user_id") % 2 == 0, "title").otherwise("technology")
+    rows = e.groupBy(kind.alias("kind"), F.concat(F.lit("v"), F.col("user_id") % 97).alias("value")).agg(F.count("*").alias("occurrences"), F.min("props").alias("example_context"), F.min(F.col("user_id") % 97).alias("k"))
+    return rows.select("kind", "value", "example_context", "occurrences", F.when(F.col("k") % 3 == 0, "resolved").when(F.col("k") % 3 == 1, "dismissed").otherwise("pending").alias("status"))
+
+
+def _reviewed(m: Market) -> DataFrame:
+    late = m.table("events").where((F.col("ts") >= F.lit(_DAY).cast("timestamp_ntz")) & (F.col("event_type") == "error"))
+    kind = F.when(F.col("user_id") % 2 == 0, "title").otherwise("technology")
+    return review.accumulate(_queue(m), late.select(kind.alias("kind"), F.concat(F.lit("v"), F.col("user_id") % 97).alias("value"), F.col("props").alias("context"), F.col("event_id").alias("job_id")))
+
+
+_REVIEW = f"""with q as (select case when user_id % 2 = 0 then 'title' else 'technology' end as kind, 'v' || (user_id % 97) as value, min(props) as example_context, count(*) as occurrences, min(user_id % 97) as k from events where ts < '{_DAY}' group by 1, 2),
+s as (select case when user_id % 2 = 0 then 'title' else 'technology' end as kind, 'v' || (user_id % 97) as value, count(*) as n, arg_min(props, event_id) as context from events where ts >= '{_DAY}' and event_type = 'error' group by 1, 2),
+r as (select kind, value, coalesce(example_context, context) as example_context, coalesce(occurrences, 0) + coalesce(n, 0) as occurrences,
+  case when k is null then 'pending' when k % 3 = 0 then case when n is not null then 'pending' else 'resolved' end when k % 3 = 1 then 'dismissed' else 'pending' end as status from q full join s using (kind, value))"""
+
+
+@query(f"{_REVIEW} select * from r")
+def review_queue(m: Market) -> DataFrame:
+    return _reviewed(m)
+
+
+@query(f"{_REVIEW} select kind, status, (select count(*) from r where r.kind = k.kind and r.status = s.status) as items from (values ('title'), ('technology')) k(kind), (values ('pending'), ('resolved'), ('dismissed')) s(status)")
+def review_summary(m: Market) -> DataFrame:
+    return review.summary(_reviewed(m))
+
+
+@query(f"{_REVIEW} select * from r where status = 'pending' order by occurrences desc, kind, value limit 25")
+def review_listing(m: Market) -> DataFrame:
+    return review.listing(_reviewed(m), status="pending", limit=25)
+
+
+@query("""with t as (select doc_id, case when quality = 1 then 'good' else 'bad' end as slug, lang from labels join documents using (doc_id)), p as (select doc_id, case when n_chars >= 600 then 'good' else 'bad' end as slug, lang from documents join labels using (doc_id)),
+b as (select coalesce(p.lang, t.lang) as lang, p.doc_id is not null as p, t.doc_id is not null as t from p full join t on p.doc_id = t.doc_id and p.slug = t.slug)
+select lang, count(*) filter (where p and t) as tp, count(*) filter (where p and not t) as fp, count(*) filter (where t and not p) as fn, round(coalesce(count(*) filter (where p and t)::double / nullif(count(*) filter (where p), 0), 1.0), 6) as precision,
+round(coalesce(count(*) filter (where p and t)::double / nullif(count(*) filter (where t), 0), 1.0), 6) as recall from b group by rollup (lang)""")
+def gold_metrics(m: Market) -> DataFrame:
+    d = m.table("documents").select("doc_id", "lang", "n_chars").join(m.table("labels"), "doc_id")
+    kind = lambda c: F.when(c, "good").otherwise("bad").alias("slug")
+    return evaluate.precision_recall(d.select("doc_id", kind(F.col("n_chars") >= 600), "lang"), d.select("doc_id", kind(F.col("quality") == 1), "lang"), ["doc_id", "slug"], "lang")
+
+
+# Text ------------------------------------------------------------------------------------------------------------------
+
+
+def _texts(m: Market) -> DataFrame:
+    """Documents as posting texts: each has requirements, pay and an arrangement, varying with its number."""
+    i = F.col("doc_id")
+    n = (i % 12 + 1).cast("string")
+    pay = F.when(i % 4 == 0, F.concat(F.lit("Pay: $"), (i % 80 + 70).cast("string"), F.lit(",000 - $"), (i % 80 + 110).cast("string"), F.lit(",000 per year."))).when(i % 4 == 1, F.concat(F.lit("Rate: up to $"), (i % 90 + 15).cast("string"), F.lit(" per hour.")))
+    how = F.when(i % 5 == 0, "A hybrid role.").when(i % 5 == 1, "This is fully remote.").when(i % 5 == 2, "Work on-site.").when(i % 5 == 3, "A 6-month contract.")
+    body = F.concat_ws("\n", "text", F.lit("Requirements:"), F.concat(n, F.lit("+ years of experience with Go, Python and small ring tools")), F.lit("Nice to have"), F.lit("blue bolt"), pay, how)
+    return m.table("documents").select("doc_id", "source", body.alias("text"))
+
+
+_TEXTS = r"""texts as (select doc_id, source, concat_ws(chr(10), text, 'Requirements:', (doc_id % 12 + 1) || '+ years of experience with Go, Python and small ring tools', 'Nice to have', 'blue bolt',
+ case doc_id % 4 when 0 then 'Pay: $' || (doc_id % 80 + 70) || ',000 - $' || (doc_id % 80 + 110) || ',000 per year.' when 1 then 'Rate: up to $' || (doc_id % 90 + 15) || ' per hour.' end,
+ case doc_id % 5 when 0 then 'A hybrid role.' when 1 then 'This is fully remote.' when 2 then 'Work on-site.' when 3 then 'A 6-month contract.' end) as text from documents)"""
+
+
+@query(f"with {_TEXTS}" + r""", y as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '(?i)(?:at least\s+|minimum(?: of)?\s+)?(\d{1,2})\s*\+?\s*(?:[-–]\s*(\d{1,2})\s*)?years?(?:''|s)?\s+(?:of\s+)?(?:[\w/-]+\s+){0,3}?experience', 1), lambda x: x::int), lambda n: n > 0 and n <= 20)[1] as years, text from texts)
+select doc_id, years, case when years < 2 then 'entry' when years < 5 then 'mid' when years < 8 then 'senior' when years >= 8 then 'staff_plus' end as level,
+case when regexp_matches(text, '(?i)\bhybrid\b') then 'hybrid' when regexp_matches(text, '(?i)fully remote|remote[- ]first|100% remote|work from anywhere|remote position|remote role|remote \(?(?:us|united states)\)?') then 'remote' when regexp_matches(text, '(?i)on[- ]?site|in[- ]office|in the office') then 'onsite' end as arrangement from y""")
+def posting_facts(m: Market) -> DataFrame:
+    y = T.years(F.col("text"))
+    return _texts(m).select("doc_id", y.alias("years"), T.level_of_years(y).alias("level"), T.arrangement(F.col("text"), F.lit(False)).alias("arrangement"))
+
+
+@query()
+def posting_salaries(m: Market) -> DataFrame:
+    return _texts(m).select("doc_id", T.salary(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def posting_employment(m: Market) -> DataFrame:
+    declared = T.declared_employment(F.when(F.col("doc_id") % 10 == 0, "Part-Time"))
+    return _texts(m).select("doc_id", T.employment_type(F.lit("Engineer"), F.col("text"), declared).alias("employment_type"))
+
+
+@query()
+def posting_sections(m: Market) -> DataFrame:
+    return text_ops.sections(_texts(m))
+
+
+@query()
+def page_texts(m: Market) -> DataFrame:
+    t = T.html_to_text(F.col("html"))
+    return m.table("pages").select("page_id", t.alias("text"), urls.canonical(F.col("url")).alias("url_key"))
+
+
+def _aliases(m: Market) -> DataFrame:
+    known = m.technologies.select(F.col("name").alias("alias"), "slug", F.lit(False).alias("case_sensitive"), F.lit(False).alias("require_context"))
+    return known.union(m.spark.createDataFrame([("Go", "go", True, True), ("Python", "python", False, False), ("c", "c", True, True)], known.schema))
+
+
+@query()
+def technology_mentions(m: Market) -> DataFrame:
+    docs = _texts(m)
+    hits = mentions.find(docs, _aliases(m))
+    return mentions.with_levels(mentions.score(hits), hits, text_ops.sections(docs))
+
+
+def _titles(m: Market) -> DataFrame:
+    level = F.element_at(F.array(*[F.lit(x) for x in ("Senior ", "Jr. ", "Staff ", "", "L5 ", "Lead ")]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    family = F.element_at(F.array(*[F.lit(x) for x in ("Backend Engineer", "Software Engineer, Infrastructure", "Data Engineer II (Remote)", "Frontend Developer - Growth", "Engineer of Backends", "Window Cleaner")]), (F.col("o_custkey") % 6 + 1).cast("int"))
+    return m.table("orders").select(F.col("o_orderkey").alias("job_id"), F.concat(level, family).alias("title"), F.when(F.col("o_orderstatus") == "F", "expired").otherwise("active").alias("status"))
+
+
+def _title_aliases(m: Market) -> DataFrame:
+    rows = [("backend engineer", "backend-engineer"), ("software engineer", "software-engineer"), ("infrastructure engineer", "infrastructure-engineer"), ("data engineer", "data-engineer"), ("frontend developer", "frontend-engineer"), ("backend engineers", "backend-engineer")]
+    return m.spark.createDataFrame(rows, "alias string, slug string")
+
+
+@query()
+def canonical_titles(m: Market) -> DataFrame:
+    titles, aliases = _titles(m), _title_aliases(m)
+    exact = titles_ops.canonical(titles, aliases)
+    near = titles_ops.fuzzy(exact.where("slug is null"), aliases).withColumnRenamed("slug", "near")
+    return exact.join(near, "title", "left").select("title", F.coalesce("slug", "near").alias("slug"), "level", "normalized")
+
+
+@query()
+def extraction_health(m: Market) -> DataFrame:
+    titles = _titles(m)
+    return titles_ops.health(titles.join(titles_ops.canonical(titles, _title_aliases(m)).select("title", "slug"), "title"))
+
+
+def _place_tables(m: Market) -> tuple[DataFrame, DataFrame]:
+    cities = m.table("nation").select(F.concat(F.lit("Town "), "n_nationkey").alias("city"), F.element_at(F.array(*[F.lit(x) for x in ("CA", "NY", "TX")]), F.col("n_nationkey") % 3 + 1).alias("state"), (F.lit(25.0) + F.col("n_nationkey")).alias("lat"), (F.lit(-120.0) + F.col("n_nationkey")).alias("lon"), (F.col("n_nationkey") * 20_000).cast("long").alias("population"))
+    return cities, cities.where(F.col("population") % 60_000 == 0).select(F.lower("city").alias("name"))
+
+
+def _raw_places(m: Market) -> DataFrame:
+    k = F.col("c_nationkey")
+    text = F.element_at(F.array(F.concat(F.lit("Greater Town "), k, F.lit(" Area, "), F.element_at(F.array(*[F.lit(x) for x in ("California", "NY", "TX")]), k % 3 + 1)), F.concat(F.lit("Town "), k), F.concat(F.lit("Remote - Town "), k, F.lit(", US")), F.concat(F.lit("Town "), k, F.lit(", Canada")), F.lit("Atlantis / Hybrid")), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return m.table("customer").select(F.col("c_custkey").alias("id"), text.alias("raw_text"))
+
+
+@query()
+def resolved_places(m: Market) -> DataFrame:
+    cities, world = _place_tables(m)
+    raw = _raw_places(m)
+    return raw.join(places.resolve(raw, cities, world), "raw_text")
+
+
+@query()
+def unresolved_places(m: Market) -> DataFrame:
+    cities, world = _place_tables(m)
+    raw = _raw_places(m)
+    return places.report(raw, places.resolve(raw, cities, world))
+
+
+@query()
+def text_search(m: Market) -> DataFrame:
+    return fulltext.search(fulltext.token_table(_texts(m)), '"small ring" python -hybrid or "blue bolt" contract')
+
+
+# Profiles --------------------------------------------------------------------------------------------------------------
+
+
+def _resumes(m: Market) -> DataFrame:
+    """Customers as resumes."""
+    c, k = m.table("customer"), F.col("c_custkey")
+    year = (2005 + k % 10).cast("string")
+    lines_ = [
+        F.concat(F.lit("Ada Number")), F.concat(F.lit("ada."), k, F.lit("@mail.example.com | (555) 210-"), F.lpad((k % 10000).cast("string"), 4, "0")), F.lit("Summary"), F.lit("Builds things."), F.lit("Experience"),
+        F.concat(F.lit("Senior Engineer at "), "c_name"), F.concat(F.lit("Mar "), year, F.lit(" - 06/"), (2008 + k % 12).cast("string")), F.lit("• shipped red widget"),
+        F.concat(F.lit("Developer, Initech ("), (2001 + k % 5).cast("string"), F.lit(" to "), year, F.lit(")")), F.lit("EDUCATION"), F.lit("State University"), F.concat(F.lit("B.S. in Computer Science, "), (1999 + k % 4).cast("string")), F.when(k % 2 == 0, F.lit("M.S. in Physics, 2004")),
+    ]
+    return c.select(k.alias("resume_id"), T.normal_text(F.concat_ws("\n", *lines_)).alias("text"))
+
+
+@query()
+def resume_contacts(m: Market) -> DataFrame:
+    return resume.contacts(resume.laid_out(_resumes(m)))
+
+
+@query()
+def resume_experience(m: Market) -> DataFrame:
+    return resume.experiences(resume.laid_out(_resumes(m)))
+
+
+@query()
+def resume_education(m: Market) -> DataFrame:
+    return resume.educations(resume.laid_out(_resumes(m)))
+
+
+@query(f"""{SQL}, s as (select distinct o_custkey as k, year(o_orderdate) * 12 + month(o_orderdate) as a, year(o_orderdate) * 12 + month(o_orderdate) + (o_orderkey % 9) as b from orders),
+i as (select *, case when a <= max(b) over (partition by k order by a, b rows between unbounded preceding and 1 preceding) then 0 else 1 end as n from s),
+g as (select *, sum(n) over (partition by k order by a, b rows unbounded preceding) as isle from i) select k as profile_id, sum(m)::bigint as months from (select k, isle, max(b) - min(a) as m from g group by all) group by 1""")
+def tenure_islands(m: Market) -> DataFrame:
+    o = m.table("orders")
+    spans = o.select(F.col("o_custkey").alias("profile_id"), F.to_date("o_orderdate").alias("start_date"), F.add_months(F.to_date("o_orderdate"), (F.col("o_orderkey") % 9).cast("int")).alias("end_date"), F.lit(False).alias("is_current"))
+    return resume.tenure(spans, "profile_id", "2024-01-01")
+
+
+def _profiles(m: Market) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every 50th customer is a candidate: skills from expired orders, the own segment as title, years from the balance."""
+    c = m.table("customer").where(F.col("c_custkey") % 50 == 0)
+    profiles = c.select(F.col("c_custkey").alias("profile_id"), F.when(F.col("c_custkey") % 100 == 0, "senior").alias("level"), F.when(F.col("c_acctbal") > 0, F.floor(F.col("c_acctbal") / 1000).cast("double")).alias("years"))
+    own = m.jobs.where("status = 'expired'").select("job_id", F.col("company_id").alias("profile_id")).join(profiles.select("profile_id"), "profile_id", "left_semi")
+    skills_ = own.join(m.job_technologies.select("job_id", "tech_id"), "job_id").select("profile_id", "tech_id").distinct()
+    titles = own.join(m.jobs.select("job_id", "title_id"), "job_id").where(F.col("title_id").isNotNull()).select("profile_id", "title_id").distinct()
+    return profiles, skills_, titles
+
+
+_MATCH = f"""{MATCHING}, pr as (select c_custkey as profile_id, case when c_custkey % 100 = 0 then 'senior' end as level, case when c_acctbal > 0 then floor(c_acctbal / 1000)::double end as years from customer where c_custkey % 50 = 0),
+own as (select job_id, company_id as profile_id, title_id from jobs where status = 'expired' and company_id % 50 = 0), sk as (select distinct profile_id, tech_id from own join job_technologies using (job_id)), ti as (select distinct profile_id, title_id from own where title_id is not null),
+needs as (select job_id, count(*) filter (where requirement = 'required') as nr, count(*) filter (where requirement = 'preferred') as np, count(*) filter (where requirement = 'mentioned') as nm from job_technologies group by 1),
+hit as (select profile_id, job_id, count(*) filter (where requirement = 'required') as hr, count(*) filter (where requirement = 'preferred') as hp, count(*) filter (where requirement = 'mentioned') as hm from sk join job_technologies using (tech_id) group by all),
+mj as (select job_id, title_id, experience_level from matching where scope_id = 3), pool as (select profile_id, job_id from hit where job_id in (select job_id from mj) union select profile_id, job_id from ti join mj using (title_id)),
+x as (select profile_id, job_id, coalesce(nr, 0) as nr, coalesce(np, 0) as np, coalesce(nm, 0) as nm, coalesce(hr, 0) as hr, coalesce(hp, 0) as hp, coalesce(hm, 0) as hm, mj.title_id, exists (select 1 from ti where ti.profile_id = pool.profile_id) as has_t,
+  exists (select 1 from ti where ti.profile_id = pool.profile_id and ti.title_id = mj.title_id) as same_t, list_position(['entry', 'mid', 'senior', 'staff_plus'], experience_level) as want,
+  list_position(['entry', 'mid', 'senior', 'staff_plus'], coalesce(level, case when years >= 8 then 'staff_plus' when years >= 5 then 'senior' when years >= 2 then 'mid' when years is not null then 'entry' end)) as own
+  from pool join mj using (job_id) left join needs using (job_id) left join hit using (profile_id, job_id) join pr using (profile_id)),
+y as (select *, case when 2 * nr + np > 0 then (2 * hr + hp)::double / (2 * nr + np) when nm > 0 then hm::double / nm end as s, case when title_id is not null and has_t then same_t::int::double end as t, case when own >= want then 1.0::double when own < want then greatest(0.0::double, 1.0::double + 0.34::double * (own - want)) end as e from x),
+z as (select *, coalesce(s * 0.55::double, 0) + coalesce(t * 0.25::double, 0) + coalesce(e * 0.2::double, 0) as p, (case when s is not null then 0.55::double else 0 end) + (case when t is not null then 0.25::double else 0 end) + (case when e is not null then 0.2::double else 0 end) as w from y)"""
+
+
+def _scored(m: Market) -> DataFrame:
+    profiles, skills_, titles = _profiles(m)
+    jobs = matching_jobs(m, SCOPES).where("scope_id = 3").select("job_id", "title_id", "experience_level").withColumn("years_of_experience", F.lit(None).cast("double"))
+    overlap = matching.skill_overlap(skills_, m.job_technologies)
+    pairs = matching.pool(overlap.join(jobs.select("job_id"), "job_id", "left_semi"), titles, jobs)
+    return matching.score(pairs, profiles, titles, overlap, jobs, m.job_technologies)
+
+
+@query(f"{_MATCH} select profile_id, job_id, round_even(round(coalesce(p * 100 / nullif(w, 0), 0), 9), 0)::bigint as score, hr as matched_required, hr + hp + hm as matched from z qualify row_number() over (partition by profile_id order by round_even(round(coalesce(p * 100 / nullif(w, 0), 0), 9), 0) desc, hr desc, hr + hp + hm desc, job_id) <= 20")
+def profile_matches(m: Market) -> DataFrame:
+    return matching.ranked(_scored(m), 20).select("profile_id", "job_id", "score", "matched_required", "matched")
+
+
+@query()
+def match_explanations(m: Market) -> DataFrame:
+    return matching.reasons(_scored(m)).select("profile_id", "job_id", "score", "skills_points", "title_points", "experience_points", "verdict", "reasons")
+
+
+@query("""with r as (select o_custkey as user_id, o_orderkey as profile_id, case when o_orderkey % 3 <> 0 then o_orderdate end as reviewed_at from orders)
+select user_id, profile_id from r where reviewed_at is not null qualify row_number() over (partition by user_id order by reviewed_at desc, profile_id desc) = 1""")
+def current_profiles(m: Market) -> DataFrame:
+    o = m.table("orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("profile_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).alias("reviewed_at"))
+    return matching.current_profiles(o).select("user_id", "profile_id")
+
+
+@query("""with s as (select l_orderkey as profile_id, l_linenumber as line, l_returnflag as label from lineitem where l_linenumber <= 3), p as (select l_orderkey as profile_id, l_linenumber as line, case when l_partkey % 7 = 0 then 'X' else l_returnflag end as label from lineitem where l_linenumber between 2 and 4)
+select profile_id, line, coalesce(p.label, s.label) as label, case when p.label is null then 'extracted' when s.label is null or s.label <> p.label then 'manual' else 'extracted' end as origin,
+case when p.label is null then 'delete' when s.label is null then 'create' when s.label = p.label then 'keep' else 'update' end as action from s full join p using (profile_id, line)""")
+def profile_reconciliation(m: Market) -> DataFrame:
+    line = m.table("lineitem").select(F.col("l_orderkey").alias("profile_id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("label"), "l_partkey")
+    stored = line.where("line <= 3").select("profile_id", "line", "label", F.lit("extracted").alias("origin"))
+    payload = line.where("line between 2 and 4").select("profile_id", "line", F.when(F.col("l_partkey") % 7 == 0, "X").otherwise(F.col("label")).alias("label"))
+    return matching.reconcile(stored, payload, ["profile_id", "line"], ["label"])
+
+
+@query("select o_orderkey as profile_id, l_linenumber as line from orders join lineitem on l_orderkey = o_orderkey where o_custkey % 4 <> 0")
+def account_erasure(m: Market) -> DataFrame:
+    o = m.table("orders").select(F.col("o_orderkey").alias("profile_id"), F.col("o_custkey").alias("user_id"))
+    facts = m.table("lineitem").select(F.col("l_orderkey").alias("profile_id"), F.col("l_linenumber").alias("line"))
+    users = m.table("customer").where(F.col("c_custkey") % 4 == 0).select(F.col("c_custkey").alias("user_id"))
+    return matching.erase({"profiles": o, "facts": facts}, users)["facts"]
+
+
+@query("select event_type, date_trunc('day', ts)::varchar as day, count(*) as n from events group by all")
+def daily_events(m: Market) -> DataFrame:
+    """The batch form of the daily stream."""
+    day = F.date_format(F.window(F.col("ts").cast("timestamp"), "1 day").start, "yyyy-MM-dd")
+    return m.table("events").groupBy("event_type", day.alias("day")).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
