@@ -44,9 +44,9 @@ def keys_of(text: str | None) -> Iterator[tuple[int, bytes]]:
             yield i, key
 
 
-def _slice_and_bits(hashes: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The slice of a hash and its two bits there."""
-    mask = np.uint64(SLICE_BITS - 1)
+def _slice_and_bits(hashes: np.ndarray, slices: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slice of a hash and its two bits there, of ``bits`` (a power of two, at most 2 ** 22)."""
+    mask = np.uint64(bits - 1)
     return ((hashes >> np.uint64(44)) % np.uint64(slices)).astype(np.int64), (hashes & mask).astype(np.int64), (hashes >> np.uint64(22) & mask).astype(np.int64)
 
 
@@ -54,13 +54,14 @@ def twice_seen(docs: DataFrame) -> list[tuple[int, bytes]]:
     """The twice-seen filter, slice by slice."""
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     n = docs.agg(F.coalesce(F.sum(lines), F.lit(0))).first()[0]
-    slices = int(min(max(1, -(-n * FILTER_BITS // SLICE_BITS)), MAX_FILTER_BYTES * 8 // SLICE_BITS))
+    size = SLICE_BITS
+    slices = int(min(max(1, -(-n * FILTER_BITS // size)), max(1, MAX_FILTER_BYTES * 8 // size)))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.fromiter((h for t in batch.column(0).to_pylist() for h in {xxhash.xxh3_64_intdigest(k) for _, k in keys_of(t)}), np.uint64)
             once, count = np.unique(got, return_counts=True)
-            at, _, _ = _slice_and_bits(once, slices)
+            at, _, _ = _slice_and_bits(once, slices, size)
             order = np.argsort(at, kind="stable")
             once, count, cuts = once[order], count[order], np.searchsorted(at[order], np.arange(slices + 1))
             rows = [(s, once[a:b].tobytes(), once[a:b][count[a:b] > 1].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
@@ -68,21 +69,21 @@ def twice_seen(docs: DataFrame) -> list[tuple[int, bytes]]:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["slice", "once", "twice"])
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, again = np.zeros(SLICE_BITS, bool), np.zeros(SLICE_BITS, bool)
+        seen, again = np.zeros(size, bool), np.zeros(size, bool)
         for batch in batches:
             for once, twice in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist(), strict=True):
-                _, a, b = _slice_and_bits(np.frombuffer(once, np.uint64), slices)
+                _, a, b = _slice_and_bits(np.frombuffer(once, np.uint64), slices, size)
                 met = seen[a] & seen[b]
                 again[a[met]] = again[b[met]] = True
                 seen[a] = seen[b] = True
-                _, a, b = _slice_and_bits(np.frombuffer(twice, np.uint64), slices)
+                _, a, b = _slice_and_bits(np.frombuffer(twice, np.uint64), slices, size)
                 again[a] = again[b] = True
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(again).tobytes()], pa.binary())], names=["slice", "bits"])
 
     rows = docs.select("text").mapInArrow(hashes, "slice int, once binary, twice binary")
     merged = rows.groupBy("slice").applyInArrow(merge, "slice int, bits binary")
     found = {r["slice"]: bytes(r["bits"]) for r in merged.collect()}  # at most MAX_FILTER_BYTES
-    return [found.get(s, bytes(SLICE_BITS // 8)) for s in range(slices)]
+    return [found.get(s, bytes(size // 8)) for s in range(slices)]
 
 
 def repeats(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -94,6 +95,7 @@ def repeats(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices = bits.value
+        size = 8 * len(slices[0])
         joined = np.frombuffer(b"".join(slices), np.uint8)
         for batch in batches:
             docs_, digests, lines = [], [], []
@@ -101,8 +103,8 @@ def repeats(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
                 own = list(keys_of(text))
                 if not own:
                     continue
-                s, a, b = _slice_and_bits(np.fromiter((xxhash.xxh3_64_intdigest(k) for _, k in own), np.uint64, len(own)), len(slices))
-                a, b = a + s * SLICE_BITS, b + s * SLICE_BITS
+                s, a, b = _slice_and_bits(np.fromiter((xxhash.xxh3_64_intdigest(k) for _, k in own), np.uint64, len(own)), len(slices), size)
+                a, b = a + s * size, b + s * size
                 maybe = (joined[a >> 3] >> (7 - (a & 7)) & joined[b >> 3] >> (7 - (b & 7)) & 1).astype(bool)
                 found: dict[bytes, list[int]] = {}
                 for (i, key), m in zip(own, maybe.tolist(), strict=True):

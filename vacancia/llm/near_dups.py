@@ -11,9 +11,9 @@ A list may hold a large group, so pairs within it aren't written out. Each list
 so the middle of its group), and only (leader, member) pairs are counted, merged over all lists and confirmed exactly.
 What this can miss is found exactly as well. A group of at most SMALL members, some not linked with the leader, is settled
 by comparing sets in one task. In a larger one, let x and y be linked members of the group of leader L. If they share no
-shingle outside L, then both are linked with L, or both have at least 85 % of their shingles in L. So the shingles outside L
-are posted again (by prefix: as many as a link needs at least one of), together with one token for members lying mostly
-inside L. Lists without members that L isn't linked with, and lists with one member, are dropped; the others get leaders, and so
+shingle outside L, then both are linked with L, or both have at least 85 % of their shingles in L and one is smaller than L
+by a known measure. So the shingles outside L are posted again (by prefix: as many as a link needs at least one of), and
+members lying mostly inside L are posted by size where their sizes allow such a link. Lists without members that L isn't linked with, and lists with one member, are dropped; the others get leaders, and so
 on until no list is left. Every round settles a leader for good, and lists shrink to those that share one more shingle.
 
 Components of the links come from alternating large-star and small-star steps, written to the shared folder each round.
@@ -100,24 +100,36 @@ def linked(a: int, b: int, both: int) -> bool:
     return 100 * both >= NEED * (a + b - both)
 
 
-def compare(member: np.ndarray, leader: np.ndarray) -> tuple[bool, np.ndarray]:
-    """Whether they are linked, and what to post of the member: hashes outside the leader, 0 for lying mostly inside it."""
+def compare(member: np.ndarray, leader: np.ndarray) -> tuple[bool, np.ndarray, int, int | None]:
+    """Whether they are linked; what to post of the member: hashes outside the leader; its size; and, if it lies mostly inside
+    the leader, the largest size of a partner that it can be linked with without sharing anything outside."""
     at = np.minimum(np.searchsorted(leader, member), len(leader) - 1)
     inside = leader[at] == member
-    both, outside = int(inside.sum()), member[~inside]
-    needed = -(-NEED * len(member) // 100) - both  # of the shingles outside, by any link that needs some of them
+    n, both, outside = len(member), int(inside.sum()), member[~inside]
+    needed = -(-NEED * n // 100) - both  # of the shingles outside, by any link that needs some of them
     post = outside[: len(outside) - max(1, needed) + 1]
-    if needed <= 0:
-        post = np.append(post, np.uint64(0))
-    return linked(len(member), len(leader), both), post.view(np.int64)
+    return linked(n, len(leader), both), post.view(np.int64), n, None if needed > 0 else (100 + NEED) * both // NEED - n
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [compare(np.frombuffer(m, np.uint64), np.frombuffer(le, np.uint64)) for m, le in zip(batch.column("m_hashes").to_pylist(), batch.column("l_hashes").to_pylist(), strict=True)]
-        yes, post = zip(*rows, strict=True) if rows else ((), ())
-        columns = [batch.column("leader"), batch.column("node"), pa.array(yes, pa.bool_()), pa.array([p.tolist() for p in post], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["leader", "node", "linked", "post"])
+        yes, post, n, cap = zip(*rows, strict=True) if rows else ((), (), (), ())
+        columns = [batch.column("leader"), batch.column("node"), pa.array(yes, pa.bool_()), pa.array([p.tolist() for p in post], pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(cap, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["leader", "node", "linked", "post", "n", "cap"])
+
+
+def _inside_lists(large: DataFrame) -> DataFrame:
+    """before, hash, node, linked: members that lie mostly inside their leader, by size, where sizes allow a link past the leader.
+
+    A member that isn't linked with the leader can then only be linked with members of at most its cap; sizes of linked sets
+    differ by less than one step of the buckets, so each member goes to its own and to the next.
+    """
+    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / NEED)))
+    rows = large.where(F.col("cap").isNotNull()).select(F.col("leader").alias("before"), "node", "linked", "n", "cap", F.explode(F.array(bucket, bucket + 1)).alias("hash"))
+    sizes = rows.groupBy("before", "hash").agg(F.min("n").alias("_least"), F.max(F.when(~F.col("linked"), F.col("cap"))).alias("_cap"))
+    near = rows.join(sizes, ["before", "hash"]).where((F.col("n") <= F.col("_cap")) | (~F.col("linked") & (F.col("cap") >= F.col("_least"))))
+    return near.select("before", "node", "linked", "hash")
 
 
 def _settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,14 +167,15 @@ def links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = None
     while not pairs.isEmpty():
         both = pairs.join(sets.withColumnRenamed("hashes", "m_hashes"), "node").join(sets.select(F.col("node").alias("leader"), F.col("hashes").alias("l_hashes")), "leader")
-        checked = storage.written(both.mapInArrow(_compare, "leader binary, node binary, linked boolean, post array<bigint>"), "checked")
+        checked = storage.written(both.mapInArrow(_compare, "leader binary, node binary, linked boolean, post array<bigint>, n bigint, cap bigint"), "checked")
         new = checked.where("linked").select("node", "leader")
         found = new if found is None else found.union(new)
         open_ = checked.groupBy("leader").agg(F.count("*").alias("size"), F.bool_and("linked").alias("settled")).where("not settled")
         few = checked.join(open_.where(F.col("size") <= SMALL).select("leader"), "leader", "left_semi").select("leader", "node", "linked")
         settled = few.join(sets, "node").groupBy("leader").applyInArrow(_settle, "node binary, leader binary")
         found = found.union(storage.written(settled, "links"))
-        posts = checked.join(open_.where(F.col("size") > SMALL).select("leader"), "leader", "left_semi").select(F.col("leader").alias("before"), "node", "linked", F.explode("post").alias("hash"))
+        large = checked.join(open_.where(F.col("size") > SMALL).select("leader"), "leader", "left_semi")
+        posts = large.select(F.col("leader").alias("before"), "node", "linked", F.explode("post").alias("hash")).unionByName(_inside_lists(large))
         lists = posts.groupBy("before", "hash").agg(F.count("*").alias("members"), F.bool_and("linked").alias("settled")).where("members > 1 and not settled")
         shared = storage.written(posts.select("before", "hash", "node").join(lists.select("before", "hash", "members"), ["before", "hash"]), "postings")
         pairs = storage.written(_with_leaders(shared, ["before", "hash"]), "pairs")
