@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from vacancia.operators import market as dashboard
 from vacancia.functions import text as T
 from vacancia.functions import urls
-from vacancia.operators import dedupe, evaluate, fulltext, ingest, matching, mentions, places, resume, review, search, skills, snapshots
+from vacancia.operators import dedupe, detail, evaluate, fulltext, ingest, matching, mentions, places, resume, review, search, skills, snapshots
 from vacancia.operators import text as text_ops
 from vacancia.operators import titles as titles_ops
 from vacancia.plans.predicate import Scope, matching_jobs, matching_sql
-from vacancia.sources.bindings import SOURCES, SQL, Market
+from vacancia.sources.bindings import SOURCES, SQL, TITLES, Market
 
 #: The dashboards that the queries answer, all in one pass.
 SCOPES = [
@@ -548,13 +548,82 @@ def account_erasure(m: Market) -> DataFrame:
     return matching.erase({"profiles": o, "facts": facts}, users)["facts"]
 
 
-@query("select event_type, date_trunc('day', ts)::varchar as day, count(*) as n from events group by all")
+@query("select event_type, strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by all")
 def daily_events(m: Market) -> DataFrame:
     """The batch form of the daily stream."""
     day = F.date_format(F.window(F.col("ts").cast("timestamp"), "1 day").start, "yyyy-MM-dd")
     return m.table("events").groupBy("event_type", day.alias("day")).agg(F.count("*").alias("n"))
 
 
+# Details ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""{SQL} select job_id, string_agg(name || ':' || requirement, ',' order by case requirement when 'required' then 1 when 'preferred' then 2 else 3 end, lower(name)) as technologies from job_technologies join technologies using (tech_id) group by 1""")
+def job_technology_lists(m: Market) -> DataFrame:
+    return detail.job_lists(m.job_technologies, m.technologies)
+
+
+@query(f"{SQL} select job_id, case when source_id < 2 then 'job ' || job_id end as description from jobs")
+def display_masks(m: Market) -> DataFrame:
+    jobs = m.jobs.select("job_id", "source_id", F.concat(F.lit("job "), F.col("job_id").cast("string")).alias("description"))
+    return detail.masked(jobs, _sources(m), ["description"]).select("job_id", "description")
+
+
+@query(f"{SQL}, {_METROS.format(n=40)} select 'technology' as kind, slug, name as label from technologies union all select 'title', t, t from (values ('backend-engineer'), ('frontend-engineer'), ('data-engineer'), ('ml-engineer')) v(t) union all select 'location', city_slug, city || ', ' || region from metros")
+def vocabulary(m: Market) -> DataFrame:
+    titles = m.spark.createDataFrame([(v[1],) for v in TITLES.values()], "slug string")
+    return detail.vocabulary(m.technologies, titles, snapshots.busiest_metros(m.jobs, m.job_locations, m.cities, top=40))
+
+
+@query("""with p as (select c_custkey as profile_id from customer), s as (select o_custkey as profile_id, count(*) as n from orders group by 1), e as (select o_custkey as profile_id, count(*) as n from orders where o_orderstatus = 'F' group by 1)
+select profile_id, coalesce(s.n, 0) as skills, coalesce(e.n, 0) as experiences from p left join s using (profile_id) left join e using (profile_id)""")
+def profile_counts(m: Market) -> DataFrame:
+    o = m.table("orders").select(F.col("o_custkey").alias("profile_id"), "o_orderstatus")
+    return detail.profile_counts(m.table("customer").select(F.col("c_custkey").alias("profile_id")), o, o.where("o_orderstatus = 'F'"))
+
+
+@query(f"""{SQL}, c as (select c_custkey as profile_id, case when c_custkey % 3 = 0 then 'mid' end as level, case when c_acctbal > 0 then floor(c_acctbal / 1000)::double end as years from customer),
+s as (select company_id as profile_id, count(title_id) as mapped, count(*) - count(title_id) as unmapped, string_agg(distinct title_id::varchar, ',') as families, max(list_position(['associate', 'bachelor', 'master', 'doctorate'], case job_id % 4 when 0 then 'associate' when 1 then 'bachelor' when 2 then 'master' else 'doctorate' end)) as d from jobs group by 1)
+select profile_id, coalesce(mapped, 0) as mapped, coalesce(unmapped, 0) as unmapped, coalesce(families, '') as families, coalesce(level, case when years >= 8 then 'staff_plus' when years >= 5 then 'senior' when years >= 2 then 'mid' when years is not null then 'entry' end) as level,
+['associate', 'bachelor', 'master', 'doctorate'][d] as degree from c left join s using (profile_id)""")
+def profile_summaries(m: Market) -> DataFrame:
+    c = m.table("customer")
+    profiles = c.select(F.col("c_custkey").alias("profile_id"), F.when(F.col("c_custkey") % 3 == 0, "mid").alias("level"), F.when(F.col("c_acctbal") > 0, F.floor(F.col("c_acctbal") / 1000).cast("double")).alias("years"))
+    j = m.jobs.select(F.col("company_id").alias("profile_id"), F.col("title_id").alias("tech_id"), "title_id", F.element_at(F.array(*[F.lit(d) for d in detail.DEGREES]), (F.col("job_id") % 4 + 1).cast("int")).alias("degree"))
+    return detail.profile_summary(profiles, j, j, j)
+
+
+@query(f"""{SQL}, o as (select job_id, arrangement as a, experience_level as l, employment_type as e, salary_annual_min::double as s from jobs)
+select job_id, case when job_id % 2 = 0 then 'remote' else a end as arrangement, l as level, coalesce(case when job_id % 5 = 0 then 'contract' end, e) as employment_type, coalesce(s, job_id::double) as salary, job_id % 9 as years from o""")
+def kept_facts(m: Market) -> DataFrame:
+    old = m.jobs.select("job_id", "arrangement", F.col("experience_level").alias("level"), "employment_type", F.col("salary_annual_min").cast("double").alias("salary"), F.lit(0).cast("long").alias("years"))
+    j = F.col("job_id")
+    new = m.jobs.select("job_id", F.when(j % 2 == 0, "remote").alias("arrangement"), F.lit(None).cast("string").alias("level"), F.when(j % 5 == 0, "contract").alias("employment_type"), j.cast("double").alias("salary"), (j % 9).alias("years"))
+    return detail.kept_facts(old, new)
+
+
+@query(f"{SQL} select job_id, case when status = 'active' and title_id is null and job_id % 2 = 0 then null when job_id % 2 = 0 then 3 end as extractor_version, status = 'active' and title_id is null and job_id % 2 = 0 as requeued from jobs")
+def requeued_jobs(m: Market) -> DataFrame:
+    jobs = m.jobs.withColumn("extractor_version", F.when(F.col("job_id") % 2 == 0, 3))
+    return detail.requeued(jobs).select("job_id", "extractor_version", "requeued")
+
+
+@query("""with s as (select distinct o_custkey as user_id, o_orderkey // 2 as job_id from orders where o_orderstatus = 'F'), n as (select distinct o_custkey as user_id, o_orderkey // 2 as job_id from orders where o_orderstatus = 'O'),
+u as (select * from s union select * from n) select user_id, job_id from u where not exists (select 1 from orders where o_orderstatus = 'P' and o_custkey = user_id and o_orderkey // 2 = job_id)""")
+def saved_jobs(m: Market) -> DataFrame:
+    o = m.table("orders").select(F.col("o_custkey").alias("user_id"), F.floor(F.col("o_orderkey") / 2).alias("job_id"), F.col("o_orderdate").alias("created_at"), "o_orderstatus")
+    part = lambda c: o.where(F.col("o_orderstatus") == c).drop("o_orderstatus").dropDuplicates(["user_id", "job_id"])
+    return detail.unsave(detail.save(part("F"), part("O")), part("P")).select("user_id", "job_id")
+
+
+@query("""with u as (select conv_id % 50 as user_id, text, sha256(text) as content_hash, turn from conversations where length(regexp_replace(text, '\\s', '', 'g')) >= 40)
+select distinct user_id, content_hash from u where (user_id, content_hash) not in (select user_id, content_hash from u where turn = 0)""")
+def uploaded_texts(m: Market) -> DataFrame:
+    c = m.table("conversations").select((F.col("conv_id") % 50).alias("user_id"), "text", "turn")
+    stored = detail.new_texts(m.spark.createDataFrame([], "user_id long, content_hash string"), c.where("turn = 0"))
+    return detail.new_texts(stored, c).select("user_id", "content_hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
