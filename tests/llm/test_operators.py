@@ -218,7 +218,7 @@ def test_near_duplicates_equal_brute_force(spark, docs, nothing):
     assert near_dups.groups(nothing).count() == 0
 
 
-@pytest.mark.parametrize("small", [near_dups.SMALL, 9])
+@pytest.mark.parametrize("small", [near_dups.SMALL, 12 * 12 * 150])
 def test_near_duplicates_in_a_large_group_of_edited_copies(spark, monkeypatch, small):
     """Copies with 0 to 6 edits of one text: most pairs are near misses, and the group is over the size settled in one task."""
     monkeypatch.setattr(near_dups, "SMALL", small)

@@ -9,8 +9,8 @@ skipped.
 
 A list may hold a large group, so pairs within it aren't written out. Each list has a leader (the class that collides most,
 so the middle of its group), and only (leader, member) pairs are counted, merged over all lists and confirmed exactly.
-What this can miss is found exactly as well. A group of at most SMALL members, some not linked with the leader, is settled
-by comparing sets in one task. In a larger one, let x and y be linked members of the group of leader L. If they share no
+What this can miss is found exactly as well. A group with members that aren't linked with the leader is
+settled by comparing sets in one task if that is at most SMALL steps, a bound that doesn't grow with the corpus. In a larger one, let x and y be linked members of the group of leader L. If they share no
 shingle outside L, then both are linked with L, or both have at least 85 % of their shingles in L and one is smaller than L
 by a known measure. So the shingles outside L are posted again (by prefix: as many as a link needs at least one of), and
 members lying mostly inside L are posted by size where their sizes allow such a link. Lists without members that L isn't linked with, and lists with one member, are dropped; the others get leaders, and so
@@ -39,8 +39,8 @@ SHINGLE = 5
 #: Links need NEED / 100 of the union in common.
 NEED = 85
 COORDINATES, ROWS, MATCHES = 24, 3, 3
-#: Members of a group that are compared in one task.
-SMALL = 128
+#: A group is compared in one task if its members times their shingles are at most this: some seconds, tens of megabytes.
+SMALL = 1 << 30
 _SIGNED = "doc_id bigint, n_shingles bigint, node binary, coordinates array<bigint>"
 
 
@@ -133,19 +133,28 @@ def _inside_lists(large: DataFrame) -> DataFrame:
 
 
 def _settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that connect the members (SMALL at most) of one group as far as their sets do; those linked with the leader are one part already."""
+    """Links that connect the members of one group as far as their sets do. Those linked with the leader are one part already.
+
+    Each member outside that part counts what it shares with all others through lists of the members that hold a shingle.
+    """
     rows = [r for b in batches for r in zip(b.column("node").to_pylist(), b.column("linked").to_pylist(), b.column("hashes").to_pylist(), strict=True)]
+    nodes, yes = [r[0] for r in rows], [r[1] for r in rows]
     sets = [np.frombuffer(h, np.uint64) for _, _, h in rows]
-    part = [-1 if yes else i for i, (_, yes, _) in enumerate(rows)]
-    out = []
-    for i in range(len(rows)):
-        for j in range(i):
-            a, b = sets[i], sets[j]
-            if part[i] != part[j] and 100 * min(len(a), len(b)) >= NEED * max(len(a), len(b)):
-                if linked(len(a), len(b), int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())):
-                    out.append((rows[i][0], rows[j][0]))
-                    old = part[j]
-                    part = [part[i] if p == old else p for p in part]
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(element, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(element))])
+    own = np.split(element, np.cumsum(sizes)[:-1])
+    part, out = [-1 if y else i for i, y in enumerate(yes)], []
+    for i in (i for i, y in enumerate(yes) if not y):
+        first, n = begin[own[i]], begin[own[i] + 1] - begin[own[i]]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(holders[at], minlength=len(sets))
+        for j in np.flatnonzero(100 * both >= NEED * (sizes[i] + sizes - both)).tolist():
+            if part[i] != part[j]:
+                out.append((nodes[i], nodes[j]))
+                old = part[j]
+                part = [part[i] if p == old else p for p in part]
     columns = list(zip(*out, strict=True)) or [(), ()]
     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary())], names=["node", "leader"])
 
@@ -170,11 +179,11 @@ def links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         checked = storage.written(both.mapInArrow(_compare, "leader binary, node binary, linked boolean, post array<bigint>, n bigint, cap bigint"), "checked")
         new = checked.where("linked").select("node", "leader")
         found = new if found is None else found.union(new)
-        open_ = checked.groupBy("leader").agg(F.count("*").alias("size"), F.bool_and("linked").alias("settled")).where("not settled")
-        few = checked.join(open_.where(F.col("size") <= SMALL).select("leader"), "leader", "left_semi").select("leader", "node", "linked")
+        open_ = checked.groupBy("leader").agg((F.count("*") * F.sum("n")).alias("work"), F.bool_and("linked").alias("settled")).where("not settled")
+        few = checked.join(open_.where(F.col("work") <= SMALL).select("leader"), "leader", "left_semi").select("leader", "node", "linked")
         settled = few.join(sets, "node").groupBy("leader").applyInArrow(_settle, "node binary, leader binary")
         found = found.union(storage.written(settled, "links"))
-        large = checked.join(open_.where(F.col("size") > SMALL).select("leader"), "leader", "left_semi")
+        large = checked.join(open_.where(F.col("work") > SMALL).select("leader"), "leader", "left_semi")
         posts = large.select(F.col("leader").alias("before"), "node", "linked", F.explode("post").alias("hash")).unionByName(_inside_lists(large))
         lists = posts.groupBy("before", "hash").agg(F.count("*").alias("members"), F.bool_and("linked").alias("settled")).where("members > 1 and not settled")
         shared = storage.written(posts.select("before", "hash", "node").join(lists.select("before", "hash", "members"), ["before", "hash"]), "postings")
