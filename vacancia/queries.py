@@ -359,13 +359,25 @@ def posting_salaries(m: Market) -> DataFrame:
     return _texts(m).select("doc_id", T.salary(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
-@query()
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_EMPLOYMENT = " ".join(f"when regexp_matches(substring(text, 1, 4000), {_quoted(body)}) then '{kind}'" for kind, _, body in T.EMPLOYMENT)
+_HEADERS = " ".join(f"when regexp_matches(bare, {_quoted(p)}) then '{kind}'" for kind, p in T.HEADERS)
+
+
+@query(f"with {_TEXTS} select doc_id, case when doc_id % 10 = 0 then 'part_time' {_EMPLOYMENT} else 'full_time' end as employment_type from texts")
 def posting_employment(m: Market) -> DataFrame:
     declared = T.declared_employment(F.when(F.col("doc_id") % 10 == 0, "Part-Time"))
     return _texts(m).select("doc_id", T.employment_type(F.lit("Engineer"), F.col("text"), declared).alias("employment_type"))
 
 
-@query()
+@query(f"with {_TEXTS}" + r""", l as (select doc_id, len, unnest(ls) as line, generate_subscripts(ls, 1) as i from (select doc_id, length(text) as len, string_split(text, chr(10)) as ls from texts)),
+o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as beg, regexp_replace(line, '^[\s:•\-–]+|[\s:•\-–]+$', '', 'g') as bare from l),
+""" + f"k as (select *, case when length(bare) between 1 and 90 then case {_HEADERS} end end as kind from o), "
+r"""h as (select doc_id, kind, beg + length(line) + 1 as start, coalesce(lead(beg) over (partition by doc_id order by i), len) as fin from k where kind is not null)
+select doc_id, kind, start::int as start, fin::int as "end" from h where start < fin""")
 def posting_sections(m: Market) -> DataFrame:
     return text_ops.sections(_texts(m))
 
@@ -518,7 +530,11 @@ def profile_matches(m: Market) -> DataFrame:
     return matching.ranked(_scored(m), 20).select("profile_id", "job_id", "score", "matched_required", "matched")
 
 
-@query()
+@query(f"""{_MATCH}, f as (select *, coalesce(round(coalesce(s * 0.55::double, 0) * 100 / nullif(w, 0), 1), 0) as sp, coalesce(round(coalesce(t * 0.25::double, 0) * 100 / nullif(w, 0), 1), 0) as tp, coalesce(round(coalesce(e * 0.2::double, 0) * 100 / nullif(w, 0), 1), 0) as ep,
+  case when own is null then 'unknown' when own > want then 'exceeds' when own = want then 'meets' else 'below' end as verdict, nr + np - hr - hp as missing from z)
+select profile_id, job_id, round_even(round(coalesce(p * 100 / nullif(w, 0), 0), 9), 0)::bigint as score, sp as skills_points, tp as title_points, ep as experience_points, verdict,
+concat_ws('; ', case when hr + hp + hm > 0 then (hr + hp + hm) || ' skills matched, ' || hr || ' required' end, case when missing > 0 then missing || ' skills missing' end, case when tp > 0 then 'same title family' end,
+case when verdict in ('meets', 'exceeds') then verdict || ' the level' when verdict = 'below' then 'below the level' end) as reasons from f""")
 def match_explanations(m: Market) -> DataFrame:
     return matching.reasons(_scored(m)).select("profile_id", "job_id", "score", "skills_points", "title_points", "experience_points", "verdict", "reasons")
 
