@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -33,6 +34,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def hashed_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """At most ``size`` rows: those with the smallest hashes of ``key``, whatever the partitioning.
+
+    A threshold from the number of rows first leaves about twice as many, so what is sorted doesn't grow with the corpus.
+    """
+    n, steps = rows.count(), 1 << 30
+    if n > 2 * size:
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(steps)) < F.lit(int(steps * 2 * size / n)))
+    return rows.orderBy(F.xxhash64(key), key).limit(size)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application."""
     import os

@@ -60,7 +60,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """Trained from id arrays of a bounded sample; empty if the corpus is too small for one."""
-    sample = docs.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    sample = storage.hashed_sample(docs, "doc_id", SAMPLE_DOCS).where(F.length("text").between(1, SAMPLE_CHARS))
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
