@@ -135,7 +135,7 @@ def arrays(data: list[tuple[str, list[tuple[str, int, int]]]], width: int = EXAM
 
 def train(docs: DataFrame) -> bytes:
     """The model, from a bounded sample of documents, fitted in one task."""
-    sample = docs.where(F.length("text") > 40).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.substring("text", 1, 2000).alias("text"))
+    sample = storage.hashed_sample(docs, "doc_id", SAMPLE_DOCS).where(F.length("text") > 40).select(F.substring("text", 1, 2000).alias("text"))
     texts = sorted(r["text"] for r in sample.collect())  # bounded: only carriers for generated values
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
