@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacancia.llm import storage
+
 #: Labelled documents that train the rules.
 MAX_LABELLED = 3000
 #: Thresholds tried for each feature, conditions in a rule, rules; least precision on the pruning part.
@@ -93,7 +95,7 @@ Rule = tuple[Condition, ...]
 def learn(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """Rules from the statistics of at most MAX_LABELLED labelled documents that pass the base limits."""
     clean = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("quality"))
-    sample = clean.where("low = quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).select("doc_id", "quality")
+    sample = storage.hashed_sample(clean.where("low = quality").select("doc_id", "quality"), "doc_id", MAX_LABELLED)
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).where(~F.col("base_failed"))
     rows = rows.select("doc_id", "quality", *FEATURES).limit(2 * MAX_LABELLED).collect()  # bounded by the sample
     return cover([([r[f] for f in FEATURES], r["quality"] == 0) for r in sorted(rows, key=lambda r: (r["doc_id"], [r[f] for f in FEATURES]))])
