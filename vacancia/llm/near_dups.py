@@ -8,7 +8,7 @@ that threshold it is enough to post the first COORDINATES - MATCHES + 1 coordina
 skipped.
 
 A list may hold a large group, so pairs within it aren't written out. Each list has a leader (the class that collides most,
-so the middle of its group), and only (leader, member) pairs are counted, merged over all lists and confirmed exactly.
+so the middle of its group), and (leader, member) pairs, merged over all lists, are confirmed exactly.
 What this can miss is found exactly as well. A group with members that aren't linked with the leader is
 settled by comparing sets in one task if that is at most SMALL steps, a bound that doesn't grow with the corpus. In a larger one, let x and y be linked members of the group of leader L. If they share no
 shingle outside L, then both are linked with L, or both have at least 85 % of their shingles in L and one is smaller than L
