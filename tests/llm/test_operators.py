@@ -391,6 +391,19 @@ def test_urls(spark):
     assert urls.digest(urls.judge(pages.limit(0))).count() == 0
 
 
+def test_every_variant_of_a_pattern_rule_is_a_candidate(spark):
+    variants = [
+        "http://spam-farm.net/", "http://a.SPAM-farm.net/x", "http://cheap-pills.net", "http://my-cheap-pills.net", "http://a.discount-pills.net", "http://casino.net", "http://the-casino-1.net/", "http://xxx.net", "http://a.xxx",
+        "http://a.net/?ref=clickbait", "http://a.net/?ref=click-bait", "http://a.net/?x=1&REF=ClickBait&y", "http://a.net/?a&ref=CLICK-BAIT#z",
+    ]
+    near = ["http://a.net/?ref=clickbaits", "http://a.net/ref=clickbait", "http://a.net/?ref=click", "http://pills.net", "http://a.net/casino", "http://xxxx.net", "http://bait.net/?ref=news"]
+    plain = variants + near + [f"http://a.net/{i}?ref=feed" for i in range(20)]
+    want = {u: min((r.name for r in urls.PATTERN_RULES if re.search(r.pattern, u)), default=None) for u in plain}
+    assert all(want[u] for u in variants) and not any(want[u] for u in near)
+    judged = urls.judge(spark.createDataFrame(list(enumerate(plain)), "page_id bigint, url string")).collect()
+    assert {plain[r["page_id"]]: (r["pattern_rule"], r["verdict"]) for r in judged} == {u: (name, "block" if name else "allow") for u, name in want.items()}
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,8 @@
 """URL filtering: host and path rules, and pattern rules indexed by their rarest literal token.
 
-A pattern rule is a regular expression with the literal tokens any match must hold. How often each token occurs among the
-tokens of all URLs is counted, and a rule is filed under its rarest. The tokens of each distinct URL fetch candidate rules
-from that index, and only those run their expression. The rule table is a fixed, small parameter; it is broadcast
+A pattern rule is a regular expression with the literal tokens that every match must hold as whole tokens. How often each
+token occurs among the tokens of all URLs is counted, and a rule is filed under its rarest. The tokens of each distinct URL
+fetch candidate rules from that index, and only those run their expression. The rule table is a fixed, small parameter; it is broadcast
 only up to MAX_RULES rules and joined by a shuffle beyond.
 
 Null URLs have an empty host and path and are allowed, as is a URL without "://". Repeated rows and null page_ids are
@@ -33,7 +33,7 @@ PATTERN_RULES = (
     PatternRule("pharmacy", r"(?i)://([^/?#]*[.-])?(cheap|discount)-pills\.", ("pills",)),
     PatternRule("casino", r"(?i)://[^/?#]*\bcasino\b", ("casino",)),
     PatternRule("adult", r"(?i)://[^/?#]*\bxxx\b", ("xxx",)),
-    PatternRule("click-bait", r"(?i)[?&]ref=click-?bait\b", ("ref", "bait")),
+    PatternRule("click-bait", r"(?i)[?&]ref=click-?bait\b", ("ref",)),  # "clickbait" or "click" and "bait": neither is in every match
 )
 MAX_RULES = 10_000
 TOKEN = r"[^a-z0-9]+"
