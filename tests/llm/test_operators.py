@@ -374,6 +374,59 @@ def test_licences(docs, nothing):
     assert sum(map(len, got.values())) == len(ROWS) and licenses.digest(licenses.scan(nothing)).count() == 0
 
 
+MIT = """Copyright (c) 2020 Ada Number
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR"""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD_3 = BSD_2 + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS\""""
+APACHE = """Copyright 2020 Ada Number
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software"""
+
+
+def test_licences_as_they_are_written(spark):
+    comment = lambda t, sign: "\n".join(sign + line for line in t.split("\n"))
+    flat = lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n"))
+    asf = "# Licensed to the Apache Software Foundation (ASF) under one or more\n# contributor license agreements.  The ASF licenses this file to You under the Apache License, Version 2.0\n# (the \"License\"); you may not use this file except in compliance with\n# the License.  You may obtain a copy of the License at\n#\n#    http://x"
+    cases = [
+        (MIT, "EF", ["MIT"]), (comment(MIT, " * "), "EF", ["MIT"]), (flat(MIT), "EF", ["MIT"]), (MIT.replace("\n", "\r\n"), "EF", ["MIT"]), (BSD_2, "IJ", ["BSD-2-Clause"]), (BSD_3, "IJK", ["BSD-3-Clause"]), (comment(BSD_3, "// "), "IJK", ["BSD-3-Clause"]),
+        (BSD_3.replace("the copyright holder nor", "Number Inc. nor"), "IJK", ["BSD-3-Clause"]), (APACHE, "BGH", ["Apache-2.0"]), (comment(APACHE, "# "), "BGH", ["Apache-2.0"]), (flat(APACHE), "BGH", ["Apache-2.0"]), (asf, "BGH", ["Apache-2.0"]),
+        (f"{APACHE}\n\n{MIT}", "BGHEF", ["Apache-2.0", "MIT"]), ("x\nReleased under the MIT License\ny", "A", ["MIT"]), ("Released under\nthe MIT License.", "A", ["MIT"]),
+        ("Released under the MIT License" + "\n" * 50_000 + "- \n" * 50_000 + MIT, "AEF", ["MIT"]), ("Released under\n\nthe MIT License.", "", []), ("Not released under the MIT License.", "", []), ("Released under the MIT License of old.", "", []), ("P L released under the MIT license", "", []),
+    ]
+    got = {r["doc_id"]: (r["sequence"], r["licenses"]) for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id bigint, text string")).collect()}
+    assert got == {i: (s, n) for i, (_, s, n) in enumerate(cases)}
+
+
 def test_urls(spark):
     cases = {
         "http://example.org/es/1": ("example.org/es/", "block"), "https://a.EXAMPLE.org/en/12?x": ("example.org/en/1", "block"), "http://example.org/en/2": ("org/", "allow"), "http://x.com/fr/": ("com/fr/", "allow"),

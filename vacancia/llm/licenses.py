@@ -1,9 +1,14 @@
 """Licence recognition by sentences, in DataFrame expressions only.
 
-A text is cut into sentences (at line breaks and after . ! ? ; before white space), each is normalised (lower case, other
-than letters and digits to one space), and known sentences become identifiers. Rules are ordered sequences of
-identifiers; a rule matches where its identifiers follow each other among the known sentences of the text, and what a
-rule has taken isn't matched again by a later one. Everything happens within the row: no shuffle, so no group can be hot.
+A text is normalised (lower case, other than letters and digits to one space) with marks where a sentence ends (after
+. ! ? ; before white space, and at lines without a letter or digit) and where a line does. A known sentence stands between
+two marks of either kind and may run over line ends, so a notice on a line of its own and a wrapped text with or without
+comment signs are both found. Known sentences become identifiers. Rules are ordered sequences of identifiers; a rule
+matches where its identifiers follow each other among the known sentences of the text, and what a rule has taken isn't
+matched again by a later one. Everything happens within the row: no shuffle, so no group can be hot.
+
+The SQL is narrower: it cuts at every line break and knows each sentence in the one wording of SENTENCES, so it says the
+same where a text holds only such sentences, each within a line, and misses wrapped licences.
 
 Nulls count as empty texts; repeated rows and null doc_ids are reported like others. An empty table gives no rows.
 Columns besides doc_id and text are ignored.
@@ -28,20 +33,42 @@ SENTENCES = {
     "J": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "K": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
+#: Further wordings, as the licences have them; "*" stands for the words of a name (at most NAME_WORDS).
+WORDINGS = {
+    "B": ("licensed under the apache license version 2 0 the license", "the asf licenses this file to you under the apache license version 2 0 the license"),
+    "E": (SENTENCES["E"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
+    "F": ("the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",),
+    "H": ("you may obtain a copy of the license at https? www apache org licenses license 2 0",),
+    "K": ("neither the names? of * nor the names of (?:its|their) contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+}
+NAME_WORDS = 20
 #: Identifier sequences and licences, in the order in which they are tried.
 RULES = (
     ("BGH", "Apache-2.0"), ("IJK", "BSD-3-Clause"), ("IJ", "BSD-2-Clause"), ("EF", "MIT"),
     ("A", "MIT"), ("B", "Apache-2.0"), ("C", "GPL-3.0-only"), ("D", "CC-BY-NC-4.0"),
 )
 BREAK = r"\n+|[.!?;][ \t]+"
+#: Marks in the normalised text, where letters are lower case: P where a sentence ends, L where a line does.
+ENDS = r"[.!?;]\s+|\n[^\p{L}\p{N}]*\n"
+#: Every known sentence holds one of these words.
+CUES = r"(?i)licen[sc]e|copyright|permission"
+
+
+def _pattern(wording: str) -> str:
+    name = f"(?:[a-z0-9PL]+ ){{1,{NAME_WORDS}}}?"
+    return wording.replace(" ", " (?:L )?").replace("* (?:L )?", name)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sequence (identifiers of the known sentences, in order), licenses (distinct, in the order of the rules)."""
-    known = F.create_map(*[x for k, v in SENTENCES.items() for x in (F.lit(v), F.lit(k))])
-    sentence = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    candidates = F.filter(F.split(F.coalesce("text", F.lit("")), BREAK), lambda s: s.rlike("(?i)licen[sc]e|copyright|permission"))
-    df = docs.select("doc_id", F.array_join(F.transform(candidates, lambda s: F.coalesce(known[sentence(s)], F.lit(""))), "").alias("sequence"))
+    known = {k: sorted((v, *WORDINGS.get(k, ())), key=len, reverse=True) for k, v in SENTENCES.items()}  # the longest first
+    known = {k: "|".join(map(_pattern, v)) for k, v in known.items()}
+    marked = F.regexp_replace(F.regexp_replace(F.lower("text"), ENDS, " P "), r"\n", " L ")
+    marked = F.concat(F.lit("P "), F.regexp_replace(marked, "[^a-z0-9PL]+", " "), F.lit(" P"))
+    marked = F.when(F.col("text").rlike(CUES), F.regexp_replace(marked, " +", " "))
+    hits = F.regexp_extract_all(marked, F.lit(f"(?<=[PL] )(?:{'|'.join(known.values())})(?= [PL])"), F.lit(0))
+    identifier = lambda s: F.coalesce(*[F.when(s.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in known.items()])
+    df = docs.select("doc_id", F.coalesce(F.array_join(F.transform(hits, identifier), ""), F.lit("")).alias("sequence"))
     return df.select("doc_id", "sequence", _licences(F.col("sequence")).alias("licenses"))
 
 
