@@ -1,10 +1,12 @@
 """The known-truth market of 27 postings, and scenario tests of the operators over small frames."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from vacancia import queries
 from vacancia.functions import text as T
 from vacancia.functions import urls
 from vacancia.operators import dedupe, evaluate, fulltext, ingest, market, matching, mentions, places, resume, review, search, skills, snapshots, titles
@@ -195,6 +197,27 @@ def test_titles(spark):
     assert spark.range(1).select(mentions.similarity(F.lit("backend engineer"), F.lit("backend engineers"))).first()[0] > 0.8
 
 
+def test_fuzzy_titles_equal_brute_force_over_all_aliases(spark):
+    def grams(text):
+        return {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", text.lower()) for i in range(len(w) + 1)}
+
+    known = {"backend engineer": "backend", "data engineer": "data", "frontend developer": "frontend", "machine learning engineer": "ml", "site reliability engineer": "sre"}
+    cases = {"Backends Engineers": "backend", "Senior Backends Engineers (Remote, US only)": "backend", "Dataengineer": "data", "Staff Frontends Developers [Growth Team of the Year]": "frontend", "Machine-Learnings Engineering": "ml", "Backend Engineer": "backend", "Cook": None, "(Remote)": None, "": None}
+    aliases = spark.createDataFrame(list(known.items()), "alias string, slug string")
+    got = {r["title"]: r for r in titles.resolved(spark.createDataFrame([(k,) for k in [*cases, None]], "title string"), aliases).collect()}
+    assert {t: r["slug"] for t, r in got.items()} == cases
+    for r in got.values():
+        best = max((len(grams(a) & grams(r["normalized"] or "")) / len(grams(a) | grams(r["normalized"] or "")), a) for a in known)
+        assert r["slug"] == (known[best[1]] if best[0] > titles.FUZZY else None), r
+
+
+def test_health_counts_titles_as_the_resolution_does(spark):
+    known, sf_dir = queries.queries(), "/root/testdata/sf0.001"
+    found = {r["title"]: r["slug"] for r in known["canonical_titles"](spark, sf_dir).collect()}
+    listed = {r["title"] for r in known["extraction_health"](spark, sf_dir).collect()}
+    assert listed and not any(found[t] for t in listed) and any("Engineer of Backends" in t for t in found)
+
+
 def test_places(spark):
     cities = spark.createDataFrame([("New York City", "NY", 40.7, -74.0, 8_000_000), ("London", "OH", 39.9, -83.4, 10_000), ("Washington", "DC", 38.9, -77.0, 700_000), ("Oakland", "CA", 37.8, -122.3, 400_000), ("California", "MD", 38.3, -76.5, 12_000)], "city string, state string, lat double, lon double, population long")
     world = spark.createDataFrame([("london",)], "name string")

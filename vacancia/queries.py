@@ -413,16 +413,13 @@ def _title_aliases(m: Market) -> DataFrame:
 
 @query()
 def canonical_titles(m: Market) -> DataFrame:
-    titles, aliases = _titles(m), _title_aliases(m)
-    exact = titles_ops.canonical(titles, aliases)
-    near = titles_ops.fuzzy(exact.where("slug is null"), aliases).withColumnRenamed("slug", "near")
-    return exact.join(near, "title", "left").select("title", F.coalesce("slug", "near").alias("slug"), "level", "normalized")
+    return titles_ops.resolved(_titles(m), _title_aliases(m))
 
 
 @query()
 def extraction_health(m: Market) -> DataFrame:
     titles = _titles(m)
-    return titles_ops.health(titles.join(titles_ops.canonical(titles, _title_aliases(m)).select("title", "slug"), "title"))
+    return titles_ops.health(titles.join(titles_ops.resolved(titles, _title_aliases(m)).select("title", "slug"), "title"))
 
 
 def _place_tables(m: Market) -> tuple[DataFrame, DataFrame]:
