@@ -253,12 +253,27 @@ def test_pieces_encode_like_whole_texts(reference):
     import pyarrow as pa
 
     rng = random.Random(5)
-    texts = ["".join(rng.choice(" \n\t'\"aB1é,.#²日 ́s't") for _ in range(rng.randint(0, 30))) for _ in range(4000)] + [t for t in TEXTS if t] + ["<|endoftext|> x"]
+    alphabets = (" \n\t'\"aB1é,.#²日 ́s't", " \n\ta\x0b\x1c\x85\u00a0\u3000\u2003b,", "ab \n'sd.,", "\r\n a.'re-")
+    texts = ["".join(rng.choice(alphabets[i % 4]) for _ in range(rng.randint(0, 30))) for i in range(8000)] + [t for t in TEXTS if t]
+    texts += [f"{t}<|endoftext|>{t}" for t in texts[:500]]
     ids, counts = tokens.encoder(tokens.default_tokenizer()).encode(pa.array([*texts, None]))
     for text, part in zip([*texts, ""], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
         assert part.tolist() == reference(text), text
 
 
+def test_pieces_are_encoded_alike_when_the_memory_is_small(reference, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 4000)
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 2000)
+    encoder, texts = tokens.Encoder(tokens.default_tokenizer()), [t or "" for t in TEXTS]
+    for _ in range(3):
+        ids, counts = encoder.encode(pa.array(texts).slice(1))
+        for text, part in zip(texts[1:], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert part.tolist() == reference(text), text
+        assert encoder.memory.size <= 4000
+
+
 def test_token_blocks_round_trip(spark, docs, nothing, reference):
     path = storage.shared_dir(spark, "blocks")
     token_files.write_tokens(docs, path)

@@ -34,8 +34,9 @@ from vacancia.llm import storage, tokens
 
 #: Stop column generation when the objective is within this share of its lower bound, or after so many columns.
 GAP, MAX_COLUMNS = 1e-3, 1500
-#: (task, size) pairs whose first ranks are broadcast, about 24 bytes each; with more pairs they are joined by a shuffle.
-MAX_BROADCAST_PAIRS = 2_000_000
+#: Tasks whose first ranks (a number for each size, 8 KB at a capacity of 1024) are broadcast; those of more tasks are joined
+#: by a shuffle. Where every item goes is the same.
+MAX_BROADCAST_TASKS = 4096
 
 _ITEMS = "part int, doc_id bigint, doc_tokens bigint, start bigint, size int, local_rank bigint, ids binary"
 _PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -46,20 +47,26 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, en
     spark = docs.sparkSession
     storage.ship(spark)
     items = storage.written(_items(docs, capacity, tokenizer or tokens.default_tokenizer(), end_id), "items")
-    counts = items.groupBy("part", "size").agg(F.count("*").alias("n")).cache()
+    counts = storage.written(items.groupBy("part", "size").agg(F.count("*").alias("n")), "item-counts")
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for row in counts.groupBy("size").agg(F.sum("n").alias("n")).collect():  # at most one row for each size
         histogram[row["size"]] = row["n"]
     plan = Plan(histogram, capacity)
-    before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("part", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    if counts.count() <= MAX_BROADCAST_PAIRS:
-        bases = F.broadcast(bases)
-    ranked = items.join(bases, ["part", "size"])
-    ranked = ranked.select("doc_id", "doc_tokens", "start", "size", (F.col("base") + F.col("local_rank")).alias("rank"), "ids")
+    bases = _bases(counts, capacity)
+    bases = F.broadcast(bases) if counts.select("part").distinct().count() <= MAX_BROADCAST_TASKS else bases.hint("merge")
+    rank = F.get("bases", F.col("size")) + F.col("local_rank")
+    ranked = items.join(bases, "part").select("doc_id", "doc_tokens", "start", "size", rank.alias("rank"), "ids")
     return ranked.mapInArrow(plan.place, _PIECES)
 
 
+def _bases(counts: DataFrame, capacity: int) -> DataFrame:
+    """part, bases: for each size, how many items of it the tasks before this one have (null: this task has none)."""
+    before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = counts.select("part", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = rows.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("size", "base"))).alias("m"))  # an entry for each size at most
+    return own.select("part", F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda s: F.try_element_at("m", s)).alias("bases"))
+
+
 def _items(docs: DataFrame, capacity: int, path: str, end_id: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = tokens.encoder(path), TaskContext.get().partitionId()

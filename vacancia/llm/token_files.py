@@ -15,8 +15,9 @@ Beside the block stand the doc_ids, the range of them and the ids written before
 document touches the blocks of its range, slices one frame and decompresses that alone. The dictionary is trained on a
 bounded sample of documents; it changes the size of the files, never what is read back.
 
-Nulls count as empty texts; rows with a null doc_id come first; repeated rows are all kept. An empty table gives no rows.
-Columns besides doc_id and text are ignored.
+Nulls count as empty texts; rows with a null doc_id come first; repeated rows are all kept. Rows are dealt out by ranges of
+doc_id and then of a hash of the text, so many rows with one doc_id (or none) are split unless their texts are equal too;
+rows with one doc_id stand in the order of that hash. An empty table gives no rows. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ MAGIC, HEAD = b"TKB1", "<4sB3x16sI"
 INDEX = np.dtype([("at", "<u8"), ("n", "<u4")])
 #: A block is closed at so many documents or bytes of frames.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
-#: The dictionary: its size, and the sample it is trained on (documents, the smallest hashes first, of at most so many characters).
+#: The dictionary: its size, and the sample it is trained on (documents, the smallest hashes first; of a longer text, a passage
+#: of so many characters at a hashed place).
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 64 << 10, 1500, 8000
 LEVEL = 3
 
@@ -54,13 +56,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     docs = docs.select("doc_id", "text")
     dictionary = train_dictionary(docs, tokenizer, end_id)
     spark.createDataFrame([(_hash(dictionary), dictionary)], "hash binary, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    ordered = docs.repartitionByRange(storage.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_packer(dictionary, tokenizer, end_id), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    keyed = docs.withColumn("tie", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(storage.shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered.select("doc_id", "text").mapInArrow(_packer(dictionary, tokenizer, end_id), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """Trained from id arrays of a bounded sample; empty if the corpus is too small for one."""
-    sample = storage.hashed_sample(docs, "doc_id", SAMPLE_DOCS).where(F.length("text").between(1, SAMPLE_CHARS))
+    sample = storage.hashed_sample(docs, "doc_id", SAMPLE_DOCS).where(F.length("text") > 0)
+    at = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int")
+    sample = sample.select(F.substring("text", at + 1, F.lit(SAMPLE_CHARS)).alias("text"))
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
