@@ -87,8 +87,9 @@ def test_decontamination_marks_every_word_of_a_window(spark, docs, nothing, monk
     items = [(1, " ".join(w[10:25]).upper()), (2, "two words"), (3, None), (4, ""), (1, "one"), (None, " ".join(w[60:70])), (5, "absent " * 10)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     normal = lambda t: re.findall(decontaminate.WORD, (t or "").translate(decontaminate._LOWER))
-    for limit in (decontaminate.MAX_PATTERN_CHARS, 200):  # one automaton, and blocks
-        monkeypatch.setattr(decontaminate, "MAX_PATTERN_CHARS", limit)
+    for limit, segment in ((decontaminate.BLOCK_CHARS, 2000), (700, 7)):  # one automaton, and blocks of segments
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", limit)
+        monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", segment)
         got = by_id(decontaminate.scan(docs, bench, carry=("lang",)))
         for doc_id, text, *_ in ROWS:
             words, hit, ids = normal(text), set(), set()

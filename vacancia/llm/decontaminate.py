@@ -5,13 +5,15 @@ is a pattern (an item with fewer words is one pattern), written with single blan
 is normalised the same way and scanned once; the end of each occurrence is mapped back to word numbers and, through the
 word positions, to offsets in the original text.
 
-The patterns come from the benchmark table, whose size is checked: up to MAX_PATTERN_CHARS characters form one automaton,
-built once in each Python worker. A larger benchmark is cut into blocks of that size, each batch of texts is scanned with
-the automaton of every block in turn, and only one automaton is in memory. Above MAX_BENCHMARK_CHARS it is refused.
+The benchmark's characters are counted first. Patterns of up to BLOCK_CHARS form one automaton, built once in each Python
+worker, and texts are scanned once. A larger benchmark, of whatever size, is dealt out in blocks of about that many: its
+items are cut into overlapping segments, each segment goes to a block by its hash, and the blocks are fetched and scanned
+one after the other, so a worker holds one automaton at a time and builds it once. What the blocks find is kept for each
+distinct text, put together, and joined back to the rows by the hash of the text. The result is the same.
 
 Nulls have no words, in texts and in items. Items with a null id mark words but are not listed. Repeated item ids count as one
 item; repeated documents are all reported. Empty tables give no hits or no rows. Columns besides doc_id and text, and
-item_id and text, are ignored.
+item_id and text, are ignored; those named by ``carry`` come along.
 """
 
 from __future__ import annotations
@@ -22,47 +24,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.llm import storage
 
 WINDOW = 10
-MAX_PATTERN_CHARS, MAX_BENCHMARK_CHARS = 32 << 20, 1 << 30
+#: Characters of the patterns of one automaton, about 350 MB in a worker. Words of a segment of an item where there are several.
+BLOCK_CHARS, SEGMENT_WORDS = 8 << 20, 2_000
 #: A word, in lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-_SCHEMA = "doc_id bigint, n_words bigint, hits array<struct<start: int, end: int>>, n_hit bigint, items array<string>"
-_BUILT: dict[str, tuple] = {}
+_WORD = re.compile(WORD)
+_UPPER, _LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWER = str.maketrans(_UPPER, _LOWER_CASE)
+_SPANS = "array<struct<start: int, end: int>>"
+_SCHEMA = f"doc_id bigint, n_words bigint, hits {_SPANS}, n_hit bigint, items array<string>"
+_BUILT: dict[str, object] = {}
 
 
 def words(text: str | None) -> list[str]:
-    return re.findall(WORD, text.translate(_LOWER)) if text else []
+    return _WORD.findall(text.translate(_LOWER)) if text else []
 
 
 def patterns(items: list[tuple], window: int = WINDOW) -> dict[str, set]:
-    """pattern: ids of the items that have it."""
+    """pattern: ids of the items, given as lists of words, that have it."""
     found: dict[str, set] = {}
-    for item_id, text in items:
-        w = words(text)
+    for item_id, w in items:
         for i in range(max(1, len(w) - window + 1)) if w else ():
             found.setdefault(f" {' '.join(w[i : i + window])} ", set()).update([] if item_id is None else [str(item_id)])
     return found
 
 
-def _blocks(items: list[tuple], window: int) -> list[list[tuple]]:
-    """Items in blocks whose patterns stay below MAX_PATTERN_CHARS (an item above it is a block of its own)."""
-    blocks, size = [[]], 0
-    for item in items:
-        n = len(item[1] or "") * window
-        if blocks[-1] and size + n > MAX_PATTERN_CHARS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(item)
-        size += n
-    return blocks
-
-
 def automaton(items: list[tuple], window: int, key: str):
     """The automaton of a block, kept in the worker until another is asked for."""
     import ahocorasick
@@ -78,6 +71,10 @@ def automaton(items: list[tuple], window: int, key: str):
     return _BUILT[key]
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER_CASE), F.lit(WORD), F.lit(0))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, hits (spans of the original text, code points), n_hit (words hit), items (ids as strings, sorted).
 
@@ -85,48 +82,116 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: tup
     """
     spark = docs.sparkSession
     storage.ship(spark)
-    size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > MAX_BENCHMARK_CHARS:
-        raise ValueError(f"a benchmark of {size} characters; at most {MAX_BENCHMARK_CHARS} are taken")
-    items = sorted(((r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").collect()), key=repr)  # its size is checked
-    blocks = [(hashlib.sha256(repr((window, b)).encode()).hexdigest(), b) for b in _blocks(items, window)]
-    shared = spark.sparkContext.broadcast(blocks)
+    items = benchmark.select("item_id", _words(F.col("text")).alias("words"))
+    n = items.agg(F.coalesce(F.sum(F.length(F.array_join("words", " ")) + 1), F.lit(0))).first()[0] * window
+    wanted = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in carry])
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    if n <= BLOCK_CHARS:
+        return wanted.mapInArrow(_scanner(_shared(spark, items, window), window, carry), _SCHEMA + more)
+    return _in_blocks(wanted, items, n, window, carry, more)
 
+
+def _shared(spark, items: DataFrame, window: int) -> Broadcast:
+    """The items of a block, whose size is bounded."""
+    rows = sorted(((r["item_id"], r["words"]) for r in items.collect()), key=repr)
+    return spark.sparkContext.broadcast((hashlib.sha256(repr((window, rows)).encode()).hexdigest(), rows))
+
+
+def _scanner(block: Broadcast, window: int, carry: tuple[str, ...]):
     def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = matches(batch.column(0), batch.column(1).to_pylist(), shared.value, window)
+            found = matches(batch.column(0), batch.column(1).to_pylist(), block.value, window)
             yield pa.RecordBatch.from_arrays([*found.columns, *batch.columns[2:]], names=[*found.schema.names, *carry])
 
-    wanted = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in carry])
-    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return wanted.mapInArrow(scan_batches, _SCHEMA + more)
-
-
-def matches(doc_ids: pa.Array, texts: list[str | None], blocks: list[tuple[str, list[tuple]]], window: int) -> pa.RecordBatch:
-    normal = [" ".join(words(t)) for t in texts]
-    hit: list[dict] = [{} for _ in texts]
-    for key, items in blocks:
-        machine = automaton(items, window, key)
-        for i, text in enumerate(normal) if len(machine) else ():
-            ends = None
-            for at, (n, ids) in machine.iter(f" {text} "):
-                if ends is None:
-                    ends = np.flatnonzero(np.frombuffer(f"{text} ".encode("utf-32-le"), "<u4") == 32)
-                    hit[i].setdefault("marks", np.zeros(len(ends), bool))
-                    hit[i].setdefault("items", set())
-                last = int(np.searchsorted(ends, at - 1))
-                hit[i]["marks"][last - n + 1 : last + 1] = True
-                hit[i]["items"].update(ids)
+    return scan_batches
+
+
+def _in_blocks(wanted: DataFrame, items: DataFrame, n: int, window: int, carry: tuple[str, ...], more: str) -> DataFrame:
+    """The same for a benchmark of several blocks."""
+    spark = wanted.sparkSession
+    blocks = -(-n // BLOCK_CHARS)
+    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (window - 1)), F.lit(SEGMENT_WORDS))
+    cut = items.where(F.size("words") > 0).select("item_id", F.explode(F.transform(begins, lambda i: F.slice("words", i, SEGMENT_WORDS + window - 1))).alias("words"))
+    cut = storage.written(cut.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))), "benchmark-segments")
+    texts = wanted.select("text", _text_hash().alias("hash"))
+    found = None
+    for b in range(blocks):
+        block = _shared(spark, cut.where(F.col("block") == b).select("item_id", "words"), window)
+        new = texts.mapInArrow(_finder(block, window), "hash binary, words array<int>, items array<string>")
+        new = storage.written(new.dropDuplicates(["hash"]), "benchmark-hits")
+        block.destroy()
+        found = new if found is None else found.union(new)
+    each = found.groupBy("hash").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
+    names = [c for c in wanted.columns if c not in ("doc_id", "text")]
+    joined = wanted.withColumn("_hash", _text_hash()).join(each.withColumnRenamed("hash", "_hash"), "_hash", "left").select("doc_id", "text", "_words", "_items", *names)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_row(t, hit or [], items or []) for t, hit, items in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            marked = _batch(batch.column(0), rows)
+            yield pa.RecordBatch.from_arrays([*marked.columns, *batch.columns[4:]], names=[*marked.schema.names, *carry])
+
+    return joined.mapInArrow(mark, _SCHEMA + more)
+
+
+def _text_hash() -> Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def _finder(block: Broadcast, window: int):
+    """The texts with hits: their hash, the numbers of the words hit, the items."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(block.value[1], window, block.value[0])
+        for batch in batches:
+            rows = []
+            for text, digest_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hit, ids = occurrences(words(text), machine)
+                if len(hit):
+                    rows.append((digest_, hit.tolist(), sorted(ids)))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            types = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["hash", "words", "items"])
+
+    return find
+
+
+def occurrences(own: list[str], machine) -> tuple[np.ndarray, set[str]]:
+    """The numbers of the words hit, ascending, and the items."""
+    items: set[str] = set()
+    if not len(machine):
+        return np.zeros(0, np.int64), items
+    text, marks = f" {' '.join(own)} ", None
+    for at, (n, ids) in machine.iter(text):
+        if marks is None:
+            blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
+            marks = np.zeros(len(own), bool)
+        last = int(np.searchsorted(blanks, at)) - 1
+        marks[last - n + 1 : last + 1] = True
+        items.update(ids)
+    return np.zeros(0, np.int64) if marks is None else np.flatnonzero(marks), items
+
+
+def matches(doc_ids: pa.Array, texts: list[str | None], block: tuple[str, list[tuple]], window: int) -> pa.RecordBatch:
+    machine = automaton(block[1], window, block[0])
     rows = []
-    for text, norm, h in zip(texts, normal, hit, strict=True):
-        if not h:
-            rows.append((norm.count(" ") + 1 if norm else 0, [], 0, []))
-            continue
-        where = [m.span() for m in re.finditer(WORD, text.translate(_LOWER))]
-        marks = np.concatenate([[False], h["marks"], [False]]).astype(np.int8)
-        runs = zip(np.flatnonzero(np.diff(marks) == 1), np.flatnonzero(np.diff(marks) == -1), strict=True)
-        spans = [{"start": where[a][0], "end": where[b - 1][1]} for a, b in runs]
-        rows.append((len(where), spans, int(h["marks"].sum()), sorted(h["items"])))
+    for text in texts:
+        own = words(text)
+        hit, items = occurrences(own, machine)
+        rows.append(_row(text, hit, sorted(items)) if len(hit) else (len(own), [], 0, []))
+    return _batch(doc_ids, rows)
+
+
+def _row(text: str | None, hit, items: list[str]) -> tuple:
+    """Words, spans of the runs of words hit, words hit, items."""
+    where = [m.span() for m in _WORD.finditer(text.translate(_LOWER))] if text else []
+    hit = np.sort(np.asarray(hit, dtype=np.int64))
+    ends = np.flatnonzero(np.diff(hit) != 1)
+    runs = zip(hit[np.concatenate([[0], ends + 1])], hit[np.concatenate([ends, [-1]])], strict=True) if len(hit) else ()
+    return len(where), [{"start": where[a][0], "end": where[b][1]} for a, b in runs], len(hit), items
+
+
+def _batch(doc_ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
     n, spans, n_hit, items = zip(*rows, strict=True) if rows else ((), (), (), ())
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     columns = [doc_ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
