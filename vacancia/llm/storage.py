@@ -1,7 +1,7 @@
 """Where the operators keep what they write between jobs.
 
-Everything goes below ``spark.checkpoint.dir``, which all executors share. Only where the session sets none (tests on
-one machine) a temporary folder is used.
+Everything goes below ``spark.checkpoint.dir``, which all executors share. Only a local session (tests on one machine) may
+leave it unset; then a temporary folder is used. On a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder; nothing is created."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
@@ -30,6 +32,14 @@ def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
