@@ -3,7 +3,10 @@
 Every text is addressed by its content (SHA-256). The ledger, a Parquet data set, has one row for each scanned pair of
 blob and rule version with its findings, none included. A run scans only blobs that lack a row for the current rule
 version, appends their rows, and joins the findings back to every path (document) that holds the blob. Changing a rule
-changes the version, so all blobs are scanned again; changed texts are new blobs, and old versions keep their rows.
+changes the version, so all blobs are scanned again; changed texts are new blobs, and old versions keep their rows. Where
+two runs at once, or a repeated append, have written a pair twice, its findings are equal and one row of them is read.
+
+A run over a ledger compares addresses first, so of the texts only those of unseen blobs are shuffled while they are few.
 
 Spans are code points, end exclusive. Nulls count as empty texts. Repeated rows are each reported; rows with a null
 doc_id too. An empty table gives no rows. Columns besides doc_id and text are ignored.
@@ -18,6 +21,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacancia.llm import storage
+
+#: Addresses of unseen blobs (32 bytes each) that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_BLOBS = 1 << 15
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -54,14 +62,22 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) ->
     text = F.coalesce("text", F.lit(""))
     addressed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("blob_id"))
     version = rule_version(rules)
-    blobs = addressed.select("blob_id", "text").dropDuplicates(["blob_id"])
+    blobs = addressed.select("blob_id", "text")
     seen = _ledger(spark, ledger_path)
-    if seen is not None:
-        blobs = blobs.join(seen.where(F.col("rule_version") == version).select("blob_id"), "blob_id", "left_anti")
+    if seen is None:
+        blobs = blobs.dropDuplicates(["blob_id"])
+    else:
+        done = seen.where(F.col("rule_version") == version).select("blob_id")
+        unseen = storage.written(blobs.select("blob_id").distinct().join(done, "blob_id", "left_anti"), "unseen-blobs")
+        if unseen.count() <= MAX_BROADCAST_BLOBS:
+            blobs = blobs.join(F.broadcast(unseen), "blob_id", "left_semi").dropDuplicates(["blob_id"])
+        else:
+            blobs = blobs.dropDuplicates(["blob_id"]).join(unseen.hint("merge"), "blob_id", "left_semi")
     scanned = _findings(blobs, rules).select("blob_id", F.lit(version).alias("rule_version"), "findings")
     scanned.write.mode("append").parquet(ledger_path)
     known = spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("rule_version") == version).select("blob_id", "findings")
-    return addressed.select("doc_id", "blob_id").join(known, "blob_id").select("doc_id", "blob_id", "findings")
+    known = storage.written(known.dropDuplicates(["blob_id"]), "findings")  # joined by an exchange of its own, so that a hot blob can be split
+    return addressed.select("doc_id", "blob_id").join(known.hint("merge"), "blob_id").select("doc_id", "blob_id", "findings")
 
 
 def _ledger(spark, path: str) -> DataFrame | None:
