@@ -10,8 +10,8 @@
 4. Lines to drop come back to their documents by doc_id.
 
 The filter has FILTER_BITS bits for each line but at most MAX_FILTER_BYTES, which bounds what is broadcast. Where a corpus
-has more lines than that serves, more lines are suspected and shuffled; what is kept stays the same, as every suspect is
-confirmed.
+has more lines than that serves (some 30 million), more lines are suspected and shuffled, in the end all of them at about
+30 bytes each; what is kept stays the same, as every suspect is confirmed.
 
 A null or empty text is one empty line. Rows with a null doc_id are left as they are and hold no key; rows that repeat a
 doc_id count as one document and lose the same lines. An empty table gives no rows. Other columns are carried along.
@@ -32,7 +32,8 @@ from vacancia.llm import storage
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 FILTER_BITS, MAX_FILTER_BYTES = 16, 64 << 20
-SLICE_BITS = 1 << 22
+#: Small slices, so that at full size 2048 tasks share the hashes.
+SLICE_BITS = 1 << 18
 BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -125,16 +126,16 @@ def repeats(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 def dedup(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """The given columns, text without the lines that go, and n_lines (before), n_dropped."""
     drop = repeats(docs, least_docs)
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*own).join(drop.select(F.col("doc_id").alias("_doc"), F.col("drop").alias("_drop")).hint("merge"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    columns = [c for c in joined.columns if c != "_drop"]
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    gone_name, whole = storage.free_name(docs, "drop"), docs.select(*columns)
+    joined = whole.join(drop.withColumnRenamed("drop", gone_name).hint("merge"), "doc_id", "left").select(*columns, gone_name)
     schema = joined.select(*columns, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
     at = columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("_drop").to_pylist(), strict=True):
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column(gone_name).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 n_lines.append(len(lines))
                 n_dropped.append(len(gone or ()))
