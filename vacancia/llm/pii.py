@@ -1,12 +1,15 @@
 """Personal data: exact patterns of four kinds, and a character-level BiLSTM-CRF that adds what the patterns don't cover.
 
 The tagger is trained in numpy, in one task, from labelled spans: passages of a bounded sample of documents (SAMPLE_DOCS,
-the smallest hashes of doc_id) into which generated e-mail addresses, IP addresses, card and phone numbers (in several
+the smallest hashes of doc_id; of a longer one a stretch at a hashed place) into which generated e-mail addresses, IP addresses, card and phone numbers (in several
 ways of writing) and look-alikes (dates, versions, prices, identifiers) are set. All kinds need a digit or an "@", so
-overlapping windows are cut around those characters in every whole text; windows are decoded by Viterbi, and where they
+overlapping windows are cut around those characters in every whole text (stretches without either are never read by the
+tagger, and hold no span of these kinds); windows are decoded by Viterbi, and where they
 overlap a character takes its label from the window in which it stands furthest from an edge. Spans found so are
 added if they pass a check of their kind (digits of a phone, Luhn's sum of a card, the form of an address) and touch no
-span of a pattern. Pattern spans always stay.
+span of a pattern. Pattern spans always stay. The tagger learns IP addresses only to tell them from phone numbers: the pattern
+finds every one, so none is added. A window's labels depend on its characters alone (recurrences and paths end with the
+window, not with the batch), so the spans of a text don't depend on the rows around it or on the partitioning.
 
 Offsets are code points, end exclusive. Nulls count as empty texts; repeated rows and null doc_ids are reported like others.
 An empty table gives no rows. Columns besides doc_id and text are ignored.
@@ -27,7 +30,7 @@ from vacancia.llm import storage, tagger
 
 #: Fixed order of the kinds.
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, EXAMPLES, EXAMPLE_CHARS = 200, 2400, 72
+SAMPLE_DOCS, SAMPLE_CHARS, EXAMPLES, EXAMPLE_CHARS = 200, 2000, 2400, 72
 #: Windows: characters kept on both sides of a digit or "@", length, and step from one to the next in a longer stretch.
 CONTEXT, WINDOW, STEP = 16, 96, 64
 #: Windows decoded at once.
@@ -135,7 +138,9 @@ def arrays(data: list[tuple[str, list[tuple[str, int, int]]]], width: int = EXAM
 
 def train(docs: DataFrame) -> bytes:
     """The model, from a bounded sample of documents, fitted in one task."""
-    sample = storage.hashed_sample(docs, "doc_id", SAMPLE_DOCS).where(F.length("text") > 40).select(F.substring("text", 1, 2000).alias("text"))
+    sample = storage.hashed_sample(docs, "doc_id", SAMPLE_DOCS).where(F.length("text") > 40)
+    at = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int")
+    sample = sample.select(F.substring("text", at + 1, F.lit(SAMPLE_CHARS)).alias("text"))
     texts = sorted(r["text"] for r in sample.collect())  # bounded: only carriers for generated values
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +173,10 @@ def model_spans(texts: list[str], model: dict[str, np.ndarray]) -> list[list[tup
     for at in range(0, len(cut), BATCH):
         own = cut[at : at + BATCH]
         x = np.zeros((len(own), max(b - a for _, a, b in own)), np.int64)
+        mask = np.zeros(x.shape, bool)
         for row, (i, a, b) in enumerate(own):
-            x[row, : b - a] = tagger.char_ids(texts[i][a:b])
-        for (i, a, b), labels in zip(own, tagger.decode(model, x).tolist(), strict=True):
+            x[row, : b - a], mask[row, : b - a] = tagger.char_ids(texts[i][a:b]), True
+        for (i, a, b), labels in zip(own, tagger.decode(model, x, mask).tolist(), strict=True):
             for k in range(b - a):
                 edge = min(k if a else WINDOW, b - a - 1 - k if b < len(texts[i]) else WINDOW)
                 if (a + k) not in best[i] or best[i][a + k][0] < edge:

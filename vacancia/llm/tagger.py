@@ -1,4 +1,8 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy: training by Adam, decoding by Viterbi."""
+"""A character-level bidirectional LSTM with CRF transitions, in numpy: training by Adam, decoding by Viterbi.
+
+Rows are padded at their ends. A mask tells the time steps that count; both directions start anew where it ends, and paths
+end there, so padding changes nothing.
+"""
 
 from __future__ import annotations
 
@@ -27,8 +31,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def emissions(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Scores (n, time, label) of x (n, time), and what the way back needs."""
+def emissions(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Scores (n, time, label) of x (n, time), and what the way back needs. mask: time steps that count, from the first."""
     n, time = x.shape
     hidden = p["wh"].shape[1]
     both = np.stack([x, x[:, ::-1]])
@@ -36,22 +40,23 @@ def emissions(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, tupl
     ahead = inputs @ p["wx"][:, None] + p["b"][:, None]
     h, c = np.zeros((2, n, hidden)), np.zeros((2, n, hidden))
     kept, out = [], np.zeros((2, n, time, hidden))
+    counts = np.stack([mask, mask[:, ::-1]])[..., None].astype(ahead.dtype)
     for t in range(time):
         z = ahead[:, :, t] + h @ p["wh"]
         s = _sigmoid(z)
         i, f, o, g = s[..., :hidden], s[..., hidden : 2 * hidden], s[..., 2 * hidden : 3 * hidden], np.tanh(z[..., 3 * hidden :])
         before, h_before = c, h
-        c = f * c + i * g
+        c = (f * c + i * g) * counts[:, :, t]
         tc = np.tanh(c)
         h = o * tc
         out[:, :, t] = h
         kept.append((i, f, o, g, before, tc, h_before))
     features = np.concatenate([out[0], out[1][:, ::-1]], axis=-1)
-    return features @ p["wo"] + p["bo"], (both, inputs, kept, features)
+    return features @ p["wo"] + p["bo"], (both, inputs, kept, features, counts)
 
 
 def _back(p: dict[str, np.ndarray], kept: tuple, d: np.ndarray) -> dict[str, np.ndarray]:
-    both, inputs, steps, features = kept
+    both, inputs, steps, features, counts = kept
     n, time, labels = d.shape
     hidden = p["wh"].shape[1]
     g = {k: np.zeros_like(v) for k, v in p.items()}
@@ -63,7 +68,7 @@ def _back(p: dict[str, np.ndarray], kept: tuple, d: np.ndarray) -> dict[str, np.
     for t in reversed(range(time)):
         i, f, o, gg, before, tc, h_before = steps[t]
         dh = dh + dout[:, :, t]
-        dc = dc + dh * o * (1 - tc * tc)
+        dc = (dc + dh * o * (1 - tc * tc)) * counts[:, :, t]
         z = np.concatenate([dc * gg * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gg * gg)], axis=-1)
         dz[:, :, t] = z
         g["wh"] += h_before.transpose(0, 2, 1) @ z
@@ -82,7 +87,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def loss(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Negative log likelihood of the label sequences under the CRF, and its gradients. mask: time steps that count, from the first."""
-    e, kept = emissions(p, x)
+    e, kept = emissions(p, x, mask)
     n, time, labels = e.shape
     alpha, beta = np.zeros_like(e), np.zeros_like(e)
     alpha[:, 0] = p["first"] + e[:, 0]
@@ -126,15 +131,15 @@ def fit(x: np.ndarray, y: np.ndarray, mask: np.ndarray, labels: int, embed: int
     return p
 
 
-def decode(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """The best label sequence of each row."""
-    e, _ = emissions(p, x)
+def decode(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The best label sequence of each row, as far as its mask goes."""
+    e, _ = emissions(p, x, mask)
     n, time, labels = e.shape
     best, back = p["first"] + e[:, 0], np.zeros((n, time, labels), np.int64)
     for t in range(1, time):
-        s = best[:, :, None] + p["trans"]
-        back[:, t] = s.argmax(axis=1)
-        best = s.max(axis=1) + e[:, t]
+        s, goes_on = best[:, :, None] + p["trans"], mask[:, t, None]
+        back[:, t] = np.where(goes_on, s.argmax(axis=1), np.arange(labels))
+        best = np.where(goes_on, s.max(axis=1) + e[:, t], best)
     out = np.zeros((n, time), np.int64)
     out[:, -1] = best.argmax(axis=1)
     for t in reversed(range(time - 1)):
