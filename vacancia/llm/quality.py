@@ -7,7 +7,7 @@ on the rest, kept if it is precise there, and what it covers is taken away befor
 ``CASE WHEN``: the first that fits rejects, otherwise the document is kept.
 
 Nulls count as texts without words. Rows with a null doc_id are judged like others but never train. Labels that
-contradict each other for one doc_id are left out, as are null labels. Without labels of both kinds there are no rules. An
+contradict each other for one doc_id are left out, as are null labels; of texts that share a labelled doc_id one trains. Without labels of both kinds there are no rules. An
 empty table gives no rows. Columns besides doc_id and text are carried along.
 """
 
@@ -69,12 +69,17 @@ def statistics(docs: DataFrame) -> DataFrame:
         "f_dup_lines": share("n_dup_lines", "n_lines"), "f_repeat": share("n_repeat_words", "n_words"), "f_capitals": share("_capitals", "_chars"), "f_distinct": share("_distinct", "n_words"),
     }
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    # Always true, but not deterministic: else a filter on the outcome would be pushed down with all of this inlined.
-    failed = failed & (F.monotonically_increasing_id() >= 0)
+    failed = _barrier(failed)
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return df.select(*[c for c in own if c not in {*stats, *features, "base_failed"}], *stats, *[v.alias(k) for k, v in features.items()], failed.alias("base_failed"))
 
 
+def _barrier(condition: Column) -> Column:
+    """The same value. Catalyst doesn't push a filter below an expression that it can't repeat, and a filter on the verdict
+    would be pushed below the statistics, so that every text's statistics were computed once more for each condition."""
+    return condition & (F.monotonically_increasing_id() >= 0)
+
+
 @dataclass(frozen=True)
 class Condition:
     feature: int
@@ -97,8 +102,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     clean = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("quality"))
     sample = storage.hashed_sample(clean.where("low = quality").select("doc_id", "quality"), "doc_id", MAX_LABELLED)
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).where(~F.col("base_failed"))
-    rows = rows.select("doc_id", "quality", *FEATURES).limit(2 * MAX_LABELLED).collect()  # bounded by the sample
-    return cover([([r[f] for f in FEATURES], r["quality"] == 0) for r in sorted(rows, key=lambda r: (r["doc_id"], [r[f] for f in FEATURES]))])
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("quality", *FEATURES)).alias("r")).select("doc_id", "r.*").collect()  # bounded by the sample
+    return cover([([r[f] for f in FEATURES], r["quality"] == 0) for r in sorted(one, key=lambda r: r["doc_id"])])
 
 
 def cover(rows: list[tuple[list[float], bool]]) -> list[Rule]:
