@@ -79,6 +79,23 @@ def test_secrets_match_regular_expressions_and_the_ledger_is_incremental(spark,
     assert secrets.digest(secrets.scan(nothing, storage.shared_dir(spark, "ledger"))).count() == 0
 
 
+@pytest.mark.parametrize("few", [secrets.MAX_BROADCAST_BLOBS, 0])
+def test_versions_of_documents_share_one_ledger(spark, docs, monkeypatch, few):
+    """A second version is scanned for its new texts only; a pair written twice counts once."""
+    monkeypatch.setattr(secrets, "MAX_BROADCAST_BLOBS", few)
+    path = storage.shared_dir(spark, "ledger")
+    secrets.scan(docs, path)
+    spark.read.parquet(path).write.mode("append").parquet(storage.shared_dir(spark, "other"))
+    known = spark.read.parquet(path)
+    before = known.count()
+    storage.written(known, "again").write.mode("append").parquet(path)
+    second = spark.createDataFrame([(0, "password=abcdef123"), (6, BASE), (6, BASE), (900, "new token: zyxwvu99"), (901, "new token: zyxwvu99"), (None, None)], "doc_id bigint, text string")
+    got = by_id(secrets.digest(secrets.scan(second, path)))
+    assert {k: [r["n_assign"] for r in v] for k, v in got.items()} == {0: [1], 6: [0, 0], 900: [1], 901: [1], None: [0]}
+    assert spark.read.parquet(path).count() == 2 * before + 2
+    assert secrets.scan(docs, path).count() == len(ROWS) and spark.read.parquet(path).count() == 2 * before + 2
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -130,6 +147,10 @@ def test_line_dedup_keeps_the_largest_holder(spark, docs, nothing, monkeypatch):
                 assert r["blob_id"] in ("clash", "x")
         monkeypatch.setattr(line_dedup, "MAX_FILTER_BYTES", 64)
     assert line_dedup.digest(line_dedup.dedup(nothing)).count() == 0
+    clashing = docs.selectExpr("doc_id", "text", "lang as drop", "lang as _drop", "lang as _doc", "lang as n_lines", "lang as KEY")
+    rows = line_dedup.dedup(clashing)
+    assert rows.columns == ["doc_id", "text", "drop", "_drop", "_doc", "KEY", "n_lines", "n_dropped"]
+    assert {(r["doc_id"], r["n_dropped"]) for r in rows.collect()} == {(i, r["n_dropped"]) for i, rs in got.items() for r in rs}
 
 
 # 4 -------------------------------------------------------------------------------------------------------------------
@@ -179,6 +200,19 @@ def test_personal_data_over_rows(spark, docs, nothing):
     assert rows[0][0]["spans"] == "" and pii.find(nothing, model).count() == 0
 
 
+def test_spans_of_the_tagger_are_the_same_alone_and_in_any_batch(spark):
+    rng = random.Random(12)
+    passages = [t for t, _ in pii.examples([prose(60, rng) for _ in range(40)], 240, seed=5)]
+    texts = [" ".join(passages[i : i + 1 + i % 5]) for i in range(0, 240, 5)] + ["1", "@", "9" * 400, "", "7 " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = tagger.fit(*pii.arrays(pii.examples([prose(60, rng) for _ in range(9)], 600)), labels=9, epochs=3)
+    together = pii.model_spans(texts, tagger.load(tagger.dump(model)))
+    assert any(together)
+    assert together == [pii.model_spans([t], tagger.load(tagger.dump(model)))[0] for t in texts]
+    found = [{r["doc_id"]: r["spans"] for r in pii.digest(pii.find(docs.repartition(n), tagger.dump(model))).collect()} for n in (1, 7)]
+    assert found[0] == found[1]
+
+
 def test_windows_cover_every_trigger():
     text = "x" * 50 + "".join(RNG.choice("ab1@ ") for _ in range(900)) + "\n" + "y" * 30 + "7"
     covered = {i for a, b in pii.windows(text) for i in range(a, b)}
