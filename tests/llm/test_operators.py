@@ -222,7 +222,7 @@ def test_windows_cover_every_trigger():
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 
-def brute_groups(rows):
+def brute_groups(rows, need=85):
     sets = {}
     for doc_id, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(decontaminate._LOWER))
@@ -236,7 +236,7 @@ def brute_groups(rows):
 
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= need * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -253,10 +253,11 @@ def test_near_duplicates_equal_brute_force(spark, docs, nothing):
     assert near_dups.groups(nothing).count() == 0
 
 
-@pytest.mark.parametrize("small", [near_dups.SMALL, 12 * 12 * 150])
-def test_near_duplicates_in_a_large_group_of_edited_copies(spark, monkeypatch, small):
-    """Copies with 0 to 6 edits of one text: most pairs are near misses, and the group is over the size settled in one task."""
+@pytest.mark.parametrize("small,tile,need", [(near_dups.SMALL, near_dups.TILE, 85), (near_dups.SMALL, 7, 80), (12 * 12 * 150, 128, 85), (12 * 12 * 150, 5, 80)])
+def test_near_duplicates_in_a_large_group_of_edited_copies(spark, monkeypatch, small, tile, need):
+    """Copies with 0 to 6 edits of one text: most pairs are near misses, settled in one tile, in many, or over rounds."""
     monkeypatch.setattr(near_dups, "SMALL", small)
+    monkeypatch.setattr(near_dups, "TILE", tile)
     rng = random.Random(11)
     base, rows = prose(150, rng).split(), []
     for i in range(60):
@@ -266,8 +267,8 @@ def test_near_duplicates_in_a_large_group_of_edited_copies(spark, monkeypatch, s
             w[at : at + 1] = rng.choice([["edited"], [f"new{rng.randint(0, 99)}"], [], ["two", "words"]])
         rows.append((i, " ".join(w if i % 9 else w[: int(len(w) * rng.uniform(0.6, 1))])))
     rows += [(1000 + i, f"{prose(40, rng)} {' '.join(base[20:60])} {prose(40, rng)}") for i in range(20)]
-    got = by_id(near_dups.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
-    assert {i: (r[0]["n_shingles"], r[0]["component_id"]) for i, r in got.items()} == brute_groups(rows)
+    got = by_id(near_dups.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), need))
+    assert {i: (r[0]["n_shingles"], r[0]["component_id"]) for i, r in got.items()} == brute_groups(rows, need)
 
 
 def test_components_of_a_long_chain(spark):

@@ -2,19 +2,23 @@
 
 A document is the set of its distinct five-word shingles (64-bit hashes). Documents with equal sets are one class from the
 start, so groups of copies cost nothing further. A class has COORDINATES signature coordinates, each combining ROWS MinHash
-values, so that a coordinate agrees with probability J ** ROWS. Two classes with Jaccard similarity 0.85 agree in 14.7 of
-24 coordinates on average; retaining pairs that agree in at least MATCHES = 3 of them loses one pair in ten million. With
-that threshold it is enough to post the first COORDINATES - MATCHES + 1 coordinates (prefix), and lists with one member are
-skipped.
-
-A list may hold a large group, so pairs within it aren't written out. Each list has a leader (the class that collides most,
-so the middle of its group), and (leader, member) pairs, merged over all lists, are confirmed exactly.
-What this can miss is found exactly as well. A group with members that aren't linked with the leader is
-settled by comparing sets in one task if that is at most SMALL steps, a bound that doesn't grow with the corpus. In a larger one, let x and y be linked members of the group of leader L. If they share no
-shingle outside L, then both are linked with L, or both have at least 85 % of their shingles in L and one is smaller than L
-by a known measure. So the shingles outside L are posted again (by prefix: as many as a link needs at least one of), and
-members lying mostly inside L are posted by size where their sizes allow such a link. Lists without members that L isn't linked with, and lists with one member, are dropped; the others get leaders, and so
-on until no list is left. Every round settles a leader for good, and lists shrink to those that share one more shingle.
+values, so that a coordinate agrees with probability J ** ROWS. Classes are posted under each coordinate and value. Lists
+with one member are skipped, collisions are counted over the others, and a class that collides in fewer than MATCHES lists is
+skipped with all its pairs, none of which can agree in MATCHES coordinates. For the others the first
+COORDINATES - MATCHES + 1 lists (prefix) hold every pair that does. Two classes with similarity 0.85 agree in 14.7 of the 24
+coordinates on average and in fewer than MATCHES = 2 with probability 5e-9; at 0.8 that is 9e-7.
+
+The threshold isn't applied to the pairs themselves, as a list may hold a large group and its pairs aren't written out: each
+list has a leader (the class that collides most, so the middle of its group), and (leader, member) pairs, merged over all
+lists, are confirmed exactly. A member that collides little with its leader may be similar to another member. What the leaders
+miss is therefore found exactly. A group with members that aren't linked with the leader is settled by comparing sets if that
+is at most SMALL steps, a bound that doesn't grow with the corpus; it is dealt out in tiles of TILE by TILE members, so that
+no task holds more. In a larger one, let x and y be linked members of the group of leader L. If they share no
+shingle outside L, then both are linked with L, or both have at least ``need`` % of their shingles in L and one is smaller than
+L by a known measure. So the shingles outside L are posted again (by prefix: as many as a link needs at least one of), and
+members lying mostly inside L are posted by size where their sizes allow such a link. Lists without members that L isn't
+linked with, and lists with one member, are dropped; the others get leaders, and so on until no list is left. Every round
+settles a leader for good, and lists shrink to those that share one more shingle.
 
 Components of the links come from alternating large-star and small-star steps, written to the shared folder each round.
 
@@ -36,11 +40,13 @@ from pyspark.sql import functions as F
 from vacancia.llm import storage
 
 SHINGLE = 5
-#: Links need NEED / 100 of the union in common.
+#: Links need so many hundredths of the union in common, unless a caller says otherwise.
 NEED = 85
-COORDINATES, ROWS, MATCHES = 24, 3, 3
-#: A group is compared in one task if its members times their shingles are at most this: some seconds, tens of megabytes.
-SMALL = 1 << 30
+COORDINATES, ROWS, MATCHES = 24, 3, 2
+#: A group is compared member by member if its members times their shingles are at most this; members on each side of a tile.
+SMALL, TILE = 1 << 30, 128
+#: Rounds after which the links found so far are written as one table.
+ROUNDS = 8
 _SIGNED = "doc_id bigint, n_shingles bigint, node binary, coordinates array<bigint>"
 
 
@@ -96,107 +102,160 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
 
 
-def linked(a: int, b: int, both: int) -> bool:
-    return 100 * both >= NEED * (a + b - both)
+def linked(a: int, b: int, both: int, need: int = NEED) -> bool:
+    return 100 * both >= need * (a + b - both)
 
 
-def compare(member: np.ndarray, leader: np.ndarray) -> tuple[bool, np.ndarray, int, int | None]:
+def compare(member: np.ndarray, leader: np.ndarray, need: int = NEED) -> tuple[bool, np.ndarray, int, int | None]:
     """Whether they are linked; what to post of the member: hashes outside the leader; its size; and, if it lies mostly inside
     the leader, the largest size of a partner that it can be linked with without sharing anything outside."""
     at = np.minimum(np.searchsorted(leader, member), len(leader) - 1)
     inside = leader[at] == member
     n, both, outside = len(member), int(inside.sum()), member[~inside]
-    needed = -(-NEED * n // 100) - both  # of the shingles outside, by any link that needs some of them
+    needed = -(-need * n // 100) - both  # of the shingles outside, by any link that needs some of them
     post = outside[: len(outside) - max(1, needed) + 1]
-    return linked(n, len(leader), both), post.view(np.int64), n, None if needed > 0 else (100 + NEED) * both // NEED - n
+    return linked(n, len(leader), both, need), post.view(np.int64), n, None if needed > 0 else (100 + need) * both // need - n
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [compare(np.frombuffer(m, np.uint64), np.frombuffer(le, np.uint64)) for m, le in zip(batch.column("m_hashes").to_pylist(), batch.column("l_hashes").to_pylist(), strict=True)]
-        yes, post, n, cap = zip(*rows, strict=True) if rows else ((), (), (), ())
-        columns = [batch.column("leader"), batch.column("node"), pa.array(yes, pa.bool_()), pa.array([p.tolist() for p in post], pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(cap, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["leader", "node", "linked", "post", "n", "cap"])
+_CHECKED = "leader binary, node binary, linked boolean, post array<bigint>, n bigint, cap bigint"
+
+
+def _comparer(need: int):
+    def compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = zip(batch.column("m_hashes").to_pylist(), batch.column("l_hashes").to_pylist(), strict=True)
+            rows = [compare(np.frombuffer(m, np.uint64), np.frombuffer(le, np.uint64), need) for m, le in sets]
+            yes, post, n, cap = zip(*rows, strict=True) if rows else ((), (), (), ())
+            columns = [pa.array(yes, pa.bool_()), pa.array([p.tolist() for p in post], pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(cap, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), *columns], names=["leader", "node", "linked", "post", "n", "cap"])
+
+    return compare_batches
 
 
-def _inside_lists(large: DataFrame) -> DataFrame:
+def _inside_lists(large: DataFrame, need: int) -> DataFrame:
     """before, hash, node, linked: members that lie mostly inside their leader, by size, where sizes allow a link past the leader.
 
     A member that isn't linked with the leader can then only be linked with members of at most its cap; sizes of linked sets
     differ by less than one step of the buckets, so each member goes to its own and to the next.
     """
-    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / NEED)))
-    rows = large.where(F.col("cap").isNotNull()).select(F.col("leader").alias("before"), "node", "linked", "n", "cap", F.explode(F.array(bucket, bucket + 1)).alias("hash"))
+    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / need)))
+    inside = large.where(F.col("cap").isNotNull())
+    rows = inside.select(F.col("leader").alias("before"), "node", "linked", "n", "cap", F.explode(F.array(bucket, bucket + 1)).alias("hash"))
     sizes = rows.groupBy("before", "hash").agg(F.min("n").alias("_least"), F.max(F.when(~F.col("linked"), F.col("cap"))).alias("_cap"))
     near = rows.join(sizes, ["before", "hash"]).where((F.col("n") <= F.col("_cap")) | (~F.col("linked") & (F.col("cap") >= F.col("_least"))))
     return near.select("before", "node", "linked", "hash")
 
 
-def _settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that connect the members of one group as far as their sets do. Those linked with the leader are one part already.
+def _tiles(few: DataFrame) -> DataFrame:
+    """leader, tile, node, linked, probe, target: every probe is compared with every target of its tile.
 
-    Each member outside that part counts what it shares with all others through lists of the members that hold a shingle.
+    few: leader, node, linked, and the group's n_open (members not linked with the leader) and n_linked. Between them, the tiles
+    of a group hold every pair with a member that isn't linked with the leader.
     """
-    rows = [r for b in batches for r in zip(b.column("node").to_pylist(), b.column("linked").to_pylist(), b.column("hashes").to_pylist(), strict=True)]
-    nodes, yes = [r[0] for r in rows], [r[1] for r in rows]
-    sets = [np.frombuffer(h, np.uint64) for _, _, h in rows]
-    sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    _, element = np.unique(np.concatenate(sets), return_inverse=True)
-    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(element, kind="stable")]
-    begin = np.concatenate([[0], np.cumsum(np.bincount(element))])
-    own = np.split(element, np.cumsum(sizes)[:-1])
-    part, out = [-1 if y else i for i, y in enumerate(yes)], []
-    for i in (i for i, y in enumerate(yes) if not y):
-        first, n = begin[own[i]], begin[own[i] + 1] - begin[own[i]]
-        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(holders[at], minlength=len(sets))
-        for j in np.flatnonzero(100 * both >= NEED * (sizes[i] + sizes - both)).tolist():
-            if part[i] != part[j]:
-                out.append((nodes[i], nodes[j]))
-                old = part[j]
-                part = [part[i] if p == old else p for p in part]
-    columns = list(zip(*out, strict=True)) or [(), ()]
-    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary())], names=["node", "leader"])
-
-
-def links(signed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    n_open, n_linked = F.ceil(F.col("n_open") / TILE).cast("int"), F.ceil(F.col("n_linked") / TILE).cast("int")
+    one = F.col("n_open") + F.col("n_linked") <= TILE
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), n_linked).otherwise(n_open)).cast("int")
+    tile = lambda a, b, probe, target: F.struct(a.alias("a"), b.alias("b"), probe.alias("probe"), target.alias("target"))
+    yes, no, upto = F.lit(True), F.lit(False), lambda n: F.sequence(F.lit(0), n - 1)
+    among = F.transform(upto(n_open), lambda b: tile(F.least("block", b), F.greatest("block", b), F.col("block") <= b, F.col("block") >= b))
+    against = F.when(n_linked > 0, F.transform(upto(n_linked), lambda c: tile(F.col("block"), n_open + c, yes, no))).otherwise(F.slice(among, 1, 0))
+    targets = F.transform(upto(n_open), lambda a: tile(a, n_open + F.col("block"), no, yes))
+    single = F.array(tile(F.lit(0), F.lit(0), ~F.col("linked"), yes))
+    rows = few.withColumn("block", block)
+    rows = rows.select("leader", "node", "linked", F.explode(F.when(one, single).when(F.col("linked"), targets).otherwise(F.concat(among, against))).alias("t"))
+    return rows.select("leader", F.struct("t.a", "t.b").alias("tile"), "node", "linked", "t.probe", "t.target")
+
+
+def _settler(need: int):
+    """Links that connect the members of one tile as far as their sets do. Those linked with the leader are one part already.
+
+    Each probe counts what it shares with all targets through lists of the targets that hold a shingle.
+    """
+
+    def settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("node", "linked", "probe", "target", "hashes")), strict=True)]
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        targets = np.flatnonzero([r[3] for r in rows])
+        out: list[tuple[bytes, bytes]] = []
+        if len(targets) and any(r[2] for r in rows):
+            elements, element = np.unique(np.concatenate([sets[i] for i in targets]), return_inverse=True)
+            holders = np.repeat(targets, sizes[targets])[np.argsort(element, kind="stable")]
+            begin = np.concatenate([[0], np.cumsum(np.bincount(element))])
+            parent = list(range(len(rows) + 1))
+            for i in (i for i, r in enumerate(rows) if r[1]):
+                parent[i] = len(rows)
+            for i in (i for i, r in enumerate(rows) if r[2]):
+                at = np.minimum(np.searchsorted(elements, sets[i]), len(elements) - 1)
+                own = at[elements[at] == sets[i]]
+                first, n = begin[own], begin[own + 1] - begin[own]
+                both = np.bincount(holders[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(rows))
+                near = (both > 0) & (100 * both >= need * (sizes[i] + sizes - both))
+                for j in np.flatnonzero(near).tolist():
+                    x, y = _root(parent, i), _root(parent, j)
+                    if x != y:
+                        parent[x] = y
+                        out.append((rows[i][0], rows[j][0]))
+        columns = list(zip(*out, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary())], names=["node", "leader"])
+
+    return settle
+
+
+def _root(parent: list[int], i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def links(signed: DataFrame, docs: DataFrame, need: int = NEED) -> tuple[DataFrame, DataFrame]:
     """(classes: node, rep; links: node, leader). Links connect every pair of similar classes, not each pair directly."""
-    posted_keys = COORDINATES - MATCHES + 1
     known = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("coordinates").alias("coordinates"))
-    posted = classes.select("node", F.explode(F.slice("coordinates", 1, posted_keys)).alias("key"))
+    posted = classes.select("node", F.posexplode("coordinates").alias("at", "key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = storage.written(posted.join(storage.written(lists, "lists"), "key"), "postings")
-    pairs = storage.written(_with_leaders(shared, ["key"]), "pairs")
+    pairs = storage.written(_with_leaders(shared, ["key"], MATCHES), "pairs")
     classes = known.groupBy("node").agg(F.min("doc_id").alias("rep"))
     wanted = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
     ids = wanted.join(classes, "node").select(F.col("rep").alias("doc_id")).distinct()
     sets = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_sets, "node binary, hashes binary")
     sets = storage.written(sets.dropDuplicates(["node"]), "shingle-sets", codec="none")
-    found = None
+    found, rounds = None, 0
     while not pairs.isEmpty():
         both = pairs.join(sets.withColumnRenamed("hashes", "m_hashes"), "node").join(sets.select(F.col("node").alias("leader"), F.col("hashes").alias("l_hashes")), "leader")
-        checked = storage.written(both.mapInArrow(_compare, "leader binary, node binary, linked boolean, post array<bigint>, n bigint, cap bigint"), "checked")
+        checked = storage.written(both.mapInArrow(_comparer(need), _CHECKED), "checked")
         new = checked.where("linked").select("node", "leader")
         found = new if found is None else found.union(new)
-        open_ = checked.groupBy("leader").agg((F.count("*") * F.sum("n")).alias("work"), F.bool_and("linked").alias("settled")).where("not settled")
-        few = checked.join(open_.where(F.col("work") <= SMALL).select("leader"), "leader", "left_semi").select("leader", "node", "linked")
-        settled = few.join(sets, "node").groupBy("leader").applyInArrow(_settle, "node binary, leader binary")
+        n = lambda c, name: F.count_if(c).alias(name)
+        open_ = checked.groupBy("leader").agg((F.count("*") * F.sum("n")).alias("work"), n(~F.col("linked"), "n_open"), n(F.col("linked"), "n_linked")).where("n_open > 0")
+        few = checked.join(open_.where(F.col("work") <= SMALL).select("leader", "n_open", "n_linked"), "leader").select("leader", "node", "linked", "n_open", "n_linked")
+        settled = _tiles(few).join(sets, "node").groupBy("leader", "tile").applyInArrow(_settler(need), "node binary, leader binary")
         found = found.union(storage.written(settled, "links"))
         large = checked.join(open_.where(F.col("work") > SMALL).select("leader"), "leader", "left_semi")
-        posts = large.select(F.col("leader").alias("before"), "node", "linked", F.explode("post").alias("hash")).unionByName(_inside_lists(large))
+        posts = large.select(F.col("leader").alias("before"), "node", "linked", F.explode("post").alias("hash")).unionByName(_inside_lists(large, need))
         lists = posts.groupBy("before", "hash").agg(F.count("*").alias("members"), F.bool_and("linked").alias("settled")).where("members > 1 and not settled")
-        shared = storage.written(posts.select("before", "hash", "node").join(lists.select("before", "hash", "members"), ["before", "hash"]), "postings")
-        pairs = storage.written(_with_leaders(shared, ["before", "hash"]), "pairs")
+        shared = posts.select("before", "hash", "node").join(lists.select("before", "hash", "members"), ["before", "hash"])
+        shared = storage.written(shared.withColumn("at", F.lit(0)), "postings")
+        pairs = storage.written(_with_leaders(shared, ["before", "hash"], 1), "pairs")
+        rounds += 1
+        if rounds % ROUNDS == 0:
+            found = storage.written(found, "links")
     return classes, found if found is not None else pairs.select("node", "leader")
 
 
-def _with_leaders(shared: DataFrame, key: list[str]) -> DataFrame:
-    """leader, node: each member of a list with the member of it that collides most over all lists."""
-    weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+def _with_leaders(shared: DataFrame, key: list[str], least: int) -> DataFrame:
+    """leader, node: each member of a list with the member of it that collides most over all lists.
+
+    Members of fewer than ``least`` lists are skipped; of the numbered lists, the last ``least`` - 1 aren't needed then.
+    """
+    weight = shared.groupBy("node").agg(F.sum("members").alias("weight"), F.count("*").alias("_lists")).where(F.col("_lists") >= least).select("node", "weight")
+    shared = shared.where(F.col("at") <= COORDINATES - least)
     leaders = shared.join(weight, "node").groupBy(*key).agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
     leaders = storage.written(leaders, "leaders")  # joined by an exchange of its own, so that a hot list can be split
-    return shared.join(leaders, key).where("node <> leader").select("leader", "node").distinct()
+    pairs = shared.join(leaders, key).where("node <> leader").select("leader", "node").distinct()
+    return pairs.join(weight.select("node"), "node", "left_semi").select("leader", "node") if least > 1 else pairs
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,11 +276,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges = storage.written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+def groups(docs: DataFrame, need: int = NEED) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs. need: hundredths of the union that a link needs."""
     storage.ship(docs.sparkSession)
     signed = storage.written(docs.select("doc_id", "text").mapInArrow(_sign, _SIGNED), "signatures")
-    classes, found = links(signed, docs)
+    classes, found = links(signed, docs, need)
     named = found.join(classes.select("node", F.col("rep").alias("a")), "node").join(classes.select(F.col("node").alias("leader"), F.col("rep").alias("b")), "leader")
     copies = signed.select("doc_id", "node").join(classes, "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     roots = components(named.select("a", "b").union(copies))
