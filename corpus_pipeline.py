@@ -1,6 +1,15 @@
 """A training corpus from raw documents: quality rules, line de-duplication, near-duplicates, decontamination, packing.
 
-Each stage takes all that the one before kept and returns the columns of documents (the last: pieces of sequences).
+Each stage takes all that the one before kept and returns the columns of documents (the last: pieces of sequences). Other
+columns of the input, whatever their names, aren't carried along. Nulls and odd rows:
+
+* quality rules: a null or empty text has no words and goes; rows with a null or repeated doc_id are judged by their texts;
+* line dedup: rows with a null doc_id stay as they are; rows that repeat a doc_id count as one document;
+* near-duplicates: rows with a null doc_id stay; where one row of a doc_id goes, all its rows go;
+* decontamination: a text without words stays; rows are judged one by one;
+* packing: a null text is one end id; every row is packed.
+
+An empty table gives an empty table in every stage. Without labels no rules are learned and only the base limits reject.
 """
 
 from __future__ import annotations
@@ -11,6 +20,8 @@ from pyspark.sql import functions as F
 from vacancia.llm import decontaminate, line_dedup, near_dups, packing, quality, storage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Hundredths of their shingles that near-duplicates have in common.
+SIMILARITY = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +38,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    gone = near_dups.groups(docs).where("not kept").select("doc_id").distinct().hint("merge")
+    gone = near_dups.groups(docs, SIMILARITY).where("not kept").select("doc_id").distinct().hint("merge")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
