@@ -521,9 +521,68 @@ def test_pipeline_against_its_operators(spark):
     lines = storage.written(p.line_deduplication(spark, kept, sf), "t")
     assert lines.count() == kept.count()
     near = storage.written(p.near_duplicates(spark, lines, sf), "t")
-    want = brute_groups([(r["doc_id"], r["text"]) for r in lines.collect()])
+    want = brute_groups([(r["doc_id"], r["text"]) for r in lines.collect()], p.SIMILARITY)
     assert {r["doc_id"] for r in near.collect()} == {i for i, (_, c) in want.items() if i == c}
     clean = storage.written(p.decontamination(spark, near, sf), "t")
     assert 0 < clean.count() <= near.count()
     pieces = p.sequence_packing(spark, clean, sf)
     assert {r["doc_id"] for r in pieces.collect()} == {r["doc_id"] for r in clean.collect()}
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, nothing):
+    """Nulls in every column, repeated ids, clashing columns and empty tables pass each stage; run() equals the stages by hand."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    odd = docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "lang as source", "cast(null as bigint) as n_chars", "lang as kept", "lang as drop")
+    for name, stage in p.STAGES:
+        got, none = stage(spark, odd, sf), stage(spark, odd.limit(0), sf)
+        assert none.count() == 0
+        ids = {r["doc_id"] for r in got.collect()}
+        if name != "packing":
+            assert got.columns == list(p.COLUMNS)
+            assert (None in ids) and ids <= {r[0] for r in ROWS}
+        else:
+            assert ids == {r[0] for r in ROWS}
+        if name == "line dedup":
+            assert ids == {r[0] for r in ROWS}
+        if name == "near-duplicates":
+            want = brute_groups([(i, t) for i, t, *_ in ROWS if i is not None], p.SIMILARITY)
+            assert ids - {None} == {i for i, (_, c) in want.items() if c == i}
+        if name == "decontamination":
+            assert ids == {r[0] for r in ROWS}
+
+
+def test_pipeline_equals_a_plain_version(spark, reference):
+    """The whole pipeline over a small table against plain Python: the learned rules are taken as they are, the rest is redone."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rules = quality.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = {r["doc_id"]: r["text"] or "" for r in quality.judge(docs, rules).where("kept").collect()}
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(decontaminate._LOWER)
+    holders = defaultdict(set)
+    for i, t in rows.items():
+        for line in t.split("\n"):
+            if len(key(line)) >= 20:
+                holders[key(line)].add(i)
+    rows = {i: "\n".join(x for x in t.split("\n") if len(holders[key(x)]) < 3 or max(holders[key(x)]) == i) for i, t in rows.items()}
+    rows = {i: rows[i] for i, (_, c) in brute_groups(rows.items(), p.SIMILARITY).items() if c == i}
+    normal = lambda t: re.findall(decontaminate.WORD, (t or "").translate(decontaminate._LOWER))
+    grams = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = normal(r["text"])
+        grams |= {" " + " ".join(w[i : i + 10]) + " " for i in range(max(1, len(w) - 9))} if w else set()
+    rows = {i: t for i, t in rows.items() if not any(g in f" {' '.join(normal(t))} " for g in grams)}
+    got = defaultdict(dict)
+    for r in p.run(spark, sf).collect():
+        got[r["doc_id"]][r["start"]] = (r["length"], r["ids_crc32"], r["doc_tokens"])
+    assert set(got) == set(rows)
+    for i, pieces in got.items():
+        ids, at = np.array([*reference(rows[i]), 0]), 0
+        while at < len(ids):
+            n, crc, total = pieces.pop(at)
+            assert (crc, total) == (packing.crc32_of(ids[at : at + n]), len(ids))
+            at += n
+        assert not pieces
