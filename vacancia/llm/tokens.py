@@ -20,11 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that the pieces remembered by one Python worker may take, in each of two generations.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 16 << 20
 #: What a remembered piece takes besides its bytes and ids.
 ENTRY_BYTES = 150
 #: Bytes of text that are cut into pieces at once; a longer text goes alone.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 #: How the byte-level alphabet writes a space; ASCII letters stand for themselves.
 SPACE = "\u0120"
 #: Classes of bytes: 1 letters and digits, 2 marks that end a word, 3 other ASCII characters that aren't white space.
