@@ -249,8 +249,9 @@ def test_match_arithmetic(spark):
     own = spark.createDataFrame([(9, t) for t in (1, 2, 4, 6)], "profile_id long, tech_id long")
     held = spark.createDataFrame([(9, 7)], "profile_id long, title_id int")
     jobs = spark.createDataFrame([(1, 7, "senior", None)], "job_id long, title_id int, experience_level string, years_of_experience double")
-    overlap = matching.skill_overlap(own, jt)
-    r = matching.reasons(matching.score(matching.pool(overlap, held, jobs), profiles, held, overlap, jobs, jt)).first()
+    shared = matching.pairs(matching.facts(profiles, own, held), matching.needs(jobs, jt))
+    r = matching.reasons(matching.score(shared)).first()
+    assert shared.count() == 1 and sorted(r["matched_skills"]) == [1, 2, 4, 6] and sorted(r["missing_skills"]) == [3, 5]
     assert (r["score"], r["matched"], r["matched_required"], r["missing"], r["verdict"]) == (79, 4, 2, 2, "meets") and r["title_points"] == 25.0
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,14 +43,38 @@ HEADER_CHARS = 90
 # Expressions ----------------------------------------------------------------------------------------------------------
 
 
+REFERENCE = r"&(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);"
+#: HTML's named characters, and the numbers that stand for other characters than their own.
+_NAMED = {name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}
+_RENUMBERED = {n: unescape(f"&#{n};") for n in (0, *range(0x80, 0xA0))}
+
+
+def _table(values: dict) -> Column:
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])
+
+
+def unescaped(text: Column) -> Column:
+    """``text`` with its character references (decimal, hexadecimal, named) as the characters; unknown names stay."""
+    gaps, names = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+
+    def character(name: Column) -> Column:
+        n = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 7), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("long")
+        valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        number = F.coalesce(_table(_RENUMBERED)[n.cast("int")], F.when(valid, own), F.lit("\ufffd"))
+        return F.when(name.startswith("#"), number).otherwise(F.coalesce(_table(_NAMED)[name], F.concat(F.lit("&"), name, F.lit(";"))))
+
+    joined = F.array_join(F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(character(F.get(names, i)), F.lit("")))), "")
+    return F.when(text.rlike(REFERENCE), joined).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
     """Text of an HTML fragment: list items as bullets, blocks as lines, scripts and styles out, entities decoded."""
     t = F.regexp_replace(html, r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style)\b[^>]*>.*?</\1\s*>", "")
     t = F.regexp_replace(t, r"(?i)<li\b[^>]*>", "\n• ")
     t = F.regexp_replace(t, rf"(?i)<(?:{BLOCK_TAGS})\b[^>]*>|</(?:{BLOCK_TAGS.replace('br|', '')})\s*>", "\n")
     t = F.regexp_replace(t, r"(?s)<[a-zA-Z/!?][^>]*>", "")
-    for entity, char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&bull;", "•"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
+    t = unescaped(t)
     t = F.regexp_replace(F.translate(t, "\u00a0\u200b", " "), r"[ \t]+\n", "\n")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
@@ -122,16 +149,28 @@ def employment_type(title: Column, text: Column, declared: Column) -> Column:
     return F.coalesce(declared, F.when(F.trim(F.concat(title, body)) == "", "unknown").otherwise(out))
 
 
-#: How sources spell employment types.
+#: How sources spell employment types, in lower case without marks and blanks.
 DECLARED = {
-    "full-time": "full_time", "full time": "full_time", "fulltime": "full_time", "permanent": "full_time", "regular": "full_time", "part-time": "part_time", "part time": "part_time", "parttime": "part_time",
-    "contract": "contract", "contractor": "contract", "freelance": "contract", "temporary": "temporary", "temp": "temporary", "seasonal": "temporary", "intern": "internship", "internship": "internship", "co-op": "internship",
+    "fulltime": "full_time", "full": "full_time", "fte": "full_time", "permanent": "full_time", "regular": "full_time",
+    "parttime": "part_time", "part": "part_time",
+    "intern": "internship", "interns": "internship", "internship": "internship", "internships": "internship", "coop": "internship",
+    "coopinternship": "internship", "internshipcoop": "internship", "student": "internship", "apprentice": "internship", "apprenticeship": "internship",
+    "contract": "contract", "contractor": "contract", "contracttohire": "contract", "consultant": "contract", "consulting": "contract", "freelance": "contract",
+    "temporary": "temporary", "temp": "temporary", "seasonal": "temporary", "fixedterm": "temporary",
 }
 
 
 def declared_employment(raw: Column) -> Column:
-    key = F.regexp_replace(F.regexp_replace(F.lower(F.trim(raw)), "_", " "), r"\s+", " ")
-    return F.create_map(*[x for k, v in DECLARED.items() for x in (F.lit(k), F.lit(v))])[key]
+    """The type for the whole value without marks, else for the first of its words that has one, else NULL."""
+    known = F.create_map(*[x for k, v in DECLARED.items() for x in (F.lit(k), F.lit(v))])
+    whole = known[F.regexp_replace(F.lower(raw), "[^a-z0-9]+", "")]
+    words = F.transform(F.split(F.lower(raw), "[^a-z0-9]+"), lambda w: known[w])
+    return F.coalesce(whole, F.get(F.filter(words, lambda x: x.isNotNull()), F.lit(0)))
+
+
+def job_level(title_level: Column, least_years: Column) -> Column:
+    """The level that the title names, else the one that the years asked for stand for."""
+    return F.coalesce(title_level, level_of_years(least_years))
 
 
 def header_kind(line: Column) -> Column:

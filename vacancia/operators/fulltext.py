@@ -1,4 +1,4 @@
-"""Full-text search over a token table: all words, "or", "-" and quoted phrases; rank by how close the words stand."""
+"""Full-text search over a token table: all words, "or", "-" and quoted phrases; rank by cover density."""
 
 from __future__ import annotations
 
@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that are neither kept nor searched.
-STOP = "a an and are as at be but by for from has have he her his i if in into is it its no not of on or our she so such that the their then there these they this to was we were will with you your".split()
+STOP = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he", "her", "his", "i",
+    "if", "in", "into", "is", "it", "its", "no", "not", "of", "on", "or", "our", "she", "so", "such", "that", "the",
+    "their", "then", "there", "these", "they", "this", "to", "was", "we", "were", "will", "with", "you", "your",
+)
+
+#: What a word without a weight of its own counts in a stretch.
+WEIGHT = 0.1
 
 
 def stem(word: Column) -> Column:
@@ -21,7 +28,7 @@ def stem(word: Column) -> Column:
 def token_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, term, position. Positions count every word, stop words too."""
     words = F.array_remove(F.split(F.lower(text), "[^a-z0-9+#]+"), "")
-    rows = docs.select(key, F.posexplode(words).alias("position", "word")).where(~F.col("word").isin(STOP))
+    rows = docs.select(key, F.posexplode(words).alias("position", "word")).where(~F.col("word").isin(list(STOP)))
     return rows.select(key, stem(F.col("word")).alias("term"), "position")
 
 
@@ -60,9 +67,34 @@ def search(tokens: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
         wanted = [holds(ws) if yes else ~holds(ws) for yes, ws in g]
         if any(yes for yes, _ in g):
             matches = matches | _all(wanted)
-    positions = F.array_sort(F.flatten(F.array(*at.values())))
-    span = F.greatest(F.lit(1), F.element_at(positions, -1) - F.element_at(positions, 1))
-    return docs.where(matches).select(key, F.round(F.size(positions) / (1 + F.log(1 + span.cast("double"))), 6).alias("rank"))
+    rank = F.lit(0.0)
+    for g in groups:
+        words_of = [w for yes, ws in g if yes for w in ws]
+        if words_of:
+            rank = rank + _density([at[w] for w in dict.fromkeys(words_of)])
+    return docs.where(matches).select(key, F.round(rank, 6).alias("rank"))
+
+
+def _density(positions: list[Column]) -> Column:
+    """Cover density: each shortest stretch that holds all the words adds WEIGHT, less for each other word in it."""
+    every = F.array_sort(F.flatten(F.array(*positions)))
+    latest = lambda xs, end: F.array_max(F.filter(xs, lambda x: x <= end))
+
+    def begin(end: Column) -> Column:
+        each = [latest(xs, end) for xs in positions]
+        complete = each[0].isNotNull()
+        for x in each[1:]:
+            complete = complete & x.isNotNull()
+        return F.when(complete, F.least(*each) if len(each) > 1 else each[0])
+
+    stretches = F.filter(F.transform(every, lambda end: F.struct(begin(end).alias("a"), end.alias("b"))), lambda s: s["a"].isNotNull())
+    shortest = F.filter(stretches, lambda s: F.size(F.filter(stretches, lambda o: (o["a"] == s["a"]) & (o["b"] < s["b"]))) == 0)
+
+    def value(s: Column) -> Column:
+        hits = F.size(F.filter(every, lambda x: x.between(s["a"], s["b"])))
+        return F.lit(WEIGHT) / (1 + F.greatest(F.lit(0), s["b"] - s["a"] - hits + 1))
+
+    return F.aggregate(F.transform(shortest, value), F.lit(0.0), lambda a, b: a + b)
 
 
 def _all(conditions: list[Column]) -> Column:

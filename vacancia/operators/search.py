@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.functions import geo
-from vacancia.plans.predicate import BUCKETS, Scope, _near, conditions, flagged_jobs, resolve
+from vacancia.plans.predicate import BUCKETS, Scope, conditions, flagged_jobs, resolve
 from vacancia.sources.bindings import Market
 
 
@@ -16,6 +16,8 @@ def sort_key(sort: str) -> Column:
         return F.unix_micros(F.coalesce(F.col("posted_at").cast("timestamp"), F.timestamp_micros(F.lit(0)))).alias("sort_key")
     if sort == "salary":
         return F.coalesce(F.col("salary_annual_max"), F.lit(-1)).cast("decimal(14,2)").alias("sort_key")
+    if sort == "relevance":  # of rows with their rank for a text query
+        return F.col("rank").alias("sort_key")
     raise ValueError(f"no sort {sort}")
 
 
@@ -34,7 +36,7 @@ def relaxations(market: Market, scope: Scope) -> DataFrame:
     tests = conditions(scope, known)
     named = {k: f"c{i}" for i, k in enumerate(tests)}
     wider = [b for b in BUCKETS if scope.location and b > scope.radius_miles]
-    jobs = flagged_jobs(market, known).select(*[c.alias(named[k]) for k, c in tests.items()], *[F.coalesce(F.col(_near(scope.location)) <= b * geo.MILE, F.lit(False)).alias(f"r{b}") for b in wider])
+    jobs = flagged_jobs(market, known).select(*[c.alias(named[k]) for k, c in tests.items()], *[F.coalesce(F.col(known.near(scope.location)) <= b * geo.MILE, F.lit(False)).alias(f"r{b}") for b in wider])
 
     def but(*gone: str, also: Column | None = None) -> Column:
         fits = F.lit(True) if also is None else also

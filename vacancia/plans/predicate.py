@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.functions import geo
+from vacancia.operators import fulltext
 from vacancia.sources.bindings import TITLES, Market
 
 #: Fixed values.
@@ -72,6 +73,19 @@ class Resolved:
     places: dict[str, tuple[float, float]] = field(default_factory=dict)
     titles: dict[str, int] = field(default_factory=dict)
 
+    @property
+    def texts(self) -> list[str]:
+        """The distinct text queries of the scopes."""
+        return sorted({s.q for s in self.scopes if s.q})
+
+    def near(self, place: str) -> str:
+        """The column with a job's least distance to a place."""
+        return f"_near_{sorted(self.places).index(place)}"
+
+    def rank(self, q: str) -> str:
+        """The column with a job's rank for a text query; NULL where it doesn't match."""
+        return f"_rank_{self.texts.index(q)}"
+
 
 def resolve(market: Market, scopes: list[Scope]) -> Resolved:
     """Looks up the slugs that the scopes name (only those are collected); an unknown one is an error, not an empty result."""
@@ -91,8 +105,10 @@ def countable() -> Column:
 
 
 def conditions(scope: Scope, known: Resolved) -> dict[str, Column]:
-    """The conditions of a scope by name; technologies and place read the flags that flagged_jobs() adds."""
+    """The conditions of a scope by name; text, technologies and place read the flags that flagged_jobs() adds."""
     out = {}
+    if scope.q:
+        out["q"] = F.col(known.rank(scope.q)).isNotNull()
     if scope.title:
         out["title"] = F.col("title_id") == known.titles[scope.title]
     for t in scope.technologies:
@@ -105,14 +121,10 @@ def conditions(scope: Scope, known: Resolved) -> dict[str, Column]:
     if scope.salary_min is not None:
         out["salary_min"] = F.col("salary_annual_max") >= scope.salary_min
     if scope.location:
-        out["location"] = F.col(_near(scope.location)) <= scope.radius_miles * geo.MILE
+        out["location"] = F.col(known.near(scope.location)) <= scope.radius_miles * geo.MILE
     return {k: F.coalesce(c, F.lit(False)) for k, c in out.items()}
 
 
-def _near(place: str) -> str:
-    return "_near_" + place.replace("-", "_")
-
-
 def flagged_jobs(market: Market, known: Resolved) -> DataFrame:
     """Countable jobs with the scoped technologies they ask for and their least distance to each scoped place."""
     jobs = market.jobs.where(countable())
@@ -121,13 +133,16 @@ def flagged_jobs(market: Market, known: Resolved) -> DataFrame:
         jobs = jobs.join(flags, "job_id", "left")
     if known.places:
         spots = market.job_locations.where(F.col("lat").isNotNull())
-        near = [F.min(geo.distance(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))).alias(_near(p)) for p, (lat, lon) in known.places.items()]
+        near = [F.min(geo.distance(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))).alias(known.near(p)) for p, (lat, lon) in known.places.items()]
         jobs = jobs.join(spots.groupBy("job_id").agg(*near), "job_id", "left")
+    tokens = fulltext.token_table(market.job_texts, "job_id") if known.texts else None
+    for q in known.texts:
+        jobs = jobs.join(fulltext.search(tokens, q, "job_id").withColumnRenamed("rank", known.rank(q)), "job_id", "left")
     return jobs
 
 
-def matching_jobs(market: Market, scopes: list[Scope]) -> DataFrame:
-    """scope_id (place in the list) and the columns of each matching job."""
+def matching_jobs(market: Market, scopes: list[Scope], ranked: bool = False) -> DataFrame:
+    """scope_id (place in the list) and the columns of each matching job; with ``ranked``, its rank for the scope's text query."""
     known = resolve(market, scopes)
     jobs = flagged_jobs(market, known)
     member = []
@@ -135,13 +150,17 @@ def matching_jobs(market: Market, scopes: list[Scope]) -> DataFrame:
         fits = F.lit(True)
         for c in conditions(scope, known).values():
             fits = fits & c
-        member.append(F.when(fits, F.lit(i)))
-    return jobs.select(F.explode(F.array_compact(F.array(*member))).alias("scope_id"), *market.jobs.columns)
+        rank = F.col(known.rank(scope.q)) if scope.q else F.lit(None).cast("double")
+        member.append(F.when(fits, F.struct(F.lit(i).alias("scope_id"), rank.alias("rank"))))
+    rows = jobs.select(F.explode(F.array_compact(F.array(*member))).alias("m"), *market.jobs.columns)
+    return rows.select("m.scope_id", *(["m.rank"] if ranked else []), *market.jobs.columns)
 
 
 def scope_sql(scope: Scope) -> str:
     """The predicate of one scope over the bound tables, for DuckDB."""
     parts = ["status = 'active'", "(dedupe_group_id is null or dedupe_group_id = job_id)"]
+    if scope.q:
+        parts.append(f"exists (select 1 from job_texts x where x.job_id = j.job_id and {text_sql(scope.q)})")
     if scope.title:
         parts.append(f"title_id = {dict((s, i) for i, s in TITLES.values())[scope.title]}")
     parts += [f"exists (select 1 from job_technologies t join technologies using (tech_id) where t.job_id = j.job_id and slug = '{t}')" for t in scope.technologies]
@@ -155,6 +174,13 @@ def scope_sql(scope: Scope) -> str:
     return " and ".join(parts)
 
 
+def text_sql(q: str) -> str:
+    """The text query on ``text`` itself; its words must be whole words of the text (none is changed by the stemmer)."""
+    wanted = lambda ws: f"regexp_matches(lower(text), '(^|[^a-z0-9+#]){'[^a-z0-9+#]+'.join(ws)}($|[^a-z0-9+#])')"
+    groups = [" and ".join(("" if yes else "not ") + wanted(ws) for yes, ws in g) for g in fulltext.parse(q)]
+    return "(" + " or ".join(f"({g})" for g in groups) + ")"
+
+
 def matching_sql(scopes: list[Scope]) -> str:
     """A common table expression ``matching`` with scope_id and the job's columns."""
     return "matching as (" + " union all ".join(f"select {i} as scope_id, j.* from jobs j where {scope_sql(s)}" for i, s in enumerate(scopes)) + ")"

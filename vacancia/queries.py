@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacancia.operators import market as dashboard
@@ -13,22 +13,26 @@ from vacancia.functions import urls
 from vacancia.operators import dedupe, detail, evaluate, fulltext, ingest, matching, mentions, places, resume, review, search, skills, snapshots
 from vacancia.operators import text as text_ops
 from vacancia.operators import titles as titles_ops
-from vacancia.plans.predicate import Scope, matching_jobs, matching_sql
+from vacancia.plans.predicate import Scope, countable, matching_jobs, matching_sql
 from vacancia.sources.bindings import SOURCES, SQL, TITLES, Market
 
 #: The dashboards that the queries answer, all in one pass.
 SCOPES = [
     Scope(),
-    Scope.canonical(title="backend-engineer", location="NATION_5", radius_miles=90),
+    Scope.canonical(title="backend-engineer", location="nation-5", radius_miles=90),
     Scope.canonical(technologies=["red-widget"], arrangement="remote"),
     Scope.canonical(experience_level="senior", salary_min=200_000),
     Scope.canonical(employment_type="unknown"),
     Scope.canonical(technologies=["red-widget", "blue-bolt"], title="ml-engineer"),
-    Scope.canonical(location="NATION_7", radius_miles=100, salary_min=400_000, technologies=["small-ring"], arrangement="onsite"),
+    Scope.canonical(location="nation-7", radius_miles=100, salary_min=400_000, technologies=["small-ring"], arrangement="onsite"),
+]
+#: Scopes with a text query: a phrase, a word left out, alternatives with other filters.
+TEXT_SCOPES = [
+    Scope.canonical(q='"red widget"'),
+    Scope.canonical(q="widget -blue", arrangement="remote"),
+    Scope.canonical(q='backend engineer "small ring" or bolt', location="nation-5", radius_miles=50),
+    Scope.canonical(q="no such words zzz"),
 ]
-for _s in SCOPES:
-    if _s.location:
-        object.__setattr__(_s, "location", _s.location.replace("_", "-"))
 MATCHING = f"{SQL}, {matching_sql(SCOPES)}"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -194,6 +198,27 @@ def search_page(m: Market) -> DataFrame:
     return search.page(matching_jobs(m, SCOPES[:1]), "salary", 50, (300000, 5000)).select("job_id", F.col("sort_key").cast("double"))
 
 
+@query(f"{MATCHING} select job_id, posted_at::date::varchar as posted_on, row_number() over (order by coalesce(posted_at, '1970-01-01') desc, job_id desc) as place from matching where scope_id = 2 qualify place <= 51")
+def search_page_by_recency(m: Market) -> DataFrame:
+    jobs = matching_jobs(m, SCOPES[2:3])
+    page = search.page(jobs, "recency", 50)
+    place = F.row_number().over(Window.orderBy(F.desc("sort_key"), F.desc("job_id")))  # at most 51 rows
+    return page.join(jobs.select("job_id", F.to_date("posted_at").cast("string").alias("posted_on")), "job_id").select("job_id", "posted_on", place.alias("place"))
+
+
+@query(f"{SQL}, {matching_sql(TEXT_SCOPES)} select scope_id, job_id from matching")
+def text_filter(m: Market) -> DataFrame:
+    return matching_jobs(m, TEXT_SCOPES).select("scope_id", "job_id")
+
+
+@query(f"""{SQL}, {matching_sql([Scope.canonical(q='widget', experience_level='senior')])}, w as (select job_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9+#]+'), lambda x: x <> '')) as word from job_texts),
+r as (select job_id, round(0.1 * count(*), 6)::double as sort_key from w where word = 'widget' group by 1)
+select job_id, sort_key from matching join r using (job_id) order by sort_key desc, job_id desc limit 51""")
+def search_page_by_relevance(m: Market) -> DataFrame:
+    ranked = matching_jobs(m, [Scope.canonical(q="widget", experience_level="senior")], ranked=True)
+    return search.page(ranked, "relevance", 50)
+
+
 # Duplicates, ingestion, review -----------------------------------------------------------------------------------------
 
 
@@ -367,10 +392,23 @@ _EMPLOYMENT = " ".join(f"when regexp_matches(substring(text, 1, 4000), {_quoted(
 _HEADERS = " ".join(f"when regexp_matches(bare, {_quoted(p)}) then '{kind}'" for kind, p in T.HEADERS)
 
 
-@query(f"with {_TEXTS} select doc_id, case when doc_id % 10 = 0 then 'part_time' {_EMPLOYMENT} else 'full_time' end as employment_type from texts")
+_TITLE_EMPLOYMENT = " ".join(f"when regexp_matches(title, {_quoted(t)}) then '{kind}'" for kind, t, _ in T.EMPLOYMENT)
+#: Titles and declared values, by doc_id, that the tables lack.
+_JOB_TITLES = ("Engineer", "Summer Internship", "Engineer (part-time)", "Consultant, Data", "Temporary Analyst", "", "Lead Developer", "Co-op Student", "Freelance Writer", "International Sales")
+_DECLARED = (None, "Full-Time / Salaried", None, "Permanent (UK)", None, "Intern - Summer", None, "W2 Contract", None, "to be discussed", None)
+_KNOWN = " ".join(f"when {{0}} = '{k}' then '{v}'" for k, v in T.DECLARED.items())
+
+
+def _nth(values: tuple) -> str:
+    return "[" + ", ".join("null" if v is None else _quoted(v) for v in values) + f"][doc_id % {len(values)} + 1]"
+
+
+@query(f"""with {_TEXTS}, t as (select doc_id, text, {_nth(_JOB_TITLES)} as title, lower({_nth(_DECLARED)}) as declared from texts),
+w as (select *, regexp_replace(declared, '[^a-z0-9]+', '', 'g') as whole, list_filter(list_transform(string_split_regex(declared, '[^a-z0-9]+'), lambda x: case {_KNOWN.format('x')} end), lambda x: x is not null)[1] as part from t)
+select doc_id, coalesce(case {_KNOWN.format('whole')} end, part, case when trim(title || substring(text, 1, 4000)) = '' then 'unknown' {_TITLE_EMPLOYMENT} {_EMPLOYMENT} else 'full_time' end) as employment_type from w""")
 def posting_employment(m: Market) -> DataFrame:
-    declared = T.declared_employment(F.when(F.col("doc_id") % 10 == 0, "Part-Time"))
-    return _texts(m).select("doc_id", T.employment_type(F.lit("Engineer"), F.col("text"), declared).alias("employment_type"))
+    of = lambda values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("doc_id") % len(values)).cast("int"))
+    return _texts(m).select("doc_id", T.employment_type(of(_JOB_TITLES), F.col("text"), T.declared_employment(of(_DECLARED))).alias("employment_type"))
 
 
 @query(f"with {_TEXTS}" + r""", l as (select doc_id, len, unnest(ls) as line, generate_subscripts(ls, 1) as i from (select doc_id, length(text) as len, string_split(text, chr(10)) as ls from texts)),
@@ -491,49 +529,71 @@ def tenure_islands(m: Market) -> DataFrame:
     return resume.tenure(spans, "profile_id", "2024-01-01")
 
 
-def _profiles(m: Market) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every 50th customer is a candidate: skills from expired orders, the own segment as title, years from the balance."""
-    c = m.table("customer").where(F.col("c_custkey") % 50 == 0)
-    profiles = c.select(F.col("c_custkey").alias("profile_id"), F.when(F.col("c_custkey") % 100 == 0, "senior").alias("level"), F.when(F.col("c_acctbal") > 0, F.floor(F.col("c_acctbal") / 1000).cast("double")).alias("years"))
-    own = m.jobs.where("status = 'expired'").select("job_id", F.col("company_id").alias("profile_id")).join(profiles.select("profile_id"), "profile_id", "left_semi")
-    skills_ = own.join(m.job_technologies.select("job_id", "tech_id"), "job_id").select("profile_id", "tech_id").distinct()
-    titles = own.join(m.jobs.select("job_id", "title_id"), "job_id").where(F.col("title_id").isNotNull()).select("profile_id", "title_id").distinct()
-    return profiles, skills_, titles
-
-
-_MATCH = f"""{MATCHING}, pr as (select c_custkey as profile_id, case when c_custkey % 100 = 0 then 'senior' end as level, case when c_acctbal > 0 then floor(c_acctbal / 1000)::double end as years from customer where c_custkey % 50 = 0),
-own as (select job_id, company_id as profile_id, title_id from jobs where status = 'expired' and company_id % 50 = 0), sk as (select distinct profile_id, tech_id from own join job_technologies using (job_id)), ti as (select distinct profile_id, title_id from own where title_id is not null),
-needs as (select job_id, count(*) filter (where requirement = 'required') as nr, count(*) filter (where requirement = 'preferred') as np, count(*) filter (where requirement = 'mentioned') as nm from job_technologies group by 1),
-hit as (select profile_id, job_id, count(*) filter (where requirement = 'required') as hr, count(*) filter (where requirement = 'preferred') as hp, count(*) filter (where requirement = 'mentioned') as hm from sk join job_technologies using (tech_id) group by all),
-mj as (select job_id, title_id, experience_level from matching where scope_id = 3), pool as (select profile_id, job_id from hit where job_id in (select job_id from mj) union select profile_id, job_id from ti join mj using (title_id)),
-x as (select profile_id, job_id, coalesce(nr, 0) as nr, coalesce(np, 0) as np, coalesce(nm, 0) as nm, coalesce(hr, 0) as hr, coalesce(hp, 0) as hp, coalesce(hm, 0) as hm, mj.title_id, exists (select 1 from ti where ti.profile_id = pool.profile_id) as has_t,
-  exists (select 1 from ti where ti.profile_id = pool.profile_id and ti.title_id = mj.title_id) as same_t, list_position(['entry', 'mid', 'senior', 'staff_plus'], experience_level) as want,
-  list_position(['entry', 'mid', 'senior', 'staff_plus'], coalesce(level, case when years >= 8 then 'staff_plus' when years >= 5 then 'senior' when years >= 2 then 'mid' when years is not null then 'entry' end)) as own
-  from pool join mj using (job_id) left join needs using (job_id) left join hit using (profile_id, job_id) join pr using (profile_id)),
-y as (select *, case when 2 * nr + np > 0 then (2 * hr + hp)::double / (2 * nr + np) when nm > 0 then hm::double / nm end as s, case when title_id is not null and has_t then same_t::int::double end as t, case when own >= want then 1.0::double when own < want then greatest(0.0::double, 1.0::double + 0.34::double * (own - want)) end as e from x),
-z as (select *, coalesce(s * 0.55::double, 0) + coalesce(t * 0.25::double, 0) + coalesce(e * 0.2::double, 0) as p, (case when s is not null then 0.55::double else 0 end) + (case when t is not null then 0.25::double else 0 end) + (case when e is not null then 0.2::double else 0 end) as w from y)"""
+def _profiles(m: Market, every: int = 100) -> DataFrame:
+    """The query set: customers whose id is divisible by ``every`` are candidates, with the skills of their expired orders, the own
+    segment as title, and years from the balance."""
+    c = m.table("customer").where(F.col("c_custkey") % every == 0)
+    profiles = c.select(F.col("c_custkey").alias("profile_id"), F.when(F.col("c_custkey") % 200 == 0, "senior").alias("level"), F.when(F.col("c_acctbal") > 0, F.floor(F.col("c_acctbal") / 1000).cast("double")).alias("years"))
+    own = m.jobs.where("status = 'expired'").select("job_id", F.col("company_id").alias("profile_id"), "title_id").join(profiles.select("profile_id"), "profile_id", "left_semi")
+    skills_ = own.join(m.job_technologies.select("job_id", "tech_id"), "job_id").select("profile_id", "tech_id")
+    return matching.facts(profiles, skills_, own.where(F.col("title_id").isNotNull()).select("profile_id", "title_id"))
+
+
+def _wanted(m: Market) -> DataFrame:
+    """Every countable job with its technologies."""
+    jobs = m.jobs.where(countable()).select("job_id", "title_id", "experience_level", "years_of_experience")
+    return matching.needs(jobs, m.job_technologies)
+
+
+_FACTS = """pr as (select c_custkey as profile_id, case when c_custkey % 200 = 0 then 'senior' end as level, case when c_acctbal > 0 then floor(c_acctbal / 1000)::double end as years from customer where c_custkey % {every} = 0),
+own as (select job_id, company_id as profile_id, title_id from jobs where status = 'expired' and company_id % {every} = 0),
+sk as (select profile_id, list(distinct tech_id) as skills from own join job_technologies using (job_id) group by 1), ti as (select profile_id, list(distinct title_id) as titles from own where title_id is not null group by 1),
+pf as (select profile_id, level, years, coalesce(skills, []) as skills, coalesce(titles, []) as titles, list_position(['entry', 'mid', 'senior', 'staff_plus'], coalesce(level, case when years >= 8 then 'staff_plus' when years >= 5 then 'senior' when years >= 2 then 'mid' when years is not null then 'entry' end)) as own
+  from pr left join sk using (profile_id) left join ti using (profile_id)),
+nd as (select job_id, list(tech_id) filter (where requirement = 'required') as rq, list(tech_id) filter (where requirement = 'preferred') as pq, list(tech_id) filter (where requirement = 'mentioned') as mq from job_technologies group by 1),
+mj as (select job_id, title_id, list_position(['entry', 'mid', 'senior', 'staff_plus'], experience_level) as want, years_of_experience as asked, coalesce(rq, []) as rq, coalesce(pq, []) as pq, coalesce(mq, []) as mq
+  from jobs left join nd using (job_id) where status = 'active' and (dedupe_group_id is null or dedupe_group_id = job_id)),
+"""
+_SCORES = """y as (select *, len(rq) as nr, len(pq) as np, len(mq) as nm, len(list_intersect(rq, skills)) as hr, len(list_intersect(pq, skills)) as hp, len(list_intersect(mq, skills)) as hm from x),
+e as (select *, case when 2 * nr + np > 0 then (2 * hr + hp)::double / (2 * nr + np) when nm > 0 then hm::double / nm end as s, case when title_id is not null and len(titles) > 0 then list_contains(titles, title_id)::int::double end as t,
+  case when want is not null then case when own >= want then 1.0::double when own < want then greatest(0.0::double, 1.0::double + 0.34::double * (own - want)) end when asked is not null then case when years >= asked then 1.0::double when years is not null then least(1.0::double, greatest(0.0::double, years / asked)) end end as e,
+  case when want is not null then case when own is null then 'unknown' when own > want then 'exceeds' when own = want then 'meets' else 'below' end when asked is null then 'unspecified' when years is null then 'unknown' when years > asked then 'exceeds' when years = asked then 'meets' else 'below' end as verdict from y),
+z as (select *, coalesce(s * 0.55::double, 0) + coalesce(t * 0.25::double, 0) + coalesce(e * 0.2::double, 0) as p, (case when s is not null then 0.55::double else 0 end) + (case when t is not null then 0.25::double else 0 end) + (case when e is not null then 0.2::double else 0 end) as w from e),
+f as (select *, round_even(round(coalesce(p * 100 / nullif(w, 0), 0), 9), 0)::bigint as score from z)"""
+_MATCH = f"{SQL}, {_FACTS.format(every=100)} x as (select * from pf, mj where list_has_any(list_concat(rq, pq, mq), skills) or list_contains(titles, title_id)), {_SCORES}"
 
 
 def _scored(m: Market) -> DataFrame:
-    profiles, skills_, titles = _profiles(m)
-    jobs = matching_jobs(m, SCOPES).where("scope_id = 3").select("job_id", "title_id", "experience_level").withColumn("years_of_experience", F.lit(None).cast("double"))
-    overlap = matching.skill_overlap(skills_, m.job_technologies)
-    pairs = matching.pool(overlap.join(jobs.select("job_id"), "job_id", "left_semi"), titles, jobs)
-    return matching.score(pairs, profiles, titles, overlap, jobs, m.job_technologies)
+    return matching.score(matching.pairs(_profiles(m), _wanted(m)))
 
 
-@query(f"{_MATCH} select profile_id, job_id, round_even(round(coalesce(p * 100 / nullif(w, 0), 0), 9), 0)::bigint as score, hr as matched_required, hr + hp + hm as matched from z qualify row_number() over (partition by profile_id order by round_even(round(coalesce(p * 100 / nullif(w, 0), 0), 9), 0) desc, hr desc, hr + hp + hm desc, job_id) <= 20")
+@query(f"{_MATCH} select profile_id, job_id, score, hr as matched_required, hr + hp + hm as matched from f qualify row_number() over (partition by profile_id order by score desc, hr desc, hr + hp + hm desc, job_id) <= 20")
 def profile_matches(m: Market) -> DataFrame:
     return matching.ranked(_scored(m), 20).select("profile_id", "job_id", "score", "matched_required", "matched")
 
 
-@query(f"""{_MATCH}, f as (select *, coalesce(round(coalesce(s * 0.55::double, 0) * 100 / nullif(w, 0), 1), 0) as sp, coalesce(round(coalesce(t * 0.25::double, 0) * 100 / nullif(w, 0), 1), 0) as tp, coalesce(round(coalesce(e * 0.2::double, 0) * 100 / nullif(w, 0), 1), 0) as ep,
-  case when own is null then 'unknown' when own > want then 'exceeds' when own = want then 'meets' else 'below' end as verdict, nr + np - hr - hp as missing from z)
-select profile_id, job_id, round_even(round(coalesce(p * 100 / nullif(w, 0), 0), 9), 0)::bigint as score, sp as skills_points, tp as title_points, ep as experience_points, verdict,
+@query(f"""{_MATCH}, g as (select *, coalesce(round(coalesce(s * 0.55::double, 0) * 100 / nullif(w, 0), 1), 0) as sp, coalesce(round(coalesce(t * 0.25::double, 0) * 100 / nullif(w, 0), 1), 0) as tp, coalesce(round(coalesce(e * 0.2::double, 0) * 100 / nullif(w, 0), 1), 0) as ep, nr + np - hr - hp as missing,
+  list_sort(list_concat(list_intersect(rq, skills), list_intersect(pq, skills), list_intersect(mq, skills))) as has, list_sort(list_filter(list_concat(rq, pq), lambda x: not list_contains(skills, x))) as lacks from f)
+select profile_id, job_id, score, sp as skills_points, tp as title_points, ep as experience_points, verdict, array_to_string(has, ',') as matched_skills, array_to_string(lacks, ',') as missing_skills,
 concat_ws('; ', case when hr + hp + hm > 0 then (hr + hp + hm) || ' skills matched, ' || hr || ' required' end, case when missing > 0 then missing || ' skills missing' end, case when tp > 0 then 'same title family' end,
-case when verdict in ('meets', 'exceeds') then verdict || ' the level' when verdict = 'below' then 'below the level' end) as reasons from f""")
+case when verdict in ('meets', 'exceeds') then verdict || ' the level' when verdict = 'below' then 'below the level' end) as reasons from g""")
 def match_explanations(m: Market) -> DataFrame:
-    return matching.reasons(_scored(m)).select("profile_id", "job_id", "score", "skills_points", "title_points", "experience_points", "verdict", "reasons")
+    listed = lambda c: F.array_join(F.array_sort(F.col(c)), ",").alias(c)
+    return matching.reasons(_scored(m)).select("profile_id", "job_id", "score", "skills_points", "title_points", "experience_points", "verdict", listed("matched_skills"), listed("missing_skills"), "reasons")
+
+
+@query(f"""{SQL}, {_FACTS.format(every=1)} sv as (select o_custkey as user_id, ((o_orderkey * 7) // 10) * 10 + 1 as k, o_orderdate as created_at from orders where o_orderkey % 5 = 0),
+s0 as (select user_id, job_id, max(created_at) as created_at from sv join mj on job_id = k group by all), cu as (select c_custkey as user_id, c_custkey as profile_id from customer where c_custkey % 3 <> 0),
+x as (select * from s0 join cu using (user_id) join pf using (profile_id) join mj using (job_id)), {_SCORES}
+select user_id, s0.job_id, s0.created_at::date::varchar as saved_on, score, hr + hp + hm as matched, nr + np - hr - hp as missing, verdict, row_number() over (partition by user_id order by s0.created_at desc, s0.job_id desc) as place
+from s0 left join f using (user_id, job_id)""")
+def saved_jobs_board(m: Market) -> DataFrame:
+    o, wanted = m.table("orders"), _wanted(m)
+    saved = o.where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("user_id"), (F.floor(F.col("o_orderkey") * 7 / 10) * 10 + 1).alias("job_id"), F.col("o_orderdate").alias("created_at"))
+    saved = saved.join(wanted.select("job_id"), "job_id", "left_semi").groupBy("user_id", "job_id").agg(F.max("created_at").alias("created_at"))
+    current = m.table("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("user_id"), F.col("c_custkey").alias("profile_id"))
+    board = matching.saved_board(saved, current, _profiles(m, 1), wanted)
+    return board.select("user_id", "job_id", F.to_date("created_at").cast("string").alias("saved_on"), "score", "matched", "missing", "verdict", "place")
 
 
 @query("""with r as (select o_custkey as user_id, o_orderkey as profile_id, case when o_orderkey % 3 <> 0 then o_orderdate end as reviewed_at from orders)

@@ -55,9 +55,20 @@ class Market:
             F.when(F.col("o_orderstatus") == "F", "expired").otherwise("active").alias("status"),
             _pick(F.col("o_orderpriority"), LEVELS).alias("experience_level"), _pick(key % 4, ARRANGEMENTS).alias("arrangement"), _pick(key % 7, EMPLOYMENT).alias("employment_type"),
             low.alias("salary_annual_min"), high.alias("salary_annual_max"), _pick(F.col("c_mktsegment"), {k: v[0] for k, v in TITLES.items()}).alias("title_id"),
-            (key % 3).cast("int").alias("source_id"), F.when(key % 13 == 0, key).when(key % 13 == 1, key - 1).alias("dedupe_group_id"),
+            F.when(key % 2 == 0, (key % 12).cast("double")).alias("years_of_experience"), (key % 3).cast("int").alias("source_id"), F.when(key % 13 == 0, key).when(key % 13 == 1, key - 1).alias("dedupe_group_id"),
         )
 
+    @cached_property
+    def job_texts(self) -> DataFrame:
+        """job_id, text: the title's words and the names of the job's parts, in the order of its lines."""
+        words = {i: slug.replace("-", " ") for i, slug in TITLES.values()}
+        parts = self.table("part").select("p_partkey", "p_name")
+        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        listed = lines.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("ls"))  # a few lines an order
+        title = F.coalesce(_pick(F.col("title_id"), words), F.lit("engineer"))
+        body = F.array_join(F.transform(F.coalesce("ls", F.array().cast("array<struct<l_linenumber: int, p_name: string>>")), lambda x: x["p_name"]), " ")
+        return self.jobs.select("job_id", "title_id").join(listed, "job_id", "left").select("job_id", F.concat_ws(" ", title, body).alias("text"))
+
     @cached_property
     def companies(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("company_id"), F.col("c_name").alias("name"))
@@ -109,9 +120,12 @@ jobs as (
   select o_orderkey as job_id, o_custkey as company_id, o_orderdate as posted_at, case when o_orderstatus = 'F' then 'expired' else 'active' end as status,
     {_case('o_orderpriority', LEVELS)} as experience_level, {_case('o_orderkey % 4', ARRANGEMENTS)} as arrangement, {_case('o_orderkey % 7', EMPLOYMENT)} as employment_type,
     case when o_orderkey % 3 <> 0 then o_totalprice::decimal(12,2) end as salary_annual_min, case when o_orderkey % 3 <> 0 then round(o_totalprice * 1.2, 2)::decimal(12,2) end as salary_annual_max,
-    {_case('c_mktsegment', {k: v[0] for k, v in TITLES.items()})} as title_id, o_orderkey % 3 as source_id,
+    {_case('c_mktsegment', {k: v[0] for k, v in TITLES.items()})} as title_id, case when o_orderkey % 2 = 0 then (o_orderkey % 12)::double end as years_of_experience, o_orderkey % 3 as source_id,
     case when o_orderkey % 13 = 0 then o_orderkey when o_orderkey % 13 = 1 then o_orderkey - 1 end as dedupe_group_id
   from orders join customer on o_custkey = c_custkey),
+job_texts as (
+  select job_id, concat_ws(' ', coalesce({_case('title_id', {i: s.replace('-', ' ') for i, s in TITLES.values()})}, 'engineer'), coalesce(string_agg(p_name, ' ' order by l_linenumber, p_name), '')) as text
+  from jobs left join (lineitem join part on l_partkey = p_partkey) on l_orderkey = job_id group by job_id, title_id),
 companies as (select c_custkey as company_id, c_name as name from customer),
 job_technologies as (
   select l_orderkey as job_id, tech_id, case min({_case('l_returnflag', {k: v[0] for k, v in REQUIREMENTS.items()})}) when 1 then 'required' when 2 then 'preferred' else 'mentioned' end as requirement

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.functions.text import declared_employment
+from vacancia.functions.text import declared_employment, unescaped
 
 #: The shape of all feeds after mapping.
 POSTING = "external_id string, title string, description_html string, apply_url string, location_texts array<string>, posted_at timestamp, employment_type string, content_hash string, payload string"
-#: Names under which feed A declares employment types; entities in its escaped HTML.
+#: Names under which feed A declares employment types.
 EMPLOYMENT_NAMES = ("employment type", "employment_type", "employmenttype", "job type", "type of employment", "commitment", "time type", "worker type", "position type", "contract type", "employment status")
 _A = "id string, title string, content string, absolute_url string, updated_at string, location struct<name: string>, offices array<struct<name: string>>, metadata array<struct<name: string, value: string>>"
 _B = "id string, text string, hostedUrl string, country string, createdAt bigint, description string, additional string, lists array<struct<text: string, content: string>>, categories struct<allLocations: array<string>, location: string, commitment: string>"
@@ -17,7 +17,9 @@ _B = "id string, text string, hostedUrl string, country string, createdAt bigint
 
 def _finish(rows: DataFrame) -> DataFrame:
     fields = ("external_id", "title", "description_html", "apply_url", "location_texts", "posted_at", "employment_type")
-    hashed = F.sha2(F.to_json(F.struct(*fields)), 256)
+    # Every field of the payload counts, whatever the order of its keys: entries of the top level are sorted by key.
+    entries = F.array_sort(F.map_entries(F.from_json("payload", "map<string, string>")))
+    hashed = F.sha2(F.to_json(F.coalesce(entries, F.array().cast("array<struct<key: string, value: string>>"))), 256)
     return rows.select(*fields, hashed.alias("content_hash"), "payload")
 
 
@@ -27,9 +29,7 @@ def feed_a(landed: DataFrame) -> DataFrame:
     places = F.filter(F.array_distinct(F.concat(F.array("j.location.name"), F.coalesce(F.transform("j.offices", lambda o: o["name"]), F.array().cast("array<string>")))), lambda x: F.trim(x) != "")
     values = F.transform(F.filter("j.metadata", lambda m: F.lower(F.trim(m["name"])).isin(list(EMPLOYMENT_NAMES))), lambda m: F.coalesce(F.from_json(m["value"], "array<string>"), F.array(m["value"])))
     declared = F.get(F.array_compact(F.transform(F.flatten(values), declared_employment)), F.lit(0))
-    html = F.col("j.content")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        html = F.replace(html, F.lit(entity), F.lit(char))
+    html = unescaped(F.col("j.content"))
     return _finish(j.where("j.id is not null").select(F.col("j.id").alias("external_id"), F.col("j.title").alias("title"), html.alias("description_html"), F.col("j.absolute_url").alias("apply_url"), places.alias("location_texts"), F.try_to_timestamp("j.updated_at").alias("posted_at"), declared.alias("employment_type"), "payload"))
 
 
