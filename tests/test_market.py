@@ -51,6 +51,10 @@ class Micro:
         add(27, 2, [NYC], [("react", "required")], 500_000, "hybrid", "entry", "full_time", group=13)
         self.jobs = spark.createDataFrame(rows, "job_id long, source_id int, title_id int, status string, arrangement string, experience_level string, employment_type string, salary_annual_min double, salary_annual_max double, dedupe_group_id long, posted_at timestamp, company_id long")
         self.job_technologies = spark.createDataFrame(tech, "job_id long, tech_id long, requirement string")
+        words = {}
+        for i, t, _ in tech:
+            words.setdefault(i, []).append(TECHS[t])
+        self.job_texts = spark.createDataFrame([(r[0], " ".join(["Engineer with", *words.get(r[0], [])])) for r in rows], "job_id long, text string")
         self.technologies = spark.createDataFrame([(i, t, t, "language") for i, t in enumerate(TECHS)], "tech_id long, slug string, name string, category string")
         self.job_locations = spark.createDataFrame(loc, "job_id long, city string, region string, lat double, lon double")
         self.cities = spark.createDataFrame([(c[0], "X", c[1], c[2], c[0].lower().replace(" ", "-")) for c in (SF, OAK, SJ, NYC, DEN)], "city string, region string, lat double, lon double, city_slug string")
@@ -296,3 +300,58 @@ def test_plans_keep_their_shape(micro):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     plan = snapshots.metro_members(micro.job_locations, micro.cities, 25)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_extraction_resumes_by_slices(spark, tmp_path):
+    from vacancia.operators import extraction
+
+    rows = spark.createDataFrame([(i, "Senior Engineer" if i % 2 else "Engineer", f"{i % 12}+ years of experience") for i in range(60)], "job_id long, title string, text string")
+    path = str(tmp_path / "facts")
+    calls = []
+    watched = lambda df: calls.append(sorted(r["job_id"] for r in df.select("job_id").collect())) or extraction.facts(df)
+    assert extraction.run(rows, path, watched, slices=4, most=2) == 2
+    first = list(calls)
+    assert extraction.run(rows, path, watched, slices=4) == 2
+    assert sorted(i for c in calls for i in c) == list(range(60)) and calls[:2] == first
+    assert extraction.run(rows, path, watched, slices=4) == 0 and len(calls) == 4
+    more = rows.union(spark.createDataFrame([(100, "Engineer", "")], rows.schema))
+    assert extraction.run(more, path, watched, slices=4) == 1 and calls[-1] == [100]
+    c = extraction.counters(extraction.extracted(spark, path)).first()
+    assert (c["processed"], c["with_level"], c["with_salary"]) == (61, 30 + sum(0 < i % 12 for i in range(0, 60, 2)), 0)
+
+
+def test_character_references_and_declared_types(spark):
+    from html import unescape
+
+    from pyspark.sql import functions as F
+
+    from vacancia.functions import text as T
+
+    texts = ["a &#8217; b &eacute;&#x27;&amp;lt; &nosuch; & x; &#128; &#0; &#x1F600; &#1114112;", "plain", "", None, "&lt;p&gt;"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.unescaped(F.col("t")).alias("u")).collect()
+    assert [r["u"] for r in got] == [t and unescape(t) for t in texts]
+    declared = {"Full-Time / Salaried": "full_time", "Permanent (UK)": "full_time", "Intern - Summer": "internship", "W2 Contract": "contract", "FULL_TIME": "full_time", "nothing": None, "": None, None: None}
+    rows = spark.createDataFrame([(d,) for d in declared], "d string").select("d", T.declared_employment(F.col("d")).alias("e")).collect()
+    assert {r["d"]: r["e"] for r in rows} == declared
+
+
+def test_rank_by_cover_density(spark):
+    from vacancia.operators import fulltext
+
+    tokens = fulltext.token_table(spark.createDataFrame([(1, "red widget and blue widget red"), (2, "widget"), (3, "red x y widget")], "doc_id int, text string"))
+    rank = lambda q: {r["doc_id"]: r["rank"] for r in fulltext.search(tokens, q).collect()}
+    assert rank("widget") == {1: 0.2, 2: 0.1, 3: 0.1}
+    # Shortest stretches of both words in the first text: 0-1, 1... to the last red (4-5); in the third 0-3 with two words between.
+    assert rank("red widget") == {1: 0.2, 3: round(0.1 / 3, 6)}
+    assert rank("red -widget") == {} and set(rank("blue or x")) == {1, 3}
+
+
+def test_a_scope_with_a_text_query_counts_what_matches(micro):
+    assert count(micro, q="no such words zzz") == 0 < count(micro)
+    assert count(micro, q="engineer") == count(micro)
+    assert count(micro, q="python postgresql") == count(micro, technologies=["python", "postgresql"])
+    assert count(micro, q="go or react") == count(micro, technologies=["go"]) + count(micro, technologies=["react"])
+    assert count(micro, q="python", arrangement="remote") == count(micro, technologies=["python"], arrangement="remote")
+    assert count(micro, q='"python postgresql"', location="san-francisco") == 6
+    ranked = matching_jobs(micro, [Scope.canonical(q="python"), Scope()], ranked=True)
+    assert ranked.where("scope_id = 0 and rank is null or scope_id = 1 and rank is not null").count() == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vacancia.operators import market as dashboard
 from vacancia.functions import text as T
 from vacancia.functions import urls
-from vacancia.operators import dedupe, detail, evaluate, fulltext, ingest, matching, mentions, places, resume, review, search, skills, snapshots
+from vacancia.operators import dedupe, detail, evaluate, extraction, fulltext, ingest, matching, mentions, places, resume, review, search, skills, snapshots
 from vacancia.operators import text as text_ops
 from vacancia.operators import titles as titles_ops
 from vacancia.plans.predicate import Scope, countable, matching_jobs, matching_sql
@@ -38,6 +38,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 def query(sql: str | None = None):
     """Registers a query under its function's name, with its oracle."""
 
@@ -379,15 +383,68 @@ def posting_facts(m: Market) -> DataFrame:
     return _texts(m).select("doc_id", y.alias("years"), T.level_of_years(y).alias("level"), T.arrangement(F.col("text"), F.lit(False)).alias("arrangement"))
 
 
+#: Titles, by doc_id, and the levels that they name.
+_LEVEL_TITLES = ("Senior Engineer", "Engineer", "Junior Data Engineer", "Staff Engineer (Remote)", "Software Engineer II", "Data Scientist, Principal", "Engineer")
+_NAMED = ("senior", None, "entry", "staff_plus", "mid", "staff_plus", None)
+_YEARS_SQL = _SQL["posting_facts"].split("select doc_id, years, case")[0]
+
+
+def _levelled(m: Market) -> DataFrame:
+    title = F.get(F.array(*[F.lit(t) for t in _LEVEL_TITLES]), (F.col("doc_id") % len(_LEVEL_TITLES)).cast("int"))
+    return _texts(m).select(F.col("doc_id").alias("job_id"), title.alias("title"), "text")
+
+
+_LEVELLED = f"""{_YEARS_SQL}, v as (select doc_id as job_id, years, coalesce([{', '.join(_quoted(x) if x else 'null' for x in _NAMED)}][doc_id % {len(_NAMED)} + 1], case when years < 2 then 'entry' when years < 5 then 'mid' when years < 8 then 'senior' when years >= 8 then 'staff_plus' end) as level from y)"""
+
+
+@query(f"{_LEVELLED} select job_id, level, years from v")
+def job_levels(m: Market) -> DataFrame:
+    return extraction.facts(_levelled(m)).select("job_id", "level", "years")
+
+
+@query(f"{_LEVELLED}, f as ({_SQL['posting_facts']}) select count(*) as processed, count(v.level) as with_level, count(v.years) as with_years, count(arrangement) as with_arrangement from v join f on doc_id = job_id")
+def extraction_counters(m: Market) -> DataFrame:
+    return extraction.counters(extraction.facts(_levelled(m))).drop("with_salary")
+
+
+@query("select n_name as raw_text, count(*) as n_locations from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 3 = 0 and n_nationkey % 2 = 0 group by 1")
+def ungeocoded_places(m: Market) -> DataFrame:
+    places = m.table("supplier").join(m.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey % 3 = 0")
+    return extraction.ungeocoded(places.select(F.col("n_name").alias("raw_text"), F.when(F.col("n_nationkey") % 2 == 1, 25.0).alias("lat")))
+
+
+@query(f"""{SQL}, w as (select job_id, company_id, title_id, experience_level from jobs where job_id % 100 = 0),
+l as (select job_id, string_agg(distinct city, ',' order by city) as places from job_locations group by 1),
+t as (select job_id, string_agg(distinct slug, ',' order by slug) filter (where requirement = 'required') as required, string_agg(distinct slug, ',' order by slug) filter (where requirement = 'preferred') as preferred,
+  string_agg(distinct slug, ',' order by slug) filter (where requirement = 'mentioned') as mentioned from job_technologies join technologies using (tech_id) group by 1)
+select job_id, case title_id {' '.join(f"when {i} then '{s}'" for i, s in TITLES.values())} end as title_slug, name as company, experience_level, coalesce(places, '') as places, coalesce(required, '') as required, coalesce(preferred, '') as preferred, coalesce(mentioned, '') as mentioned
+from w left join companies using (company_id) left join l using (job_id) left join t using (job_id)""")
+def job_summaries(m: Market) -> DataFrame:
+    """The query set: every job whose id is divisible by 100."""
+    families = m.spark.createDataFrame(list(TITLES.values()), "title_id int, title_slug string")
+    return extraction.summaries(m.jobs.where("job_id % 100 = 0"), m.jobs, families, m.companies, m.job_locations, m.job_technologies.join(m.technologies.select("tech_id", "slug"), "tech_id"))
+
+
+@query(f"{SQL} select job_id, case title_id {' '.join(f'when {i} then {_quoted(s)}' for i, s in TITLES.values() if i != 3)} end as title_slug from jobs")
+def jobs_with_titles(m: Market) -> DataFrame:
+    families = m.spark.createDataFrame([v for v in TITLES.values() if v[0] != 3], "title_id int, title_slug string")
+    return extraction.with_titles(m.jobs, families).select("job_id", "title_slug")
+
+
+@query("select o_orderkey as external_id, o_orderkey % 3 as source_id, case when o_orderkey % 3 = 0 then o_orderpriority end as title from orders where o_orderkey % 3 <> 1")
+def enabled_postings(m: Market) -> DataFrame:
+    """Three feeds, of which the second isn't enabled; the third has no titles."""
+    o = m.table("orders")
+    feeds = {name: o.where(F.col("o_orderkey") % 3 == k).select(F.col("o_orderkey").alias("external_id"), *([F.col("o_orderpriority").alias("title")] if k < 2 else [])) for k, (name, _, _) in SOURCES.items()}
+    sources = m.spark.createDataFrame([(k, name, k != 1) for k, (name, _, _) in SOURCES.items()], "source_id int, name string, enabled boolean")
+    return extraction.enabled_postings(feeds, sources).select("external_id", "source_id", "title")
+
+
 @query()
 def posting_salaries(m: Market) -> DataFrame:
     return _texts(m).select("doc_id", T.salary(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
 _EMPLOYMENT = " ".join(f"when regexp_matches(substring(text, 1, 4000), {_quoted(body)}) then '{kind}'" for kind, _, body in T.EMPLOYMENT)
 _HEADERS = " ".join(f"when regexp_matches(bare, {_quoted(p)}) then '{kind}'" for kind, p in T.HEADERS)
 
