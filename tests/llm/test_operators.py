@@ -472,10 +472,29 @@ def test_licences_as_they_are_written(spark):
         (MIT, "EF", ["MIT"]), (comment(MIT, " * "), "EF", ["MIT"]), (flat(MIT), "EF", ["MIT"]), (MIT.replace("\n", "\r\n"), "EF", ["MIT"]), (BSD_2, "IJ", ["BSD-2-Clause"]), (BSD_3, "IJK", ["BSD-3-Clause"]), (comment(BSD_3, "// "), "IJK", ["BSD-3-Clause"]),
         (BSD_3.replace("the copyright holder nor", "Number Inc. nor"), "IJK", ["BSD-3-Clause"]), (APACHE, "BGH", ["Apache-2.0"]), (comment(APACHE, "# "), "BGH", ["Apache-2.0"]), (flat(APACHE), "BGH", ["Apache-2.0"]), (asf, "BGH", ["Apache-2.0"]),
         (f"{APACHE}\n\n{MIT}", "BGHEF", ["Apache-2.0", "MIT"]), ("x\nReleased under the MIT License\ny", "A", ["MIT"]), ("Released under\nthe MIT License.", "A", ["MIT"]),
+        ("The project is released under the MIT license.", "A", ["MIT"]), ("This software is distributed under the terms of the\nApache License, Version 2.0.", "B", ["Apache-2.0"]), ("Licensed under the GPLv3", "g", ["GPL-3.0-only"]),
+        ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed", "M", ["GPL-3.0-or-later"]),
+        (" * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.", "", []),
+        ("This is free and unencumbered software released into the public domain.", "S", ["Unlicense"]), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "W", ["CC-BY-SA-4.0"]), ("Available under the 3-Clause BSD License", "d", ["BSD-3-Clause"]), ("licensed under penalty of law", "", []),
         ("Released under the MIT License" + "\n" * 50_000 + "- \n" * 50_000 + MIT, "AEF", ["MIT"]), ("Released under\n\nthe MIT License.", "", []), ("Not released under the MIT License.", "", []), ("Released under the MIT License of old.", "", []), ("P L released under the MIT license", "", []),
     ]
     got = {r["doc_id"]: (r["sequence"], r["licenses"]) for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id bigint, text string")).collect()}
     assert got == {i: (s, n) for i, (_, s, n) in enumerate(cases)}
+    assert set(licenses.SENTENCES) == {i for ids, _ in licenses.RULES for i in ids}
+
+
+def test_licences_of_every_sentence_equal_the_sql(spark):
+    """Every known sentence in its one wording, alone and in rows, by the operator and by its SQL."""
+    import duckdb
+
+    names, rng = list(licenses.SENTENCES), random.Random(4)
+    rows = [(i, licenses.SENTENCES[k]) for i, k in enumerate(names)] + [(100 + i, "\n".join(licenses.SENTENCES[k] for k in rng.choices(names, k=6)) + "\nother words") for i in range(40)] + [(900, None), (901, "")]
+    import pandas as pd
+
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    want = {r[0]: r[1:] for r in duckdb.sql(licenses.digest_sql()).fetchall()}
+    got = {r["doc_id"]: (r["n_sentences"], r["licenses"]) for r in licenses.digest(licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert got == want and all(got[i][0] == 1 for i in range(len(names)))
 
 
 def test_urls(spark):
@@ -498,9 +517,11 @@ def test_urls(spark):
 def test_every_variant_of_a_pattern_rule_is_a_candidate(spark):
     variants = [
         "http://spam-farm.net/", "http://a.SPAM-farm.net/x", "http://cheap-pills.net", "http://my-cheap-pills.net", "http://a.discount-pills.net", "http://casino.net", "http://the-casino-1.net/", "http://xxx.net", "http://a.xxx",
+        "http://a.net/wp-login.php", "http://a.net/x/WP-login.php?a", "http://a.net/buy-essay", "http://a.net/buy-cheap-essays/1", "http://a.net/?x;PHPSESSID=1", "http://a.net/a?affid=7&b",
+        *(f"http://{h}" for w in ("poker", "roulette", "jackpot", "sportsbook", "porn", "escorts", "camgirls", "warez", "keygen", "torrents", "payday", "fastcash") for h in (f"{w}.net", f"my-{w}.a.net/x", f"A.{w.upper()}-1.net")),
         "http://a.net/?ref=clickbait", "http://a.net/?ref=click-bait", "http://a.net/?x=1&REF=ClickBait&y", "http://a.net/?a&ref=CLICK-BAIT#z",
     ]
-    near = ["http://a.net/?ref=clickbaits", "http://a.net/ref=clickbait", "http://a.net/?ref=click", "http://pills.net", "http://a.net/casino", "http://xxxx.net", "http://bait.net/?ref=news"]
+    near = ["http://a.net/?ref=clickbaits", "http://a.net/ref=clickbait", "http://a.net/?ref=click", "http://pills.net", "http://a.net/casino", "http://a.net/?affid=", "http://a.net/x-affid=3", "http://pokers.net", "http://a.net/login.php", "http://xxxx.net", "http://bait.net/?ref=news"]
     plain = variants + near + [f"http://a.net/{i}?ref=feed" for i in range(20)]
     want = {u: min((r.name for r in urls.PATTERN_RULES if re.search(r.pattern, u)), default=None) for u in plain}
     assert all(want[u] for u in variants) and not any(want[u] for u in near)

@@ -32,6 +32,39 @@ SENTENCES = {
     "I": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "J": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "K": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "L": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "M": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "N": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "O": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "P": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "Q": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "R": "this source code form is subject to the terms of the mozilla public license v",
+    "S": "this is free and unencumbered software released into the public domain",
+    "T": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "U": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "V": "this work is licensed under a creative commons attribution 4 0 international license",
+    "W": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "X": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "Y": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "Z": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "a": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "b": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "c": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    "d": "licensed under the bsd 3 clause license",
+    "e": "licensed under the bsd 2 clause license",
+    "f": "licensed under the isc license",
+    "g": "licensed under the gplv3",
+    "h": "licensed under the gplv2",
+    "i": "licensed under the lgplv3",
+    "j": "licensed under the agplv3",
+    "k": "licensed under the mozilla public license version 2 0",
+    "l": "released under the unlicense",
+    "m": "licensed under the boost software license version 1 0",
+    "n": "licensed under the zlib license",
+    "o": "licensed under the eclipse public license 2 0",
+    "p": "licensed under cc by 4 0",
+    "q": "licensed under cc by sa 4 0",
+    "r": "released under cc0 1 0",
 }
 #: Further wordings, as the licences have them; "*" stands for the words of a name (at most NAME_WORDS).
 WORDINGS = {
@@ -40,18 +73,58 @@ WORDINGS = {
     "F": ("the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",),
     "H": ("you may obtain a copy of the license at https? www apache org licenses license 2 0",),
     "K": ("neither the names? of * nor the names of (?:its|their) contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "M": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "N": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
+    "O": ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "P": ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",),
+    "Q": ("you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
 }
 NAME_WORDS = 20
+#: How one-line notices name a licence, by identifier.
+NAMES = {
+    "A": "mit",
+    "B": "apache(?: software)?(?: license)?(?: version| v)? 2 0",
+    "C": "gnu general public license version 3",
+    "D": "cc by nc 4 0",
+    "d": "(?:new |modified )?bsd 3 clause|3 clause bsd",
+    "e": "(?:simplified )?bsd 2 clause|2 clause bsd",
+    "f": "isc",
+    "g": "gplv3|gpl v3|gpl 3 0|gnu gplv3|gnu general public license v3(?: 0)?",
+    "h": "gplv2|gpl v2|gpl 2 0|gnu gplv2|gnu general public license(?: version 2| v2)(?: 0)?",
+    "i": "lgplv3|lgpl v3|lgpl 3 0|gnu lesser general public license(?: version 3| v3)(?: 0)?",
+    "j": "agplv3|agpl v3|agpl 3 0|gnu affero general public license(?: version 3| v3)(?: 0)?",
+    "k": "mpl 2 0|mozilla public license(?: version)? 2 0",
+    "l": "unlicense",
+    "m": "bsl 1 0|boost software license(?: version)? 1 0",
+    "n": "zlib",
+    "o": "epl 2 0|eclipse public license(?: version| v)? 2 0",
+    "p": "cc by 4 0",
+    "q": "cc by sa 4 0",
+    "r": "cc0 1 0|cc0",
+}
+#: A notice on a line or in a sentence of its own; every wording of it with every name is one sentence.
+NOTICE = (
+    "(?:(?:this|the) (?:project|software|code|library|program|package|work|file|repository|module) is )?"
+    "(?:released|licensed|distributed|published|provided|made available|available) under (?:the )?(?:terms of (?:the )?)?(?:{name})(?: licen[sc]e)?"
+)
 #: Identifier sequences and licences, in the order in which they are tried.
 RULES = (
     ("BGH", "Apache-2.0"), ("IJK", "BSD-3-Clause"), ("IJ", "BSD-2-Clause"), ("EF", "MIT"),
-    ("A", "MIT"), ("B", "Apache-2.0"), ("C", "GPL-3.0-only"), ("D", "CC-BY-NC-4.0"),
+    ("A", "MIT"), ("B", "Apache-2.0"), ("C", "GPL-3.0-only"), ("D", "CC-BY-NC-4.0"), ("L", "ISC"),
+    ("M", "GPL-3.0-or-later"), ("N", "GPL-2.0-or-later"), ("O", "LGPL-3.0-or-later"), ("P", "LGPL-2.1-or-later"), ("Q", "AGPL-3.0-or-later"),
+    ("R", "MPL-2.0"), ("S", "Unlicense"), ("T", "BSL-1.0"), ("U", "Zlib"),
+    ("V", "CC-BY-4.0"), ("W", "CC-BY-SA-4.0"), ("X", "CC-BY-NC-4.0"), ("Y", "CC-BY-NC-SA-4.0"), ("Z", "CC-BY-ND-4.0"), ("a", "CC0-1.0"), ("b", "WTFPL"), ("c", "EPL-2.0"),
+    ("d", "BSD-3-Clause"), ("e", "BSD-2-Clause"), ("f", "ISC"), ("g", "GPL-3.0-only"), ("h", "GPL-2.0-only"), ("i", "LGPL-3.0-only"), ("j", "AGPL-3.0-only"),
+    ("k", "MPL-2.0"), ("l", "Unlicense"), ("m", "BSL-1.0"), ("n", "Zlib"), ("o", "EPL-2.0"), ("p", "CC-BY-4.0"), ("q", "CC-BY-SA-4.0"), ("r", "CC0-1.0"),
 )
 BREAK = r"\n+|[.!?;][ \t]+"
 #: Marks in the normalised text, where letters are lower case: P where a sentence ends, L where a line does.
 ENDS = r"[.!?;]\s+|\n[^\p{L}\p{N}]*\n"
-#: Every known sentence holds one of these words.
-CUES = r"(?i)licen[sc]e|copyright|permission"
+#: Every known sentence holds one of these words or phrases.
+CUES = (
+    r"(?i)licen[sc]e|copyright|permission|permitted to|public domain|"
+    r"\bunder\s+((the|terms|of)\s+)*(mit\b|apache|isc\b|zlib|[23]-clause|bsd|gnu|[al]?gpl|mozilla|mpl|boost|bsl|eclipse|epl|cc[ -]?by|cc0|unlicense)"
+)
 
 
 def _pattern(wording: str) -> str:
@@ -62,6 +135,8 @@ def _pattern(wording: str) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sequence (identifiers of the known sentences, in order), licenses (distinct, in the order of the rules)."""
     known = {k: sorted((v, *WORDINGS.get(k, ())), key=len, reverse=True) for k, v in SENTENCES.items()}  # the longest first
+    for k, name in NAMES.items():
+        known[k].append(NOTICE.format(name=name))
     known = {k: "|".join(map(_pattern, v)) for k, v in known.items()}
     marked = F.regexp_replace(F.regexp_replace(F.lower("text"), ENDS, " P "), r"\n", " L ")
     marked = F.concat(F.lit("P "), F.regexp_replace(marked, "[^a-z0-9PL]+", " "), F.lit(" P"))
@@ -73,11 +148,18 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _licences(sequence: Column) -> Column:
-    found, rest = [], sequence
-    for ids, name in RULES:
-        found.append(F.when(rest.contains(ids), F.lit(name)))
-        rest = F.replace(rest, F.lit(ids), F.lit("-"))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    """The rules are tried one after the other on what the ones before have left of the sequence."""
+    rules = F.array(*[F.struct(F.lit(ids).alias("ids"), F.lit(name).alias("name")) for ids, name in RULES])
+    none = F.array().cast("array<string>")
+
+    def tried(acc: Column, rule: Column) -> Column:
+        fits = F.contains(acc["rest"], rule["ids"])
+        return F.struct(F.replace(acc["rest"], rule["ids"], F.lit("-")).alias("rest"), F.when(fits, F.concat(acc["found"], F.array(rule["name"]))).otherwise(acc["found"]).alias("found"))
+
+    found = F.aggregate(rules, F.struct(sequence.alias("rest"), none.alias("found")), tried, lambda acc: acc["found"])
+    ordered = dict.fromkeys(name for _, name in RULES)  # a licence stands where its first rule does
+    listed = F.transform(F.array(found), lambda xs: F.filter(F.array(*[F.lit(n) for n in ordered]), lambda n: F.array_contains(xs, n)))[0]
+    return F.when(sequence == "", none).otherwise(listed)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -94,7 +176,7 @@ def digest_sql() -> str:
     any_of = ", ".join(f"case when list_contains(f, '{n}') then '{n}' end" for n in ordered)
     return (
         rf"with s as (select doc_id, unnest(xs) as x, generate_subscripts(xs, 1) as i from (select doc_id, regexp_split_to_array(coalesce(text, ''), '{BREAK}') as xs from documents)), "
-        f"k as (select doc_id, i, case trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) {lookup} end as id from s where regexp_matches(x, '(?i)licen[sc]e|copyright|permission')), "
+        f"k as (select doc_id, i, case trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) {lookup} end as id from s where regexp_matches(x, '{CUES}')), "
         "q as (select doc_id, coalesce(string_agg(id, '' order by i), '') as sequence from documents left join k using (doc_id) group by doc_id), "
         f"f as (select doc_id, sequence, [{', '.join(found)}] as f from q) "
         f"select doc_id, length(sequence) as n_sentences, concat_ws(',', {any_of}) as licenses from f"

@@ -27,13 +27,24 @@ class PatternRule:
     tokens: tuple[str, ...]
 
 
-#: URLs that match are blocked where no host rule speaks.
+#: Words that block a host of which they are a part between marks, by kind.
+HOST_WORDS = {
+    "casino": ("casino", "poker", "roulette", "jackpot", "sportsbook"),
+    "adult": ("xxx", "porn", "escorts", "camgirls"),
+    "piracy": ("warez", "keygen", "torrents"),
+    "loans": ("payday", "fastcash"),
+}
+#: Parameters of a query that block a URL, by kind.
+PARAMETERS = {"affiliate": ("affid", "affiliate"), "session": ("phpsessid", "jsessionid")}
+#: URLs that match are blocked where no host rule speaks. A token is named only if every match holds it whole.
 PATTERN_RULES = (
     PatternRule("link-farm", r"(?i)://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
     PatternRule("pharmacy", r"(?i)://([^/?#]*[.-])?(cheap|discount)-pills\.", ("pills",)),
-    PatternRule("casino", r"(?i)://[^/?#]*\bcasino\b", ("casino",)),
-    PatternRule("adult", r"(?i)://[^/?#]*\bxxx\b", ("xxx",)),
+    *(PatternRule(f"{kind}:{word}", rf"(?i)://[^/?#]*\b{word}\b", (word,)) for kind, ws in HOST_WORDS.items() for word in ws),
+    *(PatternRule(f"{kind}:{name}", rf"(?i)[?&;]{name}=[^&#]", (name,)) for kind, names in PARAMETERS.items() for name in names),
     PatternRule("click-bait", r"(?i)[?&]ref=click-?bait\b", ("ref",)),  # "clickbait" or "click" and "bait": neither is in every match
+    PatternRule("login", r"(?i)/wp-login\.php\b", ("wp", "login", "php")),
+    PatternRule("essay-mill", r"(?i)\bbuy-(cheap-)?essays?\b", ("buy",)),
 )
 MAX_RULES = 10_000
 TOKEN = r"[^a-z0-9]+"
