@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html import unescape
 from html.entities import html5
 
@@ -62,7 +63,7 @@ def unescaped(text: Column) -> Column:
         valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
         own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
         number = F.coalesce(_table(_RENUMBERED)[n.cast("int")], F.when(valid, own), F.lit("\ufffd"))
-        return F.when(name.startswith("#"), number).otherwise(F.coalesce(_table(_NAMED)[name], F.concat(F.lit("&"), name, F.lit(";"))))
+        return F.when(name.startswith("#"), number).otherwise(F.coalesce(F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")[name], F.concat(F.lit("&"), name, F.lit(";"))))
 
     joined = F.array_join(F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(character(F.get(names, i)), F.lit("")))), "")
     return F.when(text.rlike(REFERENCE), joined).otherwise(text)
