@@ -23,7 +23,7 @@ def stars(rows: DataFrame, key: list[str], member: str, mixed: str | None = None
     return rows.join(groups, key).where(F.col(member) != F.col("_least")).select(F.col(member).alias("a"), F.col("_least").alias("b"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id, root: the smallest id of its component for every id with an edge.
 
     Large-star and small-star steps alternate until nothing changes; each round is checkpointed to the shared folder,
@@ -31,12 +31,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(_shared_folder(spark))
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     before = None
-    for _ in range(most_rounds):
+    while True:  # each round but the last changes the edges, and star steps settle in a logarithm of the longest path
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
@@ -47,7 +45,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = small.union(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-    raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
+
+
+def _shared_folder(spark) -> str:
+    """``spark.checkpoint.dir``; only a local session, as in tests, may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
 
 
 def company_classes(companies: DataFrame) -> DataFrame:
