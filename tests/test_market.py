@@ -247,6 +247,40 @@ def test_resumes(spark):
     assert d == [("State University", "bachelor", "Computer Science", 2009), ("State University", "master", "Physics", 2011)]
 
 
+def _parsed(spark, parse, header, body):
+    text = f"{header}\n{body}"
+    laid = resume.laid_out(spark.createDataFrame([(1, text)], "resume_id long, text string"))
+    return text, [r.asDict() for r in parse(laid).orderBy("position").collect()]
+
+
+def test_experience_entries(spark):
+    body = "Site Reliability Engineer\nPied Piper\nApr 2021 - now\n* kept it up\n\nand running\nHooli | Data Analyst | 01/2018 – 03/2021\n- wrote (2019 - 2020) reports\nLead Designer, Staff Tools\n2014 to 2016\n\n2011 - 2012\nAlone\n\nBarn Owls\nWoodland\nSept. 2009 until May 2010\nCook\n2008 - 2001\n"
+    text, got = _parsed(spark, resume.experiences, "Experience", body)
+    assert [(e["title_raw"], e["company"]) for e in got] == [("Site Reliability Engineer", "Pied Piper"), ("Data Analyst", "Hooli"), ("Lead Designer, Staff Tools", None), ("Barn Owls — Woodland", None)]
+    assert [(e["start_date"].isoformat()[:7], e["end_date"] and e["end_date"].isoformat()[:7], e["is_current"]) for e in got] == [("2021-04", None, True), ("2018-01", "2021-03", False), ("2014-01", "2016-01", False), ("2009-09", "2010-05", False)]
+    assert [e["summary"] for e in got] == ["* kept it up\nand running", "- wrote (2019 - 2020) reports", "", "Cook\n2008 - 2001"]
+    spans = [text[e["start"] : e["end"]] for e in got]
+    assert spans[0] == text[text.index("Site") : text.index("\nHooli")] and spans[1].startswith("Hooli |") and spans[1].endswith("reports")
+    assert spans[2] == "Lead Designer, Staff Tools\n2014 to 2016\n" and spans[3].startswith("Barn Owls")
+    prose = "For a long while I looked after people who joined us from Jan 2017 to Dec 2018 in both of the offices.\n"
+    assert _parsed(spark, resume.experiences, "Experience", prose)[1] == [] and _parsed(spark, resume.experiences, "Experience", "")[1] == []
+
+
+def test_education_entries(spark):
+    body = "BSc in Botany, 1990\nRoyal Conservatory of Music,\nMaster of Arts in Music Theory, 2001 - 2003\nB.A. in Piano, Sept 1997 to June 2000\nMBA\nEvening schooling 2005\nOpen University\nCourses in Welding, 2010 and 2011\n"
+    text, got = _parsed(spark, resume.educations, "Education", body)
+    keys = ("institution", "degree_raw", "degree_level", "field_of_study", "start_year", "end_year")
+    assert [tuple(e[k] for k in keys) for e in got] == [
+        (None, "BSc in Botany", "bachelor", "Botany", None, 1990),
+        ("Royal Conservatory of Music", "Master of Arts in Music Theory", "master", "Music Theory", 2001, 2003),
+        ("Royal Conservatory of Music", "B.A. in Piano", "bachelor", "Piano", 1997, 2000),
+        ("Royal Conservatory of Music", "MBA", "master", None, None, 2005),
+        ("Open University", None, None, None, None, 2010),
+    ]
+    assert text[got[1]["start"] : got[1]["end"]] == "Royal Conservatory of Music,\nMaster of Arts in Music Theory, 2001 - 2003"
+    assert text[got[3]["start"] : got[3]["end"]] == "MBA\nEvening schooling 2005"
+
+
 def test_match_arithmetic(spark):
     jt = spark.createDataFrame([(1, 1, "required"), (1, 2, "required"), (1, 3, "required"), (1, 4, "preferred"), (1, 5, "preferred"), (1, 6, "mentioned")], "job_id long, tech_id long, requirement string")
     profiles = spark.createDataFrame([(9, "senior", None)], "profile_id long, level string, years double")
