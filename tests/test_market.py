@@ -1,6 +1,7 @@
 """The known-truth market of 27 postings, and scenario tests of the operators over small frames."""
 
 import datetime as dt
+import json
 import re
 
 import pytest
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 from vacancia import queries
 from vacancia.functions import text as T
 from vacancia.functions import urls
-from vacancia.operators import dedupe, evaluate, fulltext, ingest, market, matching, mentions, places, resume, review, search, skills, snapshots, titles
+from vacancia.operators import dedupe, evaluate, fulltext, ingest, market, matching, mentions, places, profiles, resume, review, search, skills, snapshots, titles
 from vacancia.operators import text as text_ops
 from vacancia.plans.predicate import Scope, matching_jobs
-from vacancia.sources import feeds
+from vacancia.sources import feeds, taxonomy
 from vacancia.streaming.postings import StateTable, daily, merge_stream
 
 SF, OAK, SJ, NYC, DEN = ("San Francisco", 37.7749, -122.4194), ("Oakland", 37.8044, -122.2712), ("San Jose", 37.3382, -121.8863), ("New York City", 40.7128, -74.0060), ("Denver", 39.7392, -104.9903)
@@ -281,6 +282,41 @@ def test_education_entries(spark):
     assert text[got[3]["start"] : got[3]["end"]] == "MBA\nEvening schooling 2005"
 
 
+def test_profiles_from_resumes(spark):
+    body = "Ada Byron\nada@x.org\nExperience\nSenior Backend Engineer at Acme\nJan 2020 - Jul 2022\n- Go code, Go services\nBackend Engineer, Initech\nJan 2021 to Present\nEducation\nOpen University\nB.A. in Logic, 1990\nPh.D. in Engines, 1999\n"
+    resumes = spark.createDataFrame([(1, body), (2, "Experience\n"), (3, None)], "resume_id long, text string")
+    aliases = spark.createDataFrame([("Go", "go", True, True), ("Rust", "rust", True, True)], "alias string, slug string, case_sensitive boolean, require_context boolean")
+    families = spark.createDataFrame([("backend engineer", "backend")], "alias string, slug string")
+    built = profiles.build(resumes, aliases, families)
+    got = {r["resume_id"]: tuple(r)[1:] for r in profiles.facts(built, "2023-01-01").collect()}
+    assert got == {1: (["go"], ["backend"], 3.0, "senior", "doctorate"), 2: ([], [], None, None, None), 3: ([], [], None, None, None)}
+    named = {r["resume_id"]: r["full_name"] for r in built["profiles"].collect()}
+    assert named == {1: "Ada Byron", 2: None, 3: None}
+    old = {"profiles": built["profiles"].withColumn("resume_id", F.col("resume_id") + 1), "skills": built["skills"].withColumn("resume_id", F.lit(4).cast("long"))}
+    kept = profiles.replaced(old, {n: built[n] for n in old})
+    assert sorted(r[0] for r in kept["profiles"].select("resume_id").collect()) == [1, 2, 3, 4] and kept["skills"].count() == 2
+
+
+def test_taxonomy_and_gold_set(spark, tmp_path):
+    lines = [{"name": "Apache Kafka", "category": "messaging", "aliases": [{"alias": "Kafka", "case_sensitive": True}]}, {"name": "C++", "slug": "cpp", "category": "languages", "match": {"require_context": True}}]
+    (tmp_path / "t.json").write_text("\n".join(json.dumps(x) for x in lines))
+    entries = taxonomy.checked(taxonomy.technologies(spark, str(tmp_path / "t.json")))
+    assert {tuple(r) for r in taxonomy.aliases(entries).collect()} == {("Apache Kafka", "apache-kafka", False, False), ("Kafka", "apache-kafka", True, False), ("C++", "cpp", False, True)}
+    with pytest.raises(ValueError, match="duplicate slug: cpp; unknown category: cpp"):
+        taxonomy.checked(entries.unionByName(entries.where("slug = 'cpp'").withColumn("category", F.lit("spells"))))
+    (tmp_path / "n.json").write_text(json.dumps({"name": "Data Engineer", "slug": "data", "aliases": ["ETL Developer"]}))
+    assert {tuple(r) for r in taxonomy.titles(spark, str(tmp_path / "n.json")).collect()} == {("data engineer", "data"), ("etl developer", "data")}
+    gold = [{"id": "a", "text": "x", "technologies": {"go": "required", "c": "mentioned"}, "experience_level": "mid", "salary_annual_min": 5, "salary_annual_max": 9}, {"id": "b", "text": "y", "canonical_title": "data"}, {"id": "c", "text": ""}]
+    (tmp_path / "g.json").write_text("\n".join(json.dumps(x) for x in gold))
+    docs = taxonomy.gold_documents(spark, str(tmp_path / "g.json"))
+    truth = docs.select("id", F.col("canonical_title").alias("title"), F.col("experience_level").alias("level"), "arrangement", F.col("salary_annual_min").alias("salary_min"), F.col("salary_annual_max").alias("salary_max"))
+    found = spark.createDataFrame([("a", None, "mid", "remote", 5.0, 8.0), ("b", "data", None, None, 1.0, 2.0)], "id string, title string, level string, arrangement string, salary_min double, salary_max double")
+    assert {tuple(r) for r in evaluate.accuracy(found, truth, "id").collect()} == {("title", 1, 1), ("level", 1, 1), ("arrangement", 0, 1), ("salary", 0, 1)}
+    assert {tuple(r) for r in evaluate.mistakes(found, truth, "id").collect()} == {("a", "arrangement", "remote", None), ("a", "salary", "5-8", "5-9")}
+    terms = spark.createDataFrame([("a", "go", "preferred"), ("a", "c", "mentioned"), ("b", "go", "required")], "id string, slug string, level string")
+    assert tuple(evaluate.requirement_accuracy(terms, taxonomy.gold_terms(docs), ["id", "slug"]).first()) == (1, 2)
+
+
 def test_match_arithmetic(spark):
     jt = spark.createDataFrame([(1, 1, "required"), (1, 2, "required"), (1, 3, "required"), (1, 4, "preferred"), (1, 5, "preferred"), (1, 6, "mentioned")], "job_id long, tech_id long, requirement string")
     profiles = spark.createDataFrame([(9, "senior", None)], "profile_id long, level string, years double")

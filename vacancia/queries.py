@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from vacancia.operators import market as dashboard
 from vacancia.functions import text as T
 from vacancia.functions import urls
-from vacancia.operators import dedupe, detail, evaluate, extraction, fulltext, ingest, matching, mentions, places, resume, review, search, skills, snapshots
+from vacancia.operators import dedupe, detail, evaluate, extraction, fulltext, ingest, matching, mentions, places, profiles, resume, review, search, skills, snapshots
 from vacancia.operators import text as text_ops
 from vacancia.operators import titles as titles_ops
 from vacancia.plans.predicate import Scope, countable, matching_jobs, matching_sql
-from vacancia.sources.bindings import SOURCES, SQL, TITLES, Market
+from vacancia.sources import taxonomy
+from vacancia.sources.bindings import SOURCES, SQL, TITLES, Market, slug_sql, slug_of
 
 #: The dashboards that the queries answer, all in one pass.
 SCOPES = [
@@ -407,6 +408,28 @@ def extraction_counters(m: Market) -> DataFrame:
     return extraction.counters(extraction.facts(_levelled(m))).drop("with_salary")
 
 
+def _gold(m: Market) -> DataFrame:
+    """Labelled documents with what their templates say, as truth."""
+    i = F.col("doc_id")
+    named = F.get(F.array(*[F.lit(t) for t in _NAMED]), (i % len(_NAMED)).cast("int"))
+    how = F.get(F.array(*[F.lit(t) for t in ("hybrid", "remote", "onsite", None, None)]), (i % 5).cast("int"))
+    pay = lambda base: F.when(i % 4 == 0, (i % 80 + base) * 1000)
+    rows = m.table("documents").join(m.table("labels").select("doc_id"), "doc_id", "left_semi")
+    return rows.select("doc_id", F.lit(None).cast("string").alias("title"), named.alias("level"), how.alias("arrangement"), pay(70).alias("salary_min"), pay(110).alias("salary_max"))
+
+
+@query(f"""{_LEVELLED}, f as ({_SQL['posting_facts']}), g as (select doc_id, [{', '.join(_quoted(x) if x else 'null' for x in _NAMED)}][doc_id % {len(_NAMED)} + 1] as want, v.level as got, ['hybrid', 'remote', 'onsite', null, null][doc_id % 5 + 1] as how, arrangement
+  from f join v on doc_id = job_id where doc_id in (select doc_id from labels))
+select 'level' as field, count(*) filter (where got is not distinct from want) as correct, count(*) as total from g where coalesce(got, want) is not null
+union all select 'arrangement', count(*) filter (where arrangement is not distinct from how), count(*) from g where coalesce(arrangement, how) is not null
+union all select 'salary', count(*), count(*) from g where doc_id % 4 = 0""")
+def gold_accuracy(m: Market) -> DataFrame:
+    found = extraction.facts(_levelled(m))
+    salary = {f"salary_{x}": F.col(f"salary.annual_{x}") for x in ("min", "max")}
+    found = found.withColumns({"doc_id": F.col("job_id"), "title": F.lit(None).cast("string"), **salary})
+    return evaluate.accuracy(found, _gold(m))
+
+
 @query("select n_name as raw_text, count(*) as n_locations from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 3 = 0 and n_nationkey % 2 = 0 group by 1")
 def ungeocoded_places(m: Market) -> DataFrame:
     places = m.table("supplier").join(m.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey % 3 = 0")
@@ -550,33 +573,81 @@ def text_search(m: Market) -> DataFrame:
 # Profiles --------------------------------------------------------------------------------------------------------------
 
 
+#: What resumes name, by their number.
+_SHIPPED = ("red widget", "blue bolt", "small ring", "hot gear", "nothing")
+
+
 def _resumes(m: Market) -> DataFrame:
     """Customers as resumes."""
     c, k = m.table("customer"), F.col("c_custkey")
     year = (2005 + k % 10).cast("string")
     lines_ = [
         F.concat(F.lit("Ada Number")), F.concat(F.lit("ada."), k, F.lit("@mail.example.com | (555) 210-"), F.lpad((k % 10000).cast("string"), 4, "0")), F.lit("Summary"), F.lit("Builds things."), F.lit("Experience"),
-        F.concat(F.lit("Senior Engineer at "), "c_name"), F.concat(F.lit("Mar "), year, F.lit(" - 06/"), (2008 + k % 12).cast("string")), F.lit("• shipped red widget"),
+        F.concat(F.lit("Senior Backend Engineer at "), "c_name"), F.concat(F.lit("Mar "), year, F.lit(" - 06/"), (2008 + k % 12).cast("string")), F.concat(F.lit("• shipped "), F.get(F.array(*[F.lit(x) for x in _SHIPPED]), (k % len(_SHIPPED)).cast("int"))),
         F.concat(F.lit("Developer, Initech ("), (2001 + k % 5).cast("string"), F.lit(" to "), year, F.lit(")")), F.lit("EDUCATION"), F.lit("State University"), F.concat(F.lit("B.S. in Computer Science, "), (1999 + k % 4).cast("string")), F.when(k % 2 == 0, F.lit("M.S. in Physics, 2004")),
     ]
     return c.select(k.alias("resume_id"), T.normal_text(F.concat_ws("\n", *lines_)).alias("text"))
 
 
-@query()
+_LINES = f"""rs as (select c_custkey as resume_id, c_custkey as k, concat_ws(chr(10), 'Ada Number', 'ada.' || k || '@mail.example.com | (555) 210-' || lpad((k % 10000)::varchar, 4, '0'), 'Summary', 'Builds things.', 'Experience',
+  'Senior Backend Engineer at ' || c_name, 'Mar ' || (2005 + k % 10) || ' - 06/' || (2008 + k % 12), '• shipped ' || {[*_SHIPPED]}[k % {len(_SHIPPED)} + 1],
+  'Developer, Initech (' || (2001 + k % 5) || ' to ' || (2005 + k % 10) || ')', 'EDUCATION', 'State University', 'B.S. in Computer Science, ' || (1999 + k % 4), case when k % 2 = 0 then 'M.S. in Physics, 2004' end) as text from customer),
+ln as (select resume_id, generate_subscripts(string_split(text, chr(10)), 1) as i, unnest(string_split(text, chr(10))) as line from rs),
+kd as (select *, case when regexp_full_match(lower(line), 'summary|experience|education') then lower(line) end as header, (sum(length(line) + 1) over (partition by resume_id order by i) - length(line) - 1)::int as start from ln),
+ls as (select * exclude (header) from (select *, coalesce(last_value(header ignore nulls) over (partition by resume_id order by i), 'contact') as kind from kd) where header is null)"""
+
+
+def _dated(pattern: str) -> str:
+    """The first of the month that the point of the range named by ``pattern`` stands for."""
+    g = lambda k: f"nullif(regexp_extract(regexp_extract(line, {_quoted(resume.DATES)}), {_quoted(pattern)}, {k}), '')"
+    month = f"coalesce(list_position({[*resume.MONTHS]}, lower({g(1)}[1:3])), {g(3)}::int, 1)::int"
+    return f"make_date(coalesce({g(2)}, {g(4)}, {g(5)})::int, {month}, 1)"
+
+
+_ENTRIES = f"""{_LINES}, dt as (select *, regexp_matches(line, {_quoted(resume.DATES)}) as dated, {_dated('(?i)^' + resume.POINT)} as a, {_dated('(?i)' + resume.POINT + '$')} as b, regexp_replace(line, {_quoted(resume.DATES)}, '') as beside, starts_with(line, '•') as bullet from ls where kind = 'experience'),
+an as (select *, dated and a <= b and not bullet and length(trim(beside)) <= 70 as anchor, trim(beside, ' |,–—-' || chr(9)) as own, case when not bullet and not (dated and a <= b) then line end as free from dt),
+up as (select *, lag(free) over w as up1, lag(free, 2) over w as up2 from an window w as (partition by resume_id order by i)),
+cl as (select *, case when anchor then case when length(own) >= 4 or up1 is null then 0 when up2 is null then 1 else 2 end end as claims from up),
+op as (select *, case when claims = 0 or lead(claims, 1) over w = 1 or lead(claims, 2) over w = 2 then 1 else 0 end as opens from cl window w as (partition by resume_id order by i)),
+en as (select *, sum(opens) over (partition by resume_id order by i) as entry from op),
+hd as (select resume_id, entry, i, a, b, case when length(own) >= 4 then own when claims = 1 then up1 end as h, up2, up1, claims from en where anchor),
+bd as (select en.resume_id, en.entry, min(en.start) as start, max(en.start + length(line))::int as "end", coalesce(string_agg(case when en.i > hd.i then line end, chr(10) order by en.i), '') as summary
+  from en join hd on en.resume_id = hd.resume_id and en.entry = hd.entry group by all),
+sp as (select *, [s for s in {[*resume.SEPARATORS]} if contains(h, s) and regexp_matches(trim(h[1:instr(h, s) - 1]), {_quoted(resume.ROLE)}) <> regexp_matches(trim(h[instr(h, s) + length(s):]), {_quoted(resume.ROLE)})][1] as sep from hd join bd using (resume_id, entry) where h is not null),
+pt as (select *, trim(h[1:instr(h, sep) - 1]) as l, trim(h[instr(h, sep) + length(sep):]) as r from sp),
+ex as (select resume_id, row_number() over (partition by resume_id order by entry)::int - 1 as position, case when sep is null then h when regexp_matches(l, {_quoted(resume.ROLE)}) then l else r end as title_raw,
+  case when sep is not null then case when regexp_matches(l, {_quoted(resume.ROLE)}) then r else l end end as company, a as start_date, b as end_date, false as is_current, summary, start, "end" from pt)"""
+
+
+@query(f"""with {_LINES} select resume_id, 'Ada Number' as full_name, regexp_extract(text, {_quoted(resume.EMAIL)}) as email, regexp_extract(text, '\\(\\d{{3}}\\) \\d{{3}}-\\d{{4}}') as phone from rs""")
 def resume_contacts(m: Market) -> DataFrame:
     return resume.contacts(resume.laid_out(_resumes(m)))
 
 
-@query()
+@query(f"with {_ENTRIES} select * replace (start_date::varchar as start_date, end_date::varchar as end_date) from ex")
 def resume_experience(m: Market) -> DataFrame:
-    return resume.experiences(resume.laid_out(_resumes(m)))
+    found = resume.experiences(resume.laid_out(_resumes(m)))
+    return found.withColumns({c: F.col(c).cast("string") for c in ("start_date", "end_date")})
 
 
-@query()
+@query(f"""with {_LINES}, d as (select *, row_number() over (partition by resume_id order by i)::int - 1 as position, min(start) over (partition by resume_id) as school from ls where kind = 'education' and not contains(line, 'University')),
+e as (select *, (select min(start) from ls x where x.resume_id = d.resume_id and x.kind = 'education') as first_line from d)
+select resume_id, position, 'State University' as institution, string_split(line, ',')[1] as degree_raw, case when starts_with(line, 'M') then 'master' else 'bachelor' end as degree_level, regexp_extract(line, ' in ([^,]+)', 1) as field_of_study,
+  null::int as start_year, regexp_extract(line, '[0-9]{{4}}')::int as end_year, case when position = 0 then first_line else start end as start, (start + length(line))::int as "end" from e""")
 def resume_education(m: Market) -> DataFrame:
     return resume.educations(resume.laid_out(_resumes(m)))
 
 
+@query(f"""with {_ENTRIES}, w as (select resume_id, sum(date_diff('month', start_date, end_date)) as months, bool_or(contains(title_raw, 'Senior')) as senior from ex group by 1),
+y as (select *, round_even(months / 12.0::double, 1) as years from w)
+select rs.resume_id, coalesce((select string_agg(distinct {{slug}}, ',') from part where p_name = {[*_SHIPPED]}[k % {len(_SHIPPED)} + 1]), '') as skills, case when senior then 'backend-engineer' else '' end as titles, years,
+  case when senior then 'senior' when years >= 8 then 'staff_plus' when years >= 5 then 'senior' when years >= 2 then 'mid' when years is not null then 'entry' end as level, case when k % 2 = 0 then 'master' else 'bachelor' end as degree
+from rs left join y using (resume_id)""".replace("{slug}", "replace(p_name, ' ', '-')"))
+def candidate_facts(m: Market) -> DataFrame:
+    found = profiles.facts(profiles.build(_resumes(m), _aliases(m), _title_aliases(m)), "2024-01-01")
+    return found.withColumns({c: F.array_join(c, ",") for c in ("skills", "titles")})
+
+
 @query(f"""{SQL}, s as (select distinct o_custkey as k, year(o_orderdate) * 12 + month(o_orderdate) as a, year(o_orderdate) * 12 + month(o_orderdate) + (o_orderkey % 9) as b from orders),
 i as (select *, case when a <= max(b) over (partition by k order by a, b rows between unbounded preceding and 1 preceding) then 0 else 1 end as n from s),
 g as (select *, sum(n) over (partition by k order by a, b rows unbounded preceding) as isle from i) select k as profile_id, sum(m)::bigint as months from (select k, isle, max(b) - min(a) as m from g group by all) group by 1""")
@@ -653,6 +724,13 @@ def saved_jobs_board(m: Market) -> DataFrame:
     return board.select("user_id", "job_id", F.to_date("created_at").cast("string").alias("saved_on"), "score", "matched", "missing", "verdict", "place")
 
 
+@query(f"""with e as (select {slug_sql('p_name')} as slug, lower(p_type) as category from part), g as (select slug, count(*) as n, count(*) filter (where category <> 'economy') as unknown from e group by 1)
+select slug, 'unknown category' as problem from g where unknown > 0 union all select slug, 'duplicate slug' from g where n > 1""")
+def taxonomy_problems(m: Market) -> DataFrame:
+    entries = m.table("part").select(slug_of(F.col("p_name")).alias("slug"), F.lower("p_type").alias("category"))
+    return taxonomy.problems(entries, ("economy",))
+
+
 @query("""with r as (select o_custkey as user_id, o_orderkey as profile_id, case when o_orderkey % 3 <> 0 then o_orderdate end as reviewed_at from orders)
 select user_id, profile_id from r where reviewed_at is not null qualify row_number() over (partition by user_id order by reviewed_at desc, profile_id desc) = 1""")
 def current_profiles(m: Market) -> DataFrame:

@@ -110,12 +110,12 @@ def slug_of(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def _slug_sql(c: str) -> str:
+def slug_sql(c: str) -> str:
     return f"regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
 SQL = f"""with recursive technologies as (
-  select p_name as name, min(p_partkey) as tech_id, arg_min(p_type, p_partkey) as category, {_slug_sql('p_name')} as slug from part group by p_name),
+  select p_name as name, min(p_partkey) as tech_id, arg_min(p_type, p_partkey) as category, {slug_sql('p_name')} as slug from part group by p_name),
 jobs as (
   select o_orderkey as job_id, o_custkey as company_id, o_orderdate as posted_at, case when o_orderstatus = 'F' then 'expired' else 'active' end as status,
     {_case('o_orderpriority', LEVELS)} as experience_level, {_case('o_orderkey % 4', ARRANGEMENTS)} as arrangement, {_case('o_orderkey % 7', EMPLOYMENT)} as employment_type,
@@ -133,4 +133,4 @@ job_technologies as (
 job_locations as (
   select distinct l_orderkey as job_id, n_name as city, r_name as region, 25.0::double + n_nationkey as lat, -120.0::double + 2 * n_nationkey as lon
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
-cities as (select n_name as city, r_name as region, 25.0::double + n_nationkey as lat, -120.0::double + 2 * n_nationkey as lon, {_slug_sql('n_name')} as city_slug from nation join region on n_regionkey = r_regionkey)"""
+cities as (select n_name as city, r_name as region, 25.0::double + n_nationkey as lat, -120.0::double + 2 * n_nationkey as lon, {slug_sql('n_name')} as city_slug from nation join region on n_regionkey = r_regionkey)"""
