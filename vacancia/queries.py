@@ -463,7 +463,9 @@ def enabled_postings(m: Market) -> DataFrame:
     return extraction.enabled_postings(feeds, sources).select("external_id", "source_id", "title")
 
 
-@query()
+@query("""with p as (select doc_id, case doc_id % 4 when 0 then 'year' when 1 then 'hour' end as period, case doc_id % 4 when 0 then (doc_id % 80 + 70) * 1000 when 1 then doc_id % 90 + 15 end::double as low,
+  case doc_id % 4 when 0 then (doc_id % 80 + 110) * 1000 when 1 then doc_id % 90 + 15 end::double as high from documents)
+select *, low * case period when 'hour' then 2080 else 1 end as annual_min, high * case period when 'hour' then 2080 else 1 end as annual_max from p""")
 def posting_salaries(m: Market) -> DataFrame:
     return _texts(m).select("doc_id", T.salary(F.col("text")).alias("s")).select("doc_id", "s.*")
 
@@ -551,14 +553,23 @@ def _raw_places(m: Market) -> DataFrame:
     return m.table("customer").select(F.col("c_custkey").alias("id"), text.alias("raw_text"))
 
 
-@query()
+_PLACES = """with pl as (select c_custkey as id, c_nationkey as k, case c_custkey % 5 when 0 then 'Greater Town ' || k || ' Area, ' || ['California', 'NY', 'TX'][k % 3 + 1] when 1 then 'Town ' || k when 2 then 'Remote - Town ' || k || ', US'
+  when 3 then 'Town ' || k || ', Canada' else 'Atlantis / Hybrid' end as raw_text from customer),
+seg as (select distinct raw_text, lower(regexp_replace(trim(unnest(regexp_split_to_array(raw_text, '[,/]| - '))), '^Greater | Area$', '', 'g')) as s from pl),
+sg as (select raw_text, max(case s when 'california' then 'CA' when 'ny' then 'NY' when 'tx' then 'TX' end) as state, bool_or(s = 'canada') as abroad, max(case when starts_with(s, 'town ') then s end) as name from seg group by 1),
+ci as (select 'Town ' || n_nationkey as city, ['CA', 'NY', 'TX'][n_nationkey % 3 + 1] as state, 25.0::double + n_nationkey as lat, -120.0::double + n_nationkey as lon, n_nationkey * 20000 as population from nation),
+rp as (select raw_text, city, ci.state, lat, lon from sg join ci on lower(city) = name and (sg.state is null or sg.state = ci.state) where not abroad and (sg.state is not null or population >= 200000 or population % 60000 <> 0))"""
+
+
+@query(f"{_PLACES} select id, raw_text, city, state, lat, lon from pl join rp using (raw_text)")
 def resolved_places(m: Market) -> DataFrame:
     cities, world = _place_tables(m)
     raw = _raw_places(m)
     return raw.join(places.resolve(raw, cities, world), "raw_text")
 
 
-@query()
+@query(f"""{_PLACES} select raw_text, count(*) as n, (select count(*) from pl) as attempted, (select count(*) from pl join rp using (raw_text)) as resolved
+from pl where raw_text not in (select raw_text from rp) group by 1 order by n desc, raw_text limit 15""")
 def unresolved_places(m: Market) -> DataFrame:
     cities, world = _place_tables(m)
     raw = _raw_places(m)
