@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm import decontaminate, licenses, line_dedup, near_dups, packing, pii, quality, secrets, storage, token_files, urls
+from vacancia.llm import decontaminate, licenses, line_dedup, near_dups, packing, pii, quality, secrets, storage, token_files, urls, vector_codes, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(*vector_codes.compress(_table(spark, sf_dir, "embeddings"), carry=("vec_id", "label")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(*whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
@@ -67,4 +75,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": secrets.digest_sql(), "op2_decontamination": decontaminate.digest_sql(), "op3_line_dedup": line_dedup.digest_sql(), "op5_near_duplicates": near_dups.digest_sql(), "op8_license_scan": licenses.digest_sql(), "op9_url_filter": urls.digest_sql(),
+        "op11_vector_codes": vector_codes.digest_sql(),
     }
