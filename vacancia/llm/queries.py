@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm import decontaminate, licenses, line_dedup, near_dups, packing, pii, quality, secrets, storage, token_files, urls, vector_codes, whitening
+from vacancia.llm import decontaminate, licenses, line_dedup, near_dups, packing, pii, quality, secrets, storage, token_files, toxicity, urls, vector_codes, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(*whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.digest(toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
