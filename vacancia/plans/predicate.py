@@ -135,9 +135,12 @@ def flagged_jobs(market: Market, known: Resolved) -> DataFrame:
         spots = market.job_locations.where(F.col("lat").isNotNull())
         near = [F.min(geo.distance(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))).alias(known.near(p)) for p, (lat, lon) in known.places.items()]
         jobs = jobs.join(spots.groupBy("job_id").agg(*near), "job_id", "left")
-    tokens = fulltext.token_table(market.job_texts, "job_id") if known.texts else None
-    for q in known.texts:
-        jobs = jobs.join(fulltext.search(tokens, q, "job_id").withColumnRenamed("rank", known.rank(q)), "job_id", "left")
+    if known.texts:  # all queries of all scopes in one pass over the index
+        terms = sorted({t for q in known.texts for t in fulltext.terms_of(q)})
+        found = fulltext.ranks(fulltext.hits(market.text_index, terms), known.texts, "job_id").withColumnRenamed("ranks", "_ranks")
+        jobs = jobs.join(found, "job_id", "left")
+        without = {q: F.lit(0.0 if fulltext.matches_without_hits(q) else None).cast("double") for q in known.texts}
+        jobs = jobs.withColumns({known.rank(q): F.when(F.col("_ranks").isNull(), without[q]).otherwise(F.get("_ranks", F.lit(i))) for i, q in enumerate(known.texts)}).drop("_ranks")
     return jobs
 
 
@@ -156,11 +159,11 @@ def matching_jobs(market: Market, scopes: list[Scope], ranked: bool = False) ->
     return rows.select("m.scope_id", *(["m.rank"] if ranked else []), *market.jobs.columns)
 
 
-def scope_sql(scope: Scope) -> str:
-    """The predicate of one scope over the bound tables, for DuckDB."""
+def scope_sql(scope: Scope, forms: dict[str, tuple[str, ...]] | None = None) -> str:
+    """The predicate of one scope over the bound tables, for DuckDB; ``forms`` as in fulltext.matches_sql."""
     parts = ["status = 'active'", "(dedupe_group_id is null or dedupe_group_id = job_id)"]
     if scope.q:
-        parts.append(f"exists (select 1 from job_texts x where x.job_id = j.job_id and {text_sql(scope.q)})")
+        parts.append(f"exists (select 1 from job_texts x where x.job_id = j.job_id and {fulltext.matches_sql(scope.q, forms=forms)})")
     if scope.title:
         parts.append(f"title_id = {dict((s, i) for i, s in TITLES.values())[scope.title]}")
     parts += [f"exists (select 1 from job_technologies t join technologies using (tech_id) where t.job_id = j.job_id and slug = '{t}')" for t in scope.technologies]
@@ -174,13 +177,6 @@ def scope_sql(scope: Scope) -> str:
     return " and ".join(parts)
 
 
-def text_sql(q: str) -> str:
-    """The text query on ``text`` itself; its words must be whole words of the text (none is changed by the stemmer)."""
-    wanted = lambda ws: f"regexp_matches(lower(text), '(^|[^a-z0-9+#]){'[^a-z0-9+#]+'.join(ws)}($|[^a-z0-9+#])')"
-    groups = [" and ".join(("" if yes else "not ") + wanted(ws) for yes, ws in g) for g in fulltext.parse(q)]
-    return "(" + " or ".join(f"({g})" for g in groups) + ")"
-
-
-def matching_sql(scopes: list[Scope]) -> str:
+def matching_sql(scopes: list[Scope], forms: dict[str, tuple[str, ...]] | None = None) -> str:
     """A common table expression ``matching`` with scope_id and the job's columns."""
-    return "matching as (" + " union all ".join(f"select {i} as scope_id, j.* from jobs j where {scope_sql(s)}" for i, s in enumerate(scopes)) + ")"
+    return "matching as (" + " union all ".join(f"select {i} as scope_id, j.* from jobs j where {scope_sql(s, forms)}" for i, s in enumerate(scopes)) + ")"

@@ -14,6 +14,7 @@ from vacancia.operators import dedupe, detail, evaluate, extraction, fulltext, i
 from vacancia.operators import text as text_ops
 from vacancia.operators import titles as titles_ops
 from vacancia.plans.predicate import Scope, countable, matching_jobs, matching_sql
+from vacancia.sources import stored
 from vacancia.sources import taxonomy
 from vacancia.sources.bindings import SOURCES, SQL, TITLES, Market, slug_sql, slug_of
 
@@ -33,7 +34,12 @@ TEXT_SCOPES = [
     Scope.canonical(q="widget -blue", arrangement="remote"),
     Scope.canonical(q='backend engineer "small ring" or bolt', location="nation-5", radius_miles=50),
     Scope.canonical(q="no such words zzz"),
+    Scope.canonical(q="engineering of widgets", experience_level="mid"),
+    Scope.canonical(q='"hot plates" -backend or "anvils and gears" or "old gizmo and the rings"'),
+    Scope.canonical(q="-widgets", location="nation-5", radius_miles=50),
 ]
+#: What words of the queries stand for in the texts, by their stems.
+FORMS = {"engineering": ("engineer",), "widgets": ("widget",), "plates": ("plate",), "anvils": ("anvil",), "gears": ("gear",), "rings": ("ring",), "ringing": ("ring",), "plated": ("plate",)}
 MATCHING = f"{SQL}, {matching_sql(SCOPES)}"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -211,7 +217,7 @@ def search_page_by_recency(m: Market) -> DataFrame:
     return page.join(jobs.select("job_id", F.to_date("posted_at").cast("string").alias("posted_on")), "job_id").select("job_id", "posted_on", place.alias("place"))
 
 
-@query(f"{SQL}, {matching_sql(TEXT_SCOPES)} select scope_id, job_id from matching")
+@query(f"{SQL}, {matching_sql(TEXT_SCOPES, FORMS)} select scope_id, job_id from matching")
 def text_filter(m: Market) -> DataFrame:
     return matching_jobs(m, TEXT_SCOPES).select("scope_id", "job_id")
 
@@ -224,6 +230,13 @@ def search_page_by_relevance(m: Market) -> DataFrame:
     return search.page(ranked, "relevance", 50)
 
 
+@query(f"""{SQL}, {matching_sql([Scope.canonical(q='plated rings or small bolt', arrangement='remote')], FORMS)}, {fulltext.rank_sql('plated rings or small bolt', 'job_texts', 'job_id', forms=FORMS)}
+select job_id, rank as sort_key from matching join ranked using (job_id) order by sort_key desc, job_id desc limit 51""")
+def search_page_by_cover_density(m: Market) -> DataFrame:
+    ranked = matching_jobs(m, [Scope.canonical(q="plated rings or small bolt", arrangement="remote")], ranked=True)
+    return search.page(ranked, "relevance", 50)
+
+
 # Duplicates, ingestion, review -----------------------------------------------------------------------------------------
 
 
@@ -576,9 +589,14 @@ def unresolved_places(m: Market) -> DataFrame:
     return places.report(raw, places.resolve(raw, cities, world))
 
 
-@query()
+_ASKED_FORMS = {"rings": ("ring", "rings", "ringed", "ringing"), "bolts": ("bolt",), "contracted": ("contract",)}
+_ASKED = '"small rings" python -hybrid or "blue bolts" contracted'
+
+
+@query(f"with {_TEXTS}, {fulltext.rank_sql(_ASKED, 'texts', forms=_ASKED_FORMS)} select doc_id, rank from ranked")
 def text_search(m: Market) -> DataFrame:
-    return fulltext.search(fulltext.token_table(_texts(m)), '"small ring" python -hybrid or "blue bolt" contract')
+    path = stored.once(m.spark, "posting-index", m.sf_dir, lambda path: fulltext.save(_texts(m), path))
+    return fulltext.search(fulltext.load(m.spark, path), _ASKED)
 
 
 # Profiles --------------------------------------------------------------------------------------------------------------

@@ -12,6 +12,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacancia.operators import fulltext
+from vacancia.sources import stored
+
 #: What stands for what.
 LEVELS = {"1-URGENT": "staff_plus", "2-HIGH": "senior", "3-MEDIUM": "mid", "5-LOW": "entry"}
 ARRANGEMENTS = {0: "onsite", 1: "hybrid", 2: "remote"}
@@ -69,6 +72,12 @@ class Market:
         body = F.array_join(F.transform(F.coalesce("ls", F.array().cast("array<struct<l_linenumber: int, p_name: string>>")), lambda x: x["p_name"]), " ")
         return self.jobs.select("job_id", "title_id").join(listed, "job_id", "left").select("job_id", F.concat_ws(" ", title, body).alias("text"))
 
+    @cached_property
+    def text_index(self) -> fulltext.Index:
+        """The stored index of job_texts."""
+        path = stored.once(self.spark, "text-index", self.sf_dir, lambda path: fulltext.save(self.job_texts, path, "job_id"))
+        return fulltext.load(self.spark, path, "job_id")
+
     @cached_property
     def companies(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("company_id"), F.col("c_name").alias("name"))
