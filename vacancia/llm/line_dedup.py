@@ -7,14 +7,15 @@
    repeats and are shuffled, as 128-bit digests.
 3. Suspects are confirmed exactly: documents are counted for each digest, and the largest doc_id that holds it is chosen.
    Counts are pre-aggregated, and a key that a third of all documents hold is dealt out by (key, doc_id) first.
-4. Lines to drop come back to their documents by doc_id.
+4. The digests of keys to drop come back by doc_id; each row drops its own lines with these keys.
 
 The filter has FILTER_BITS bits for each line but at most MAX_FILTER_BYTES, which bounds what is broadcast. Where a corpus
 has more lines than that serves (some 30 million), more lines are suspected and shuffled, in the end all of them at about
 30 bytes each; what is kept stays the same, as every suspect is confirmed.
 
-A null or empty text is one empty line. Rows with a null doc_id are left as they are and hold no key; rows that repeat a
-doc_id count as one document and lose the same lines. An empty table gives no rows. Other columns are carried along.
+A null or empty text is one empty line. Very long texts are read whole. Rows with a null doc_id are left as they are and hold
+no key. Rows that repeat a doc_id count as one document, whose keys are those of all its rows: where a key goes, it goes from
+each of them, and whatever else they hold stays. An empty table gives no rows. Other columns are carried along.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ def keys_of(text: str | None) -> Iterator[tuple[int, bytes]]:
             yield i, key
 
 
+def digest_of(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
+
+
 def _slice_and_bits(hashes: np.ndarray, slices: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The slice of a hash and its two bits there, of ``bits`` (a power of two, at most 2 ** 22)."""
     mask = np.uint64(bits - 1)
@@ -88,7 +93,7 @@ def twice_seen(docs: DataFrame) -> list[tuple[int, bytes]]:
 
 
 def repeats(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """doc_id, drop (line numbers, from 0): the lines that go."""
+    """doc_id, drop: the digests of the keys whose lines go."""
     spark = docs.sparkSession
     storage.ship(spark)
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
@@ -99,28 +104,24 @@ def repeats(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
         size = 8 * len(slices[0])
         joined = np.frombuffer(b"".join(slices), np.uint8)
         for batch in batches:
-            docs_, digests, lines = [], [], []
+            docs_, digests = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = list(keys_of(text))
+                own = list({k for _, k in keys_of(text)})
                 if not own:
                     continue
-                s, a, b = _slice_and_bits(np.fromiter((xxhash.xxh3_64_intdigest(k) for _, k in own), np.uint64, len(own)), len(slices), size)
+                s, a, b = _slice_and_bits(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)), len(slices), size)
                 a, b = a + s * size, b + s * size
                 maybe = (joined[a >> 3] >> (7 - (a & 7)) & joined[b >> 3] >> (7 - (b & 7)) & 1).astype(bool)
-                found: dict[bytes, list[int]] = {}
-                for (i, key), m in zip(own, maybe.tolist(), strict=True):
-                    if m:
-                        found.setdefault(hashlib.blake2b(key, digest_size=16).digest(), []).append(i)
+                found = [digest_of(key) for key, m in zip(own, maybe.tolist(), strict=True) if m]
                 docs_ += [doc_id] * len(found)
-                digests += found.keys()
-                lines += found.values()
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(digests, pa.binary()), pa.array(lines, pa.list_(pa.int32()))], names=["doc_id", "key", "lines"])
+                digests += found
+            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "key"])
 
-    found = storage.written(docs.mapInArrow(suspects, "doc_id bigint, key binary, lines array<int>"), "line-suspects")
+    found = storage.written(docs.mapInArrow(suspects, "doc_id bigint, key binary"), "line-suspects")
     confirmed = found.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs)
     confirmed = storage.written(confirmed, "line-repeats")  # joined by an exchange of its own, so that a hot key can be split
     gone = found.join(confirmed.select("key", "keeper"), "key").where(F.col("doc_id") < F.col("keeper"))
-    return gone.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("drop"))
+    return gone.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
 
 def dedup(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -130,7 +131,7 @@ def dedup(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     gone_name, whole = storage.free_name(docs, "drop"), docs.select(*columns)
     joined = whole.join(drop.withColumnRenamed("drop", gone_name).hint("merge"), "doc_id", "left").select(*columns, gone_name)
     schema = joined.select(*columns, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
-    at = columns.index("text")
+    place = columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,13 +139,14 @@ def dedup(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
             for text, gone in zip(batch.column("text").to_pylist(), batch.column(gone_name).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 n_lines.append(len(lines))
-                n_dropped.append(len(gone or ()))
-                if gone:
-                    gone = set(gone)
-                    text = "\n".join(line for i, line in enumerate(lines) if i not in gone)
+                keys = set(gone or ())
+                at = {i for i, key in keys_of(text) if digest_of(key) in keys} if keys else ()
+                n_dropped.append(len(at))
+                if at:
+                    text = "\n".join(line for i, line in enumerate(lines) if i not in at)
                 texts.append(text)
             arrays = [batch.column(c) for c in columns]
-            arrays[at] = pa.array(texts, pa.string())
+            arrays[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
 
     return joined.mapInArrow(cut, schema)
