@@ -6,12 +6,14 @@ is normalised the same way and scanned once; the end of each occurrence is mappe
 word positions, to offsets in the original text.
 
 The benchmark's characters are counted first. Patterns of up to BLOCK_CHARS form one automaton, built once in each Python
-worker, and texts are scanned once. A larger benchmark, of whatever size, is dealt out in blocks of about that many: its
-items are cut into overlapping segments, each segment goes to a block by its hash, and the blocks are fetched and scanned
-one after the other, so a worker holds one automaton at a time and builds it once. What the blocks find is kept for each
+worker, and texts are scanned once. A larger benchmark, of whatever size, is dealt out in blocks of at most that many: its
+items are cut into overlapping segments, each once for an item; segments are dealt to many small buckets by the hash of words
+and item, the sizes of the buckets are counted, and buckets are put together up to the bound (only a bucket that a single
+giant segment fills can be larger). The blocks are fetched and scanned one after the other, so a worker holds one automaton
+at a time and builds it once. What the blocks find is kept for each
 distinct text, put together, and joined back to the rows by the hash of the text. The result is the same.
 
-Nulls have no words, in texts and in items. Items with a null id mark words but are not listed. Repeated item ids count as one
+Nulls have no words, in texts and in items. Very long texts are scanned whole. Repeated items count once. Items with a null id mark words but are not listed. Repeated item ids count as one
 item; repeated documents are all reported. Empty tables give no hits or no rows. Columns besides doc_id and text, and
 item_id and text, are ignored; those named by ``carry`` come along.
 """
@@ -33,6 +35,8 @@ from vacancia.llm import storage
 WINDOW = 10
 #: Characters of the patterns of one automaton, about 350 MB in a worker. Words of a segment of an item where there are several.
 BLOCK_CHARS, SEGMENT_WORDS = 8 << 20, 2_000
+#: Buckets for each block.
+FINE = 16
 #: A word, in lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(WORD)
@@ -82,8 +86,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: tup
     """
     spark = docs.sparkSession
     storage.ship(spark)
-    items = benchmark.select("item_id", _words(F.col("text")).alias("words"))
-    n = items.agg(F.coalesce(F.sum(F.length(F.array_join("words", " ")) + 1), F.lit(0))).first()[0] * window
+    items = benchmark.select("item_id", _words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
+    n = items.agg(F.coalesce(F.sum(_chars(window)), F.lit(0))).first()[0]
     wanted = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in carry])
     more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     if n <= BLOCK_CHARS:
@@ -91,6 +95,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: tup
     return _in_blocks(wanted, items, n, window, carry, more)
 
 
+def _chars(window: int) -> Column:
+    """Characters of the patterns of ``words``, at most."""
+    return (F.length(F.array_join("words", " ")) + 1) * window
+
+
 def _shared(spark, items: DataFrame, window: int) -> Broadcast:
     """The items of a block, whose size is bounded."""
     rows = sorted(((r["item_id"], r["words"]) for r in items.collect()), key=repr)
@@ -109,14 +118,15 @@ def _scanner(block: Broadcast, window: int, carry: tuple[str, ...]):
 def _in_blocks(wanted: DataFrame, items: DataFrame, n: int, window: int, carry: tuple[str, ...], more: str) -> DataFrame:
     """The same for a benchmark of several blocks."""
     spark = wanted.sparkSession
-    blocks = -(-n // BLOCK_CHARS)
+    buckets = FINE * -(-n // BLOCK_CHARS)
     begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (window - 1)), F.lit(SEGMENT_WORDS))
-    cut = items.where(F.size("words") > 0).select("item_id", F.explode(F.transform(begins, lambda i: F.slice("words", i, SEGMENT_WORDS + window - 1))).alias("words"))
-    cut = storage.written(cut.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))), "benchmark-segments")
+    cut = items.select("item_id", F.explode(F.transform(begins, lambda i: F.slice("words", i, SEGMENT_WORDS + window - 1))).alias("words")).distinct()
+    cut = storage.written(cut.withColumn("bucket", F.pmod(F.xxhash64("words", "item_id"), F.lit(buckets))), "benchmark-segments")
+    blocks = _blocks([(r["bucket"], r["n"]) for r in cut.groupBy("bucket").agg(F.sum(_chars(window)).alias("n")).orderBy("bucket").collect()])  # FINE numbers for each block
     texts = wanted.select("text", _text_hash().alias("hash"))
     found = None
-    for b in range(blocks):
-        block = _shared(spark, cut.where(F.col("block") == b).select("item_id", "words"), window)
+    for own in blocks:
+        block = _shared(spark, cut.where(F.col("bucket").isin(own)).select("item_id", "words"), window)
         new = texts.mapInArrow(_finder(block, window), "hash binary, words array<int>, items array<string>")
         new = storage.written(new.dropDuplicates(["hash"]), "benchmark-hits")
         block.destroy()
@@ -134,6 +144,18 @@ def _in_blocks(wanted: DataFrame, items: DataFrame, n: int, window: int, carry:
     return joined.mapInArrow(mark, _SCHEMA + more)
 
 
+def _blocks(sizes: list[tuple[int, int]]) -> list[list[int]]:
+    """Buckets put together, in their order, up to BLOCK_CHARS."""
+    blocks, room = [], 0
+    for bucket, n in sizes:
+        if not blocks or n > room:
+            blocks.append([])
+            room = BLOCK_CHARS
+        blocks[-1].append(bucket)
+        room -= n
+    return blocks
+
+
 def _text_hash() -> Column:
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
