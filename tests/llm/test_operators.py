@@ -125,6 +125,18 @@ def test_decontamination_marks_every_word_of_a_window(spark, docs, nothing, monk
     assert by_id(decontaminate.scan(docs, spark.createDataFrame([], "item_id bigint, text string")))[6][0]["n_hit"] == 0
 
 
+def test_blocks_of_a_benchmark_are_bounded_whatever_repeats(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 20_000)
+    sizes, shared = [], decontaminate._shared
+    monkeypatch.setattr(decontaminate, "_shared", lambda spark, items, window: sizes.append(items.agg({"*": "count"}).first()[0]) or shared(spark, items, window))
+    text = prose(12)
+    bench = spark.createDataFrame([(i % 300, text) for i in range(2000)] + [(1000 + i, prose(15)) for i in range(60)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"so {text} it goes"), (2, "nothing of it"), (1, text)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["n_words"]): r["items"] for r in decontaminate.scan(docs, bench).collect()}
+    assert got == {(1, 15): sorted(map(str, range(300))), (1, 12): sorted(map(str, range(300))), (2, 3): []}
+    assert sum(sizes) == 360 and max(sizes) * len(text) * decontaminate.WINDOW < 2 * 20_000 and len(sizes) > 5
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -147,6 +159,10 @@ def test_line_dedup_keeps_the_largest_holder(spark, docs, nothing, monkeypatch):
                 assert r["blob_id"] in ("clash", "x")
         monkeypatch.setattr(line_dedup, "MAX_FILTER_BYTES", 64)
     assert line_dedup.digest(line_dedup.dedup(nothing)).count() == 0
+    own, common = "keep me I am unique and long enough", "a line that three documents have"
+    repeated = spark.createDataFrame([(1, common + "\nshort"), (1, own), (1, f"{own} too\n{common}\n{own}"), (2, common), (3, common), (3, "x"), (3, None)], "doc_id bigint, text string")
+    got_ = sorted((r["doc_id"], r["text"] or "", r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup(repeated.repartition(4)).collect())
+    assert got_ == sorted([(1, "short", 2, 1), (1, own, 1, 0), (1, f"{own} too\n{own}", 3, 1), (2, "", 1, 1), (3, common, 1, 0), (3, "x", 1, 0), (3, "", 1, 0)])
     clashing = docs.selectExpr("doc_id", "text", "lang as drop", "lang as _drop", "lang as _doc", "lang as n_lines", "lang as KEY")
     rows = line_dedup.dedup(clashing)
     assert rows.columns == ["doc_id", "text", "drop", "_drop", "_doc", "KEY", "n_lines", "n_dropped"]
@@ -474,7 +490,12 @@ def test_licences_as_they_are_written(spark):
         (f"{APACHE}\n\n{MIT}", "BGHEF", ["Apache-2.0", "MIT"]), ("x\nReleased under the MIT License\ny", "A", ["MIT"]), ("Released under\nthe MIT License.", "A", ["MIT"]),
         ("The project is released under the MIT license.", "A", ["MIT"]), ("This software is distributed under the terms of the\nApache License, Version 2.0.", "B", ["Apache-2.0"]), ("Licensed under the GPLv3", "g", ["GPL-3.0-only"]),
         ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed", "M", ["GPL-3.0-or-later"]),
-        (" * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.", "", []),
+        (" * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.", "P", ["LGPL-2.1-or-later"]),
+        ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.", "N", ["GPL-2.0-or-later"]),
+        ("// SPDX-License-Identifier: MIT", "A", ["MIT"]), ("# SPDX-License-Identifier: GPL-3.0-or-later\nimport x", "s", ["GPL-3.0-or-later"]), ("/* SPDX-License-Identifier: (GPL-2.0-only OR BSD-2-Clause) */", "he", ["BSD-2-Clause", "GPL-2.0-only"]), ("SPDX-License-Identifier: Apache-2.0 OR MIT", "BA", ["Apache-2.0", "MIT"]),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", "A", ["MIT"]), ("Released under the MIT License (MIT).", "A", ["MIT"]), ("License: MIT", "A", ["MIT"]), ("## License\n\nLicense: BSD 3-Clause", "d", ["BSD-3-Clause"]),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "BA", ["Apache-2.0", "MIT"]), ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "y", ["CC-BY-SA-3.0"]), ("Licensed under the EUPL-1.2", "z", ["EUPL-1.2"]), ("Licensed under the EUPL, Version 1.2", "z", ["EUPL-1.2"]),
+        ("// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.", "5", ["BSD-3-Clause"]), ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright", "3", ["GPL-3.0-only"]), ("Licensed under the GPL v3 or later", "s", ["GPL-3.0-or-later"]), ("licensed under LGPL-2.1", "v", ["LGPL-2.1-only"]),
         ("This is free and unencumbered software released into the public domain.", "S", ["Unlicense"]), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "W", ["CC-BY-SA-4.0"]), ("Available under the 3-Clause BSD License", "d", ["BSD-3-Clause"]), ("licensed under penalty of law", "", []),
         ("Released under the MIT License" + "\n" * 50_000 + "- \n" * 50_000 + MIT, "AEF", ["MIT"]), ("Released under\n\nthe MIT License.", "", []), ("Not released under the MIT License.", "", []), ("Released under the MIT License of old.", "", []), ("P L released under the MIT license", "", []),
     ]
