@@ -58,6 +58,7 @@ class Micro:
         self.job_texts = spark.createDataFrame([(r[0], " ".join(["Engineer with", *words.get(r[0], [])])) for r in rows], "job_id long, text string")
         self.technologies = spark.createDataFrame([(i, t, t, "language") for i, t in enumerate(TECHS)], "tech_id long, slug string, name string, category string")
         self.job_locations = spark.createDataFrame(loc, "job_id long, city string, region string, lat double, lon double")
+        self.spots = self.job_locations.where("lat is not null").select("job_id", "lat", "lon")
         self.text_index = fulltext.unstored(self.job_texts, "job_id")
         self.cities = spark.createDataFrame([(c[0], "X", c[1], c[2], c[0].lower().replace(" ", "-")) for c in (SF, OAK, SJ, NYC, DEN)], "city string, region string, lat double, lon double, city_slug string")
 

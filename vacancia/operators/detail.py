@@ -21,7 +21,7 @@ def masked(jobs: DataFrame, sources: DataFrame, columns: list[str]) -> DataFrame
 def job_lists(job_technologies: DataFrame, technologies: DataFrame) -> DataFrame:
     """job_id, technologies: names by requirement, then by lower-case name, joined; a job's list is short."""
     rank = F.array_position(F.array(*[F.lit(r) for r in REQUIREMENTS]), F.col("requirement"))
-    rows = job_technologies.join(F.broadcast(technologies.select("tech_id", "name")), "tech_id")
+    rows = job_technologies.join(technologies.select("tech_id", "name"), "tech_id")
     listed = rows.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.lower("name").alias("low"), "name", "requirement"))).alias("ts"))
     return listed.select("job_id", F.array_join(F.transform("ts", lambda t: F.concat_ws(":", t["name"], t["requirement"])), ",").alias("technologies"))
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacancia.operators.quantiles import quantiles
+
 #: A scope with fewer jobs is flagged; technologies listed for a category; companies listed.
 LOW_CONFIDENCE, TOP_IN_CATEGORY, TOP_COMPANIES = 30, 12, 10
+QUARTILES, SALARY_BIN = (0.25, 0.5, 0.75), 500.0
 DIMENSIONS = ("arrangement", "experience_level", "employment_type")
 
 
@@ -17,10 +20,10 @@ def midpoint() -> Column:
 def summary(matching: DataFrame) -> DataFrame:
     """For each scope: analyzed_jobs, low_confidence, disclosed, and p25, median, p75 of the disclosed midpoints (half-even)."""
     disclosed = F.col("salary_annual_min").isNotNull()
-    p = F.percentile(F.when(disclosed, midpoint()), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = matching.groupBy("scope_id").agg(F.count("*").alias("analyzed_jobs"), F.count_if(disclosed).alias("disclosed"), p.alias("p"))
+    out = matching.groupBy("scope_id").agg(F.count("*").alias("analyzed_jobs"), F.count_if(disclosed).alias("disclosed"))
+    p = quantiles(matching.where(disclosed), ["scope_id"], midpoint(), QUARTILES, SALARY_BIN).select("scope_id", "p")
     named = [F.bround(F.get("p", i), 0).cast("long").alias(n) for i, n in enumerate(("p25", "median", "p75"))]
-    return out.select("scope_id", "analyzed_jobs", (F.col("analyzed_jobs") < LOW_CONFIDENCE).alias("low_confidence"), "disclosed", *named)
+    return out.join(p, "scope_id", "left").select("scope_id", "analyzed_jobs", (F.col("analyzed_jobs") < LOW_CONFIDENCE).alias("low_confidence"), "disclosed", *named)
 
 
 def demand(matching: DataFrame, job_technologies: DataFrame, technologies: DataFrame, top: int = TOP_IN_CATEGORY) -> DataFrame:
@@ -33,7 +36,7 @@ def demand(matching: DataFrame, job_technologies: DataFrame, technologies: DataF
         matching.select("scope_id", "job_id").join(job_technologies, "job_id").groupBy("scope_id", "tech_id")
         .agg(F.count("*").alias("job_count"), F.count_if(F.col("requirement") == "required").alias("required_count"))
     )
-    rows = counts.join(F.broadcast(technologies), "tech_id").join(F.broadcast(totals), "scope_id")  # totals: a row for each scope
+    rows = counts.join(technologies, "tech_id").join(F.broadcast(totals), "scope_id")  # totals: a row for each scope
     category = Window.partitionBy("scope_id", "category")
     rows = rows.withColumns({
         "place": F.row_number().over(category.orderBy(F.desc("job_count"), "name")), "technologies_in_category": F.count("*").over(category),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacancia.operators.market import midpoint, share
+from vacancia.operators.market import QUARTILES, SALARY_BIN, midpoint, share
+from vacancia.operators.quantiles import quantiles
 from vacancia.sources.bindings import slug_of
 
 #: Fewest jobs together, least lift, how many are listed.
@@ -17,7 +18,7 @@ def headers(matching: DataFrame, job_technologies: DataFrame, technologies: Data
     totals = matching.groupBy("scope_id").agg(F.count("*").alias("analyzed_jobs"))
     levels = [F.count_if(F.col("requirement") == r).alias(r) for r in ("required", "preferred", "mentioned")]
     rows = matching.select("scope_id", "job_id").join(job_technologies, "job_id").groupBy("scope_id", "tech_id").agg(F.count("*").alias("jobs_with_tech"), *levels)
-    rows = rows.join(F.broadcast(totals), "scope_id").join(F.broadcast(technologies.select("tech_id", "slug")), "tech_id")
+    rows = rows.join(F.broadcast(totals), "scope_id").join(technologies.select("tech_id", "slug"), "tech_id")
     return rows.select("scope_id", "slug", "analyzed_jobs", "jobs_with_tech", "required", "preferred", "mentioned", share(F.col("jobs_with_tech"), F.col("analyzed_jobs")).alias("share"))
 
 
@@ -35,21 +36,20 @@ def co_occurrence(matching: DataFrame, job_technologies: DataFrame, technologies
     rows = rows.join(singles.select("scope_id", F.col("tech_id").alias("other_id"), F.col("n").alias("n_other")), ["scope_id", "other_id"])
     rows = rows.withColumns({"share": share(F.col("together"), F.col("n_tech")), "lift": F.round(F.col("together").cast("double") * F.col("total") / (F.col("n_tech") * F.col("n_other")), 6)}).where(F.col("lift") >= least_lift)
     names = technologies.select("tech_id", "slug", "name")
-    rows = rows.join(F.broadcast(names.select("tech_id", "slug")), "tech_id").join(F.broadcast(names.select(F.col("tech_id").alias("other_id"), F.col("slug").alias("other_slug"), F.col("name").alias("other_name"))), "other_id")
+    rows = rows.join(names.select("tech_id", "slug"), "tech_id").join(names.select(F.col("tech_id").alias("other_id"), F.col("slug").alias("other_slug"), F.col("name").alias("other_name")), "other_id")
     place = F.row_number().over(Window.partitionBy("scope_id", "slug").orderBy(F.desc("share"), "other_name"))
     return rows.withColumn("place", place).where(F.col("place") <= top).select("scope_id", "slug", "other_slug", "together", "share", "lift", "place")
 
 
 def salaries(matching: DataFrame, everywhere: DataFrame, job_technologies: DataFrame, technologies: DataFrame) -> DataFrame:
     """For each scope and technology: quartiles of disclosed midpoints, and the median less that of the whole country."""
-    quartiles = F.percentile(midpoint(), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p")
     paid = F.col("salary_annual_min").isNotNull()
-    national = everywhere.where(paid).agg(F.bround(F.percentile(midpoint(), F.lit(0.5)), 0).cast("long").alias("national"))  # one row
+    median = quantiles(everywhere.where(paid), [], midpoint(), (0.5,), SALARY_BIN).select(F.bround(F.get("p", F.lit(0)), 0).cast("long").alias("national"))  # a row at most
     rows = matching.where(paid).select("scope_id", "job_id", "salary_annual_min", "salary_annual_max").join(job_technologies.select("job_id", "tech_id"), "job_id")
-    rows = rows.groupBy("scope_id", "tech_id").agg(F.count("*").alias("disclosed"), quartiles).join(F.broadcast(technologies.select("tech_id", "slug")), "tech_id")
-    base = national.first()["national"]
+    rows = quantiles(rows, ["scope_id", "tech_id"], midpoint(), QUARTILES, SALARY_BIN).join(technologies.select("tech_id", "slug"), "tech_id")
     named = [F.bround(F.get("p", i), 0).cast("long").alias(n) for i, n in enumerate(("p25", "median", "p75"))]
-    return rows.select("scope_id", "slug", "disclosed", *named, (F.bround(F.get("p", 1), 0).cast("long") - F.lit(base).cast("long")).alias("delta"))
+    rows = rows.select("scope_id", "slug", F.col("n").alias("disclosed"), *named).join(F.broadcast(median), F.lit(True), "left")
+    return rows.withColumn("delta", F.col("median") - F.col("national")).drop("national")
 
 
 def alias_lookup(requested: DataFrame, aliases: DataFrame) -> DataFrame:

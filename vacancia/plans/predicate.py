@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,7 +133,9 @@ def flagged_jobs(market: Market, known: Resolved) -> DataFrame:
         flags = market.job_technologies.where(F.col("tech_id").isin(list(known.tech_ids.values()))).groupBy("job_id").agg(F.collect_set("tech_id").alias("_techs"))
         jobs = jobs.join(flags, "job_id", "left")
     if known.places:
-        spots = market.job_locations.where(F.col("lat").isNotNull())
+        reach = BUCKETS[-1] * geo.MILE  # no radius is wider; what lies beyond matches no scope
+        boxes = [geo.box(lat, lon, reach) for lat, lon in known.places.values()]
+        spots = market.spots.where(reduce(lambda a, b: a | b, boxes))
         near = [F.min(geo.distance(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))).alias(known.near(p)) for p, (lat, lon) in known.places.items()]
         jobs = jobs.join(spots.groupBy("job_id").agg(*near), "job_id", "left")
     if known.texts:  # all queries of all scopes in one pass over the index

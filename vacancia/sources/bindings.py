@@ -1,11 +1,15 @@
 """The driver's star schema seen as the canonical tables of a job market.
 
-Roles are bound by fixed expressions, so the operators run over the whole given tables. ``SQL`` states the same bindings
-for DuckDB, as common table expressions that every oracle query starts with.
+Roles are bound by fixed expressions, so the operators run over the whole given tables. What many queries join (jobs and
+their bridges to technologies and places) is derived once in an application and stored bucketed by job_id, so that it is
+joined and counted by job without an exchange; places are stored a second time in the order of map cells, so that a radius
+search reads the files near its centre. ``SQL`` states the same bindings for DuckDB, as common table expressions that every
+oracle query starts with.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -47,8 +51,30 @@ class Market:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _bucketed(self, name: str, rows: Callable[[], DataFrame]) -> DataFrame:
+        return stored.bucketed(self.spark, name, self.sf_dir, rows, "job_id")
+
     @cached_property
     def jobs(self) -> DataFrame:
+        return self._bucketed("jobs", self._jobs)
+
+    @cached_property
+    def job_technologies(self) -> DataFrame:
+        """One row for each job and technology: the strongest requirement level."""
+        return self._bucketed("job_technologies", self._job_technologies)
+
+    @cached_property
+    def job_locations(self) -> DataFrame:
+        """One row for each job and place: a job may have several."""
+        return self._bucketed("job_locations", self._job_locations)
+
+    @cached_property
+    def spots(self) -> DataFrame:
+        """job_id, lat, lon of all known places, in the order of map cells."""
+        path = stored.once(self.spark, "spots", self.sf_dir, lambda path: stored.by_cell(self.job_locations, path))
+        return self.spark.read.parquet(path)
+
+    def _jobs(self) -> DataFrame:
         o, c = self.table("orders"), self.table("customer").select("c_custkey", "c_mktsegment")
         key = F.col("o_orderkey")
         low = F.when(key % 3 != 0, F.col("o_totalprice").cast("decimal(12,2)"))
@@ -87,18 +113,14 @@ class Market:
         part = self.table("part")
         return part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("tech_id"), F.min_by("p_type", "p_partkey").alias("category")).withColumn("slug", slug_of(F.col("name")))
 
-    @cached_property
-    def job_technologies(self) -> DataFrame:
-        """One row for each job and technology: the strongest requirement level."""
-        parts = self.table("part").select("p_partkey", F.col("p_name").alias("name")).join(F.broadcast(self.technologies.select("name", "tech_id")), "name")
+    def _job_technologies(self) -> DataFrame:
+        parts = self.table("part").select("p_partkey", F.col("p_name").alias("name")).join(self.technologies.select("name", "tech_id"), "name")
         lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_returnflag").join(parts.select("p_partkey", "tech_id"), F.col("l_partkey") == F.col("p_partkey"))
         rank = _pick(F.col("l_returnflag"), {k: v[0] for k, v in REQUIREMENTS.items()})
         best = lines.groupBy(F.col("l_orderkey").alias("job_id"), "tech_id").agg(F.min(rank).alias("rank"))
         return best.select("job_id", "tech_id", _pick(F.col("rank"), dict(REQUIREMENTS.values())).alias("requirement"))
 
-    @cached_property
-    def job_locations(self) -> DataFrame:
-        """One row for each job and place: a job may have several."""
+    def _job_locations(self) -> DataFrame:
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         places = self.table("supplier").select("s_suppkey", "s_nationkey").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
         lines = self.table("lineitem").select("l_orderkey", "l_suppkey").join(places, F.col("l_suppkey") == F.col("s_suppkey"))

@@ -11,6 +11,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Degrees of a map cell.
+CELL = 2.0
 
 _KEPT: dict[tuple, str] = {}
 _FOLDERS: dict[str, str] = {}
@@ -51,6 +55,14 @@ def bucketed(spark: SparkSession, name: str, source: str, rows: Callable[[], Dat
     return spark.table(_KEPT[key])
 
 
+def by_cell(places: DataFrame, path: str) -> None:
+    """job_id, lat, lon of the places that are known, so ordered that files and row groups hold places near each other."""
+    spots = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("job_id", "lat", "lon")
+    files = int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cell = [F.floor(F.col("lat") / CELL), F.floor(F.col("lon") / CELL)]
+    spots.repartitionByRange(files, *cell, "job_id").sortWithinPartitions(*cell, "lat", "lon").write.parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application."""
     import zipfile
