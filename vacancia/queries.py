@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vacancia.operators import market as dashboard
 from vacancia.functions import text as T
 from vacancia.functions import urls
-from vacancia.operators import dedupe, detail, evaluate, extraction, fulltext, ingest, matching, mentions, places, profiles, resume, review, search, skills, snapshots
+from vacancia.operators import dedupe, detail, evaluate, extraction, extraction_run, fulltext, ingest, matching, mentions, places, profiles, resume, review, search, skills, snapshots
 from vacancia.operators import text as text_ops
 from vacancia.operators import titles as titles_ops
 from vacancia.plans.predicate import Scope, countable, matching_jobs, matching_sql
@@ -544,6 +544,34 @@ def _title_aliases(m: Market) -> DataFrame:
     return m.spark.createDataFrame(rows, "alias string, slug string")
 
 
+#: What the titles of ``_LEVEL_TITLES`` resolve to: by an alias, or by the most similar one.
+_FAMILIES = ("data-engineer", "data-engineer", "data-engineer", "data-engineer", "software-engineer", None, "data-engineer")
+
+
+def _before(m: Market) -> DataFrame:
+    """Postings as an earlier run left them: some are done, some have an arrangement, a level or a salary."""
+    i = F.col("job_id")
+    known = {
+        "location_is_remote": F.lit(False), "arrangement": F.when(i % 2 == 0, "hybrid"), "experience_level": F.when(i % 3 == 1, "mid"), "employment_type": F.lit(None).cast("string"),
+        "salary_annual_min": F.when(i % 3 == 0, 50_000.0), "extractor_version": F.when(i % 10 == 9, extraction_run.VERSION).when(i % 10 == 8, 0),
+    }
+    return _levelled(m).withColumns(known)
+
+
+@query(f"""{_LEVELLED}, f as ({_SQL['posting_facts']}), p as ({_SQL['posting_salaries']}), s as (select doc_id, count(*) as n_sections from ({_SQL['posting_sections']}) group by 1),
+r as (select job_id, [{', '.join(_quoted(x) if x else 'null' for x in _FAMILIES)}][job_id % {len(_FAMILIES)} + 1] as title_slug, coalesce(v.level, case when job_id % 3 = 1 then 'mid' end) as experience_level, coalesce(arrangement, case when job_id % 2 = 0 then 'hybrid' end) as arrangement,
+  case when job_id % 3 <> 0 then annual_min end as annual_min, coalesce(n_sections, 0) as n_sections, true as has_technologies from v join f on f.doc_id = job_id left join p on p.doc_id = job_id left join s on s.doc_id = job_id where job_id % 10 <> 9)
+select *, count(*) over () as processed, count(*) over () as with_technologies, count(title_slug) over () as titles_resolved, count(annual_min) over () as salaries_new from r""")
+def extraction_results(m: Market) -> DataFrame:
+    """A whole run over what is due, with its counters beside its rows."""
+    path = stored.fresh_path(m.spark, "extraction-run")
+    counted = extraction_run.run(_before(m), extraction_run.Taxonomy(_aliases(m), _title_aliases(m)), path)
+    rows = extraction_run.current(m.spark, path).select(
+        "job_id", "title_slug", "experience_level", "arrangement", F.col("salary.annual_min").alias("annual_min"), F.size("sections").cast("long").alias("n_sections"), (F.size("technologies") > 0).alias("has_technologies"),
+    )
+    return rows.withColumns({k: F.lit(v).cast("long") for k, v in counted.items()})
+
+
 @query()
 def canonical_titles(m: Market) -> DataFrame:
     return titles_ops.resolved(_titles(m), _title_aliases(m))
