@@ -320,7 +320,20 @@ def test_match_arithmetic(spark):
     held = spark.createDataFrame([(9, 7)], "profile_id long, title_id int")
     jobs = spark.createDataFrame([(1, 7, "senior", None)], "job_id long, title_id int, experience_level string, years_of_experience double")
     shared = matching.pairs(matching.facts(profiles, own, held), matching.needs(jobs, jt))
-    r = matching.reasons(matching.score(shared)).first()
+    scored = matching.score(shared)
+    r = scored.first()
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(["", "Python", "go", "Kafka", "AWS", "C++", "bash"])], "tech_id long, name string")
+    roles = spark.createDataFrame([(7, "Backend Engineer")], "title_id int, title_name string")
+    said = matching.explain(matching.ranked(scored, 20), matching.facts(profiles, own, held), jobs, jt, names, roles).first()
+    assert said["reasons"] == ["Matches 2 of 3 required skills (go, Python)", "Missing 1 required skill(s): Kafka", "Your background includes the Backend Engineer role", "Your experience meets the senior requirement"]
+    assert said["matched_skills"] == ["go", "Python", "AWS", "bash"] and said["missing_skills"] == ["Kafka", "C++"]
+    assert (said["skills_detail"], said["title_detail"], said["experience_detail"]) == ("You have 2 of 3 required skills.", "You have held a Backend Engineer role.", "Your experience meets the senior level.")
+    loose = spark.createDataFrame([(2, 6, "mentioned"), (2, 1, "mentioned")], "job_id long, tech_id long, requirement string")
+    other = spark.createDataFrame([(2, 8, None, 5.0)], "job_id long, title_id int, experience_level string, years_of_experience double")
+    unclear = matching.ranked(matching.score(matching.pairs(matching.facts(profiles, own, held), matching.needs(other, loose))), 20)
+    said = matching.explain(unclear, matching.facts(profiles, own, held), other, loose, names, roles).first()
+    assert said["reasons"] == ["Matches skills this posting lists (bash, Python)"] and said["experience_detail"] == "Not enough experience detail on your profile to compare."
+    assert (said["skills_detail"], said["title_detail"]) == ("You have 2 of the skills this posting mentions.", "No canonical role family to compare.")
     assert shared.count() == 1 and sorted(r["matched_skills"]) == [1, 2, 4, 6] and sorted(r["missing_skills"]) == [3, 5]
     assert (r["score"], r["matched"], r["matched_required"], r["missing"], r["verdict"]) == (79, 4, 2, 2, "meets") and r["title_points"] == 25.0
 

@@ -757,14 +757,40 @@ def profile_matches(m: Market) -> DataFrame:
     return matching.ranked(_scored(m), 20).select("profile_id", "job_id", "score", "matched_required", "matched")
 
 
-@query(f"""{_MATCH}, g as (select *, coalesce(round(coalesce(s * 0.55::double, 0) * 100 / nullif(w, 0), 1), 0) as sp, coalesce(round(coalesce(t * 0.25::double, 0) * 100 / nullif(w, 0), 1), 0) as tp, coalesce(round(coalesce(e * 0.2::double, 0) * 100 / nullif(w, 0), 1), 0) as ep, nr + np - hr - hp as missing,
-  list_sort(list_concat(list_intersect(rq, skills), list_intersect(pq, skills), list_intersect(mq, skills))) as has, list_sort(list_filter(list_concat(rq, pq), lambda x: not list_contains(skills, x))) as lacks from f)
-select profile_id, job_id, score, sp as skills_points, tp as title_points, ep as experience_points, verdict, array_to_string(has, ',') as matched_skills, array_to_string(lacks, ',') as missing_skills,
-concat_ws('; ', case when hr + hp + hm > 0 then (hr + hp + hm) || ' skills matched, ' || hr || ' required' end, case when missing > 0 then missing || ' skills missing' end, case when tp > 0 then 'same title family' end,
-case when verdict in ('meets', 'exceeds') then verdict || ' the level' when verdict = 'below' then 'below the level' end) as reasons from g""")
+_ROLES = {i: slug.replace("-", " ").title() for i, slug in TITLES.values()}
+_NAMES = "array_to_string(list_transform(list_sort(list_transform(list_filter({ids}, lambda i: {keep}), lambda i: struct_pack(low := lower(tn[i]), name := tn[i]))), lambda n: n.name), ', ')"
+
+
+def _named(ids: str, keep: str = "true") -> str:
+    """In SQL, the names of the technologies ``ids`` that ``keep`` says, by lower-case name."""
+    return _NAMES.format(ids=ids, keep=keep)
+
+
+def _joined(*lists: str) -> str:
+    return "array_to_string(list_filter([" + ", ".join(lists) + "], lambda x: x <> ''), ', ')"
+
+
+_HELD = "list_contains(skills, i)"
+
+
+@query(f"""{_MATCH}, r as (select *, row_number() over (partition by profile_id order by score desc, hr desc, hr + hp + hm desc, job_id) as place from f qualify place <= 20),
+g as (select *, case title_id {' '.join(f"when {i} then {_quoted(n)}" for i, n in _ROLES.items())} end as role, coalesce(['entry', 'mid', 'senior', 'staff_plus'][want], asked::bigint || '+ years') as goal, (select map_from_entries(list((tech_id, name))) from technologies) as tn,
+  coalesce(round(coalesce(t * 0.25::double, 0) * 100 / nullif(w, 0), 1), 0) as tp from r),
+h as (select *, {_named('rq', _HELD)} as hrq, {_named('rq', f'not {_HELD}')} as lrq, {_named('pq', _HELD)} as hpq, {_named('pq', f'not {_HELD}')} as lpq, {_named('mq', _HELD)} as hmq from g)
+select profile_id, job_id, place, score, {_joined('hrq', 'hpq', 'hmq')} as matched_skills, {_joined('lrq', 'lpq')} as missing_skills,
+case when nr + np + nm = 0 then 'This posting lists no recognised skills.' when nr > 0 then 'You have ' || hr || ' of ' || nr || ' required skills.' else 'You have ' || (hp + hm) || ' of the skills this posting mentions.' end as skills_detail,
+case when t is null then 'No canonical role family to compare.' when tp > 0 then 'You have held a ' || role || ' role.' else 'Your roles differ from ' || role || '.' end as title_detail,
+case when verdict in ('meets', 'exceeds') then 'Your experience ' || verdict || ' the ' || goal || ' level.' when verdict = 'below' then 'This role targets ' || goal || '; your experience is below it.' when verdict = 'unknown' then 'Not enough experience detail on your profile to compare.' else 'This posting does not specify a seniority level.' end as experience_detail,
+concat_ws(' | ', case when nr > 0 then 'Matches ' || hr || ' of ' || nr || ' required skills' || case when hr > 0 then ' (' || hrq || ')' else '' end when hp + hm > 0 then 'Matches skills this posting lists (' || array_to_string(string_split({_joined('hpq', 'hmq')}, ', ')[1:4], ', ') || ')' end,
+  case when nr > hr then 'Missing ' || (nr - hr) || ' required skill(s): ' || lrq end, case when tp > 0 then 'Your background includes the ' || role || ' role' end,
+  case when verdict in ('meets', 'exceeds') then 'Your experience ' || verdict || ' the ' || goal || ' requirement' when verdict = 'below' then 'This role targets ' || goal || ', above your current experience' end) as reasons from h""")
 def match_explanations(m: Market) -> DataFrame:
-    listed = lambda c: F.array_join(F.array_sort(F.col(c)), ",").alias(c)
-    return matching.reasons(_scored(m)).select("profile_id", "job_id", "score", "skills_points", "title_points", "experience_points", "verdict", listed("matched_skills"), listed("missing_skills"), "reasons")
+    candidates = _profiles(m)
+    best = matching.ranked(matching.score(matching.pairs(candidates, _wanted(m))), 20)
+    roles = m.spark.createDataFrame(list(_ROLES.items()), "title_id int, title_name string")
+    rows = matching.explain(best, candidates, m.jobs, m.job_technologies, m.technologies, roles)
+    listed = lambda c: F.array_join(c, ", ").alias(c)
+    return rows.select("profile_id", "job_id", "place", "score", listed("matched_skills"), listed("missing_skills"), "skills_detail", "title_detail", "experience_detail", F.array_join("reasons", " | ").alias("reasons"))
 
 
 @query(f"""{SQL}, {_FACTS.format(every=1)} sv as (select o_custkey as user_id, ((o_orderkey * 7) // 10) * 10 + 1 as k, o_orderdate as created_at from orders where o_orderkey % 5 = 0),
