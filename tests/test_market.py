@@ -322,6 +322,7 @@ def test_match_arithmetic(spark):
     shared = matching.pairs(matching.facts(profiles, own, held), matching.needs(jobs, jt))
     scored = matching.score(shared)
     r = scored.first()
+    assert matching.score_all(matching.facts(profiles, own, held), matching.needs(jobs, jt)).collect() == scored.drop("matched_skills", "missing_skills").collect()
     names = spark.createDataFrame([(i, n) for i, n in enumerate(["", "Python", "go", "Kafka", "AWS", "C++", "bash"])], "tech_id long, name string")
     roles = spark.createDataFrame([(7, "Backend Engineer")], "title_id int, title_name string")
     said = matching.explain(matching.ranked(scored, 20), matching.facts(profiles, own, held), jobs, jt, names, roles).first()

@@ -749,7 +749,7 @@ _MATCH = f"{SQL}, {_FACTS.format(every=100)} x as (select * from pf, mj where li
 
 
 def _scored(m: Market) -> DataFrame:
-    return matching.score(matching.pairs(_profiles(m), _wanted(m)))
+    return matching.score_all(_profiles(m), _wanted(m))
 
 
 @query(f"{_MATCH} select profile_id, job_id, score, hr as matched_required, hr + hp + hm as matched from f qualify row_number() over (partition by profile_id order by score desc, hr desc, hr + hp + hm desc, job_id) <= 20")
@@ -786,7 +786,7 @@ concat_ws(' | ', case when nr > 0 then 'Matches ' || hr || ' of ' || nr || ' req
   case when verdict in ('meets', 'exceeds') then 'Your experience ' || verdict || ' the ' || goal || ' requirement' when verdict = 'below' then 'This role targets ' || goal || ', above your current experience' end) as reasons from h""")
 def match_explanations(m: Market) -> DataFrame:
     candidates = _profiles(m)
-    best = matching.ranked(matching.score(matching.pairs(candidates, _wanted(m))), 20)
+    best = matching.ranked(matching.score_all(candidates, _wanted(m)), 20)
     roles = m.spark.createDataFrame(list(_ROLES.items()), "title_id int, title_name string")
     rows = matching.explain(best, candidates, m.jobs, m.job_technologies, m.technologies, roles)
     listed = lambda c: F.array_join(c, ", ").alias(c)
