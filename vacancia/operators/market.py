@@ -19,11 +19,10 @@ def midpoint() -> Column:
 
 def summary(matching: DataFrame) -> DataFrame:
     """For each scope: analyzed_jobs, low_confidence, disclosed, and p25, median, p75 of the disclosed midpoints (half-even)."""
-    disclosed = F.col("salary_annual_min").isNotNull()
-    out = matching.groupBy("scope_id").agg(F.count("*").alias("analyzed_jobs"), F.count_if(disclosed).alias("disclosed"))
-    p = quantiles(matching.where(disclosed), ["scope_id"], midpoint(), QUARTILES, SALARY_BIN).select("scope_id", "p")
-    named = [F.bround(F.get("p", i), 0).cast("long").alias(n) for i, n in enumerate(("p25", "median", "p75"))]
-    return out.join(p, "scope_id", "left").select("scope_id", "analyzed_jobs", (F.col("analyzed_jobs") < LOW_CONFIDENCE).alias("low_confidence"), "disclosed", *named)
+    disclosed = F.when(F.col("salary_annual_min").isNotNull(), midpoint())
+    out = quantiles(matching, ["scope_id"], disclosed, QUARTILES, SALARY_BIN)
+    named = [F.bround(F.get("p", F.lit(i)), 0).cast("long").alias(n) for i, n in enumerate(("p25", "median", "p75"))]
+    return out.select("scope_id", F.col("n_rows").alias("analyzed_jobs"), (F.col("n_rows") < LOW_CONFIDENCE).alias("low_confidence"), F.col("n").alias("disclosed"), *named)
 
 
 def demand(matching: DataFrame, job_technologies: DataFrame, technologies: DataFrame, top: int = TOP_IN_CATEGORY) -> DataFrame:

@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 
 def quantiles(rows: DataFrame, by: list[str], value: Column, fractions: tuple[float, ...], width: float) -> DataFrame:
-    """by, n (values that aren't NULL), p (array: linear between the two nearest ranks). NULL is a group like others.
+    """by, n_rows, n (values that aren't NULL), p (array: linear between the two nearest ranks; NULL without a value). NULL is a group like others.
 
     ``width`` is that of a bin, in units of the value: narrow enough that a task can order the distinct values of a bin, wide
-    enough that it can order the bins of a group. Groups without a value have no row.
+    enough that it can order the bins of a group.
     """
     names = [f"_by{i}" for i in range(len(by))]
     keys = [F.struct(F.col(c)).alias(name) for c, name in zip(by, names, strict=True)] or [F.lit(0).alias("_all")]  # a struct equals itself even where it holds NULL
     names = names or ["_all"]
-    counts = rows.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull()).groupBy(*names, "_v").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_bin", F.floor(F.col("_v") / width))
+    every = rows.select(*keys, value.cast("double").alias("_v")).groupBy(*names, "_v").agg(F.count("*").alias("_n")).withColumn("_bin", F.floor(F.col("_v") / width))
+    totals = every.groupBy(*names).agg(F.sum("_n").alias("n_rows"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).alias("n"))
+    counts = every.where(F.col("_v").isNotNull())
     bins = counts.groupBy(*names, "_bin").agg(F.sum("_n").alias("_n"))
     group = Window.partitionBy(*names)
     bins = bins.withColumns({"_end": F.sum("_n").over(group.orderBy("_bin")), "_total": F.sum("_n").over(group)})
@@ -32,12 +33,13 @@ def quantiles(rows: DataFrame, by: list[str], value: Column, fractions: tuple[fl
     ordered = Window.partitionBy(*names, "_bin").orderBy("_v")
     found = counts.join(wanted, [*names, "_bin"]).withColumn("_end", F.col("_before") + F.sum("_n").over(ordered))
     hit = F.filter("_ranks", lambda x: (x["r"] < F.col("_end")) & (x["r"] >= F.col("_end") - F.col("_n")))
-    found = found.select(*names, "_total", "_v", F.explode(hit).alias("_hit"))
-    picked = found.groupBy(*names).agg(F.first("_total").alias("n"), *[F.max(F.when(F.col("_hit.i") == i, F.col("_v"))).alias(f"_q{i}") for i in range(len(ranks))])
+    found = found.select(*names, "_v", F.explode(hit).alias("_hit"))
+    picked = found.groupBy(*names).agg(*[F.max(F.when(F.col("_hit.i") == i, F.col("_v"))).alias(f"_q{i}") for i in range(len(ranks))])
 
     def between(f: float, i: int) -> Column:
         place = F.lit(float(f)) * (F.col("n") - 1)
         low, high = F.col(f"_q{2 * i}"), F.col(f"_q{2 * i + 1}")
         return F.when((F.floor(place) == F.ceil(place)) | (low == high), low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
 
-    return picked.select(*[F.col(name)[c].alias(c) for c, name in zip(by, names, strict=False)], "n", F.array(*[between(f, i) for i, f in enumerate(fractions)]).alias("p"))
+    out = totals.join(picked, names, "left")
+    return out.select(*[F.col(name)[c].alias(c) for c, name in zip(by, names, strict=False)], "n_rows", "n", F.when(F.col("n") > 0, F.array(*[between(f, i) for i, f in enumerate(fractions)])).alias("p"))
