@@ -74,6 +74,12 @@ def test_secrets_match_regular_expressions_and_the_ledger_is_incremental(spark,
     more = docs.select("doc_id", "text").union(spark.createDataFrame([(900, "new secret=abcdefgh")], "doc_id bigint, text string"))
     assert by_id(secrets.digest(secrets.scan(more, path)))[900][0]["n_assign"] == 1
     assert spark.read.parquet(path).count() == n + 1
+    written = []
+    with pytest.MonkeyPatch.context() as patch:  # a run of one text copies and scans nothing of the others
+        patch.setattr(storage, "written", lambda df, tag, *a, f=storage.written: written.append((tag, (out := f(df, tag, *a)).count())) or out)
+        again = secrets.scan(spark.createDataFrame([(7, TEXTS[7]), (901, "newer token=abcdefgh")], "doc_id bigint, text string"), path).collect()
+    assert written == [("run-blobs", 2), ("known-findings", 1), ("unseen-blobs", 1), ("findings", 1)] and len(again) == 2
+    n += 1
     assert secrets.scan(docs, path, secrets.RULES[:1]).count() == len(ROWS)
     assert spark.read.parquet(path).select("rule_version").distinct().count() == 2
     assert secrets.digest(secrets.scan(nothing, storage.shared_dir(spark, "ledger"))).count() == 0

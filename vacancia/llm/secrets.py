@@ -6,9 +6,10 @@ version, appends their rows, and joins the findings back to every path (document
 changes the version, so all blobs are scanned again; changed texts are new blobs, and old versions keep their rows. Where
 two runs at once, or a repeated append, have written a pair twice, its findings are equal and one row of them is read.
 
-A run over a ledger compares addresses first, so of the texts only those of unseen blobs are shuffled while they are few.
+A run over a ledger compares addresses first: the ledger is cut to the addresses of this run's texts where it is read, so its
+history is neither shuffled nor copied, and of the texts only those of unseen blobs are shuffled while they are few.
 
-Spans are code points, end exclusive. Nulls count as empty texts. Repeated rows are each reported; rows with a null
+Very long texts are scanned whole. Spans are code points, end exclusive. Nulls count as empty texts. Repeated rows are each reported; rows with a null
 doc_id too. An empty table gives no rows. Columns besides doc_id and text are ignored.
 """
 
@@ -62,21 +63,22 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) ->
     text = F.coalesce("text", F.lit(""))
     addressed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("blob_id"))
     version = rule_version(rules)
-    blobs = addressed.select("blob_id", "text")
+    blobs, known = addressed.select("blob_id", "text"), None
     seen = _ledger(spark, ledger_path)
     if seen is None:
         blobs = blobs.dropDuplicates(["blob_id"])
     else:
-        done = seen.where(F.col("rule_version") == version).select("blob_id")
-        unseen = storage.written(blobs.select("blob_id").distinct().join(done, "blob_id", "left_anti"), "unseen-blobs")
+        own = storage.written(blobs.select("blob_id").distinct(), "run-blobs")
+        known = seen.where(F.col("rule_version") == version).join(own, "blob_id", "left_semi").select("blob_id", "findings")
+        known = storage.written(known.dropDuplicates(["blob_id"]), "known-findings")  # of this run's blobs alone
+        unseen = storage.written(own.join(known.select("blob_id"), "blob_id", "left_anti"), "unseen-blobs")
         if unseen.count() <= MAX_BROADCAST_BLOBS:
             blobs = blobs.join(F.broadcast(unseen), "blob_id", "left_semi").dropDuplicates(["blob_id"])
         else:
             blobs = blobs.dropDuplicates(["blob_id"]).join(unseen.hint("merge"), "blob_id", "left_semi")
-    scanned = _findings(blobs, rules).select("blob_id", F.lit(version).alias("rule_version"), "findings")
-    scanned.write.mode("append").parquet(ledger_path)
-    known = spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("rule_version") == version).select("blob_id", "findings")
-    known = storage.written(known.dropDuplicates(["blob_id"]), "findings")  # joined by an exchange of its own, so that a hot blob can be split
+    new = storage.written(_findings(blobs, rules), "findings")
+    new.select("blob_id", F.lit(version).alias("rule_version"), "findings").write.mode("append").parquet(ledger_path)
+    known = new if known is None else known.union(new)  # written, so they are joined by an exchange of their own and a hot blob can be split
     return addressed.select("doc_id", "blob_id").join(known.hint("merge"), "blob_id").select("doc_id", "blob_id", "findings")
 
 
