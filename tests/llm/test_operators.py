@@ -546,9 +546,11 @@ def test_every_variant_of_a_pattern_rule_is_a_candidate(spark):
         "http://spam-farm.net/", "http://a.SPAM-farm.net/x", "http://cheap-pills.net", "http://my-cheap-pills.net", "http://a.discount-pills.net", "http://casino.net", "http://the-casino-1.net/", "http://xxx.net", "http://a.xxx",
         "http://a.net/wp-login.php", "http://a.net/x/WP-login.php?a", "http://a.net/buy-essay", "http://a.net/buy-cheap-essays/1", "http://a.net/?x;PHPSESSID=1", "http://a.net/a?affid=7&b",
         *(f"http://{h}" for w in ("poker", "roulette", "jackpot", "sportsbook", "porn", "escorts", "camgirls", "warez", "keygen", "torrents", "payday", "fastcash") for h in (f"{w}.net", f"my-{w}.a.net/x", f"A.{w.upper()}-1.net")),
+        "http://a.net/r?goto=https%3A%2F%2Fb.net&x=1&clickid=9", "http://a.net/r?url=http://b.net&clickid=", "http://a.net/replica-watches", "http://a.net/Replica-bag?x", "http://a.net/adult-dating/1", "http://a.net/cart/add/7?a=1&quantity=3", "http://a.net/checkout/ADD?quantity=12",
+        "http://10.0.0.1:80/x/setup.exe", "https://1.2.3.4/A.EXE", "http://x123456789012345.net/", "http://123456789012a.b.net",
         "http://a.net/?ref=clickbait", "http://a.net/?ref=click-bait", "http://a.net/?x=1&REF=ClickBait&y", "http://a.net/?a&ref=CLICK-BAIT#z",
     ]
-    near = ["http://a.net/?ref=clickbaits", "http://a.net/ref=clickbait", "http://a.net/?ref=click", "http://pills.net", "http://a.net/casino", "http://a.net/?affid=", "http://a.net/x-affid=3", "http://pokers.net", "http://a.net/login.php", "http://xxxx.net", "http://bait.net/?ref=news"]
+    near = ["http://a.net/?ref=clickbaits", "http://a.net/ref=clickbait", "http://a.net/?ref=click", "http://pills.net", "http://a.net/casino", "http://a.net/?affid=", "http://a.net/x-affid=3", "http://pokers.net", "http://a.net/login.php", "http://xxxx.net", "http://bait.net/?ref=news", "http://a.net/r?goto=/b&clickid=9", "http://a.net/replicawatches", "http://a.net/dating/", "http://a.net/cart/added?quantity=3", "http://10.0.0.1/x.executable", "http://x1234567890.net"]
     plain = variants + near + [f"http://a.net/{i}?ref=feed" for i in range(20)]
     want = {u: min((r.name for r in urls.PATTERN_RULES if re.search(r.pattern, u)), default=None) for u in plain}
     assert all(want[u] for u in variants) and not any(want[u] for u in near)
@@ -556,6 +558,34 @@ def test_every_variant_of_a_pattern_rule_is_a_candidate(spark):
     assert {plain[r["page_id"]]: (r["pattern_rule"], r["verdict"]) for r in judged} == {u: (name, "block" if name else "allow") for u, name in want.items()}
 
 
+def test_required_tokens_stand_in_every_match():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from vacancia.llm.literals import required_tokens
+
+    assert required_tokens(r"\ba-(b|c)-d(e-)?f\b") == ("a",) and required_tokens(r"ab") == required_tokens("a|b") == required_tokens(r"\p{L}\bx\b") == ()
+    assert required_tokens(r"(?i)\bX1[.]y_z$") == ("x1", "y", "z") and required_tokens(r"/(?:on|off)/(q)/[a-z]r/") == ("q",) and required_tokens(r"-(ab-)+cd\b") == ("cd",)
+    for rule in urls.PATTERN_RULES:
+        tokens = set(required_tokens(rule.pattern))
+
+        @settings(max_examples=60, deadline=None, database=None)
+        @given(st.from_regex(rule.pattern.removeprefix("(?i)")))
+        def holds(url, tokens=tokens):
+            assert tokens <= set(re.split("[^a-z0-9]+", url.lower()))
+
+        holds()
+
+
+def test_rules_are_a_table_and_those_without_a_token_run_on_every_url(spark):
+    rules = spark.createDataFrame([("ends-in-7", "7$"), ("either", "(?i)(left|right)"), ("news", r"/news/")], "name string, pattern string")
+    pages = spark.createDataFrame([(1, "http://a.net/17"), (2, "http://a.net/18"), (3, "http://leftist.net"), (4, "http://a.net/news/1"), (5, "http://a.net/newsroom/1"), (6, None), (6, None)], "page_id bigint, url string")
+    assert {r["page_id"]: r["pattern_rule"] for r in urls.judge(pages, rules).collect()} == {1: "ends-in-7", 2: None, 3: "either", 4: "news", 5: None, 6: None}
+    assert {r["name"]: r["token"] for r in urls.index(pages, rules).collect()} == {"ends-in-7": "", "either": "", "news": "news"}
+    with pytest.raises(ValueError, match="more than"):
+        urls.judge(pages, spark.range(urls.MAX_RULES + 1).selectExpr("cast(id as string) as name", "'x' as pattern"))
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
