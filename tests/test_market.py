@@ -357,6 +357,24 @@ def test_feeds(spark):
     assert len(r) == 1 and (r[0]["description_html"], r[0]["location_texts"], r[0]["employment_type"]) == ("<p>d</p>\n<h3>H</h3>\n<li>c</li>", ["SF", "LA"], "internship")
 
 
+def test_feeds_take_any_shape_and_any_order_of_keys(spark):
+    said = lambda metadata: json.dumps({"id": 1, "title": "x", "metadata": metadata})
+    cases = [
+        (said([{"name": "Employment Type", "value": "Part-time"}, {"name": "Team", "value": {"id": 4, "name": "x"}}, {"name": "Remote", "value": True}, {"name": "Level", "value": 3.5}]), "part_time"),
+        (said([{"name": "Team", "value": ["a", 1]}, {"name": " commitment ", "value": [None, 7, {"a": 1}, "Intern"]}]), "internship"),
+        (said([{"name": "Job Type", "value": None}, {"name": "Job Type", "value": {"deep": ["Contract"]}}, {"value": "Contract"}, "odd"]), None), (said("odd"), None), (said(None), None),
+    ]
+    got = {r["payload"]: r["employment_type"] for r in feeds.feed_a(spark.createDataFrame([(p,) for p, _ in cases], "payload string")).collect()}
+    assert got == dict(cases)
+    one = '{"id": "z", "text": "Dev", "lists": [{"text": "H", "content": "c", "more": {"x": [1, {"p": 1, "q": 2}], "y": null}}], "country": "US"}'
+    same = '{"country":"US", "lists": [{"more": {"y": null, "x": [1, {"q": 2, "p": 1}]}, "content": "c", "text": "H"}], "text": "Dev", "id": "z"}'
+    other = one.replace('"q": 2', '"q": 3')
+    hashes = [r["content_hash"] for p in (one, same, other) for r in feeds.feed_b(spark.createDataFrame([(p,)], "payload string")).collect()]
+    assert hashes[0] == hashes[1] != hashes[2]
+    broken = ["not json", '{"id": 1', "[]", "null", None, '{"title": "no id"}']
+    assert feeds.feed_a(spark.createDataFrame([(p,) for p in broken], "payload string")).count() == feeds.feed_b(spark.createDataFrame([(p,) for p in broken], "payload string")).count() == 0
+
+
 def test_streams(spark, tmp_path):
     landing = str(tmp_path / "in")
     rows = "source_id string, external_id string, content_hash string, payload string, seen_at timestamp"
