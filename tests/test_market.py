@@ -426,6 +426,7 @@ def test_character_references_and_declared_types(spark):
     from vacancia.functions import text as T
 
     texts = ["a &#8217; b &eacute;&#x27;&amp;lt; &nosuch; & x; &#128; &#0; &#x1F600; &#1114112;", "plain", "", None, "&lt;p&gt;"]
+    texts += ["R&amp D", "a&nbspb &copy 2020 &#8217 x &#x2019y &notit; &notit &lt&gt;", "&ampamp; &AMP;&AMP x &foo &foo; & ;", "&#0;&#1;&#11;&#128&#129;&#xFFFE;&#99999999999;&#x0000041;&#00065 &#; &#x; &#xD800;", "?a=1&copy=2&region=3&sect;ion"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.unescaped(F.col("t")).alias("u")).collect()
     assert [r["u"] for r in got] == [t and unescape(t) for t in texts]
     declared = {"Full-Time / Salaried": "full_time", "Permanent (UK)": "full_time", "Intern - Summer": "internship", "W2 Contract": "contract", "FULL_TIME": "full_time", "nothing": None, "": None, None: None}

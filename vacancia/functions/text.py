@@ -44,10 +44,11 @@ HEADER_CHARS = 90
 # Expressions ----------------------------------------------------------------------------------------------------------
 
 
-REFERENCE = r"&(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);"
-#: HTML's named characters, and the numbers that stand for other characters than their own.
+#: HTML's named characters; those that stand without a semicolon too; numbers that stand for other characters than their own.
 _NAMED = {name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}
-_RENUMBERED = {n: unescape(f"&#{n};") for n in (0, *range(0x80, 0xA0))}
+_LEGACY = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
+_RENUMBERED = {n: unescape(f"&#{n};") for n in (0, 0x0B, *range(1, 9), *range(0x0E, 0x20), *range(0x7F, 0xA0))}
+REFERENCE = rf"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|{'|'.join(_LEGACY)})"
 
 
 def _table(values: dict) -> Column:
@@ -55,15 +56,26 @@ def _table(values: dict) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    """``text`` with its character references (decimal, hexadecimal, named) as the characters; unknown names stay."""
+    """``text`` with its character references (decimal, hexadecimal, named, with or without a semicolon) as the characters.
+
+    Of an unknown name with a semicolon, the longest beginning that needs none counts; without one it stays.
+    """
     gaps, names = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
 
-    def character(name: Column) -> Column:
-        n = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 7), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("long")
+    def character(written: Column) -> Column:
+        name = F.regexp_replace(written, ";$", "")
+        digits = F.regexp_replace(name, "^#[xX]?0*", "")
+        n = F.when(F.length(digits) > 8, F.lit(0x110000)).when(name.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(F.when(digits == "", F.lit(0)).otherwise(digits.cast("long")))
+        n = F.coalesce(n, F.lit(0))
         valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        unassigned = n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
         own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-        number = F.coalesce(_table(_RENUMBERED)[n.cast("int")], F.when(valid, own), F.lit("\ufffd"))
-        return F.when(name.startswith("#"), number).otherwise(F.coalesce(F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")[name], F.concat(F.lit("&"), name, F.lit(";"))))
+        number = F.coalesce(_table(_RENUMBERED)[n.cast("int")], F.when(~valid, F.lit("\ufffd")).when(unassigned, F.lit("")).otherwise(own))
+        begun = F.regexp_extract(written, f"^(?:{'|'.join(_LEGACY)})", 0)
+        prefixed = F.concat(named[begun], F.substr(written, F.length(begun) + 1))
+        known = F.coalesce(named[name], F.when(begun != "", prefixed), F.concat(F.lit("&"), written))
+        return F.when(name.startswith("#"), number).otherwise(known)
 
     joined = F.array_join(F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(character(F.get(names, i)), F.lit("")))), "")
     return F.when(text.rlike(REFERENCE), joined).otherwise(text)
@@ -81,15 +93,22 @@ def html_to_text(html: Column) -> Column:
 
 
 def found(text: Column, pattern: str) -> Column:
-    """Every match from left to right: array of struct(start from 0, hit), in code points."""
+    """Every match from left to right: array of struct(hit, near), near being CUE_CHARS before it and as many from its start on.
+
+    What is near is put together from the pieces between and of neighbouring matches, so the work is linear in the matches.
+    """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, hit: string>>").alias("out"))
+    n = F.lit(CUE_CHARS)
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        return F.struct((at + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(at.alias("start"), x["hit"].alias("hit"))))).alias("out"))
+    def described(pairs: Column, x: Column, i: Column) -> Column:
+        before = F.transform(F.slice(pairs, F.greatest(i - n, F.lit(0)) + 1, F.least(i, n)), lambda p: F.concat(F.right(p["gap"], n), p["hit"]))
+        after = F.transform(F.slice(pairs, i + 2, n), lambda p: F.concat(F.left(p["gap"], n), F.coalesce(p["hit"], F.lit(""))))
+        near = F.concat(F.right(F.concat(F.array_join(before, ""), F.right(x["gap"], n)), n), F.left(F.concat(x["hit"], F.array_join(after, "")), n))
+        return F.struct(x["hit"].alias("hit"), near.alias("near"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["out"]).otherwise(F.array().cast("array<struct<start: int, hit: string>>"))
+    once = F.transform(F.array(pairs), lambda ps: F.transform(ps, lambda x, i: described(ps, x, i)))[0]  # named, so that the text is split once
+    listed = F.filter(once, lambda m: m["hit"].isNotNull())
+    return F.when(text.rlike(pattern), listed).otherwise(F.array().cast("array<struct<hit: string, near: string>>"))
 
 
 def _amount(raw: Column) -> Column:
@@ -97,12 +116,12 @@ def _amount(raw: Column) -> Column:
     return F.when(raw.rlike("[kK]$"), plain * 1000).otherwise(plain)
 
 
-def _priced(text: Column, m: Column, pattern: str, both: bool) -> Column:
+def _priced(m: Column, pattern: str, both: bool) -> Column:
     """struct(low, high, period) of one match; period is NULL where nothing is plausible."""
     low = _amount(F.regexp_extract(m["hit"], pattern, 1))
     high = _amount(F.regexp_extract(m["hit"], pattern, 2)) if both else low
     low = F.when((high >= 1000) & (low < 1000), low * 1000).otherwise(low) if both else low
-    near = F.substring(text, F.greatest(m["start"] - CUE_CHARS, F.lit(0)) + 1, F.least(m["start"], F.lit(CUE_CHARS)) + CUE_CHARS)
+    near = m["near"]
     period = F.when(near.rlike(HOURLY), "hour").when(near.rlike(ANNUAL), "year").when(low.between(*HOUR_BOUNDS), "hour").when(low >= YEAR_BOUNDS[0], "year")
     fits = lambda bounds: low.between(*bounds) & high.between(*bounds) & (low <= high)
     good = F.when((period == "hour") & fits(HOUR_BOUNDS), period).when((period == "year") & fits(YEAR_BOUNDS), period)
@@ -113,7 +132,7 @@ def salary(text: Column) -> Column:
     """struct(low, high, period, annual_min, annual_max): the first plausible range, else "up to", else single amount; NULL if none."""
 
     def first(pattern: str, both: bool) -> Column:
-        return F.get(F.filter(F.transform(found(text, pattern), lambda m: _priced(text, m, pattern, both)), lambda p: p["period"].isNotNull()), F.lit(0))
+        return F.get(F.filter(F.transform(found(text, pattern), lambda m: _priced(m, pattern, both)), lambda p: p["period"].isNotNull()), F.lit(0))
 
     best = F.coalesce(first(RANGE, True), first(UP_TO, False), first(SINGLE, False))
     return F.transform(F.array(best), lambda p: F.when(p.isNotNull(), F.struct(
