@@ -49,6 +49,10 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def _listed_sql(values: tuple) -> str:
+    return "[" + ", ".join("null" if v is None else _quoted(v) for v in values) + "]"
+
+
 def query(sql: str | None = None):
     """Registers a query under its function's name, with its oracle."""
 
@@ -515,7 +519,26 @@ def posting_sections(m: Market) -> DataFrame:
     return text_ops.sections(_texts(m))
 
 
-@query()
+def _html_sql(html: str) -> str:
+    """html_to_text() in SQL, for the character references that pages have."""
+    steps = [
+        (r"(?is)<!--.*?-->|<!doctype[^>]*>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", ""), (r"(?i)<li\b[^>]*>", "\n• "),
+        (rf"(?i)<(?:{T.BLOCK_TAGS})\b[^>]*>|</(?:{T.BLOCK_TAGS.replace('br|', '')})\s*>", "\n"), (r"(?s)<[a-zA-Z/!?][^>]*>", ""),
+    ]
+    out = html
+    for pattern, by in steps:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        out = f"regexp_replace({out}, '&{name};?', {_quoted(char)}, 'g')"
+    out = f"translate({out}, chr(160) || chr(8203), ' ')"
+    for pattern, by in ((r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    return out
+
+
+@query(rf"""with u as (select *, regexp_extract(trim(url), '^([^:/?#]+)://([^/?#]*)([^?#]*)', ['scheme', 'host', 'path']) as p, regexp_extract(trim(url), '^[^?#]*\?([^#]*)', 1) as q from pages),
+k as (select *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: regexp_matches(x, '=.') and not starts_with(lower(x), 'utm_'))), '&') as asked from u)
+select page_id, {_html_sql('html')} as text, case when p.host <> '' then lower(p.scheme) || '://' || lower(p.host) || regexp_replace(p.path, '/+$', '') || case when asked <> '' then '?' || asked else '' end end as url_key from k""")
 def page_texts(m: Market) -> DataFrame:
     t = T.html_to_text(F.col("html"))
     return m.table("pages").select("page_id", t.alias("text"), urls.canonical(F.col("url")).alias("url_key"))
@@ -572,12 +595,20 @@ def extraction_results(m: Market) -> DataFrame:
     return rows.withColumns({k: F.lit(v).cast("long") for k, v in counted.items()})
 
 
-@query()
+#: By the two numbers that make a title: what its level word and its family mean.
+_TITLE_LEVELS = ("senior", "entry", "staff_plus", None, "senior", "senior")
+_TITLE_FAMILIES = ("backend-engineer", "infrastructure-engineer", "data-engineer", "frontend-engineer", "backend-engineer", None)
+_TITLE_FORMS = ("backend engineer", "software engineer infrastructure", "data engineer", "frontend developer - growth", "engineer of backends", "window cleaner")
+_MADE = f"""tt as (select o_orderkey as job_id, o_orderkey % 6 as a, o_custkey % 6 as b, ['Senior ', 'Jr. ', 'Staff ', '', 'L5 ', 'Lead '][a + 1] || ['Backend Engineer', 'Software Engineer, Infrastructure', 'Data Engineer II (Remote)', 'Frontend Developer - Growth', 'Engineer of Backends', 'Window Cleaner'][b + 1] as title,
+  {_listed_sql(_TITLE_FAMILIES)}[b + 1] as slug, coalesce({_listed_sql(_TITLE_LEVELS)}[a + 1], case when b = 2 then 'mid' end) as level, case when a = 3 and b = 3 then 'frontend developer' else {_listed_sql(_TITLE_FORMS)}[b + 1] end as normalized, o_orderstatus <> 'F' as active from orders)"""
+
+
+@query(f"with {_MADE} select distinct title, slug, level, normalized from tt")
 def canonical_titles(m: Market) -> DataFrame:
     return titles_ops.resolved(_titles(m), _title_aliases(m))
 
 
-@query()
+@query(f"""with {_MADE} select title, count(*) as job_count, (select round(count(slug)::double / count(*), 3) from tt where active) as rate from tt where active and slug is null group by 1 order by job_count desc, title limit 25""")
 def extraction_health(m: Market) -> DataFrame:
     titles = _titles(m)
     return titles_ops.health(titles.join(titles_ops.resolved(titles, _title_aliases(m)).select("title", "slug"), "title"))
