@@ -339,13 +339,13 @@ def _queue(m: Market) -> DataFrame:
 
 
 def _reviewed(m: Market) -> DataFrame:
-    late = m.table("events").where((F.col("ts") >= F.lit(_DAY).cast("timestamp_ntz")) & (F.col("event_type") == "error"))
+    late = m.table("events").where(F.col("ts") >= F.lit(_DAY).cast("timestamp_ntz"))
     kind = F.when(F.col("user_id") % 2 == 0, "title").otherwise("technology")
-    return review.accumulate(_queue(m), late.select(kind.alias("kind"), F.concat(F.lit("v"), F.col("user_id") % 97).alias("value"), F.col("props").alias("context"), F.col("event_id").alias("job_id")))
+    return review.accumulate(_queue(m), late.select(kind.alias("kind"), F.concat(F.when(F.col("event_type") == "error", "v").otherwise("w"), F.col("user_id") % 97).alias("value"), F.col("props").alias("context"), F.col("event_id").alias("job_id")))
 
 
 _REVIEW = f"""with q as (select case when user_id % 2 = 0 then 'title' else 'technology' end as kind, 'v' || (user_id % 97) as value, min(props) as example_context, count(*) as occurrences, min(user_id % 97) as k from events where ts < '{_DAY}' group by 1, 2),
-s as (select case when user_id % 2 = 0 then 'title' else 'technology' end as kind, 'v' || (user_id % 97) as value, count(*) as n, arg_min(props, event_id) as context from events where ts >= '{_DAY}' and event_type = 'error' group by 1, 2),
+s as (select case when user_id % 2 = 0 then 'title' else 'technology' end as kind, case when event_type = 'error' then 'v' else 'w' end || (user_id % 97) as value, count(*) as n, arg_min(props, event_id) as context from events where ts >= '{_DAY}' group by 1, 2),
 r as (select kind, value, coalesce(example_context, context) as example_context, coalesce(occurrences, 0) + coalesce(n, 0) as occurrences,
   case when k is null then 'pending' when k % 3 = 0 then case when n is not null then 'pending' else 'resolved' end when k % 3 = 1 then 'dismissed' else 'pending' end as status from q full join s using (kind, value))"""
 
@@ -447,9 +447,9 @@ def gold_accuracy(m: Market) -> DataFrame:
     return evaluate.accuracy(found, _gold(m))
 
 
-@query("select n_name as raw_text, count(*) as n_locations from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 3 = 0 and n_nationkey % 2 = 0 group by 1")
+@query("select n_name as raw_text, count(*) as n_locations from supplier join nation on s_nationkey = n_nationkey where n_nationkey % 2 = 0 group by 1")
 def ungeocoded_places(m: Market) -> DataFrame:
-    places = m.table("supplier").join(m.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey % 3 = 0")
+    places = m.table("supplier").join(m.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return extraction.ungeocoded(places.select(F.col("n_name").alias("raw_text"), F.when(F.col("n_nationkey") % 2 == 1, 25.0).alias("lat")))
 
 
@@ -824,14 +824,14 @@ def match_explanations(m: Market) -> DataFrame:
     return rows.select("profile_id", "job_id", "place", "score", listed("matched_skills"), listed("missing_skills"), "skills_detail", "title_detail", "experience_detail", F.array_join("reasons", " | ").alias("reasons"))
 
 
-@query(f"""{SQL}, {_FACTS.format(every=1)} sv as (select o_custkey as user_id, ((o_orderkey * 7) // 10) * 10 + 1 as k, o_orderdate as created_at from orders where o_orderkey % 5 = 0),
+@query(f"""{SQL}, {_FACTS.format(every=1)} sv as (select o_custkey as user_id, ((o_orderkey * 7) // 10) * 10 + 1 as k, o_orderdate as created_at from orders),
 s0 as (select user_id, job_id, max(created_at) as created_at from sv join mj on job_id = k group by all), cu as (select c_custkey as user_id, c_custkey as profile_id from customer where c_custkey % 3 <> 0),
 x as (select * from s0 join cu using (user_id) join pf using (profile_id) join mj using (job_id)), {_SCORES}
 select user_id, s0.job_id, s0.created_at::date::varchar as saved_on, score, hr + hp + hm as matched, nr + np - hr - hp as missing, verdict, row_number() over (partition by user_id order by s0.created_at desc, s0.job_id desc) as place
 from s0 left join f using (user_id, job_id)""")
 def saved_jobs_board(m: Market) -> DataFrame:
     o, wanted = m.table("orders"), _wanted(m)
-    saved = o.where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("user_id"), (F.floor(F.col("o_orderkey") * 7 / 10) * 10 + 1).alias("job_id"), F.col("o_orderdate").alias("created_at"))
+    saved = o.select(F.col("o_custkey").alias("user_id"), (F.floor(F.col("o_orderkey") * 7 / 10) * 10 + 1).alias("job_id"), F.col("o_orderdate").alias("created_at"))
     saved = saved.join(wanted.select("job_id"), "job_id", "left_semi").groupBy("user_id", "job_id").agg(F.max("created_at").alias("created_at"))
     current = m.table("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("user_id"), F.col("c_custkey").alias("profile_id"))
     board = matching.saved_board(saved, current, _profiles(m, 1), wanted)
@@ -852,14 +852,14 @@ def current_profiles(m: Market) -> DataFrame:
     return matching.current_profiles(o).select("user_id", "profile_id")
 
 
-@query("""with s as (select l_orderkey as profile_id, l_linenumber as line, l_returnflag as label from lineitem where l_linenumber <= 3), p as (select l_orderkey as profile_id, l_linenumber as line, case when l_partkey % 7 = 0 then 'X' else l_returnflag end as label from lineitem where l_linenumber between 2 and 4)
+@query("""with s as (select l_orderkey as profile_id, l_linenumber as line, l_returnflag as label from lineitem where l_linenumber <= 5), p as (select l_orderkey as profile_id, l_linenumber as line, case when l_partkey % 7 = 0 then 'X' else l_returnflag end as label from lineitem where l_linenumber >= 3)
 select profile_id, line, coalesce(p.label, s.label) as label, case when p.label is null then 'extracted' when s.label is null or s.label <> p.label then 'manual' else 'extracted' end as origin,
 case when p.label is null then 'delete' when s.label is null then 'create' when s.label = p.label then 'keep' else 'update' end as action from s full join p using (profile_id, line)""")
 def profile_reconciliation(m: Market) -> DataFrame:
     line = m.table("lineitem").select(F.col("l_orderkey").alias("profile_id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("label"), "l_partkey")
-    stored = line.where("line <= 3").select("profile_id", "line", "label", F.lit("extracted").alias("origin"))
-    payload = line.where("line between 2 and 4").select("profile_id", "line", F.when(F.col("l_partkey") % 7 == 0, "X").otherwise(F.col("label")).alias("label"))
-    return matching.reconcile(stored, payload, ["profile_id", "line"], ["label"])
+    kept = line.where("line <= 5").select("profile_id", "line", "label", F.lit("extracted").alias("origin"))
+    payload = line.where("line >= 3").select("profile_id", "line", F.when(F.col("l_partkey") % 7 == 0, "X").otherwise(F.col("label")).alias("label"))
+    return matching.reconcile(kept, payload, ["profile_id", "line"], ["label"])
 
 
 @query("select o_orderkey as profile_id, l_linenumber as line from orders join lineitem on l_orderkey = o_orderkey where o_custkey % 4 <> 0")
