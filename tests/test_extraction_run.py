@@ -44,6 +44,14 @@ def test_a_run_gives_everything_in_one_row_for_each_posting(spark, taxonomy, tmp
     assert (got[3]["arrangement"], got[3]["salary"]["annual_min"]) == ("remote", 41_600) and (got[4]["arrangement"], got[4]["experience_level"], got[4]["review"]) == ("remote", "entry", [])
     seen = {(r["kind"], r["value"], r["job_id"]) for r in run.sightings(run.current(spark, path)).collect()}
     assert ("title", "window cleaner", 3) in seen and not any(j in (1, 2) for *_, j in seen)
+    from vacancia.operators import detail
+
+    known = spark.createDataFrame([("python", "Python", "languages"), ("postgresql", "PostgreSQL", "databases"), ("go", "Go", "languages"), ("rust", "Rust", "languages"), ("kafka", "Kafka", "messaging")], "slug string, name string, category string")
+    ids = spark.createDataFrame([(1,), (5,)], "job_id long")
+    page = {r["job_id"]: r for r in detail.job_details(jobs.select("job_id", "title"), run.current(spark, path), known, ids).collect()}
+    shown = [(t["confidence"], t["name"]) for t in page[1]["technologies"]]
+    assert set(page) == {1, 5} and shown == sorted(shown, key=lambda t: (-t[0], t[1])) and len(shown) == 5 and shown[0][0] > shown[-1][0]
+    assert [(s["kind"], s["start"] < s["end"]) for s in page[1]["sections"]] == [("required", True), ("preferred", True)] and page[5]["technologies"] == page[5]["sections"] == []
     queue = review.accumulate(spark.createDataFrame([], "kind string, value string, example_context string, occurrences long, status string"), run.sightings(run.current(spark, path)))
     assert queue.where("kind = 'title'").first()["example_context"] == "Window Cleaner"
     after = {r["job_id"]: r for r in run.applied(jobs, run.current(spark, path)).collect()}

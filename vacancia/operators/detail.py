@@ -26,6 +26,26 @@ def job_lists(job_technologies: DataFrame, technologies: DataFrame) -> DataFrame
     return listed.select("job_id", F.array_join(F.transform("ts", lambda t: F.concat_ws(":", t["name"], t["requirement"])), ",").alias("technologies"))
 
 
+def job_details(jobs: DataFrame, extracted: DataFrame, technologies: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """jobs with technologies (slug, name, category, level, confidence, evidence, evidence_start; by falling confidence, then
+    name) and sections (kind, start, end; by start), as a posting's page lists them.
+
+    extracted: job_id, technologies and sections as an extraction run leaves them; technologies: slug, name, category. ``ids``
+    (job_id) cut everything before it is joined. A job that wasn't extracted, or has none, has empty lists.
+    """
+    if ids is not None:
+        jobs, extracted = (t.join(ids.select("job_id").distinct(), "job_id", "left_semi") for t in (jobs, extracted))
+    rows = extracted.select("job_id", F.inline("technologies")).join(technologies.select("slug", "name", "category"), "slug")
+    fields = F.struct("slug", "name", "category", "level", "confidence", "evidence", "evidence_start")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("by"), "name", fields.alias("t"))))  # a job's list is short
+    named = rows.groupBy("job_id").agg(F.transform(listed, lambda x: x["t"]).alias("technologies"))
+    spans = extracted.select("job_id", F.array_sort(F.transform("sections", lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("s"))
+    spans = spans.select("job_id", F.transform("s", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("sections"))
+    out = jobs.join(named, "job_id", "left").join(spans, "job_id", "left")
+    none = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("technologies", "sections")}
+    return out.withColumns(none)
+
+
 def owned(rows: DataFrame, user_id) -> DataFrame:
     """Only the caller's rows."""
     return rows.where(F.col("user_id") == user_id)
