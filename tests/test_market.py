@@ -443,3 +443,9 @@ def test_a_scope_with_a_text_query_counts_what_matches(micro):
     assert count(micro, q='"python postgresql"', location="san-francisco") == 6
     ranked = matching_jobs(micro, [Scope.canonical(q="python"), Scope()], ranked=True)
     assert ranked.where("scope_id = 0 and rank is null or scope_id = 1 and rank is not null").count() == 0
+
+
+def test_a_letter_that_begins_a_word_means_no_thousands(spark):
+    texts = ["Call +1 (516) 555-0924 keit enie", "Call 555-0924 kété", "Pays 150-180k.", "Pays $90 K a year", "Bonus $40 kinds"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", T.salary(F.col("text")).alias("s")).orderBy("i").collect()
+    assert [r["s"] and (r["s"]["low"], r["s"]["high"]) for r in rows] == [None, None, (150_000.0, 180_000.0), (90_000.0, 90_000.0), None]
