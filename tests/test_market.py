@@ -449,3 +449,23 @@ def test_a_letter_that_begins_a_word_means_no_thousands(spark):
     texts = ["Call +1 (516) 555-0924 keit enie", "Call 555-0924 kété", "Pays 150-180k.", "Pays $90 K a year", "Bonus $40 kinds"]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", T.salary(F.col("text")).alias("s")).orderBy("i").collect()
     assert [r["s"] and (r["s"]["low"], r["s"]["high"]) for r in rows] == [None, None, (150_000.0, 180_000.0), (90_000.0, 90_000.0), None]
+
+
+def test_best_jobs_without_a_row_for_each_pair(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    levels, kinds = [None, *matching.LEVELS], ["required", "preferred", "mentioned"]
+    jobs = [(j, r.choice([None, 1, 2, 3]), r.choice(levels), r.choice([None, 0.0, 2.0, 7.0])) for j in range(300)]
+    jt = [(j, t, r.choice(kinds)) for j in range(300) if j % 9 for t in r.sample(range(12), r.randint(0, 5))]
+    own = [(p, t) for p in range(40) for t in r.sample(range(14), r.randint(0, 8))]
+    profiles = spark.createDataFrame([(p, r.choice(levels), r.choice([None, 0.0, 1.5, 9.0])) for p in range(40)], "profile_id long, level string, years double")
+    held = spark.createDataFrame([(p, r.choice([1, 2])) for p in range(40) if p % 3], "profile_id long, title_id int")
+    people = matching.facts(profiles.union(spark.createDataFrame([(90, None, None), (91, None, None)], profiles.schema)), spark.createDataFrame(own + [(90, 3), (91, 3)], "profile_id long, tech_id long"), held)
+    wanted = matching.needs(spark.createDataFrame(jobs, "job_id long, title_id int, experience_level string, years_of_experience double"), spark.createDataFrame(jt, "job_id long, tech_id long, requirement string"))
+    want = matching.ranked(matching.score_all(people, wanted), 7)
+    monkeypatch.setattr(matching, "BLOCK_JOBS", 60)
+    monkeypatch.setattr(matching, "BLOCK_CANDIDATES", 16)
+    got = matching.best(people, wanted, 7)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() > 250
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString() and got.where("profile_id in (90, 91)").groupBy("profile_id").count().count() == 2
