@@ -469,3 +469,12 @@ def test_best_jobs_without_a_row_for_each_pair(spark, monkeypatch):
     got = matching.best(people, wanted, 7)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() > 250
     assert "CartesianProduct" not in got._jdf.queryExecution().toString() and got.where("profile_id in (90, 91)").groupBy("profile_id").count().count() == 2
+
+
+def test_match_explanations_keep_every_pair_of_classes(spark):
+    rows = queries.queries()["match_explanations"](spark, "/root/testdata/sf0.001").cache()
+    pairs = rows.where("class_id is null")
+    of = lambda key: rows.where(f"class_id is not null and {key} is not null").select(F.col(key).alias(f"_{key}"), F.col("class_id").alias(key))
+    every = pairs.select("profile_id", "job_id").join(of("profile_id"), "profile_id").join(of("job_id"), "job_id")
+    m = queries.Market(spark, "/root/testdata/sf0.001")
+    assert every.count() == matching.score_all(queries._profiles(m), queries._wanted(m)).count() > 20 * pairs.select("profile_id").distinct().count()
