@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacancia.functions import geo
-from vacancia.operators import market, skills
+from vacancia.operators import market, skills, snapshots
 from vacancia.operators.quantiles import quantiles
 from vacancia.plans.predicate import Scope, flagged_jobs, matching_jobs, resolve
 from vacancia.sources import stored
@@ -79,3 +79,17 @@ def test_a_radius_search_reads_the_cells_around_its_centre(spark, tmp_path):
     m = Market(spark, SF)
     jobs = flagged_jobs(m, resolve(m, [Scope.canonical(location="nation-5", radius_miles=50)]))
     assert "GreaterThanOrEqual(lat" in plan(jobs)
+
+
+def test_places_of_jobs_meet_metros_where_they_lie(spark):
+    m = Market(spark, SF)
+    members = snapshots.metro_members(m.job_locations, snapshots.busiest_metros(m.jobs, m.job_locations, m.cities, top=12), 200)
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(x#" not in plan and "hashpartitioning(geo#" not in plan
+
+
+def test_stored_bridges_are_shuffled_once(spark):
+    m = Market(spark, SF)
+    for rows in (m._job_technologies(), m._job_locations()):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(job_id#") == 1

@@ -23,7 +23,8 @@ def busiest_metros(jobs: DataFrame, locations: DataFrame, cities: DataFrame, top
 def metro_members(locations: DataFrame, metros: DataFrame, miles: int) -> DataFrame:
     """geo (metro slug) and job_id of every job with a place within the radius: an equi-join on cells, then the exact distance.
 
-    A metro is filed under every cell that its radius can reach; metros are a short list (the busiest), places may be many.
+    A metro is filed under every cell that its radius can reach; metros are a short list (the busiest), places may be many:
+    cells are sent to where the places lie, so that these stay dealt out by job.
     """
     reach = miles * geo.MILE / 110_000.0  # degrees of latitude, a little generous
     lat_cells = F.sequence(F.floor((F.col("lat") - reach) / CELL), F.floor((F.col("lat") + reach) / CELL))
@@ -32,7 +33,7 @@ def metro_members(locations: DataFrame, metros: DataFrame, miles: int) -> DataFr
     filed = metros.select(F.col("city_slug").alias("geo"), F.col("lat").alias("m_lat"), F.col("lon").alias("m_lon"), F.explode(lat_cells).alias("x"), lon_cells.alias("ys")).select("geo", "m_lat", "m_lon", "x", F.explode("ys").alias("y"))
     spots = locations.where(F.col("lat").isNotNull()).select("job_id", "lat", "lon", F.floor(F.col("lat") / CELL).alias("x"), F.floor(F.col("lon") / CELL).alias("y"))
     near = geo.distance(F.col("lat"), F.col("lon"), F.col("m_lat"), F.col("m_lon")) <= miles * geo.MILE
-    return spots.join(filed, ["x", "y"]).where(near).select("geo", "job_id").distinct()
+    return spots.join(F.broadcast(filed), ["x", "y"]).where(near).select("geo", "job_id").distinct()
 
 
 def snapshot(matching: DataFrame, job_technologies: DataFrame, members: DataFrame) -> DataFrame:
