@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacancia.functions import geo
-from vacancia.operators import market, skills, snapshots
+from vacancia.operators import dedupe, market, skills, snapshots
 from vacancia.operators.quantiles import quantiles
 from vacancia.plans.predicate import Scope, flagged_jobs, matching_jobs, resolve
 from vacancia.sources import stored
@@ -93,3 +93,30 @@ def test_stored_bridges_are_shuffled_once(spark):
     for rows in (m._job_technologies(), m._job_locations()):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert plan.count("hashpartitioning(job_id#") == 1
+
+
+def test_the_centre_of_a_star_is_dealt_out(spark, monkeypatch):
+    n = 2000
+    star = spark.range(1, n).selectExpr("id as u", f"id div {n} as v")
+    joined = dedupe._dealt_join(star, spark.createDataFrame([(0, -1)], "v long, m long").hint("merge"), "v", "u")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(v#" in plan and "_salt#" in plan and joined.where("m = -1").count() == n - 1
+    r = random.Random(3)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(5, k) for k in range(400, 700)]
+    parent = {i: i for p in pairs for i in p}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    want = {(i, root(i)) for p in pairs if p[0] != p[1] for i in p}
+    assert {tuple(x) for x in dedupe.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == want
+    monkeypatch.setattr(dedupe, "LARGE", 2)
+    posted = [(i, 1, i % 3, "ats_api", f"t{i}", f"u{i // 7}", [], "active", None) for i in range(70)]
+    postings = spark.createDataFrame(posted, "job_id long, company_id long, source_id int, kind string, title string, url_key string, places array<string>, status string, first_seen_at date")
+    found = dedupe.groups(postings, spark.createDataFrame([(1, 1)], "company_id long, class long"))
+    assert {tuple(x) for x in found.collect()} == {(i, i // 7 * 7) for i in range(70)}

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacancia.sources import stored
+
 #: Which kind of source stands for a group.
 KIND_RANK = {"ats_api": 0, "gov_api": 1, "aggregator_api": 2}
+#: Tasks over which the rows of one key are dealt, and the members from which on a group's are.
+SALTS, LARGE = 16, 100_000
 
 
 def normal_title(title: Column) -> Column:
@@ -40,13 +44,20 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         before = mark
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # nodes that aren't the least around them and have larger neighbours: these go to the least; other edges stay where they are
+        moved = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("_most")).where("m < u and _most > u").select(F.col("u").alias("v"), "m")
+        large = _dealt_join(edges, moved, "v", "u").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = small.union(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
 
 
+def _dealt_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """``many`` left joined with ``few``, each key's rows dealt out over SALTS tasks by ``by``: the centre of a star may have most of them."""
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], "left").drop("_salt")
+
+
 def _shared_folder(spark) -> str:
     """``spark.checkpoint.dir``; only a local session, as in tests, may leave it unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -79,8 +90,11 @@ def groups(postings: DataFrame, classes: DataFrame) -> DataFrame:
     roots = components(by_url.union(by_key))
     rank = F.coalesce(F.create_map(*[x for k, v in KIND_RANK.items() for x in (F.lit(k), F.lit(v))])[F.col("kind")], F.lit(9))
     rows = postings.join(roots, postings["job_id"] == roots["id"])
-    best = rows.groupBy("root").agg(F.min_by("job_id", F.struct((F.col("status") != "active").cast("int"), rank, "first_seen_at", "job_id")).alias("group"))
-    return roots.join(best, "root").select(F.col("id").alias("job_id"), "group")
+    best = rows.groupBy("root").agg(F.min_by("job_id", F.struct((F.col("status") != "active").cast("int"), rank, "first_seen_at", "job_id")).alias("group"), F.count("*").alias("_n"))
+    best = stored.written(best, "duplicate-groups")
+    large = F.broadcast(best.where(F.col("_n") > LARGE))  # one for each LARGE rows at most
+    named = roots.join(large, "root").unionByName(roots.join(large, "root", "left_anti").join(best.where(F.col("_n") <= LARGE), "root"))
+    return named.select(F.col("id").alias("job_id"), "group")
 
 
 def statistics(new: DataFrame, old: DataFrame) -> DataFrame:
