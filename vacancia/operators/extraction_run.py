@@ -82,7 +82,7 @@ def _slice(own: DataFrame, taxonomy: Taxonomy, path: str, version: int) -> dict[
 
 def extracted(own: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """One row for each posting: job_id, content, facts, title_slug, sections, technologies, review."""
-    spans = text.sections(own, "job_id")
+    spans = _written(text.sections(own, "job_id"), "extraction-sections")
     hits = _written(mentions.find(own, taxonomy.technologies, "job_id"), "extraction-hits")
     scored = mentions.with_levels(mentions.score(hits, "job_id"), hits, spans, "job_id")
     listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
