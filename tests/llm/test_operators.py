@@ -325,6 +325,36 @@ def test_near_duplicates_in_a_large_group_of_edited_copies(spark, monkeypatch, s
     assert {i: (r[0]["n_shingles"], r[0]["component_id"]) for i, r in got.items()} == brute_groups(rows, need)
 
 
+def test_near_duplicates_settle_a_group_of_any_size_in_one_round(spark, monkeypatch):
+    """Near misses beyond what a tile holds: each leader used to take a round of its own."""
+    rounds, keep = Counter(), storage.written
+    monkeypatch.setattr(near_dups, "SMALL", 2000)
+    monkeypatch.setattr(storage, "written", lambda df, tag, *a, **b: rounds.update([tag]) or keep(df, tag, *a, **b))
+    rng = random.Random(4)
+    base, rows = prose(100, rng).split(), []
+    for i in range(120):
+        rows.append((i, " ".join(w if rng.random() > (0.012, 0.03)[i % 2] else f"new{rng.randint(0, 999)}" for w in base)))
+    got = by_id(near_dups.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 80))
+    assert {i: (r[0]["n_shingles"], r[0]["component_id"]) for i, r in got.items()} == brute_groups(rows, 80)
+    assert len({r[0]["component_id"] for r in got.values()}) > 10
+    assert rounds["checked"] == 1
+
+
+def test_near_duplicates_tiles_hold_every_pair_and_few_copies(spark):
+    def tiles(n_open, n_linked, shingles=100):
+        sides = [f"cast({n} as bigint) as {c}" for c, n in (("n_open", n_open), ("s_open", n_open * shingles), ("n_linked", n_linked), ("s_linked", n_linked * shingles))]
+        few = spark.range(n_open + n_linked).selectExpr("'x' as leader", "cast(cast(id as string) as binary) as node", f"id >= {n_open} as linked", *sides)
+        return near_dups._tiles(few)
+
+    met = set()
+    for rows in tiles(300, 150).groupBy("tile").agg(near_dups.F.collect_list(near_dups.F.struct("node", "probe", "target")).alias("r")).collect():
+        met |= {frozenset((int(a.node), int(b.node))) for a in rows.r if a.probe for b in rows.r if b.target}
+    assert met >= {frozenset((a, b)) for a in range(300) for b in range(450)}
+    assert tiles(6000, 5000).count() <= 2 * near_dups.BLOCKS * 11000
+    sizes = [r["count"] for r in tiles(40, 0, near_dups.SMALL).groupBy("tile").count().collect()]
+    assert max(sizes) < 20  # members of many shingles stand in blocks of their own
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     assert {(r["id"], r["root"]) for r in near_dups.components(edges).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}

@@ -10,15 +10,12 @@ coordinates on average and in fewer than MATCHES = 2 with probability 5e-9; at 0
 
 The threshold isn't applied to the pairs themselves, as a list may hold a large group and its pairs aren't written out: each
 list has a leader (the class that collides most, so the middle of its group), and (leader, member) pairs, merged over all
-lists, are confirmed exactly. A member that collides little with its leader may be similar to another member. What the leaders
-miss is therefore found exactly. A group with members that aren't linked with the leader is settled by comparing sets if that
-is at most SMALL steps, a bound that doesn't grow with the corpus; it is dealt out in tiles of TILE by TILE members, so that
-no task holds more. In a larger one, let x and y be linked members of the group of leader L. If they share no
-shingle outside L, then both are linked with L, or both have at least ``need`` % of their shingles in L and one is smaller than
-L by a known measure. So the shingles outside L are posted again (by prefix: as many as a link needs at least one of), and
-members lying mostly inside L are posted by size where their sizes allow such a link. Lists without members that L isn't
-linked with, and lists with one member, are dropped; the others get leaders, and so on until no list is left. Every round
-settles a leader for good, and lists shrink to those that share one more shingle.
+lists, are confirmed exactly. A member that collides little with its leader may be similar to another member. So in a group
+with members that aren't linked with the leader, each of those is compared with every other member, exactly and at once,
+however large the group. The pairs are dealt out in tiles of bounded members and shingles. Members of a group are much alike,
+and a tile writes down only where each differs from what most of its members hold: with those sets of differences d, two
+members differ in |d(x)| + |d(y)| - 2 |d(x) & d(y)| shingles. Pairs stay quadratic in a group, but cost a few additions each
+where differences are few; rows shuffled grow with the group times its number of blocks.
 
 Components of the links come from alternating large-star and small-star steps, written to the shared folder each round.
 
@@ -34,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.llm import storage
@@ -43,10 +40,9 @@ SHINGLE = 5
 #: Links need so many hundredths of the union in common, unless a caller says otherwise.
 NEED = 85
 COORDINATES, ROWS, MATCHES = 24, 3, 2
-#: A group is compared member by member if its members times their shingles are at most this; members on each side of a tile.
-SMALL, TILE = 1 << 30, 128
-#: Rounds after which the links found so far are written as one table.
-ROUNDS = 8
+#: A group is cut into blocks, which meet in tiles: shingles of a block, members of a block of a group of up to BLOCKS blocks,
+#: and how many times as many members a block of a larger group has.
+SMALL, TILE, BLOCKS, LARGER = 1 << 19, 128, 8, 16
 _SIGNED = "doc_id bigint, n_shingles bigint, node binary, coordinates array<bigint>"
 
 
@@ -102,58 +98,40 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
 
 
-def linked(a: int, b: int, both: int, need: int = NEED) -> bool:
+def linked(a, b, both, need: int = NEED):
+    """Whether sets of a and b elements with so many in both are linked; numbers, or arrays of them."""
     return 100 * both >= need * (a + b - both)
 
 
-def compare(member: np.ndarray, leader: np.ndarray, need: int = NEED) -> tuple[bool, np.ndarray, int, int | None]:
-    """Whether they are linked; what to post of the member: hashes outside the leader; its size; and, if it lies mostly inside
-    the leader, the largest size of a partner that it can be linked with without sharing anything outside."""
-    at = np.minimum(np.searchsorted(leader, member), len(leader) - 1)
-    inside = leader[at] == member
-    n, both, outside = len(member), int(inside.sum()), member[~inside]
-    needed = -(-need * n // 100) - both  # of the shingles outside, by any link that needs some of them
-    post = outside[: len(outside) - max(1, needed) + 1]
-    return linked(n, len(leader), both, need), post.view(np.int64), n, None if needed > 0 else (100 + need) * both // need - n
-
-
-_CHECKED = "leader binary, node binary, linked boolean, post array<bigint>, n bigint, cap bigint"
-
-
 def _comparer(need: int):
     def compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = zip(batch.column("m_hashes").to_pylist(), batch.column("l_hashes").to_pylist(), strict=True)
-            rows = [compare(np.frombuffer(m, np.uint64), np.frombuffer(le, np.uint64), need) for m, le in sets]
-            yes, post, n, cap = zip(*rows, strict=True) if rows else ((), (), (), ())
-            columns = [pa.array(yes, pa.bool_()), pa.array([p.tolist() for p in post], pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(cap, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("node"), *columns], names=["leader", "node", "linked", "post", "n", "cap"])
+            yes, sizes = [], []
+            for m, le in zip(batch.column("m_hashes").to_pylist(), batch.column("l_hashes").to_pylist(), strict=True):
+                member, leader = np.frombuffer(m, np.uint64), np.frombuffer(le, np.uint64)
+                at = np.minimum(np.searchsorted(leader, member), len(leader) - 1)
+                yes.append(linked(len(member), len(leader), int((leader[at] == member).sum()), need))
+                sizes.append(len(member))
+            columns = [batch.column("leader"), batch.column("node"), pa.array(yes, pa.bool_()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["leader", "node", "linked", "n"])
 
     return compare_batches
 
 
-def _inside_lists(large: DataFrame, need: int) -> DataFrame:
-    """before, hash, node, linked: members that lie mostly inside their leader, by size, where sizes allow a link past the leader.
-
-    A member that isn't linked with the leader can then only be linked with members of at most its cap; sizes of linked sets
-    differ by less than one step of the buckets, so each member goes to its own and to the next.
-    """
-    bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / need)))
-    inside = large.where(F.col("cap").isNotNull())
-    rows = inside.select(F.col("leader").alias("before"), "node", "linked", "n", "cap", F.explode(F.array(bucket, bucket + 1)).alias("hash"))
-    sizes = rows.groupBy("before", "hash").agg(F.min("n").alias("_least"), F.max(F.when(~F.col("linked"), F.col("cap"))).alias("_cap"))
-    near = rows.join(sizes, ["before", "hash"]).where((F.col("n") <= F.col("_cap")) | (~F.col("linked") & (F.col("cap") >= F.col("_least"))))
-    return near.select("before", "node", "linked", "hash")
+def _blocks(members: Column, shingles: Column) -> Column:
+    """Into how many blocks so many members with so many shingles in all are dealt out."""
+    blocks = F.greatest(F.ceil(shingles / SMALL), F.ceil(members / (TILE * LARGER)), F.least(F.ceil(members / TILE), F.lit(BLOCKS)))
+    return F.least(members, blocks).cast("int")
 
 
 def _tiles(few: DataFrame) -> DataFrame:
     """leader, tile, node, linked, probe, target: every probe is compared with every target of its tile.
 
-    few: leader, node, linked, and the group's n_open (members not linked with the leader) and n_linked. Between them, the tiles
-    of a group hold every pair with a member that isn't linked with the leader.
+    few: leader, node, linked, and the group's n_open and s_open (members not linked with the leader and their shingles), n_linked
+    and s_linked. Between them, the tiles of a group hold every pair with a member that isn't linked with the leader.
     """
-    n_open, n_linked = F.ceil(F.col("n_open") / TILE).cast("int"), F.ceil(F.col("n_linked") / TILE).cast("int")
-    one = F.col("n_open") + F.col("n_linked") <= TILE
+    n_open, n_linked = _blocks(F.col("n_open"), F.col("s_open")), _blocks(F.col("n_linked"), F.col("s_linked"))
+    one = _blocks(F.col("n_open") + F.col("n_linked"), F.col("s_open") + F.col("s_linked")) == 1
     block = F.pmod(F.xxhash64("node"), F.when(F.col("linked"), n_linked).otherwise(n_open)).cast("int")
     tile = lambda a, b, probe, target: F.struct(a.alias("a"), b.alias("b"), probe.alias("probe"), target.alias("target"))
     yes, no, upto = F.lit(True), F.lit(False), lambda n: F.sequence(F.lit(0), n - 1)
@@ -166,49 +144,61 @@ def _tiles(few: DataFrame) -> DataFrame:
     return rows.select("leader", F.struct("t.a", "t.b").alias("tile"), "node", "linked", "t.probe", "t.target")
 
 
+def _differences(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, element, number of each row's elements), by row: elements, numbered, that a set holds and at most half of all sets
+    do, or that it lacks and more than half hold."""
+    hashes, element = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    usual = 2 * np.bincount(element, minlength=len(hashes)) > len(sets)
+    held = usual[element]
+    lacks = np.ones((len(sets), int(usual.sum())), bool)  # at most twice as many places as the sets have elements
+    lacks[row[held], (np.cumsum(usual) - 1)[element[held]]] = False
+    without, which = np.nonzero(lacks)
+    row, element = np.concatenate([row[~held], without]), np.concatenate([element[~held], np.flatnonzero(usual)[which]])
+    order = np.argsort(row, kind="stable")
+    return row[order], element[order], np.bincount(row, minlength=len(sets))
+
+
 def _settler(need: int):
     """Links that connect the members of one tile as far as their sets do. Those linked with the leader are one part already.
 
-    Each probe counts what it shares with all targets through lists of the targets that hold a shingle.
+    Each probe counts, through lists of the targets that hold an element, in what its differences agree with all targets'.
     """
 
     def settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("node", "linked", "probe", "target", "hashes")), strict=True)]
         sets = [np.frombuffer(r[4], np.uint64) for r in rows]
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        targets = np.flatnonzero([r[3] for r in rows])
+        probes, targets = np.flatnonzero([r[2] for r in rows]), np.flatnonzero([r[3] for r in rows])
+        part = np.where([r[1] for r in rows], len(rows), np.arange(len(rows)))
         out: list[tuple[bytes, bytes]] = []
-        if len(targets) and any(r[2] for r in rows):
-            elements, element = np.unique(np.concatenate([sets[i] for i in targets]), return_inverse=True)
-            holders = np.repeat(targets, sizes[targets])[np.argsort(element, kind="stable")]
-            begin = np.concatenate([[0], np.cumsum(np.bincount(element))])
-            parent = list(range(len(rows) + 1))
-            for i in (i for i, r in enumerate(rows) if r[1]):
-                parent[i] = len(rows)
-            for i in (i for i, r in enumerate(rows) if r[2]):
-                at = np.minimum(np.searchsorted(elements, sets[i]), len(elements) - 1)
-                own = at[elements[at] == sets[i]]
-                first, n = begin[own], begin[own + 1] - begin[own]
-                both = np.bincount(holders[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(rows))
-                near = (both > 0) & (100 * both >= need * (sizes[i] + sizes - both))
-                for j in np.flatnonzero(near).tolist():
-                    x, y = _root(parent, i), _root(parent, j)
-                    if x != y:
-                        parent[x] = y
-                        out.append((rows[i][0], rows[j][0]))
+        if len(probes) and len(targets):
+            row, element, n = _differences(sets)
+            column = np.full(len(rows), -1)
+            column[targets] = np.arange(len(targets))
+            listed = np.flatnonzero(column[row] >= 0)
+            listed = listed[np.argsort(element[listed], kind="stable")]
+            holders, last = column[row[listed]], int(element.max(initial=0)) + 1
+            begin = np.concatenate([[0], np.cumsum(np.bincount(element[listed], minlength=last))])
+            ends = np.cumsum(n)
+            for i in probes.tolist():
+                own = element[ends[i] - n[i] : ends[i]]
+                first, many = begin[own], begin[own + 1] - begin[own]
+                agree = np.bincount(holders[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=len(targets))
+                both = sizes[i] + sizes[targets] - (n[i] + n[targets] - 2 * agree) >> 1
+                near = targets[linked(sizes[i], sizes[targets], both, need) & (part[targets] != part[i])]
+                if len(near):
+                    parts, at = np.unique(part[near], return_index=True)
+                    out += [(rows[i][0], rows[j][0]) for j in near[at].tolist()]
+                    part[np.isin(part, parts)] = part[i]
+                    if (part == part[i]).all():
+                        break
         columns = list(zip(*out, strict=True)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary())], names=["node", "leader"])
 
     return settle
 
 
-def _root(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
 def links(signed: DataFrame, docs: DataFrame, need: int = NEED) -> tuple[DataFrame, DataFrame]:
     """(classes: node, rep; links: node, leader). Links connect every pair of similar classes, not each pair directly."""
     known = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
@@ -216,46 +206,34 @@ def links(signed: DataFrame, docs: DataFrame, need: int = NEED) -> tuple[DataFra
     posted = classes.select("node", F.posexplode("coordinates").alias("at", "key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = storage.written(posted.join(storage.written(lists, "lists"), "key"), "postings")
-    pairs = storage.written(_with_leaders(shared, ["key"], MATCHES), "pairs")
+    pairs = storage.written(_with_leaders(shared), "pairs")
     classes = known.groupBy("node").agg(F.min("doc_id").alias("rep"))
     wanted = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
     ids = wanted.join(classes, "node").select(F.col("rep").alias("doc_id")).distinct()
     sets = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").select("text").mapInArrow(_sets, "node binary, hashes binary")
     sets = storage.written(sets.dropDuplicates(["node"]), "shingle-sets", codec="none")
-    found, rounds = None, 0
-    while not pairs.isEmpty():
-        both = pairs.join(sets.withColumnRenamed("hashes", "m_hashes"), "node").join(sets.select(F.col("node").alias("leader"), F.col("hashes").alias("l_hashes")), "leader")
-        checked = storage.written(both.mapInArrow(_comparer(need), _CHECKED), "checked")
-        new = checked.where("linked").select("node", "leader")
-        found = new if found is None else found.union(new)
-        n = lambda c, name: F.count_if(c).alias(name)
-        open_ = checked.groupBy("leader").agg((F.count("*") * F.sum("n")).alias("work"), n(~F.col("linked"), "n_open"), n(F.col("linked"), "n_linked")).where("n_open > 0")
-        few = checked.join(open_.where(F.col("work") <= SMALL).select("leader", "n_open", "n_linked"), "leader").select("leader", "node", "linked", "n_open", "n_linked")
-        settled = _tiles(few).join(sets, "node").groupBy("leader", "tile").applyInArrow(_settler(need), "node binary, leader binary")
-        found = found.union(storage.written(settled, "links"))
-        large = checked.join(open_.where(F.col("work") > SMALL).select("leader"), "leader", "left_semi")
-        posts = large.select(F.col("leader").alias("before"), "node", "linked", F.explode("post").alias("hash")).unionByName(_inside_lists(large, need))
-        lists = posts.groupBy("before", "hash").agg(F.count("*").alias("members"), F.bool_and("linked").alias("settled")).where("members > 1 and not settled")
-        shared = posts.select("before", "hash", "node").join(lists.select("before", "hash", "members"), ["before", "hash"])
-        shared = storage.written(shared.withColumn("at", F.lit(0)), "postings")
-        pairs = storage.written(_with_leaders(shared, ["before", "hash"], 1), "pairs")
-        rounds += 1
-        if rounds % ROUNDS == 0:
-            found = storage.written(found, "links")
-    return classes, found if found is not None else pairs.select("node", "leader")
-
-
-def _with_leaders(shared: DataFrame, key: list[str], least: int) -> DataFrame:
+    both = pairs.join(sets.withColumnRenamed("hashes", "m_hashes"), "node").join(sets.select(F.col("node").alias("leader"), F.col("hashes").alias("l_hashes")), "leader")
+    checked = storage.written(both.mapInArrow(_comparer(need), "leader binary, node binary, linked boolean, n bigint"), "checked")
+    count, size = (lambda c, name: F.count_if(c).alias(name)), (lambda c, name: F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name))
+    yes, no = F.col("linked"), ~F.col("linked")
+    open_ = checked.groupBy("leader").agg(count(no, "n_open"), size(no, "s_open"), count(yes, "n_linked"), size(yes, "s_linked")).where("n_open > 0 and n_open + n_linked > 1")
+    open_ = storage.written(open_, "groups")  # joined by an exchange of its own, if any, so that a large group can be split
+    tiles = _tiles(checked.join(open_, "leader")).join(sets, "node").groupBy("leader", "tile")
+    settled = storage.written(tiles.applyInArrow(_settler(need), "node binary, leader binary"), "links")
+    return classes, checked.where("linked").select("node", "leader").union(settled)
+
+
+def _with_leaders(shared: DataFrame) -> DataFrame:
     """leader, node: each member of a list with the member of it that collides most over all lists.
 
-    Members of fewer than ``least`` lists are skipped; of the numbered lists, the last ``least`` - 1 aren't needed then.
+    Members of fewer than MATCHES lists are skipped; the lists of the last MATCHES - 1 coordinates aren't needed then.
     """
-    weight = shared.groupBy("node").agg(F.sum("members").alias("weight"), F.count("*").alias("_lists")).where(F.col("_lists") >= least).select("node", "weight")
-    shared = shared.where(F.col("at") <= COORDINATES - least)
-    leaders = shared.join(weight, "node").groupBy(*key).agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    weight = shared.groupBy("node").agg(F.sum("members").alias("weight"), F.count("*").alias("_lists")).where(F.col("_lists") >= MATCHES).select("node", "weight")
+    shared = shared.where(F.col("at") <= COORDINATES - MATCHES)
+    leaders = shared.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
     leaders = storage.written(leaders, "leaders")  # joined by an exchange of its own, so that a hot list can be split
-    pairs = shared.join(leaders, key).where("node <> leader").select("leader", "node").distinct()
-    return pairs.join(weight.select("node"), "node", "left_semi").select("leader", "node") if least > 1 else pairs
+    pairs = shared.join(leaders, "key").where("node <> leader").select("leader", "node").distinct()
+    return pairs.join(weight.select("node"), "node", "left_semi").select("leader", "node")
 
 
 def components(edges: DataFrame) -> DataFrame:
