@@ -478,3 +478,18 @@ def test_match_explanations_keep_every_pair_of_classes(spark):
     every = pairs.select("profile_id", "job_id").join(of("profile_id"), "profile_id").join(of("job_id"), "job_id")
     m = queries.Market(spark, "/root/testdata/sf0.001")
     assert every.count() == matching.score_all(queries._profiles(m), queries._wanted(m)).count() > 20 * pairs.select("profile_id").distinct().count()
+
+
+def test_match_explanations_have_a_row_for_each_pair(spark, tmp_path):
+    for t in ("nation", "region", "supplier", "part"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    shift = {"customer": {"c_custkey": 600}, "orders": {"o_orderkey": 15_600, "o_custkey": 600}, "lineitem": {"l_orderkey": 15_600}}  # keys that keep what depends on them
+    for t, keys in shift.items():
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        rows.union(rows.withColumns({k: F.col(k) + by for k, by in keys.items()}).select(*rows.columns)).write.parquet(f"{tmp_path}/{t}.parquet")
+    rows = queries.queries()["match_explanations"](spark, str(tmp_path)).cache()
+    pairs = rows.where("class_id is null")
+    m = queries.Market(spark, str(tmp_path))
+    every = matching.score_all(queries._profiles(m), queries._wanted(m)).select("profile_id", "job_id", "score", *[f"{k}_points" for k in matching.WEIGHTS], "verdict")
+    assert every.count() == pairs.count() and every.exceptAll(pairs.select(*every.columns)).count() == 0
+    assert rows.where("class_id <> coalesce(profile_id, job_id)").count() > 0  # some agree in all facts: a pair of classes doesn't stand for them
