@@ -493,3 +493,41 @@ def test_match_explanations_have_a_row_for_each_pair(spark, tmp_path):
     every = matching.score_all(queries._profiles(m), queries._wanted(m)).select("profile_id", "job_id", "score", *[f"{k}_points" for k in matching.WEIGHTS], "verdict")
     assert every.count() == pairs.count() and every.exceptAll(pairs.select(*every.columns)).count() == 0
     assert rows.where("class_id <> coalesce(profile_id, job_id)").count() > 0  # some agree in all facts: a pair of classes doesn't stand for them
+
+
+def test_later_rounds_of_a_search_find_only_what_is_better(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from vacancia.operators import blocks
+
+    r = random.Random(7)
+    levels, kinds = [None, *matching.LEVELS], ["required", "preferred", "mentioned"]
+    jobs = [(j, r.choice([None, 1, 2]), r.choice(levels), r.choice([None, 0.0, 4.0])) for j in range(900)]
+    jt = [(j, t, q) for j in range(900) if j % 11 for t in r.sample(range(9), r.randint(0, 4)) for q in ([r.choice(kinds)] if j % 5 else kinds[:2])]  # some list one twice
+    profiles = spark.createDataFrame([(p, r.choice(levels), r.choice([None, 0.0, 3.0])) for p in range(50)], "profile_id long, level string, years double")
+    own = spark.createDataFrame([(p, t) for p in range(50) for t in r.sample(range(10), p % 7)], "profile_id long, tech_id long")
+    people = matching.facts(profiles, own, spark.createDataFrame([(p, 1 + p % 3) for p in range(50) if p % 4], "profile_id long, title_id int"))
+    wanted = matching.needs(spark.createDataFrame(jobs, "job_id long, title_id int, experience_level string, years_of_experience double"), spark.createDataFrame(jt, "job_id long, tech_id long, requirement string"))
+    want = matching.ranked(matching.score_all(people, wanted), 5)
+    monkeypatch.setattr(matching, "FIRST_JOBS", 20)
+    monkeypatch.setattr(matching, "BLOCK_JOBS", 200)
+    monkeypatch.setattr(matching, "MORE", 6)
+    got = matching.best(people, wanted, 5)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() > 200
+
+    text = lambda frame: pa.Table.from_pylist([
+        {k: [str(x) for x in v] if isinstance(v, list) else str(v) if k == "title_id" and v is not None else v for k, v in row.asDict().items()} for row in frame.collect()
+    ])
+    a, b = text(wanted.select("job_id", "title_id", F.col("years_of_experience"), F.col("want_rank").cast("double"), *kinds)), text(people)
+    every = blocks.best(a, b, 5)
+    last = {p: None for p in every.column("profile_id").to_pylist()}
+    found = sorted(every.to_pylist(), key=lambda x: (x["profile_id"], -x["score"], -x["matched_required"], -x["matched"], x["job_id"]))
+    for p in last:
+        last[p] = [x for x in found if x["profile_id"] == p][2]  # the third is the floor: the first two are better
+    floors = {f"floor_{n}": [last[p][c] if p in last else None for p in b.column("profile_id").to_pylist()] for n, c in (("score", "score"), ("required", "matched_required"), ("matched", "matched"), ("job", "job_id"))}
+    for n, values in floors.items():
+        b = b.append_column(n, pa.array(values, pa.int64()))
+    better = sorted(blocks.best(a, b, 5).to_pylist(), key=lambda x: (x["profile_id"], -x["score"], -x["matched_required"], -x["matched"], x["job_id"]))
+    assert better == [x for p in sorted(last) for x in [y for y in found if y["profile_id"] == p][:2]]
