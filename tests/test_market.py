@@ -531,3 +531,38 @@ def test_later_rounds_of_a_search_find_only_what_is_better(spark, monkeypatch):
         b = b.append_column(n, pa.array(values, pa.int64()))
     better = sorted(blocks.best(a, b, 5).to_pylist(), key=lambda x: (x["profile_id"], -x["score"], -x["matched_required"], -x["matched"], x["job_id"]))
     assert better == [x for p in sorted(last) for x in [y for y in found if y["profile_id"] == p][:2]]
+
+
+def test_pairs_are_explained_once_for_all_who_share_the_same(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from vacancia.operators import blocks
+
+    r = random.Random(3)
+    levels, kinds = [None, *matching.LEVELS], ["required", "preferred", "mentioned"]
+    jobs = spark.createDataFrame([(j, r.choice([None, 1, 2, 7]), r.choice(levels), r.choice([None, 0.0, 2.0, 7.5])) for j in range(150)], "job_id long, title_id int, experience_level string, years_of_experience double")
+    jt = spark.createDataFrame([(j, t, q) for j in range(150) if j % 9 for t in r.sample(range(12), r.randint(0, 7)) for q in ([r.choice(kinds)] if j % 5 else kinds[1:])], "job_id long, tech_id long, requirement string")
+    names = spark.createDataFrame([(t, None if t == 4 else f"{'xYzA'[t % 4]}{t}") for t in range(11)], "tech_id long, name string")
+    roles = spark.createDataFrame([(1, "One"), (2, "Two")], "title_id int, title_name string")
+    profiles = spark.createDataFrame([(p, r.choice(levels), r.choice([None, 0.0, 1.5, 9.0])) for p in range(60)], "profile_id long, level string, years double")
+    own = spark.createDataFrame([(p, t) for p in range(60) for t in r.sample(range(13), p % 8)], "profile_id long, tech_id long")
+    people = matching.facts(profiles, own, spark.createDataFrame([(p, r.choice([1, 2, 7])) for p in range(60) if p % 3], "profile_id long, title_id int"))
+    wanted = matching.needs(jobs, jt)
+    want = matching.explain(matching.score(matching.pairs(people, wanted)), people, jobs, jt, names, roles)
+    want = want.withColumns({c: F.array_join(c, ", ") for c in ("matched_skills", "missing_skills")} | {"reasons": F.array_join("reasons", " | ")})
+    monkeypatch.setattr(matching, "PAIR_JOBS", 40)
+    monkeypatch.setattr(matching, "PAIR_CANDIDATES", 25)
+    got = matching.explain_all(people, wanted, jobs, jt, names, roles)
+    rows = sorted(map(repr, got.collect()))
+    assert rows == sorted(map(repr, want.select(*got.columns).collect())) and len(rows) > 3000
+
+    told = wanted.join(matching._asked(jobs, jt, names, roles).drop("title_id"), "job_id").withColumn("want_rank", F.col("want_rank").cast("double"))
+    a, b = told.toArrow(), people.withColumn("own_rank", F.col("own_rank").cast("double")).toArrow()
+    one = blocks.alike(a, b).to_pylist()
+    assert sum(len(g["members"]) for x in one for g in x["people"]) == len(rows) > 2 * len(one) > 0  # names are listed for fewer
+    monkeypatch.setattr(blocks, "BITS", 2)  # jobs with more technologies than one number tells apart
+    plain = lambda found: sorted(repr({**x, "people": sorted(x["people"], key=repr)}) for x in found)
+    assert plain(blocks.alike(a, b).to_pylist()) == plain(one)
+    assert blocks.alike(a, b.slice(0, 0)).num_rows == blocks.alike(a.slice(0, 0), b).num_rows == 0 and isinstance(blocks.alike(a.slice(0, 0), b), pa.Table)
